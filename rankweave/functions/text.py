@@ -52,21 +52,18 @@ def query_instruction(query: Column, task: str = QUERY_TASK) -> Column:
     return F.concat(F.lit(f"Instruct: {task}\nQuery: "), query)
 
 
-def term_counts(tokens: Column) -> Column:
-    """Array of (token, tf) of one token array, found by run lengths of the sorted array.
-
-    Everything happens inside the row: counting the terms of a document needs no shuffle. No
-    lambda refers to an outer expression, so each step runs once per row, not once per element.
-    """
-    ordered = F.sort_array(tokens)
+def run_starts(ordered: Column) -> Column:
+    """Where each run of equal values starts in a sorted array of strings, counted from 0."""
     size = F.size(ordered)
     previous = F.slice(F.concat(F.array(F.lit(None).cast("string")), ordered), F.lit(1), size)
     index = F.slice(F.sequence(F.lit(0), size), F.lit(1), size)
     changes = F.zip_with(ordered, previous, lambda cur, prev: ~cur.eqNullSafe(prev))
-    starts = F.filter(F.zip_with(index, changes, lambda i, new: F.when(new, i)),
-                      lambda i: i.isNotNull())
+    return F.filter(F.zip_with(index, changes, lambda i, new: F.when(new, i)),
+                    lambda i: i.isNotNull())
+
+
+def run_lengths(starts: Column, size: Column) -> Column:
+    """Length of each run, from where the runs start and the size of the whole array."""
     ends = F.slice(F.concat(F.slice(starts, F.lit(2), size + 1), F.array(size)),
                    F.lit(1), F.size(starts))
-    tf = F.zip_with(starts, ends, lambda a, b: (b - a).cast("long"))
-    return F.zip_with(F.array_distinct(ordered), tf,
-                      lambda token, n: F.struct(token.alias("token"), n.alias("tf")))
+    return F.zip_with(starts, ends, lambda start, end: (end - start).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scoring
 from ..functions.text import Analyzer
-from ..session import BROADCAST_BYTES, measured, split, union_all
+from ..session import BROADCAST_BYTES, materialize, measured, split, union_all
 from ..sources.index import LexicalIndex
 from .lexical import lemmatize, token_id
 from .topk import by_score, top_k
@@ -114,7 +114,7 @@ def bm25_rank_all(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: f
     `k - 1` matches, so its fillers are among the `2k` smallest document ids: queries times
     documents is never formed.
     """
-    matched = bm25_topk(index, queries, k1, b, top_k_, mode="bag", limit=limit)
+    matched = materialize(bm25_topk(index, queries, k1, b, top_k_, mode="bag", limit=limit))
     short = (queries.select("query_id")
              .join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")),
                    "query_id", "left")
@@ -136,7 +136,8 @@ def bm25_explain(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, k1:
     included; a word the document does not have adds 0.
     """
     avgdl = index.corpus_stats.select("avgdl").scalar()
-    occurrences = (pairs.select("query_id", "doc_id").join(queries, "query_id")
+    pairs = materialize(pairs.select("query_id", "doc_id"))
+    occurrences = (pairs.join(queries, "query_id")
                    .select("query_id", "doc_id",
                            F.posexplode(index.analyzer(F.col("text"))).alias("term_index", "token")))
     # The word as typed is reported; a lexicon only decides which posting it is looked up in.
@@ -145,7 +146,7 @@ def bm25_explain(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, k1:
         "token_id", token_id(F.col("token")))
     parts = []
     for _, terms in _term_chunks(index, queries, "set", limit, None):
-        wanted = terms.join(pairs.select("query_id", "doc_id"), "query_id")
+        wanted = terms.join(pairs, "query_id")
         _, size = measured(wanted)
         wanted = F.broadcast(wanted) if size <= limit else wanted
         parts.append(index.term_doc_stats.join(wanted, ["token_id", "doc_id"]).select(
@@ -182,7 +183,10 @@ def bm25_sweep(index: LexicalIndex, queries: DataFrame, params: list[tuple[float
 
 def attach_titles(ranking: DataFrame, document: DataFrame,
                   limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Add `doc_title`. Titles are read after the cut to the top k, for ranked documents only."""
+    """Add `doc_title`. Titles are read after the cut to the top k, for ranked documents only.
+
+    The ranking is read twice: give one that is written down.
+    """
     titles = document.select("doc_id", F.col("title").alias("doc_title"))
     _, size = measured(ranking)
     small = F.broadcast(ranking) if size <= limit else ranking

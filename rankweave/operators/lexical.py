@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scoring
-from ..functions.text import Analyzer, term_counts, words
+from ..functions.text import Analyzer, run_lengths, run_starts, words
 from ..session import lookup_join
 
 
@@ -23,7 +23,10 @@ def analyze(documents: DataFrame, analyzer: Analyzer = words,
 
 def token_positions(analyzed: DataFrame) -> DataFrame:
     """One row per token occurrence, positions counted from 0 after filtering."""
-    return analyzed.select("doc_id", F.posexplode("tokens").alias("position", "token"))
+    # The outer form keeps the planner from testing the size of `tokens` first, which would
+    # run the analyzer twice.
+    return (analyzed.select("doc_id", F.posexplode_outer("tokens").alias("position", "token"))
+            .filter(F.col("token").isNotNull()))
 
 
 def lemmatize(rows: DataFrame, lexicon: DataFrame | None) -> DataFrame:
@@ -42,10 +45,19 @@ def lemmatize(rows: DataFrame, lexicon: DataFrame | None) -> DataFrame:
 def term_frequency(analyzed: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Postings `(doc_id, token, tf, len)`.
 
-    Terms are counted inside each document row, so no occurrence is ever shuffled. Only with a
-    lexicon two forms of a document may meet in one lemma and are added up afterwards.
+    Terms are counted inside each document row, by the run lengths of its sorted tokens, so no
+    occurrence is ever shuffled. Only with a lexicon two forms of a document may meet in one lemma
+    and are added up afterwards.
     """
-    postings = (analyzed.select("doc_id", "len", F.inline(term_counts(F.col("tokens"))))
+    # Each step is a column of its own that the next refers to more than once: the planner then
+    # keeps the steps apart instead of sorting again for every use.
+    ordered = analyzed.select("doc_id", "len", F.sort_array("tokens").alias("_sorted"))
+    runs = ordered.withColumn("_starts", run_starts(F.col("_sorted")))
+    counted = F.arrays_zip(
+        F.array_distinct("_sorted").alias("token"),
+        run_lengths(F.col("_starts"), F.size("_sorted")).alias("tf"))
+    postings = (runs.select("doc_id", "len", F.inline_outer(counted))
+                .filter(F.col("token").isNotNull())
                 .select("doc_id", "token", "tf", "len"))
     if lexicon is None:
         return postings

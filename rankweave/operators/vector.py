@@ -28,6 +28,21 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.filter(F.col(column).isNotNull()).filter(norm(F.col(column)) > 0)
 
 
+def present(vectors: DataFrame) -> DataFrame:
+    """Rows with a vector; those without direction are found by the scan itself."""
+    return vectors.filter(F.col("embedding").isNotNull())
+
+
+def _directed(batch: pa.RecordBatch, dims: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows of a batch whose vector is not zero, and their unit vectors (column 1)."""
+    matrix = _matrix(batch.column(1), dims)
+    lengths = np.sqrt((matrix * matrix).sum(axis=1))
+    if not lengths.all():
+        good = lengths > 0
+        batch, matrix, lengths = batch.filter(pa.array(good)), matrix[good], lengths[good]
+    return batch, matrix / lengths[:, None]
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     widths = pa.compute.list_value_length(column)
     if len(column) and (pa.compute.min(widths).as_py() != dims
@@ -114,8 +129,8 @@ def _scan(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         best = _Best(len(unit), k)
         step = max(1, BLOCK_SCORES // len(unit))
         for batch in batches:
+            batch, vectors = _directed(batch, unit.shape[1])
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = _unit(_matrix(batch.column(1), unit.shape[1]))
             for at in range(0, len(ids), step):
                 scores = np.round(vectors[at:at + step] @ unit.T, digits)
                 best.add(scores, ids[at:at + step])
@@ -134,7 +149,7 @@ def vector_topk(documents: DataFrame, queries: DataFrame, top_k_: int = 10,
     """
     if top_k_ <= 0:
         raise ValueError("top_k must be positive")
-    docs = usable(documents)
+    docs = present(documents)
     found = [_scan(docs, part, top_k_) for part in
              chunks(usable(queries).select("query_id", "embedding"), "query_id", limit)]
     return top_k(union_all(found), ["query_id"], by_score(), top_k_)
@@ -168,13 +183,13 @@ def train_cells(documents: DataFrame, n_cells: int, seed: int = 42, max_iter: in
 
 def assign_cells(documents: DataFrame, centers: np.ndarray) -> DataFrame:
     """`(doc_id, embedding, cell)`: the cell whose center is nearest. A map step."""
-    docs = usable(documents).select("doc_id", "embedding")
+    docs = present(documents).select("doc_id", "embedding")
     schema = T.StructType([*docs.schema.fields, T.StructField("cell", T.IntegerType())])
     shared = documents.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = _unit(_matrix(batch.column(1), shared.value.shape[1]))
+            batch, unit = _directed(batch, shared.value.shape[1])
             cell = (unit @ shared.value.T).argmax(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(cell)],
@@ -223,8 +238,8 @@ def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k_
             unit, wanted = shared.value
             best = _Best(len(unit), top_k_)
             for batch in batches:
+                batch, vectors = _directed(batch, unit.shape[1])
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                vectors = _unit(_matrix(batch.column(1), unit.shape[1]))
                 cell = batch.column(2).to_numpy()
                 for c in np.unique(cell):
                     which = wanted[int(c)]

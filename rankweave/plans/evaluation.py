@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.evaluate import build_run
 from ..operators.fusion import reciprocal_rank_fusion
-from ..session import path_exists, union_all
+from ..session import materialize, path_exists, union_all
 from .hybrid import Ranker, Retriever
 
 # The names of the modes, in reporting order.
@@ -24,11 +24,12 @@ def compare_modes(queries: DataFrame, lexical: Retriever, vector: Retriever, ran
     The retrievers are expected to return `pool` results per query. The fused run is not cut; the
     ranker sees its first `pool` results.
     """
-    bm25, nearest = lexical(queries), vector(queries)
-    fused = reciprocal_rank_fusion([bm25, nearest], rrf_k)
+    bm25, nearest = materialize(lexical(queries)), materialize(vector(queries))
+    fused = materialize(reciprocal_rank_fusion([bm25, nearest], rrf_k))
     reranked = ranker(queries, fused.filter(F.col("rank") <= pool))
     rankings = dict(zip(MODES, (bm25, nearest, fused, reranked)))
-    return union_all([build_run(r, mode, document) for mode, r in rankings.items()])
+    return materialize(
+        union_all([build_run(r, mode, document) for mode, r in rankings.items()]))
 
 
 def config_hash(config: dict) -> str:

@@ -12,6 +12,7 @@ from ..operators.bm25 import attach_titles, bm25_topk
 from ..operators.embed import EmbedFunction, EmbedPolicy, embed_documents
 from ..operators.fusion import reciprocal_rank_fusion
 from ..operators.vector import vector_topk
+from ..session import materialize
 from ..sources.index import LexicalIndex
 
 # Queries `(query_id, text)` in, ranking out.
@@ -31,7 +32,7 @@ def embed_queries(queries: DataFrame, embed: EmbedFunction, dims: int | None = N
 def bm25_retriever(index: LexicalIndex, k1: float | None = None, b: float | None = None,
                    top_k: int | None = None) -> Retriever:
     def retrieve(queries: DataFrame) -> DataFrame:
-        ranking = bm25_topk(index, queries, k1, b, top_k)
+        ranking = materialize(bm25_topk(index, queries, k1, b, top_k))
         return attach_titles(ranking, index.document)
     return retrieve
 
@@ -41,15 +42,19 @@ def vector_retriever(documents: DataFrame, embed: EmbedFunction, titles: DataFra
                      instruct: bool = True) -> Retriever:
     """`documents` holds `(doc_id, embedding)`, `titles` holds `(doc_id, title)`."""
     def retrieve(queries: DataFrame) -> DataFrame:
-        ranking = vector_topk(documents, embed_queries(queries, embed, dims, instruct), top_k)
-        return ranking if titles is None else attach_titles(ranking, titles)
+        vectors = materialize(embed_queries(queries, embed, dims, instruct))
+        ranking = vector_topk(documents, vectors, top_k)
+        return ranking if titles is None else attach_titles(materialize(ranking), titles)
     return retrieve
 
 
 def rerank_chain(queries: DataFrame, ranking: DataFrame, rankers: list[Ranker]) -> DataFrame:
-    """Apply rankers one after the other, each on what the one before kept."""
+    """Apply rankers one after the other, each on what the one before kept.
+
+    Rankings are small and each stage is written down, so a model is asked once per candidate.
+    """
     for ranker in rankers:
-        ranking = ranker(queries, ranking)
+        ranking = ranker(queries, materialize(ranking))
     return ranking
 
 

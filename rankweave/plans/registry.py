@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import html, scoring, vectors
 from ..functions.text import ascii_words, query_instruction, words
 from ..operators import bm25, embed, evaluate, fusion, legacy, lexical, rerank, vector
-from ..session import scratch_dir
+from ..session import materialize, scratch_dir, spread
 from ..sources import corpus, index
 from ..streaming import ingest
 from . import embedding_jobs, evaluation, hybrid
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", F.col("text").alias("full_text"),
         F.concat(F.lit("doc://"), F.col("doc_id")).alias("url"), F.col("source").alias("title"))
 
@@ -76,7 +76,7 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.load_qrels(judgments(spark, sf_dir))
+    return materialize(corpus.load_qrels(judgments(spark, sf_dir)))
 
 
 def text_vectors(rows: DataFrame, dims: int = DIMS) -> DataFrame:
@@ -95,10 +95,12 @@ def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(
         "label", F.posexplode("embedding").alias("place", "value"))
     means = rows.groupBy("label", "place").agg(F.avg(F.col("value").cast("double")).alias("value"))
-    return (means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "value")))
-                                       .alias("places"))
-            .select(F.col("label").cast("long").alias("query_id"),
-                    F.col("places.value").alias("embedding")))
+    # One row per label and place is left: a label's list is as long as a vector is wide.
+    return materialize(
+        means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "value")))
+                                   .alias("places"))
+        .select(F.col("label").cast("long").alias("query_id"),
+                F.col("places.value").alias("embedding")))
 
 
 def numbered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,17 +168,20 @@ def q_ingest_corpus(spark, d):
     return corpus.ingest_corpus(table(spark, d, "documents"), title="source")
 
 
+def pages(spark, d):
+    return spread(table(spark, d, "pages"), "page_id")
+
+
 def q_ingest_pages(spark, d):
-    return corpus.ingest_pages(table(spark, d, "pages")).select("url", "title", "full_text")
+    return corpus.ingest_pages(pages(spark, d)).select("url", "title", "full_text")
 
 
 def q_html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", html.html_text(F.col("html")).alias("text"))
+    return pages(spark, d).select("page_id", html.html_text(F.col("html")).alias("text"))
 
 
 def q_html_title(spark, d):
-    return table(spark, d, "pages").select("page_id",
-                                           html.html_title(F.col("html")).alias("title"))
+    return pages(spark, d).select("page_id", html.html_title(F.col("html")).alias("title"))
 
 
 def conversation_rows(spark, d):
@@ -215,25 +220,25 @@ def q_load_qrels(spark, d):
 
 
 def q_link_edges(spark, d):
-    pages = corpus.page_links(table(spark, d, "pages"))
+    links = corpus.page_links(pages(spark, d))
     site = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
-    targets = (pages.select("url", F.explode("links").alias("href"))
+    targets = (links.select("url", F.explode("links").alias("href"))
                .select(F.concat(site, "href").alias("url")))
-    known = pages.select("url").union(targets).distinct()
+    known = links.select("url").union(targets).distinct()
     docs = known.select(corpus.url_doc_id(F.col("url"), F.col("url"), wide=True).alias("doc_id"),
                         "url")
-    return lexical.link_edges(pages, docs)
+    return lexical.link_edges(links, docs)
 
 
 def q_tokenize_words(spark, d):
-    tokens = words(F.col("text"))
-    return table(spark, d, "documents").select(
+    tokens = words(F.col("full_text"))
+    return documents(spark, d).select(
         "doc_id", F.concat_ws(" ", tokens).alias("tokens"))
 
 
 def q_tokenize_ascii(spark, d):
-    tokens = ascii_words(F.col("text"))
-    return table(spark, d, "documents").select(
+    tokens = ascii_words(F.col("full_text"))
+    return documents(spark, d).select(
         "doc_id", F.concat_ws(" ", tokens).alias("tokens"))
 
 
@@ -290,7 +295,7 @@ def q_idf_table(spark, d):
 def q_bm25_topk(spark, d):
     query = spark.createDataFrame([(0, QUERY)], "query_id long, text string")
     idx = built_index(spark, d)
-    return bm25.attach_titles(bm25.bm25_topk(idx, query), idx.document)
+    return bm25.attach_titles(materialize(bm25.bm25_topk(idx, query)), idx.document)
 
 
 def q_bm25_batch(spark, d):
@@ -327,7 +332,7 @@ def q_query_instruction(spark, d):
 
 def q_rrf(spark, d):
     title = built_index(spark, d).document
-    lists = [bm25.attach_titles(bm25_run(spark, d, k1=k1, b=b), title)
+    lists = [bm25.attach_titles(materialize(bm25_run(spark, d, k1=k1, b=b)), title)
              for k1, b in ((1.5, 0.75), (0.8, 0.3))]
     return fusion.reciprocal_rank_fusion(lists)
 
@@ -363,7 +368,7 @@ def q_legacy_position(spark, d):
 
 def q_legacy_normalize(spark, d):
     """BM25 scores scaled both ways."""
-    run = bm25_run(spark, d)
+    run = materialize(bm25_run(spark, d))
     high = legacy.legacy_normalize(run.select("query_id", "doc_id", "score"))
     low = legacy.legacy_normalize(run.select("query_id", "doc_id", "score"), True)
     return high.select("query_id", "doc_id", scoring.rounded(F.col("score"), 9).alias("high")).join(
@@ -377,12 +382,12 @@ def q_legacy_rank(spark, d):
 
 def q_rerank(spark, d):
     qs = queries(spark, d)
-    return overlap_ranker(spark, d, 20)(qs, lexical_retriever(spark, d)(qs))
+    return hybrid.rerank_chain(qs, lexical_retriever(spark, d)(qs), [overlap_ranker(spark, d, 20)])
 
 
 def q_rerank_cosine(spark, d):
     qs = queries(spark, d)
-    return cosine_ranker(spark, d, 20)(qs, lexical_retriever(spark, d)(qs))
+    return hybrid.rerank_chain(qs, lexical_retriever(spark, d)(qs), [cosine_ranker(spark, d, 20)])
 
 
 def yes_ranker(spark, d, top_n):
@@ -393,7 +398,7 @@ def yes_ranker(spark, d, top_n):
 
 def q_rerank_yes_prob(spark, d):
     qs = queries(spark, d)
-    return yes_ranker(spark, d, 20)(qs, lexical_retriever(spark, d)(qs))
+    return hybrid.rerank_chain(qs, lexical_retriever(spark, d)(qs), [yes_ranker(spark, d, 20)])
 
 
 def q_rerank_chain(spark, d):
@@ -458,7 +463,7 @@ def q_build_run(spark, d):
 
 def one_metric(metric: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark, d):
-        run = evaluate.build_run(bm25_run(spark, d), "bm25")
+        run = materialize(evaluate.build_run(bm25_run(spark, d), "bm25"))
         rows = evaluate.query_metrics(run, qrels(spark, d), (metric,), missing="zero")
         return rows.select("mode", "query_id",
                            scoring.rounded(F.col(f"`{metric}`"), 9).alias(name))
@@ -466,7 +471,7 @@ def one_metric(metric: str, name: str) -> Callable[[SparkSession, str], DataFram
 
 
 def q_evaluate_run(spark, d):
-    run = evaluate.build_run(bm25_run(spark, d, 1000), "bm25")
+    run = materialize(evaluate.build_run(bm25_run(spark, d, 1000), "bm25"))
     return evaluate.evaluate_run(run, qrels(spark, d))
 
 
@@ -501,9 +506,9 @@ def q_eval_resume(spark, d):
 
 def q_stream_ingest(spark, d):
     schema = table(spark, d, "pages").schema
-    pages = (spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
     path = scratch_dir(spark, "stream")
-    ingest.stream_ingest(pages, f"{path}/index", f"{path}/checkpoint").awaitTermination()
+    ingest.stream_ingest(stream, f"{path}/index", f"{path}/checkpoint").awaitTermination()
     return ingest.read_stream_index(spark, f"{path}/index").token.select("token", "doc_freq")
 
 

@@ -49,6 +49,26 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a small intermediate result to the shared folder and read it back.
+
+    What reads it several times does not repeat the work behind it, a lost executor does not
+    either, and its true size is known to the planner. For results bounded by queries times `k`.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of an input that comes in too few pieces, such as one small file.
+
+    An input with more pieces than cores is left as it is: large inputs are never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def measured(df: DataFrame) -> tuple[int, int]:
     """(rows, bytes) of a frame, counted by one aggregation on the executors."""
     row_bytes = F.lit(16)

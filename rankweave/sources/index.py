@@ -24,7 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import Analyzer, words
 from ..operators import lexical
-from ..session import path_exists
+from ..session import path_exists, spread
+
+# Bucket size: postings of this many token occurrences take up to about 1 GB.
+TOKENS_PER_BUCKET = 50_000_000
 
 
 @dataclass(frozen=True)
@@ -79,19 +82,28 @@ def write_index(documents: DataFrame, path: str, analyzer: Analyzer = words,
                 positions: bool = True) -> LexicalIndex:
     """Build and write the index, replacing what is at `path`, and open it.
 
-    `documents` holds `doc_id, full_text, url, title`. Choose `buckets` so that a bucket of
-    postings fits comfortably in one task (around 1 GB).
+    `documents` holds `doc_id, full_text, url, title`. The text is read once, in a map step.
     """
     spark = documents.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     # The bloom filters let a lookup of few documents skip most row groups without sorting
     # or moving the text.
-    (lexical.analyze(documents, analyzer).write.mode("overwrite")
+    (lexical.analyze(spread(documents, "doc_id"), analyzer).write.mode("overwrite")
      .option("parquet.bloom.filter.enabled#doc_id", "true")
      .option("parquet.bloom.filter.enabled#url", "true")
      .parquet(f"{path}/forward"))
+    return derive_index(spark, path, analyzer, lexicon, buckets, positions)
+
+
+def derive_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
+                 lexicon: DataFrame | None = None, buckets: int | None = None,
+                 positions: bool = True) -> LexicalIndex:
+    """Write all other tables from the tokens in `forward`."""
     forward = spark.read.parquet(f"{path}/forward")
+    lexical.corpus_stats(forward).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    if buckets is None:
+        total = spark.read.parquet(f"{path}/corpus_stats").first()["total_len"] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                      -(-total // TOKENS_PER_BUCKET))
 
     # Without a lexicon this is a map step, followed by the one shuffle of the build.
     postings = lexical.term_frequency(forward)
@@ -114,7 +126,6 @@ def write_index(documents: DataFrame, path: str, analyzer: Analyzer = words,
     if positions:
         (_positions(forward, lexicon).sortWithinPartitions("token_id")
          .write.mode("overwrite").parquet(f"{path}/token_position"))
-    lexical.corpus_stats(forward).write.mode("overwrite").parquet(f"{path}/corpus_stats")
     (spark.range(1).select(F.lit(buckets).alias("buckets"))
      .write.mode("overwrite").json(f"{path}/manifest"))
     return _open(spark, path, table, analyzer, lexicon)
