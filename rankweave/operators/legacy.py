@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scoring
-from ..session import BROADCAST_BYTES, chunks, union_all
+from ..session import BROADCAST_BYTES, chunks, lookup_join, materialize, union_all
 from ..sources.index import LexicalIndex
 from .bm25 import query_terms
 from .lexical import token_id
@@ -21,18 +21,22 @@ def matched_tokens(index: LexicalIndex, queries: DataFrame,
                    limit: int = BROADCAST_BYTES) -> DataFrame:
     """Per query, document and matched word: its occurrences and first position.
 
-    The words are broadcast and the occurrences reduced in the map tasks, so at most one row per
-    word and document and task is shuffled.
+    Occurrences are reduced once per document and word, before queries that share the word see
+    them. Positions are bucketed by document, so neither this step nor the sums per document that
+    follow need a shuffle.
     """
     terms = query_terms(queries, index.analyzer, "set", index.lexicon).select(
         "query_id", token_id(F.col("token")).alias("token_id"))
-    return union_all([
-        index.token_position.join(F.broadcast(part), "token_id")
-        .groupBy("query_id", "doc_id", "token_id")
-        .agg(F.count(F.lit(1)).alias("locations"),
-             F.min("position").cast("long").alias("first_position"))
-        for part in chunks(terms, "query_id", limit)
-    ])
+    parts = []
+    for part in chunks(terms, "query_id", limit):
+        wanted = F.broadcast(part.select("token_id").distinct())
+        found = (index.token_position.join(wanted, "token_id", "left_semi")
+                 .groupBy("doc_id", "token_id")
+                 .agg(F.count(F.lit(1)).alias("locations"),
+                      F.min("position").cast("long").alias("first_position")))
+        parts.append(found.join(F.broadcast(part), "token_id").select(
+            "query_id", "doc_id", "token_id", "locations", "first_position"))
+    return union_all(parts)
 
 
 def legacy_match(matched: DataFrame) -> DataFrame:
@@ -55,18 +59,23 @@ def position_scores(matched: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("times"))
 
 
+def _best(scores: DataFrame, *extremes: Column) -> DataFrame:
+    """Extreme scores per query, written down: one row per query, to be joined back.
+
+    A window over the query would bring all its documents into one task.
+    """
+    return materialize(scores.groupBy("query_id").agg(*extremes))
+
+
 def legacy_normalize(scores: DataFrame, lower_is_better: bool = False) -> DataFrame:
     """Scale by the best score of the query.
 
-    If lower is better and the best score is 0, all documents get 0, as in the older ranker. The
-    best score is aggregated per query and joined back: a window would bring all documents of a
-    query into one task.
+    If lower is better and the best score is 0, all documents get 0, as in the older ranker.
     """
-    best = scores.groupBy("query_id").agg(
-        (F.min("score") if lower_is_better else F.max("score")).alias("_best"))
+    best = _best(scores, (F.min("score") if lower_is_better else F.max("score")).alias("_best"))
     scaled = (F.col("_best") / (F.col("score") + F.lit(EPSILON)) if lower_is_better
               else (F.col("score") + F.lit(EPSILON)) / (F.col("_best") + F.lit(EPSILON)))
-    return scores.join(best, "query_id").withColumn("score", scaled).drop("_best")
+    return lookup_join(scores, best, "query_id").withColumn("score", scaled).drop("_best")
 
 
 def legacy_frequency(matched: DataFrame) -> DataFrame:
@@ -88,15 +97,14 @@ def legacy_rank(matched: DataFrame, top_k_: int | None = None) -> DataFrame:
         F.sum("locations").cast("double").alias("frequency"),
         F.sum("first_position").cast("double").alias("position"),
         F.count(F.lit(1)).alias("times"))
-    best = both.groupBy("query_id").agg(F.max("frequency").alias("_most"),
-                                        F.min("position").alias("_nearest"))
+    best = _best(both, F.max("frequency").alias("_most"), F.min("position").alias("_nearest"))
     eps = F.lit(EPSILON)
     frequency = (F.col("frequency") + eps) / (F.col("_most") + eps)
     position = F.col("_nearest") / (F.col("position") + eps)
     total = F.lit(FREQUENCY_WEIGHT + POSITION_WEIGHT)
     score = (F.lit(FREQUENCY_WEIGHT) * frequency
              + F.lit(POSITION_WEIGHT) * position * F.col("times")) / total
-    scored = (both.join(best, "query_id")
+    scored = (lookup_join(both, best, "query_id")
               .select("query_id", "doc_id",
                       scoring.rounded(score, scoring.BM25_DIGITS).alias("score")))
     if top_k_ is None:

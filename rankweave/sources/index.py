@@ -5,14 +5,14 @@ Layout, all Parquet:
     forward/          doc_id, full_text, url, title, len, tokens     (map-only write)
     token/            token_id, token, doc_freq                      (range-sorted by token)
     term_doc_stats/   token_id, doc_id, tf, len                      (bucketed by doc_id)
-    token_position/   doc_id, token_id, position                     (map-only, sorted in files)
+    token_position/   doc_id, token_id, position                     (bucketed by doc_id)
     corpus_stats/     one row
     manifest/         one row: bucket count
 
 Text is read and tokenized in one pass that writes `forward`; every other table is derived from
-its token column. Postings are bucketed by document and sorted by token inside a bucket, so a
-search adds up the scores of a document where its postings lie: nothing but the final top k per
-query is shuffled. A frequent token is spread over all buckets.
+its token column. Postings and positions are bucketed by document and sorted by token inside a
+bucket, so a search adds up the scores of a document where its postings lie: nothing but the final
+top k per query is shuffled. A frequent token is spread over all buckets.
 """
 
 from __future__ import annotations
@@ -105,16 +105,15 @@ def derive_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                       -(-total // TOKENS_PER_BUCKET))
 
-    # Without a lexicon this is a map step, followed by the one shuffle of the build.
+    # Without a lexicon this is a map step, followed by the one shuffle of the postings.
     postings = lexical.term_frequency(forward)
     if lexicon is not None:
         by_doc = lexical.lemmatize(postings, lexicon).repartition(buckets, "doc_id")
         postings = by_doc.groupBy("doc_id", "token").agg(
             F.sum("tf").alias("tf"), F.first("len").alias("len"))
-    table = _table_name()
-    (_postings(postings).repartition(buckets, "doc_id").write.mode("overwrite")
-     .bucketBy(buckets, "doc_id").sortBy("token_id")
-     .option("path", f"{path}/term_doc_stats").saveAsTable(table))
+    _write_buckets(_postings(postings), f"{path}/term_doc_stats", buckets)
+    if positions:
+        _write_buckets(_positions(forward, lexicon), f"{path}/token_position", buckets)
 
     distinct = forward.select(F.explode(F.array_distinct("tokens")).alias("token"), "doc_id")
     if lexicon is not None:
@@ -123,37 +122,44 @@ def derive_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
     (_tokens(distinct).repartitionByRange("token").sortWithinPartitions("token")
      .write.mode("overwrite").parquet(f"{path}/token"))
 
-    if positions:
-        (_positions(forward, lexicon).sortWithinPartitions("token_id")
-         .write.mode("overwrite").parquet(f"{path}/token_position"))
     (spark.range(1).select(F.lit(buckets).alias("buckets"))
      .write.mode("overwrite").json(f"{path}/manifest"))
-    return _open(spark, path, table, analyzer, lexicon)
+    return open_index(spark, path, analyzer, lexicon)
+
+
+def _write_buckets(rows: DataFrame, path: str, buckets: int) -> None:
+    table = _table_name()
+    (rows.repartition(buckets, "doc_id").write.mode("overwrite")
+     .bucketBy(buckets, "doc_id").sortBy("token_id")
+     .option("path", path).saveAsTable(table))
+    # Only the name goes; the files of a table with its own path stay.
+    rows.sparkSession.sql(f"DROP TABLE {table}")
+
+
+def _open_buckets(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """Name the files as a bucketed table, so that the planner knows how rows are placed."""
+    columns = ", ".join(f"{name} {kind}" for name, kind in spark.read.parquet(path).dtypes)
+    table = _table_name()
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (doc_id) "
+              f"SORTED BY (token_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
+def _table_name() -> str:
+    return f"rankweave_{uuid.uuid4().hex[:12]}"
 
 
 def open_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
                lexicon: DataFrame | None = None) -> LexicalIndex:
     """Open an index written earlier, also by another session."""
     buckets = spark.read.schema("buckets int").json(f"{path}/manifest").first()["buckets"]
-    types = dict(spark.read.parquet(f"{path}/term_doc_stats").dtypes)
-    columns = ", ".join(f"{name} {kind}" for name, kind in types.items())
-    table = _table_name()
-    spark.sql(
-        f"CREATE TABLE {table} ({columns}) USING parquet "
-        f"CLUSTERED BY (doc_id) SORTED BY (token_id) INTO {buckets} BUCKETS "
-        f"LOCATION '{path}/term_doc_stats'")
-    return _open(spark, path, table, analyzer, lexicon)
-
-
-def _open(spark: SparkSession, path: str, table: str, analyzer: Analyzer,
-          lexicon: DataFrame | None) -> LexicalIndex:
     forward = spark.read.parquet(f"{path}/forward")
-    written = path_exists(spark, f"{path}/token_position")
     return LexicalIndex(
         document=forward.drop("tokens"),
         token=spark.read.parquet(f"{path}/token"),
-        term_doc_stats=spark.table(table),
-        token_position=(spark.read.parquet(f"{path}/token_position") if written
+        term_doc_stats=_open_buckets(spark, f"{path}/term_doc_stats", buckets),
+        token_position=(_open_buckets(spark, f"{path}/token_position", buckets)
+                        if path_exists(spark, f"{path}/token_position")
                         else _positions(forward, lexicon)),
         corpus_stats=spark.read.parquet(f"{path}/corpus_stats"),
         analyzer=analyzer,
@@ -161,10 +167,6 @@ def _open(spark: SparkSession, path: str, table: str, analyzer: Analyzer,
     )
 
 
-def _table_name() -> str:
-    return f"rankweave_postings_{uuid.uuid4().hex[:12]}"
-
-
 def validate_index(index: LexicalIndex, links: DataFrame | None = None) -> DataFrame:
     """Violations of the table rules as `(rule, table_name, violations)`; one row per rule.
 
