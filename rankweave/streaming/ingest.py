@@ -9,7 +9,7 @@ from ..operators import lexical
 from ..schemas import DOCUMENT, TERM_DOC_STATS, TOKEN_POSITION
 from ..session import BROADCAST_BYTES, measured, path_exists
 from ..sources.corpus import dedupe_url, extract_pages
-from ..sources.index import LexicalIndex, _positions, _postings
+from ..sources.index import LexicalIndex, _positions, _postings, derive_index
 
 FORWARD = (T.StructType(DOCUMENT.fields)
            .add("tokens", T.ArrayType(T.StringType())).add("batch_id", T.LongType()))
@@ -99,3 +99,13 @@ def read_stream_index(spark: SparkSession, path: str, analyzer: Analyzer = words
         corpus_stats=stats,
         analyzer=analyzer,
     )
+
+
+def compact(spark: SparkSession, path: str, target: str, **options) -> LexicalIndex:
+    """Rewrite a streamed index as a bucketed one at `target`; the text is not analyzed again."""
+    (spark.read.schema(SCHEMAS["forward"]).parquet(f"{path}/forward").drop("batch_id")
+     .write.mode("overwrite")
+     .option("parquet.bloom.filter.enabled#doc_id", "true")
+     .option("parquet.bloom.filter.enabled#url", "true")
+     .parquet(f"{target}/forward"))
+    return derive_index(spark, target, **options)
