@@ -73,7 +73,7 @@ def _term_chunks(index: LexicalIndex, queries: DataFrame, mode: str, limit: int,
         index = _narrowed(index, terms)
     # A joined term carries two numbers more than the measured one.
     return [(index, weighted_terms(index, part, max_df_ratio))
-            for part in split(terms, "query_id", 2 * size, limit)]
+            for part in split(terms, ["query_id"], 2 * size, limit)]
 
 
 def bm25_scores(index: LexicalIndex, terms: DataFrame, k1: float, b: float) -> DataFrame:
@@ -101,7 +101,8 @@ def bm25_topk(index: LexicalIndex, queries: DataFrame, k1: float | None = None,
     b = 0.75 if b is None else b
     k = 10 if top_k_ is None else top_k_
     return union_all([
-        top_k(bm25_scores(part, terms, k1, b), ["query_id"], by_score(), k)
+        top_k(bm25_scores(part, terms, k1, b), ["query_id"], by_score(), k,
+              pieces=index.buckets)
         for part, terms in _term_chunks(index, queries, mode, limit, max_df_ratio)
     ])
 
@@ -177,7 +178,8 @@ def bm25_sweep(index: LexicalIndex, queries: DataFrame, params: list[tuple[float
                   .groupBy("k1", "b", "query_id", "doc_id")
                   .agg(F.sum(F.col("weight") * part).alias("score"))
                   .withColumn("score", scoring.rounded(F.col("score"), scoring.BM25_DIGITS)))
-        results.append(top_k(scores, ["k1", "b", "query_id"], by_score(), top_k_))
+        results.append(top_k(scores, ["k1", "b", "query_id"], by_score(), top_k_,
+                             pieces=index.buckets))
     return union_all(results)
 
 

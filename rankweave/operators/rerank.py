@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scoring
 from ..functions.text import QUERY_TASK
 from ..functions.vectors import cosine
-from ..session import BROADCAST_BYTES, measured
+from ..session import BROADCAST_BYTES, measured, split, union_all
 from .topk import top_k
 
 # A scorer as an expression of (query text, document text) ...
@@ -27,16 +27,18 @@ def fetch_documents(candidates: DataFrame, document: DataFrame,
                     limit: int = BROADCAST_BYTES) -> DataFrame:
     """Candidates with `full_text`; a candidate without a document gets an empty text.
 
-    The candidates are the small side and are broadcast when measured to be so: the text is
-    scanned once and only candidate rows leave the scan.
+    The wanted ids are broadcast, so the text of the corpus is never shuffled: only the texts of
+    candidates leave the scan. Ids beyond the limit are looked up in parts, one scan each. The
+    candidates are read more than once: give a ranking that is written down.
     """
-    rows, size = measured(candidates)
+    wanted = candidates.select("doc_id").distinct()
+    rows, size = measured(wanted)
     texts = document.select("doc_id", "full_text")
     if rows <= PUSHDOWN_IDS:
-        ids = [row["doc_id"] for row in candidates.select("doc_id").distinct().collect()]
-        texts = texts.filter(F.col("doc_id").isin(ids))
-    wanted = candidates.select("doc_id").distinct()
-    found = texts.join(F.broadcast(wanted) if size <= limit else wanted, "doc_id", "left_semi")
+        found = texts.filter(F.col("doc_id").isin([row["doc_id"] for row in wanted.collect()]))
+    else:
+        found = union_all([texts.join(F.broadcast(part), "doc_id", "left_semi")
+                           for part in split(wanted, ["doc_id"], size, limit)])
     return (candidates.join(found, "doc_id", "left")
             .withColumn("full_text", F.coalesce("full_text", F.lit(""))))
 
@@ -98,10 +100,10 @@ def rerank_cosine(candidates: DataFrame, query_vectors: DataFrame, document_vect
     vector without direction scores 0, as the product with a zero vector does.
     """
     _checked(top_n)
+    stored = document_vectors.select("doc_id", F.col("embedding").alias("_d"))
     _, size = measured(candidates)
-    small = F.broadcast(candidates) if size <= limit else candidates
-    pairs = (document_vectors.select("doc_id", F.col("embedding").alias("_d"))
-             .join(small, "doc_id")
+    pairs = (union_all([stored.join(F.broadcast(part), "doc_id")
+                        for part in split(candidates, ["query_id", "doc_id"], size, limit)])
              .join(query_vectors.select("query_id", F.col("embedding").alias("_q")), "query_id"))
     score = F.coalesce(cosine(F.col("_q"), F.col("_d")), F.lit(0.0))
     scored = pairs.withColumn("score", scoring.rounded(score, scoring.VECTOR_DIGITS))

@@ -6,7 +6,7 @@ product, and a task sends on at most `k` rows per query. The final cut is a Spar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import scoring
 from ..functions.vectors import norm
-from ..session import BROADCAST_BYTES, chunks, measured, union_all
+from ..session import BROADCAST_BYTES, chunks, materialize, scan_tasks, union_all
 from .topk import by_score, top_k
 
 # Scores held at once by a task: this many doubles.
@@ -150,9 +150,21 @@ def vector_topk(documents: DataFrame, queries: DataFrame, top_k_: int = 10,
     if top_k_ <= 0:
         raise ValueError("top_k must be positive")
     docs = present(documents)
-    found = [_scan(docs, part, top_k_) for part in
-             chunks(usable(queries).select("query_id", "embedding"), "query_id", limit)]
-    return top_k(union_all(found), ["query_id"], by_score(), top_k_)
+    return _in_parts(queries, limit, lambda part: top_k(
+        _scan(docs, part, top_k_), ["query_id"], by_score(), top_k_, pieces=scan_tasks(docs)))
+
+
+def _in_parts(queries: DataFrame, limit: int,
+              search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Search for parts of the queries that fit the limit.
+
+    With several parts each result is written down before the next part is taken up, so the driver
+    holds the vectors of one part only.
+    """
+    parts = chunks(usable(queries).select("query_id", "embedding"), "query_id", limit)
+    if len(parts) == 1:
+        return search(parts[0])
+    return union_all([materialize(search(part)) for part in parts])
 
 
 # ---- approximate search over cells -------------------------------------------------------
@@ -201,10 +213,10 @@ def assign_cells(documents: DataFrame, centers: np.ndarray) -> DataFrame:
 def write_cells(assigned: DataFrame, path: str) -> DataFrame:
     """Write the cells as partitions, so that a search reads only the cells it probes.
 
-    A cell may hold a third of all vectors: its rows are not gathered, each task writes its own
-    file into the cell's folder.
+    Rows are brought together by cell in tasks of about equal size: small cells share a task, and a
+    cell that holds a third of all vectors is written by many.
     """
-    assigned.write.mode("overwrite").partitionBy("cell").parquet(path)
+    assigned.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
     return assigned.sparkSession.read.parquet(path)
 
 
@@ -223,18 +235,17 @@ def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k_
     id_type = to_arrow_type(schema["doc_id"].dataType)
     query_type = to_arrow_type(schema["query_id"].dataType)
     digits = scoring.VECTOR_DIGITS
-    found = []
-    for part in chunks(usable(queries).select("query_id", "embedding"), "query_id", limit):
+
+    def search(part: DataFrame) -> DataFrame:
         query_ids, matrix = _packed(part)
         if not query_ids:
-            found.append(spark.createDataFrame([], schema))
-            continue
+            return spark.createDataFrame([], T.StructType(
+                [*schema.fields, T.StructField("rank", T.IntegerType())]))
         nearest = np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :nprobe]
         asking = {int(c): np.nonzero((nearest == c).any(axis=1))[0] for c in np.unique(nearest)}
         shared = spark.sparkContext.broadcast((matrix, asking))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared,
-                query_ids=query_ids) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit, wanted = shared.value
             best = _Best(len(unit), top_k_)
             for batch in batches:
@@ -252,5 +263,7 @@ def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k_
             yield from _emit(best, query_ids, id_type, query_type)
 
         probed = cells.filter(F.col("cell").isin(list(asking)))
-        found.append(probed.select("doc_id", "embedding", "cell").mapInArrow(run, schema))
-    return top_k(union_all(found), ["query_id"], by_score(), top_k_)
+        found = probed.select("doc_id", "embedding", "cell").mapInArrow(run, schema)
+        return top_k(found, ["query_id"], by_score(), top_k_, pieces=scan_tasks(probed))
+
+    return _in_parts(queries, limit, search)

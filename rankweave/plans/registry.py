@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import html, scoring, vectors
 from ..functions.text import ascii_words, query_instruction, words
 from ..operators import bm25, embed, evaluate, fusion, legacy, lexical, rerank, vector
-from ..session import materialize, scratch_dir, spread
+from ..session import lookup_join, materialize, scratch_dir, spread
 from ..sources import corpus, index
 from ..streaming import ingest
 from . import embedding_jobs, evaluation, hybrid
@@ -30,6 +30,7 @@ SWEEP = [(0.8, 0.3), (1.2, 0.75), (2.0, 0.9)]
 REFUSED = "ê"
 
 _built: dict[tuple[str, str], index.LexicalIndex] = {}
+_embedded: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,14 @@ def built_index(spark: SparkSession, sf_dir: str) -> index.LexicalIndex:
     return _built[key]
 
 
+def built_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(doc_id, embedding)` of the corpus, embedded and written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _embedded:
+        _embedded[key] = materialize(text_vectors(built_index(spark, sf_dir).document), "vectors")
+    return _embedded[key]
+
+
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(query_id, doc_id, relevance)` with grades 0 to 2.
 
@@ -62,13 +71,13 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     idx, qs = built_index(spark, sf_dir), queries(spark, sf_dir)
     tokens = words(F.col("text"))
-    inner = qs.select("query_id", F.explode(F.slice(tokens, F.lit(2), F.size(tokens) - 2))
-                      .alias("token"))
+    size = F.greatest(F.size(tokens) - 2, F.lit(0))
+    inner = qs.select("query_id", F.explode(F.slice(tokens, F.lit(2), size)).alias("token"))
     rarest = (inner.join(idx.token, "token").groupBy("query_id")
               .agg(F.min_by("token_id", F.struct("doc_freq", "token")).alias("token_id")))
-    candidates = (idx.term_doc_stats.join(F.broadcast(rarest), "token_id")
-                  .select("query_id", "doc_id").join(F.broadcast(qs), "query_id"))
-    pairs = (idx.document.select("doc_id", "full_text").join(candidates, "doc_id")
+    candidates = materialize(lookup_join(idx.term_doc_stats, rarest, "token_id")
+                             .select("query_id", "doc_id"))
+    pairs = (rerank.fetch_documents(candidates, idx.document).join(qs, "query_id")
              .filter(F.contains("full_text", "text")).select("query_id", "doc_id"))
     grade = (F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1))
     return (pairs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
@@ -141,8 +150,8 @@ def lexical_retriever(spark: SparkSession, sf_dir: str, depth: int = POOL) -> hy
 
 def nearest_retriever(spark: SparkSession, sf_dir: str, depth: int = POOL) -> hybrid.Retriever:
     document = built_index(spark, sf_dir).document
-    return hybrid.vector_retriever(text_vectors(document), embed.hashing_embedder(DIMS), document,
-                                   depth, DIMS)
+    return hybrid.vector_retriever(built_vectors(spark, sf_dir), embed.hashing_embedder(DIMS),
+                                   document, depth, DIMS)
 
 
 def cosine_ranker(spark: SparkSession, sf_dir: str, top_n: int | None) -> hybrid.Ranker:

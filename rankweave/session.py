@@ -60,13 +60,32 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a frame's size; for plain scans the size of the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _partition_bytes(spark: SparkSession) -> int:
+    value = spark.conf.get("spark.sql.files.maxPartitionBytes").lower()
+    units = {"kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    for unit, factor in units.items():
+        if value.endswith(unit):
+            return int(value[:-len(unit)]) * factor
+    return int(value.rstrip("b"))
+
+
+def scan_tasks(df: DataFrame) -> int:
+    """About how many tasks read a frame that is a plain scan."""
+    return 1 + estimated_bytes(df) // _partition_bytes(df.sparkSession)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core a share of an input that comes in too few pieces, such as one small file.
 
-    An input with more pieces than cores is left as it is: large inputs are never moved.
+    An input large enough to be read by more tasks than there are cores is never moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if scan_tasks(df) > cores else df.repartition(cores, key)
 
 
 def measured(df: DataFrame) -> tuple[int, int]:
@@ -86,8 +105,9 @@ def measured(df: DataFrame) -> tuple[int, int]:
     return row["n"], row["b"]
 
 
-def split(df: DataFrame, key: str, size: int, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
-    """Split `df`, measured at `size` bytes, by hash of `key` into parts below the limit.
+def split(df: DataFrame, keys: list[str], size: int,
+          limit: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """Split `df`, measured at `size` bytes, by hash of `keys` into parts below the limit.
 
     The caller runs its plan once per part and unions the results, so nothing is dropped however
     large the frame is.
@@ -96,12 +116,12 @@ def split(df: DataFrame, key: str, size: int, limit: int = BROADCAST_BYTES) -> l
         return [df]
     # Twice the parts needed, so that uneven hashing stays below the limit.
     n = 2 * -(-size // limit)
-    return [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+    return [df.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) == i) for i in range(n)]
 
 
 def chunks(df: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
     """Measure and `split`."""
-    return split(df, key, measured(df)[1], limit)
+    return split(df, [key], measured(df)[1], limit)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

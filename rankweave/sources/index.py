@@ -39,6 +39,8 @@ class LexicalIndex:
     corpus_stats: DataFrame
     analyzer: Analyzer = words
     lexicon: DataFrame | None = None
+    # Number of buckets the postings lie in.
+    buckets: int = 1
 
 
 def build_index(documents: DataFrame, analyzer: Analyzer = words,
@@ -164,6 +166,7 @@ def open_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
         corpus_stats=spark.read.parquet(f"{path}/corpus_stats"),
         analyzer=analyzer,
         lexicon=lexicon,
+        buckets=buckets,
     )
 
 

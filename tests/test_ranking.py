@@ -91,7 +91,7 @@ def test_fetch_documents_beyond_the_broadcast_limit(spark):
     data = [(q, 7, "t", 1.0, 1) for q in range(100)] + [(q, q % 60, "t", .5, 2) for q in range(100)]
     candidates = spark.createDataFrame(data, RANKING)
     small = rerank.fetch_documents(candidates, docs)
-    large = rerank.fetch_documents(candidates, docs, limit=0)
+    large = rerank.fetch_documents(candidates, docs, limit=500)
     assert sorted(rows(small, "query_id", "rank", "full_text")) == sorted(
         rows(large, "query_id", "rank", "full_text"))
     assert small.filter("full_text = ''").count() == sum(q % 60 >= 50 for q in range(100))
@@ -104,6 +104,8 @@ def test_rerank_cosine(spark):
     candidates = ranking(spark, [0, 1, 2, 3])
     assert order(rerank.rerank_cosine(candidates, query, vectors, 2)) == [(2, 1.0), (1, 0.5 ** 0.5)]
     assert order(rerank.rerank_cosine(candidates, query, vectors))[2:] == [(3, 0.0), (0, -1.0)]
+    parts = rerank.rerank_cosine(candidates, query, vectors, limit=100)
+    assert order(parts) == order(rerank.rerank_cosine(candidates, query, vectors))
 
 
 def test_rerank_yes_probability(spark):

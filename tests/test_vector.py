@@ -104,3 +104,30 @@ def test_label_means_of_a_hot_label(spark, tmp_path):
         expected = np.mean([np.float32(v) for _, v, l in data if l == label], axis=0)
         assert found[label] == pytest.approx(expected.tolist(), abs=1e-6)
     assert F is not None
+
+
+@pytest.mark.parametrize("k,pieces", [(3, 1), (3, 10 ** 6), (1500, 1)])
+def test_top_k_in_one_or_two_steps(spark, k, pieces):
+    from rankweave.operators.topk import by_score, top_k
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), F.col("id").alias("doc_id"),
+                                  (F.col("id") % 7).cast("double").alias("score"))
+    found = top_k(df, ["g"], by_score(), k, pieces=pieces)
+    for g in (0, 1):
+        expected = sorted(range(g, 4000, 2), key=lambda i: (-(i % 7), i))[:k]
+        picked = rows(found.filter(F.col("g") == g).orderBy("rank"), "doc_id", "rank")
+        assert picked == [(d, n) for n, d in enumerate(expected, 1)]
+
+
+def test_hot_cell_is_written_by_several_tasks(spark, tmp_path):
+    data = spark.range(6000).select(
+        F.col("id").alias("doc_id"),
+        F.array(*[F.rand(3).cast("float") for _ in range(64)]).alias("embedding"),
+        F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 5).cast("int").alias("cell"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+    try:
+        cells = vector.write_cells(data, str(tmp_path / "cells"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = cells.select("cell", F.input_file_name().alias("f")).distinct().groupBy("cell").count()
+    counts = dict(rows(files))
+    assert cells.count() == 6000 and counts[1] > 1 and counts[2] == 1
