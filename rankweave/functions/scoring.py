@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # Sums of doubles depend on the order of the terms; ranks are taken on scores rounded to this
@@ -13,8 +14,15 @@ METRIC_DIGITS = 9
 
 
 def rounded(score: Column, digits: int) -> Column:
+    """Round halves away from zero, as SQL does, without a detour over decimals."""
+    scale = F.lit(float(10 ** digits))
+    return F.signum(score) * F.floor(F.abs(score) * scale + F.lit(0.5)) / scale
+
+
+def rounded_array(scores: np.ndarray, digits: int) -> np.ndarray:
+    """The same for the scores of an Arrow batch."""
     scale = float(10 ** digits)
-    return F.rint(score * F.lit(scale)) / F.lit(scale)
+    return np.sign(scores) * np.floor(np.abs(scores) * scale + 0.5) / scale
 
 
 def idf(total_docs: Column, doc_freq: Column) -> Column:

@@ -132,7 +132,7 @@ def _scan(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             batch, vectors = _directed(batch, unit.shape[1])
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(ids), step):
-                scores = np.round(vectors[at:at + step] @ unit.T, digits)
+                scores = scoring.rounded_array(vectors[at:at + step] @ unit.T, digits)
                 best.add(scores, ids[at:at + step])
         yield from _emit(best, query_ids, id_type, query_type)
 
@@ -258,7 +258,7 @@ def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k_
                     step = max(1, BLOCK_SCORES // len(which))
                     for at in range(0, len(rows), step):
                         block = rows[at:at + step]
-                        scores = np.round(vectors[block] @ unit[which].T, digits)
+                        scores = scoring.rounded_array(vectors[block] @ unit[which].T, digits)
                         best.add(scores, ids[block], which)
             yield from _emit(best, query_ids, id_type, query_type)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .registry import POOL, QUERY, REFUSED, RERANK_DIMS, SWEEP, DIMS
+from ..functions.text import QUERY_TASK
+from .registry import DIMS, POOL, QUERY, REFUSED, RERANK_DIMS, SWEEP
 
 WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
 ASCII = r"regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
@@ -76,8 +77,7 @@ def hashed(name: str, source: str, key: str, column: str, dims: int) -> list[str
 
 def instructed(name: str, dims: int) -> list[str]:
     source = f"""{name}_text AS (
-  SELECT query_id, 'Instruct: Given a search query, retrieve relevant documents that answer the query'
-         || chr(10) || 'Query: ' || text AS text FROM q)"""
+  SELECT query_id, 'Instruct: {QUERY_TASK}' || chr(10) || 'Query: ' || text AS text FROM q)"""
     return [source, *hashed(name, f"{name}_text", "query_id", "text", dims)]
 
 
@@ -124,7 +124,7 @@ def reranked(name: str, source: str, score: str, k: int, joins: str = "") -> str
 
 OVERLAP = (f"round(len(list_intersect(list_distinct({words('q.text')}), d.tokens))::DOUBLE"
            f" / greatest(len(list_distinct({words('q.text')})), 1), 6)")
-PROMPT = ("'<Instruct>: Given a search query, retrieve relevant documents that answer the query'"
+PROMPT = (f"'<Instruct>: {QUERY_TASK}'"
           " || chr(10) || '<Query>: ' || q.text || chr(10) || '<Document>: ' || d.full_text")
 YES = f"round(1e0 / (1e0 + exp(0e0 - ((length({PROMPT}) % 101) / 50e0 - 1e0))), 6)"
 TITLED = "SELECT r.query_id, r.doc_id, d.title AS doc_title, r.score, r.rank FROM {} r JOIN docs d USING (doc_id)"
@@ -349,9 +349,8 @@ WHERE rank = 1"""),
 SELECT * FROM (
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank
   FROM near) WHERE rank <= {POOL}"""),
-        "query_instruction": """
-SELECT item_id AS query_id, 'Instruct: Given a search query, retrieve relevant documents that answer '
-       || 'the query' || chr(10) || 'Query: ' || text AS text FROM benchmark WHERE text <> ''""",
+        "query_instruction": f"""
+SELECT item_id AS query_id, 'Instruct: {QUERY_TASK}' || chr(10) || 'Query: ' || text AS text FROM benchmark WHERE text <> ''""",
         "rrf": with_([*SEARCH, *bm25("a", POOL), *bm25("b", POOL, "0.8e0", "0.3e0"),
                       *fused("rrf", ["a", "b"])], TITLED.format("rrf")),
         "hybrid_search": with_([*SEARCH, *bm25("best", 10), *nearest("near", 10),

@@ -10,7 +10,7 @@ from rankweave.functions.text import ascii_words
 from rankweave.operators import bm25, legacy
 from rankweave.sources import index
 
-# The smoke corpus and the urls its queries are expected to find first.
+# The smoke corpus and the urls its queries are expected to find first.
 SMOKE = {
     "python-bm25-exact": "python bm25 retrieval ranking search guide",
     "python-retrieval-heavy": "python retrieval retrieval retrieval retrieval bm25 search system "
@@ -31,6 +31,7 @@ EXPECTED = {
     "italian pasta basil": ["italian-pasta"],
     "bm25 length normalization": ["bm25-length-normalization"],
 }
+# The tutorial corpus.
 TUTORIAL = {
     1: "Python programming for data science and machine learning.",
     2: "A practical guide to cooking Italian pasta with tomato and basil.",

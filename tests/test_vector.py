@@ -121,7 +121,7 @@ def test_top_k_in_one_or_two_steps(spark, k, pieces):
 def test_hot_cell_is_written_by_several_tasks(spark, tmp_path):
     data = spark.range(6000).select(
         F.col("id").alias("doc_id"),
-        F.array(*[F.rand(3).cast("float") for _ in range(64)]).alias("embedding"),
+        F.array(*[F.rand(seed).cast("float") for seed in range(64)]).alias("embedding"),
         F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 5).cast("int").alias("cell"))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
     try:
