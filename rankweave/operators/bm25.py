@@ -16,6 +16,9 @@ from .topk import by_score, top_k
 # Up to this many terms are handed to the Parquet reader as a list it can skip row groups with.
 PUSHDOWN_TERMS = 10
 
+# Four columns and the overhead of a row; ids that are strings stay below this too.
+RANKING_ROW_BYTES = 128
+
 
 def query_terms(queries: DataFrame, analyzer: Analyzer, mode: str = "set",
                 lexicon: DataFrame | None = None) -> DataFrame:
@@ -37,8 +40,10 @@ def weighted_terms(index: LexicalIndex, terms: DataFrame,
     and is off by default.
     """
     total = index.corpus_stats.select("total_docs").scalar()
-    # The terms are the small side: the caller measured them.
-    known = index.token.join(F.broadcast(terms), "token")
+    # The terms are the small side: the caller measured them. The semi-join goes below the sums of
+    # a streamed index, which are then taken for the words of the queries only.
+    known = (index.token.join(F.broadcast(terms.select("token")), "token", "left_semi")
+             .join(F.broadcast(terms), "token"))
     if max_df_ratio is not None:
         known = known.filter(F.col("doc_freq") <= F.lit(float(max_df_ratio)) * total)
     return known.select("query_id", "token", "token_id", "weight",
@@ -183,14 +188,15 @@ def bm25_sweep(index: LexicalIndex, queries: DataFrame, params: list[tuple[float
     return union_all(results)
 
 
-def attach_titles(ranking: DataFrame, document: DataFrame,
+def attach_titles(ranking: DataFrame, document: DataFrame, rows: int | None = None,
                   limit: int = BROADCAST_BYTES) -> DataFrame:
     """Add `doc_title`. Titles are read after the cut to the top k, for ranked documents only.
 
-    The ranking is read twice: give one that is written down.
+    `rows` is the most rows the ranking can have, queries times `k`. Without it the ranking is
+    measured, and should be one that is written down.
     """
     titles = document.select("doc_id", F.col("title").alias("doc_title"))
-    _, size = measured(ranking)
+    size = measured(ranking)[1] if rows is None else rows * RANKING_ROW_BYTES
     small = F.broadcast(ranking) if size <= limit else ranking
     return titles.join(small, "doc_id").select(
         "query_id", "doc_id", "doc_title", "score", "rank")

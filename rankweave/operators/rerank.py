@@ -75,16 +75,19 @@ def _ranked(scored: DataFrame, top_k_: int | None) -> DataFrame:
 
 def rerank(queries: DataFrame, candidates: DataFrame, document: DataFrame,
            scorer: ColumnScorer, top_k_: int | None = 20,
-           digits: int | None = scoring.VECTOR_DIGITS,
+           digits: int | None = scoring.VECTOR_DIGITS, tasks: int | None = None,
            limit: int = BROADCAST_BYTES) -> DataFrame:
     """Score every (query, candidate text) pair and keep the best.
 
     `scorer` is an expression or `model_column(model)`. A missing score is an error. No candidates
-    give no rows.
+    give no rows. Spark sizes tasks by bytes; for a slow model set `tasks`, and the pairs are
+    dealt out evenly over so many.
     """
     _checked(top_k_)
     pairs = fetch_documents(candidates, document, limit).join(
         queries.select("query_id", "text"), "query_id")
+    if tasks is not None:
+        pairs = pairs.repartition(tasks, "query_id", "doc_id")
     score = scorer(F.col("text"), F.col("full_text"))
     score = F.coalesce(score, F.raise_error(F.lit("a candidate got no score")).cast("double"))
     if digits is not None:

@@ -34,11 +34,11 @@ def present(vectors: DataFrame) -> DataFrame:
 
 
 def _directed(batch: pa.RecordBatch, dims: int) -> tuple[pa.RecordBatch, np.ndarray]:
-    """Rows of a batch whose vector is not zero, and their unit vectors (column 1)."""
+    """Rows of a batch whose vector (column 1) has a direction, and their unit vectors."""
     matrix = _matrix(batch.column(1), dims)
     lengths = np.sqrt((matrix * matrix).sum(axis=1))
-    if not lengths.all():
-        good = lengths > 0
+    good = np.isfinite(lengths) & (lengths > 0)
+    if not good.all():
         batch, matrix, lengths = batch.filter(pa.array(good)), matrix[good], lengths[good]
     return batch, matrix / lengths[:, None]
 
@@ -57,31 +57,49 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The best `k` documents of each query so far: highest score, then lowest id."""
+    """The best `k` documents of each query so far: highest score, then lowest id.
+
+    Scores below a query's floor are dropped at once. What passes is collected, and sorted in when
+    it has become as much as the rows kept, so the sorting is shared by many blocks.
+    """
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
         self.floor = np.full(n_queries, -np.inf)
-        self.rows = None
+        self.kept = []
+        self.new = []
+        self.n_new = 0
 
     def add(self, scores: np.ndarray, ids: np.ndarray, which: np.ndarray | None = None) -> None:
         """`scores` is (documents, queries); `which` gives the query number of each column."""
         n = scores.shape[0]
-        floor = self.floor if which is None else self.floor[which]
+        which = np.arange(scores.shape[1]) if which is None else which
         if n > self.k:
-            # Ties with the k-th best score of the block stay in.
-            floor = np.maximum(floor, np.partition(scores, n - self.k, axis=0)[n - self.k])
-        doc, query = np.nonzero(scores >= floor)
-        found = (query if which is None else which[query], scores[doc, query], ids[doc])
-        if self.rows is not None:
-            found = tuple(np.concatenate(pair) for pair in zip(self.rows, found))
-        order = np.lexsort((found[2], -found[1], found[0]))
-        query, score, ids = (column[order] for column in found)
-        first = np.searchsorted(query, query, side="left")
-        keep = np.arange(len(query)) - first < self.k
-        self.rows = (query[keep], score[keep], ids[keep])
-        last = np.arange(len(query)) - first == self.k - 1
+            # The block alone has k documents at least this good. Ties with the k-th stay in.
+            kth = np.partition(scores, n - self.k, axis=0)[n - self.k]
+            self.floor[which] = np.maximum(self.floor[which], kth)
+        doc, query = np.nonzero(scores >= self.floor[which])
+        self.new.append((which[query], scores[doc, query], ids[doc]))
+        self.n_new += len(doc)
+        if self.n_new > max(BLOCK_SCORES // 8, len(self.kept[0]) if self.kept else 0):
+            self._merge()
+
+    def _merge(self) -> None:
+        parts = ([self.kept] if self.kept else []) + self.new
+        query, score, ids = (np.concatenate(columns) for columns in zip(*parts))
+        order = np.lexsort((ids, -score, query))
+        query, score, ids = query[order], score[order], ids[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+        keep = place < self.k
+        self.kept = [query[keep], score[keep], ids[keep]]
+        last = place == self.k - 1
         self.floor[query[last]] = score[last]
+        self.new, self.n_new = [], 0
+
+    def rows(self) -> list[np.ndarray]:
+        if self.new:
+            self._merge()
+        return self.kept
 
 
 def _packed(queries: DataFrame) -> tuple[list, np.ndarray]:
@@ -104,9 +122,10 @@ def _schema(queries: DataFrame, documents: DataFrame) -> T.StructType:
 
 def _emit(best: _Best, query_ids: list, id_type: pa.DataType,
           query_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    if best.rows is None:
+    rows = best.rows()
+    if not rows:
         return
-    query, score, ids = best.rows
+    query, score, ids = rows
     yield pa.RecordBatch.from_arrays(
         [pa.array(query_ids, query_type).take(pa.array(query)),
          pa.array(ids, id_type), pa.array(score)],

@@ -250,6 +250,10 @@ FROM (SELECT doc_id AS vec_id, place, value,
 def all_sql() -> dict[str, str]:
     embedded = with_([DOCS, *hashed("dv", "docs", "doc_id", "full_text", DIMS)],
                      "SELECT doc_id, place, round(value, 9) AS value FROM dv")
+    exact_neighbours = with_([LABEL_MEANS, FLAT, cosines("near", "flat", "means")], f"""
+SELECT * FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank
+  FROM near) WHERE rank <= {POOL}""")
     rules = [("len >= 0", "document"), ("full_text not null", "document"),
              ("doc_id unique", "document"), ("token unique", "token"),
              ("token_id unique", "token"), ("doc_freq >= 0", "token"),
@@ -345,10 +349,8 @@ SELECT * FROM (
         FROM post JOIN terms USING (token) JOIN df USING (token) CROSS JOIN stats CROSS JOIN grid
         GROUP BY 1, 2, 3, 4))
 WHERE rank = 1"""),
-        "vector_topk": with_([LABEL_MEANS, FLAT, cosines("near", "flat", "means")], f"""
-SELECT * FROM (
-  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank
-  FROM near) WHERE rank <= {POOL}"""),
+        "vector_topk": exact_neighbours,
+        "vector_ann_all_cells": exact_neighbours,
         "query_instruction": f"""
 SELECT item_id AS query_id, 'Instruct: {QUERY_TASK}' || chr(10) || 'Query: ' || text AS text FROM benchmark WHERE text <> ''""",
         "rrf": with_([*SEARCH, *bm25("a", POOL), *bm25("b", POOL, "0.8e0", "0.3e0"),

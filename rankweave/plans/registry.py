@@ -25,6 +25,7 @@ from . import embedding_jobs, evaluation, hybrid
 DIMS = 64
 RERANK_DIMS = 32
 POOL = 100
+CELLS = 16
 QUERY = "the worthless inesea with hested onstble of the"
 SWEEP = [(0.8, 0.3), (1.2, 0.75), (2.0, 0.9)]
 REFUSED = "ê"
@@ -304,7 +305,7 @@ def q_idf_table(spark, d):
 def q_bm25_topk(spark, d):
     query = spark.createDataFrame([(0, QUERY)], "query_id long, text string")
     idx = built_index(spark, d)
-    return bm25.attach_titles(materialize(bm25.bm25_topk(idx, query)), idx.document)
+    return bm25.attach_titles(bm25.bm25_topk(idx, query), idx.document, rows=10)
 
 
 def q_bm25_batch(spark, d):
@@ -328,11 +329,20 @@ def q_vector_topk(spark, d):
     return vector.vector_topk(numbered_vectors(spark, d), label_means(spark, d), POOL)
 
 
-def q_vector_ann(spark, d):
+def searched_cells(spark, d, k, nprobe):
     docs = numbered_vectors(spark, d)
-    centers = vector.train_cells(docs, 16)
+    centers = vector.train_cells(docs, CELLS)
     cells = vector.write_cells(vector.assign_cells(docs, centers), scratch_dir(spark, "cells"))
-    return vector.vector_ann(cells, centers, label_means(spark, d), 10, nprobe=4)
+    return vector.vector_ann(cells, centers, label_means(spark, d), k, nprobe)
+
+
+def q_vector_ann(spark, d):
+    return searched_cells(spark, d, 10, 4)
+
+
+def q_vector_ann_all_cells(spark, d):
+    """With every cell probed the approximate search is exact."""
+    return searched_cells(spark, d, POOL, CELLS)
 
 
 def q_query_instruction(spark, d):
@@ -340,9 +350,8 @@ def q_query_instruction(spark, d):
 
 
 def q_rrf(spark, d):
-    title = built_index(spark, d).document
-    lists = [bm25.attach_titles(materialize(bm25_run(spark, d, k1=k1, b=b)), title)
-             for k1, b in ((1.5, 0.75), (0.8, 0.3))]
+    idx, qs = built_index(spark, d), queries(spark, d)
+    lists = [hybrid.bm25_retriever(idx, k1, b, POOL)(qs) for k1, b in ((1.5, 0.75), (0.8, 0.3))]
     return fusion.reciprocal_rank_fusion(lists)
 
 

@@ -26,8 +26,9 @@ from ..functions.text import Analyzer, words
 from ..operators import lexical
 from ..session import path_exists, spread
 
-# Bucket size: postings of this many token occurrences take up to about 1 GB.
-TOKENS_PER_BUCKET = 50_000_000
+# Bucket size: the postings of this many token occurrences take a few GB. Smaller buckets would
+# make the one shuffle of the build too fine-grained for a very large corpus.
+TOKENS_PER_BUCKET = 500_000_000
 
 
 @dataclass(frozen=True)
@@ -104,8 +105,7 @@ def derive_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
     lexical.corpus_stats(forward).write.mode("overwrite").parquet(f"{path}/corpus_stats")
     if buckets is None:
         total = spark.read.parquet(f"{path}/corpus_stats").first()["total_len"] or 0
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                      -(-total // TOKENS_PER_BUCKET))
+        buckets = max(spark.sparkContext.defaultParallelism, -(-total // TOKENS_PER_BUCKET))
 
     # Without a lexicon this is a map step, followed by the one shuffle of the postings.
     postings = lexical.term_frequency(forward)

@@ -206,3 +206,7 @@ def test_streaming_query_over_files(spark, tmp_path, as_queries):
     assert rows(top, "url", "rank") == [("u1", 1), ("u7", 2)] or \
         rows(top, "url", "rank") == [("u7", 1), ("u1", 2)]
     assert found.select(F.countDistinct("doc_id")).first()[0] == 2
+    # Document counts are summed for the words of the query only: the join is below the sum.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    after_sum = plan[plan.index("sum(doc_freq"):]
+    assert "LeftSemi" in after_sum

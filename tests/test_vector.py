@@ -28,7 +28,7 @@ def ids(found):
 def test_closest_first(spark):
     root = 0.5 ** 0.5
     docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [root, root]),
-                                  (4, None), (5, [0.0, 0.0])], SCHEMA)
+                                  (4, None), (5, [0.0, 0.0]), (6, [1.0, None])], SCHEMA)
     query = spark.createDataFrame([(9, [1.0, 0.0])], Q_SCHEMA)
     assert rows(vector.vector_topk(docs, query, 2).orderBy("rank")) == [
         (9, 1, 1.0, 1), (9, 3, round(root, 6), 2)]
@@ -48,9 +48,10 @@ def cloud(spark):
 
 
 @pytest.mark.parametrize("k", [1, 25, 2000])
-def test_equals_brute_force(cloud, monkeypatch, k):
+@pytest.mark.parametrize("block", [40, 300, 4_000_000])
+def test_equals_brute_force(cloud, monkeypatch, k, block):
     data, queries, docs, qs = cloud
-    monkeypatch.setattr(vector, "BLOCK_SCORES", 300)
+    monkeypatch.setattr(vector, "BLOCK_SCORES", block)
     expected = brute_force([(i, np.array(d)) for i, d in data], queries, k)
     assert ids(vector.vector_topk(docs, qs, k)) == expected
 
