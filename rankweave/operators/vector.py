@@ -22,6 +22,9 @@ from .topk import by_score, top_k
 # Scores held at once by a task: this many doubles.
 BLOCK_SCORES = 4_000_000
 
+# Rounding moves a score by less than this.
+MARGIN = 10.0 ** -scoring.VECTOR_DIGITS
+
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """Rows with a vector that has a direction: not null, not empty, not zero."""
@@ -56,6 +59,10 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
 
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    return scoring.rounded_array(scores, scoring.VECTOR_DIGITS)
+
+
 class _Best:
     """The best `k` documents of each query so far: highest score, then lowest id.
 
@@ -74,13 +81,16 @@ class _Best:
         """`scores` is (documents, queries); `which` gives the query number of each column."""
         n = scores.shape[0]
         which = np.arange(scores.shape[1]) if which is None else which
-        if n > self.k:
+        if n > self.k and np.isneginf(self.floor[which]).any():
             # The block alone has k documents at least this good. Ties with the k-th stay in.
             kth = np.partition(scores, n - self.k, axis=0)[n - self.k]
-            self.floor[which] = np.maximum(self.floor[which], kth)
-        doc, query = np.nonzero(scores >= self.floor[which])
-        self.new.append((which[query], scores[doc, query], ids[doc]))
-        self.n_new += len(doc)
+            self.floor[which] = np.maximum(self.floor[which], _rounded(kth))
+        # Only scores that could reach the floor after rounding are rounded.
+        doc, query = np.nonzero(scores >= self.floor[which] - MARGIN)
+        score, query = _rounded(scores[doc, query]), which[query]
+        good = score >= self.floor[query]
+        self.new.append((query[good], score[good], ids[doc[good]]))
+        self.n_new += int(good.sum())
         if self.n_new > max(BLOCK_SCORES // 8, len(self.kept[0]) if self.kept else 0):
             self._merge()
 
@@ -139,7 +149,6 @@ def _scan(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     id_type = to_arrow_type(schema["doc_id"].dataType)
     query_type = to_arrow_type(schema["query_id"].dataType)
     shared = documents.sparkSession.sparkContext.broadcast(matrix)
-    digits = scoring.VECTOR_DIGITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = shared.value
@@ -151,8 +160,7 @@ def _scan(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             batch, vectors = _directed(batch, unit.shape[1])
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(ids), step):
-                scores = scoring.rounded_array(vectors[at:at + step] @ unit.T, digits)
-                best.add(scores, ids[at:at + step])
+                best.add(vectors[at:at + step] @ unit.T, ids[at:at + step])
         yield from _emit(best, query_ids, id_type, query_type)
 
     return documents.select("doc_id", "embedding").mapInArrow(run, schema)
@@ -253,7 +261,6 @@ def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k_
     schema = _schema(queries, cells)
     id_type = to_arrow_type(schema["doc_id"].dataType)
     query_type = to_arrow_type(schema["query_id"].dataType)
-    digits = scoring.VECTOR_DIGITS
 
     def search(part: DataFrame) -> DataFrame:
         query_ids, matrix = _packed(part)
@@ -277,8 +284,7 @@ def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k_
                     step = max(1, BLOCK_SCORES // len(which))
                     for at in range(0, len(rows), step):
                         block = rows[at:at + step]
-                        scores = scoring.rounded_array(vectors[block] @ unit[which].T, digits)
-                        best.add(scores, ids[block], which)
+                        best.add(vectors[block] @ unit[which].T, ids[block], which)
             yield from _emit(best, query_ids, id_type, query_type)
 
         probed = cells.filter(F.col("cell").isin(list(asking)))
