@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scoring
 from ..functions.text import Analyzer
-from ..session import BROADCAST_BYTES, materialize, measured, split, union_all
+from ..session import (
+    BROADCAST_BYTES, materialize, measured, pushdown_limit, split, union_all,
+)
 from ..sources.index import LexicalIndex
 from .lexical import lemmatize, token_id
 from .topk import by_score, top_k
 
-# Up to this many terms are handed to the Parquet reader as a list it can skip row groups with.
-PUSHDOWN_TERMS = 10
-
 # Four columns and the overhead of a row; ids that are strings stay below this too.
 RANKING_ROW_BYTES = 128
 
@@ -60,7 +59,7 @@ def match_postings(index: LexicalIndex, terms: DataFrame) -> DataFrame:
 
 
 def _narrowed(index: LexicalIndex, terms: DataFrame) -> LexicalIndex:
-    """For a handful of terms, let the Parquet reader skip the row groups without them."""
+    """For few terms, let the Parquet reader skip the row groups without them."""
     few = terms.select("token", token_id(F.col("token")).alias("token_id")).distinct().collect()
     return replace(
         index,
@@ -74,7 +73,7 @@ def _term_chunks(index: LexicalIndex, queries: DataFrame, mode: str, limit: int,
     """Weighted terms in parts of whole queries, each small enough to be broadcast."""
     terms = query_terms(queries, index.analyzer, mode, index.lexicon)
     rows, size = measured(terms)
-    if rows <= PUSHDOWN_TERMS:
+    if rows <= pushdown_limit(queries.sparkSession):
         index = _narrowed(index, terms)
     # A joined term carries two numbers more than the measured one.
     return [(index, weighted_terms(index, part, max_df_ratio))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scoring
 from ..functions.text import QUERY_TASK
 from ..functions.vectors import cosine
-from ..session import BROADCAST_BYTES, measured, split, union_all
+from ..session import BROADCAST_BYTES, measured, pushdown_limit, split, union_all
 from .topk import top_k
 
 # A scorer as an expression of (query text, document text) ...
@@ -19,22 +19,20 @@ ColumnScorer = Callable[[Column, Column], Column]
 # ... or as a model: two equally long lists in, one score per pair out.
 ModelScorer = Callable[[list[str], list[str]], "np.ndarray | list[float]"]
 
-# Up to this many ids are handed to the Parquet reader as a list.
-PUSHDOWN_IDS = 10
-
 
 def fetch_documents(candidates: DataFrame, document: DataFrame,
                     limit: int = BROADCAST_BYTES) -> DataFrame:
     """Candidates with `full_text`; a candidate without a document gets an empty text.
 
-    The wanted ids are broadcast, so the text of the corpus is never shuffled: only the texts of
+    Few ids, as of a single query, go to the Parquet reader, which skips the row groups without
+    them. More are broadcast, so the text of the corpus is never shuffled: only the texts of
     candidates leave the scan. Ids beyond the limit are looked up in parts, one scan each. The
     candidates are read more than once: give a ranking that is written down.
     """
     wanted = candidates.select("doc_id").distinct()
     rows, size = measured(wanted)
     texts = document.select("doc_id", "full_text")
-    if rows <= PUSHDOWN_IDS:
+    if rows <= pushdown_limit(document.sparkSession):
         found = texts.filter(F.col("doc_id").isin([row["doc_id"] for row in wanted.collect()]))
     else:
         found = union_all([texts.join(F.broadcast(part), "doc_id", "left_semi")

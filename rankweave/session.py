@@ -19,6 +19,8 @@ def build_session(master: str | None = None, app_name: str = "rankweave",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Lists up to this long are handed to the Parquet reader, which skips row groups by them.
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
@@ -42,6 +44,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/rankweave/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def pushdown_limit(spark: SparkSession) -> int:
+    """Up to how many values of a list reach the Parquet reader as such."""
+    return int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether Spark's file system layer sees `path` (local, HDFS or object store)."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -184,3 +184,17 @@ def test_custom_analyzer(make_index):
     idx = make_index({1: "Été BM25"}, analyzer=ascii_words)
     assert sorted(rows(idx.token, "token")) == [("bm25",), ("t",)]
     assert idx.analyzer is ascii_words and words is not ascii_words
+
+
+def test_scan_skips_row_groups_without_the_wanted_document(spark, make_index):
+    # Even ids only; the odd one lies between the smallest and the largest of every file.
+    idx = make_index({i: f"text {i}" for i in range(0, 400, 2)})
+
+    def read_rows(doc_id):
+        found = idx.document.filter(F.col("doc_id").isin([doc_id, doc_id + 1000]))
+        found.collect()
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return scan.metrics().get("numOutputRows").get().value()
+
+    assert read_rows(100) > 0
+    assert read_rows(101) == 0

@@ -90,8 +90,14 @@ def test_fetch_documents_beyond_the_broadcast_limit(spark):
     # One document is a candidate of most queries.
     data = [(q, 7, "t", 1.0, 1) for q in range(100)] + [(q, q % 60, "t", .5, 2) for q in range(100)]
     candidates = spark.createDataFrame(data, RANKING)
-    small = rerank.fetch_documents(candidates, docs)
-    large = rerank.fetch_documents(candidates, docs, limit=500)
+    few = rerank.fetch_documents(candidates, docs)
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "2")
+    try:
+        small = rerank.fetch_documents(candidates, docs)
+        large = rerank.fetch_documents(candidates, docs, limit=500)
+    finally:
+        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
+    assert sorted(rows(few)) == sorted(rows(small))
     assert sorted(rows(small, "query_id", "rank", "full_text")) == sorted(
         rows(large, "query_id", "rank", "full_text"))
     assert small.filter("full_text = ''").count() == sum(q % 60 >= 50 for q in range(100))
