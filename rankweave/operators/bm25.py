@@ -13,7 +13,7 @@ from ..session import (
 )
 from ..sources.index import LexicalIndex
 from .lexical import lemmatize, token_id
-from .topk import by_score, top_k
+from . import topk
 
 # Four columns and the overhead of a row; ids that are strings stay below this too.
 RANKING_ROW_BYTES = 128
@@ -93,44 +93,44 @@ def bm25_scores(index: LexicalIndex, terms: DataFrame, k1: float, b: float) -> D
 
 
 def bm25_topk(index: LexicalIndex, queries: DataFrame, k1: float | None = None,
-              b: float | None = None, top_k_: int | None = None, mode: str = "set",
+              b: float | None = None, top_k: int | None = None, mode: str = "set",
               max_df_ratio: float | None = None,
               limit: int = BROADCAST_BYTES) -> DataFrame:
     """The best documents per query as `(query_id, doc_id, score, rank)`.
 
     `queries` holds `(query_id, text)`. Queries beyond the broadcast limit are run in parts, with
-    one scan of the postings per part. A `k1`, `b` or `top_k_` of 0 is taken as 0.
+    one scan of the postings per part. A `k1`, `b` or `top_k` of 0 is taken as 0.
     """
     k1 = 1.5 if k1 is None else k1
     b = 0.75 if b is None else b
-    k = 10 if top_k_ is None else top_k_
+    k = 10 if top_k is None else top_k
     return union_all([
-        top_k(bm25_scores(part, terms, k1, b), ["query_id"], by_score(), k,
+        topk.top_k(bm25_scores(part, terms, k1, b), ["query_id"], topk.by_score(), k,
               pieces=index.buckets)
         for part, terms in _term_chunks(index, queries, mode, limit, max_df_ratio)
     ])
 
 
 def bm25_rank_all(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
-                  top_k_: int = 5, limit: int = BROADCAST_BYTES) -> DataFrame:
+                  top_k: int = 5, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Rank all documents, those without any query word with score 0; repeated words count.
 
     Only queries with fewer than `k` matches need such documents. A query then has at most
     `k - 1` matches, so its fillers are among the `2k` smallest document ids: queries times
     documents is never formed.
     """
-    matched = materialize(bm25_topk(index, queries, k1, b, top_k_, mode="bag", limit=limit))
+    matched = materialize(bm25_topk(index, queries, k1, b, top_k, mode="bag", limit=limit))
     short = (queries.select("query_id")
              .join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")),
                    "query_id", "left")
-             .filter(F.coalesce("n", F.lit(0)) < top_k_).select("query_id"))
-    first = (index.document.select("doc_id").orderBy("doc_id").limit(2 * top_k_)
+             .filter(F.coalesce("n", F.lit(0)) < top_k).select("query_id"))
+    first = (index.document.select("doc_id").orderBy("doc_id").limit(2 * top_k)
              .agg(F.collect_list("doc_id").alias("ids")).select("ids").scalar())
     fillers = (short.withColumn("doc_id", F.explode(first))
                .join(matched.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
                .withColumn("score", F.lit(0.0)))
     everything = matched.select("query_id", "doc_id", "score").unionByName(fillers)
-    return top_k(everything, ["query_id"], by_score(), top_k_)
+    return topk.top_k(everything, ["query_id"], topk.by_score(), top_k)
 
 
 def bm25_explain(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, k1: float = 1.5,
@@ -166,7 +166,7 @@ def bm25_explain(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, k1:
 
 
 def bm25_sweep(index: LexicalIndex, queries: DataFrame, params: list[tuple[float, float]],
-               top_k_: int = 1, mode: str = "bag", limit: int = BROADCAST_BYTES) -> DataFrame:
+               top_k: int = 1, mode: str = "bag", limit: int = BROADCAST_BYTES) -> DataFrame:
     """The best documents per query for each `(k1, b)`; the postings are read once for all."""
     if not params:
         raise ValueError("give at least one (k1, b)")
@@ -182,7 +182,7 @@ def bm25_sweep(index: LexicalIndex, queries: DataFrame, params: list[tuple[float
                   .groupBy("k1", "b", "query_id", "doc_id")
                   .agg(F.sum(F.col("weight") * part).alias("score"))
                   .withColumn("score", scoring.rounded(F.col("score"), scoring.BM25_DIGITS)))
-        results.append(top_k(scores, ["k1", "b", "query_id"], by_score(), top_k_,
+        results.append(topk.top_k(scores, ["k1", "b", "query_id"], topk.by_score(), top_k,
                              pieces=index.buckets))
     return union_all(results)
 

@@ -9,7 +9,7 @@ from ..session import BROADCAST_BYTES, chunks, lookup_join, materialize, union_a
 from ..sources.index import LexicalIndex
 from .bm25 import query_terms
 from .lexical import token_id
-from .topk import by_score, top_k
+from . import topk
 
 # Fixed values.
 EPSILON = 1e-5
@@ -87,10 +87,10 @@ def legacy_position(matched: DataFrame) -> DataFrame:
     return legacy_normalize(position_scores(matched), lower_is_better=True)
 
 
-def legacy_rank(matched: DataFrame, top_k_: int | None = None) -> DataFrame:
+def legacy_rank(matched: DataFrame, top_k: int | None = None) -> DataFrame:
     """Weighted mean of both scores; the position score counts once per matched word.
 
-    All matching documents, sorted best first per query by a distributed sort; with `top_k_` the
+    All matching documents, sorted best first per query by a distributed sort; with `top_k` the
     best ones with their rank.
     """
     both = matched.groupBy("query_id", "doc_id").agg(
@@ -107,6 +107,6 @@ def legacy_rank(matched: DataFrame, top_k_: int | None = None) -> DataFrame:
     scored = (lookup_join(both, best, "query_id")
               .select("query_id", "doc_id",
                       scoring.rounded(score, scoring.BM25_DIGITS).alias("score")))
-    if top_k_ is None:
-        return scored.orderBy("query_id", *by_score())
-    return top_k(scored, ["query_id"], by_score(), top_k_)
+    if top_k is None:
+        return scored.orderBy("query_id", *topk.by_score())
+    return topk.top_k(scored, ["query_id"], topk.by_score(), top_k)

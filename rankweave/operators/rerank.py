@@ -12,7 +12,7 @@ from ..functions import scoring
 from ..functions.text import QUERY_TASK
 from ..functions.vectors import cosine
 from ..session import BROADCAST_BYTES, measured, pushdown_limit, split, union_all
-from .topk import top_k
+from . import topk
 
 # A scorer as an expression of (query text, document text) ...
 ColumnScorer = Callable[[Column, Column], Column]
@@ -57,22 +57,22 @@ def model_column(score: ModelScorer) -> ColumnScorer:
     return run
 
 
-def _checked(top_k_: int | None) -> int | None:
-    if top_k_ is not None and top_k_ < 0:
+def _checked(top_k: int | None) -> int | None:
+    if top_k is not None and top_k < 0:
         raise ValueError("top_k must be non-negative")
-    return top_k_
+    return top_k
 
 
-def _ranked(scored: DataFrame, top_k_: int | None) -> DataFrame:
+def _ranked(scored: DataFrame, top_k: int | None) -> DataFrame:
     """Replace the rank; equal scores keep the order of the prior ranking."""
     prior = scored.withColumnRenamed("rank", "_prior")
-    ranked = top_k(prior, ["query_id"], [F.col("score").desc(), F.col("_prior").asc()], top_k_)
+    ranked = topk.top_k(prior, ["query_id"], [F.col("score").desc(), F.col("_prior").asc()], top_k)
     columns = ["query_id", "doc_id", "doc_title", "score", "rank"]
     return ranked.select(*[c for c in columns if c in ranked.columns])
 
 
 def rerank(queries: DataFrame, candidates: DataFrame, document: DataFrame,
-           scorer: ColumnScorer, top_k_: int | None = 20,
+           scorer: ColumnScorer, top_k: int | None = 20,
            digits: int | None = scoring.VECTOR_DIGITS, tasks: int | None = None,
            limit: int = BROADCAST_BYTES) -> DataFrame:
     """Score every (query, candidate text) pair and keep the best.
@@ -81,7 +81,7 @@ def rerank(queries: DataFrame, candidates: DataFrame, document: DataFrame,
     give no rows. Spark sizes tasks by bytes; for a slow model set `tasks`, and the pairs are
     dealt out evenly over so many.
     """
-    _checked(top_k_)
+    _checked(top_k)
     pairs = fetch_documents(candidates, document, limit).join(
         queries.select("query_id", "text"), "query_id")
     if tasks is not None:
@@ -90,7 +90,7 @@ def rerank(queries: DataFrame, candidates: DataFrame, document: DataFrame,
     score = F.coalesce(score, F.raise_error(F.lit("a candidate got no score")).cast("double"))
     if digits is not None:
         score = scoring.rounded(score, digits)
-    return _ranked(pairs.withColumn("score", score).drop("text", "full_text"), top_k_)
+    return _ranked(pairs.withColumn("score", score).drop("text", "full_text"), top_k)
 
 
 def rerank_cosine(candidates: DataFrame, query_vectors: DataFrame, document_vectors: DataFrame,

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import scoring
 from ..functions.vectors import norm
 from ..session import BROADCAST_BYTES, chunks, materialize, scan_tasks, union_all
-from .topk import by_score, top_k
+from . import topk
 
 # Scores held at once by a task: this many doubles.
 BLOCK_SCORES = 4_000_000
@@ -166,7 +166,7 @@ def _scan(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return documents.select("doc_id", "embedding").mapInArrow(run, schema)
 
 
-def vector_topk(documents: DataFrame, queries: DataFrame, top_k_: int = 10,
+def vector_topk(documents: DataFrame, queries: DataFrame, top_k: int = 10,
                 limit: int = BROADCAST_BYTES) -> DataFrame:
     """The nearest documents per query as `(query_id, doc_id, score, rank)`.
 
@@ -174,11 +174,11 @@ def vector_topk(documents: DataFrame, queries: DataFrame, top_k_: int = 10,
     must agree. Score is the cosine similarity. Vectors that are null or zero are left out.
     Queries beyond the broadcast limit are run in parts, with one scan of the documents per part.
     """
-    if top_k_ <= 0:
+    if top_k <= 0:
         raise ValueError("top_k must be positive")
     docs = present(documents)
-    return _in_parts(queries, limit, lambda part: top_k(
-        _scan(docs, part, top_k_), ["query_id"], by_score(), top_k_, pieces=scan_tasks(docs)))
+    return _in_parts(queries, limit, lambda part: topk.top_k(
+        _scan(docs, part, top_k), ["query_id"], topk.by_score(), top_k, pieces=scan_tasks(docs)))
 
 
 def _in_parts(queries: DataFrame, limit: int,
@@ -247,14 +247,14 @@ def write_cells(assigned: DataFrame, path: str) -> DataFrame:
     return assigned.sparkSession.read.parquet(path)
 
 
-def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k_: int = 10,
+def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k: int = 10,
                nprobe: int = 4, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Nearest documents among the `nprobe` cells closest to each query, scored exactly.
 
     Same result columns as `vector_topk`; with `nprobe` equal to the number of cells the result
     is the same too.
     """
-    if top_k_ <= 0 or nprobe <= 0:
+    if top_k <= 0 or nprobe <= 0:
         raise ValueError("top_k and nprobe must be positive")
     nprobe = min(nprobe, len(centers))
     spark = cells.sparkSession
@@ -273,7 +273,7 @@ def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k_
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit, wanted = shared.value
-            best = _Best(len(unit), top_k_)
+            best = _Best(len(unit), top_k)
             for batch in batches:
                 batch, vectors = _directed(batch, unit.shape[1])
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -289,6 +289,6 @@ def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k_
 
         probed = cells.filter(F.col("cell").isin(list(asking)))
         found = probed.select("doc_id", "embedding", "cell").mapInArrow(run, schema)
-        return top_k(found, ["query_id"], by_score(), top_k_, pieces=scan_tasks(probed))
+        return topk.top_k(found, ["query_id"], topk.by_score(), top_k, pieces=scan_tasks(probed))
 
     return _in_parts(queries, limit, search)

@@ -141,7 +141,7 @@ def length_logits(prompts: list[str]) -> list[list[float]]:
 
 
 def bm25_run(spark: SparkSession, sf_dir: str, depth: int = POOL, **params) -> DataFrame:
-    return bm25.bm25_topk(built_index(spark, sf_dir), queries(spark, sf_dir), top_k_=depth,
+    return bm25.bm25_topk(built_index(spark, sf_dir), queries(spark, sf_dir), top_k=depth,
                           **params)
 
 
@@ -313,7 +313,7 @@ def q_bm25_batch(spark, d):
 
 
 def q_bm25_rank_all(spark, d):
-    return bm25.bm25_rank_all(built_index(spark, d), queries(spark, d), top_k_=1000)
+    return bm25.bm25_rank_all(built_index(spark, d), queries(spark, d), top_k=1000)
 
 
 def q_bm25_explain(spark, d):

@@ -53,12 +53,12 @@ def dedupe_url(rows: DataFrame, arrival: str, existing: DataFrame | None = None)
     return first.unionByName(rows.filter(F.col("url").isNull()))
 
 
-def extract_pages(pages: DataFrame, key: str = "page_id", analyzer_compat: bool = False,
+def extract_pages(pages: DataFrame, key: str = "page_id", compat: bool = False,
                   wide_ids: bool = False) -> DataFrame:
     """Raw `(key, url, html)` pages to documents, one row each, nothing filtered."""
     return pages.select(
         url_doc_id(F.col("url"), F.col(key), wide_ids).alias("doc_id"),
-        html_text(F.col("html"), compat=analyzer_compat).alias("full_text"),
+        html_text(F.col("html"), compat=compat).alias("full_text"),
         "url",
         html_title(F.col("html")).alias("title"),
         F.col(key).alias("arrival"),
@@ -66,14 +66,14 @@ def extract_pages(pages: DataFrame, key: str = "page_id", analyzer_compat: bool
 
 
 def ingest_pages(pages: DataFrame, key: str = "page_id", existing: DataFrame | None = None,
-                 analyzer_compat: bool = False, wide_ids: bool = False) -> DataFrame:
+                 compat: bool = False, wide_ids: bool = False) -> DataFrame:
     """Documents of a page table; unreadable pages are left to `rejected_pages`.
 
     Text is extracted before duplicates are removed: extraction is a map step, and the shuffle
     then carries text instead of HTML.
     """
     readable = pages.filter(F.col("html").isNotNull())
-    documents = extract_pages(readable, key, analyzer_compat, wide_ids)
+    documents = extract_pages(readable, key, compat, wide_ids)
     return dedupe_url(documents, "arrival", existing).drop("arrival")
 
 

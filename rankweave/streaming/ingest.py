@@ -11,19 +11,18 @@ from ..session import BROADCAST_BYTES, measured, path_exists
 from ..sources.corpus import dedupe_url, extract_pages
 from ..sources.index import LexicalIndex, _positions, _postings, derive_index
 
-FORWARD = (T.StructType(DOCUMENT.fields)
-           .add("tokens", T.ArrayType(T.StringType())).add("batch_id", T.LongType()))
+BATCH_ID = T.StructField("batch_id", T.LongType())
 SCHEMAS = {
-    "forward": FORWARD,
-    "term_doc_stats": T.StructType(TERM_DOC_STATS.fields).add("batch_id", T.LongType()),
-    "token_position": T.StructType(TOKEN_POSITION.fields).add("batch_id", T.LongType()),
+    "forward": T.StructType([
+        *DOCUMENT.fields, T.StructField("tokens", T.ArrayType(T.StringType())), BATCH_ID]),
+    "term_doc_stats": T.StructType([*TERM_DOC_STATS.fields, BATCH_ID]),
+    "token_position": T.StructType([*TOKEN_POSITION.fields, BATCH_ID]),
     "token": T.StructType([T.StructField("token", T.StringType()),
-                           T.StructField("doc_freq", T.LongType()),
-                           T.StructField("batch_id", T.LongType())]),
+                           T.StructField("doc_freq", T.LongType()), BATCH_ID]),
     "corpus_stats": T.StructType([T.StructField("total_docs", T.LongType()),
-                                  T.StructField("total_len", T.LongType()),
-                                  T.StructField("batch_id", T.LongType())]),
+                                  T.StructField("total_len", T.LongType()), BATCH_ID]),
 }
+FORWARD = SCHEMAS["forward"]
 
 
 def _unseen(fresh: DataFrame, forward: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

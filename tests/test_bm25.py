@@ -134,15 +134,15 @@ def test_few_terms_reach_the_scan(tutorial, as_queries):
 
 def test_hot_term_in_every_document(make_index, as_queries):
     texts = {i: "the " * (i % 5 + 1) + f"w{i % 7}" for i in range(300)}
-    found = bm25.bm25_topk(make_index(texts), as_queries({1: "the w3"}), top_k_=300)
+    found = bm25.bm25_topk(make_index(texts), as_queries({1: "the w3"}), top_k=300)
     assert [d for d, _ in brute_force(texts, "the w3", False)] == [d for d, _ in ranked(found, 1)]
     assert found.count() == 300
 
 
 def test_top_k_zero_and_negative(tutorial, as_queries):
-    assert bm25.bm25_topk(tutorial, as_queries(QUERIES), top_k_=0).count() == 0
+    assert bm25.bm25_topk(tutorial, as_queries(QUERIES), top_k=0).count() == 0
     with pytest.raises(ValueError):
-        bm25.bm25_topk(tutorial, as_queries(QUERIES), top_k_=-1)
+        bm25.bm25_topk(tutorial, as_queries(QUERIES), top_k=-1)
 
 
 def test_max_df_ratio_leaves_out_common_words(tutorial, as_queries):
@@ -151,7 +151,7 @@ def test_max_df_ratio_leaves_out_common_words(tutorial, as_queries):
 
 
 def test_rank_all_includes_documents_without_a_match(tutorial, as_queries):
-    found = bm25.bm25_rank_all(tutorial, as_queries(QUERIES), top_k_=5)
+    found = bm25.bm25_rank_all(tutorial, as_queries(QUERIES), top_k=5)
     for q, text in QUERIES.items():
         scored = dict(brute_force(TUTORIAL, text, True))
         expected = sorted(((d, scored.get(d, 0.0)) for d in TUTORIAL),

@@ -198,3 +198,17 @@ def test_scan_skips_row_groups_without_the_wanted_document(spark, make_index):
 
     assert read_rows(100) > 0
     assert read_rows(101) == 0
+
+
+def test_written_tables_have_the_documented_types(spark, make_index):
+    from rankweave import schemas
+    idx = make_index(TEXTS)
+    for name in ("document", "token", "term_doc_stats", "token_position", "corpus_stats"):
+        expected = {f.name: f.dataType for f in getattr(schemas, name.upper()).fields}
+        found = {f.name: f.dataType for f in getattr(idx, name).schema.fields}
+        assert found == expected, name
+    pages = spark.createDataFrame([("http://a/", ["http://a/"])], "url string, links array<string>")
+    docs = spark.createDataFrame([(1, "http://a/")], "doc_id long, url string")
+    assert [f.dataType for f in lexical.link_edges(pages, docs).schema] == [
+        f.dataType for f in schemas.LINK]
+    assert corpus.ingest_pages(spark.createDataFrame([(1, "u", "x")], schemas.PAGE)).count() == 1

@@ -144,7 +144,7 @@ def test_evaluation_resumes(make_index, as_queries, tmp_path):
         calls.append(len(calls))
         if len(calls) == fail_at:
             raise RuntimeError("stopped")
-        return bm25.bm25_topk(idx, qs, top_k_=2)
+        return bm25.bm25_topk(idx, qs, top_k=2)
     config = {"top_k": 2, "k1": 1.5}
     with pytest.raises(RuntimeError):
         evaluation.resume_run(queries, lambda q: retrieve(q, 3), path, config, 4)
@@ -152,7 +152,7 @@ def test_evaluation_resumes(make_index, as_queries, tmp_path):
     found = evaluation.resume_run(queries, retrieve, path, config, 4)
     assert len(calls) == 5  # the two slices not finished before
     assert sorted(rows(found, "query_id", "doc_id", "rank")) == sorted(
-        rows(bm25.bm25_topk(idx, queries, top_k_=2), "query_id", "doc_id", "rank"))
+        rows(bm25.bm25_topk(idx, queries, top_k=2), "query_id", "doc_id", "rank"))
     with pytest.raises(ValueError, match="does not match"):
         evaluation.resume_run(queries, retrieve, path, {**config, "top_k": 20}, 4)
 
