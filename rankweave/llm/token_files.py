@@ -23,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import estimated_bytes
+from ..session import estimated_bytes, measured
 from . import bpe
 from .common import per_text, raw_texts, text_key
 
 END_ID = 2
 PART_BYTES = 32 * 1024 * 1024
+MOST_PARTS = 20_000        # larger inputs get larger parts
+UNKNOWN_BYTES = 1 << 60    # the planner's answer where it has no file sizes
 STRIPE_BYTES = 16 * 1024 * 1024
 ROW_INDEX_STRIDE = 1000
 
@@ -57,9 +59,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, doc_id: str =
                       part_bytes: int = PART_BYTES) -> None:
     """Encode every text and write ORC files in ascending id order to `path`."""
     spark = docs.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, estimated_bytes(docs) // part_bytes)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
                        F.col(f"`{text}`").cast("string").alias("text"))
+    size = estimated_bytes(rows)
+    if size >= UNKNOWN_BYTES:  # not a scan of files
+        size = measured(rows)[1]
+    parts = min(max(spark.sparkContext.defaultParallelism, size // part_bytes), MOST_PARTS)
     dealt = (rows.repartitionByRange(int(parts), F.col("doc_id").asc_nulls_first())
              .withColumn("part", F.spark_partition_id())
              .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), text_key("text")))
@@ -80,7 +85,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def offsets(rows: DataFrame) -> DataFrame:
     """The rows with `start`, the number of ids of all documents before each."""
     totals = rows.groupBy("part").agg(F.sum(F.col("n_tokens").cast("bigint")).alias("n"))
-    # One row per part, some ten thousand at 100 TB with parts of a few GB.
+    # One row per part, MOST_PARTS at most.
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n"))
                            .alias("before"))
     within = Window.partitionBy("part").orderBy(
