@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_dir
-from . import chat, chunks, decontaminate, quality_rules, token_files
+from . import (chat, chunks, decontaminate, language, line_dedup, quality_rules, sampling, simhash,
+               token_files)
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +20,16 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learnable = docs.filter((sampling.fold("doc_id", 4) != 2) & F.col("lang").isNotNull()
+                            & F.col("text").isNotNull())
+    models = language.train(learnable.select("doc_id", "text", F.col("lang").alias("label")))
+    return language.identify(docs, ["doc_id"], models).select(
+        "doc_id", F.coalesce(sampling.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "lang_pred", "score")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), ["doc_id"],
                                table(spark, sf_dir, "benchmark"))
@@ -36,6 +47,19 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_digests(spark, path)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.remove_repeated_runs(
+        table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(table(spark, sf_dir, "documents"), ["doc_id"])
     return entries.select(
@@ -71,8 +95,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_files": op3_token_files,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_simhash": op6_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_chunk_bpe": op9_chunk_bpe,
     "op10_chat": op10_chat,
@@ -113,6 +140,37 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM words w LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+SQL["op5_line_dedup"] = r"""
+WITH docs AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l
+  FROM documents),
+lines AS (
+  SELECT doc_id, i, len(regexp_extract_all(l[i], '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM docs)),
+sums AS (
+  SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM lines),
+reach AS (
+  SELECT a.doc_id, a.i AS start, b.i AS stop FROM sums a JOIN sums b
+  ON a.doc_id = b.doc_id AND a.i <= b.i AND b.c - a.c + a.n >= 20),
+runs AS (
+  SELECT doc_id, start, min(stop) AS stop FROM reach GROUP BY doc_id, start
+  UNION SELECT doc_id, max(start), stop FROM reach GROUP BY doc_id, stop),
+placed AS (
+  SELECT doc_id, start, stop, row_number() OVER (
+           PARTITION BY array_to_string(l[start:stop], chr(10)) ORDER BY doc_id, start) AS nth
+  FROM runs JOIN docs USING (doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS i FROM placed WHERE nth > 1),
+kept AS (
+  SELECT doc_id, count(g.i) AS n_removed, count(*) AS n_lines,
+         string_agg(CASE WHEN g.i IS NULL THEN l[d.i] END, chr(10) ORDER BY d.i) AS text
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM docs) d
+  LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS text_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
 SQL["op8_quality_rules"] = r"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 words AS (
