@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_dir
-from . import (chat, chunks, decontaminate, language, line_dedup, quality_rules, sampling, simhash,
-               token_files)
+from . import (chat, chunks, decontaminate, language, line_dedup, quality_classifier,
+               quality_rules, sampling, simhash, token_files, toxicity)
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -47,6 +47,29 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_digests(spark, path)
 
 
+def learnable(spark: SparkSession, sf_dir: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Documents outside the held-out fold, and labels (`doc_id, label`).
+
+    A document labelled more than once has its largest label.
+    """
+    labels = (table(spark, sf_dir, "labels").filter(F.col(label).isNotNull())
+              .groupBy("doc_id").agg(F.max(label).alias("label")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.filter((sampling.fold("doc_id", 5) != 0) & F.col("text").isNotNull()), labels
+
+
+def _scored(found: DataFrame, least: float) -> DataFrame:
+    return found.select(
+        "doc_id", F.coalesce(sampling.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality_classifier.train(*learnable(spark, sf_dir, "quality"))
+    docs = table(spark, sf_dir, "documents")
+    return _scored(quality_classifier.score(docs, ["doc_id"], model), 0.3)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.remove_repeated_runs(
         table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -60,6 +83,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.train(*learnable(spark, sf_dir, "toxic"))
+    docs = table(spark, sf_dir, "documents")
+    return _scored(toxicity.score(docs, ["doc_id"], model), 0.5)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(table(spark, sf_dir, "documents"), ["doc_id"])
     return entries.select(
@@ -98,8 +127,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_files": op3_token_files,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_chunk_bpe": op9_chunk_bpe,
     "op10_chat": op10_chat,
