@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_key(text: str) -> Column:
-    """Tells rows of one id with different texts apart; null and empty differ."""
-    return F.coalesce(F.xxhash64(F.col(text)), F.lit(0)) + F.col(text).isNull().cast("long")
+    """Tells rows of one id with different texts apart."""
+    column = F.col(f"`{text}`")
+    return F.when(column.isNull(), F.lit(0)).otherwise(F.xxhash64(column))
 
 
 def as_texts(array: pa.Array) -> pa.StringArray:

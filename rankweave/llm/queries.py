@@ -97,12 +97,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality_rules.kept("v1").alias("kept"))
 
 
-def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = chunks.encode_decode(table(spark, sf_dir, "documents"), ["doc_id"], vocabulary())
+def token_digests(docs: DataFrame) -> DataFrame:
+    done = chunks.encode_decode(docs, ["doc_id"], vocabulary())
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql(

@@ -336,7 +336,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    ["missing", "doc_id", "text_key"])
     stay = best.select("least.doc_id", "least.text_key").distinct().select(
         F.col("doc_id").alias("_stay_id"), F.col("text_key").alias("_stay_key"))
-    keyed = docs.withColumns({"_id": F.col(f"`{doc_id}`"), "_key": key})
+    names = docs.columns
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
+                        F.col(f"`{doc_id}`").alias("_id"), key.alias("_key"))
     kept = keyed.join(stay, keyed["_id"].eqNullSafe(stay["_stay_id"])
                       & (keyed["_key"] == stay["_stay_key"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    return kept.dropDuplicates(["_id", "_key"]).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

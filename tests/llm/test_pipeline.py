@@ -1,0 +1,151 @@
+"""The pipeline and the stages against plain Python versions over whole small tables."""
+
+import hashlib
+import re
+from pathlib import Path
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tests.llm.test_simhash import plain_components, plain_fingerprint
+
+SF_DIR = "/root/testdata/sf0.001"
+SPACE = re.compile(r"[^\x20\t-\r]+")
+
+
+def split_words(text):
+    return SPACE.findall(text)
+
+
+def plain_quality(text):
+    text = text or ""
+    words = split_words(text)
+    n = len(words)
+    lines = [x for x in text.split("\n") if split_words(x)]
+    seen, repeated = {}, set()
+    for i in range(n - 7):
+        seen.setdefault(tuple(words[i:i + 8]), []).append(i)
+    for places in seen.values():
+        if len(places) > 1:
+            repeated.update(p + k for p in places for k in range(8))
+    chars = sum(map(len, words))
+    return not (n < 20 or 100 * len(repeated) > 30 * n
+                or 10 * len(re.findall(r"[#*$%&|<>]", text)) > n
+                or 10 * (len(lines) - len(set(lines))) > 3 * len(lines)
+                or chars < 2 * n or chars > 15 * n or 2 * len(re.findall("[A-Z]", text)) > chars)
+
+
+def plain_line_dedup(docs, least=20):
+    """docs: (doc_id, text) in order of id. A line goes if it lies in a run of lines with `least`
+    words or more that occurs at an earlier place."""
+    first, result = {}, []
+    cut = [(i, t.split("\n") if t is not None else []) for i, t in docs]
+    counts = {i: [len(split_words(x)) for x in ls] for i, ls in cut}
+    shortest = {}
+    for i, ls in cut:
+        for a in range(len(ls)):
+            for b in range(a, len(ls)):
+                if sum(counts[i][a:b + 1]) >= least:
+                    shortest.setdefault(i, []).append((a, b))
+                    break
+        for b in range(len(ls)):
+            for a in range(b, -1, -1):
+                if sum(counts[i][a:b + 1]) >= least:
+                    shortest.setdefault(i, []).append((a, b))
+                    break
+    for i, ls in cut:
+        for a, b in shortest.get(i, ()):
+            key = tuple(ls[a:b + 1])
+            first[key] = min(first.get(key, (i, a)), (i, a))
+    for i, ls in cut:
+        gone = {k for a, b in shortest.get(i, ()) if first[tuple(ls[a:b + 1])] < (i, a)
+                for k in range(a, b + 1)}
+        result.append((i, "\n".join(x for k, x in enumerate(ls) if k not in gone)))
+    return result
+
+
+def bench_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",
+                      re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_contaminated(docs, items):
+    windows = set()
+    for item in items:
+        words = bench_words(item)
+        size = min(10, len(words))
+        windows |= {tuple(words[i:i + size]) for i in range(len(words) - size + 1)} if words else set()
+    sizes = {len(w) for w in windows}
+    found = set()
+    for i, text in docs:
+        words = bench_words(text)
+        if any(tuple(words[k:k + s]) in windows for s in sizes for k in range(len(words) - s + 1)):
+            found.add(i)
+    return found
+
+
+@pytest.mark.skipif(not Path(SF_DIR).exists(), reason="the tables are not here")
+def test_pipeline_equals_plain_stages(spark):
+    docs = sorted((r["doc_id"], r["text"]) for r in
+                  spark.read.parquet(f"{SF_DIR}/documents.parquet").collect())
+    items = [r["text"] for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    docs = [(i, t) for i, t in docs if plain_quality(t)]
+    docs = plain_line_dedup(docs)
+    prints = {i: plain_fingerprint(t) for i, t in docs}
+    group = plain_components(sorted(set(prints.values())))
+    least = {}
+    for i, _ in docs:
+        least.setdefault(group[prints[i]], i)
+    docs = [(i, t) for i, t in docs if least[group[prints[i]]] == i]
+    bad = plain_contaminated(docs, items)
+    docs = [(i, t) for i, t in docs if i not in bad]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for i, text in docs:
+        ids = library.encode(text, add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                     hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode())
+                     .hexdigest()))
+    found = corpus_pipeline.run(spark, SF_DIR)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert 0 < len(want) < 200
+
+
+def odd_documents(spark):
+    text = "plain words that go on for a while and say very little of any weight to anyone at all"
+    rows = [(1, text + " one", "en", None, 3), (1, text + " one", "en", None, 3),
+            (None, text.replace("plain", "other") + " two words more", None, "s", None),
+            (3, None, None, None, None), (4, "", "en", "s", 0), (5, "x " * 40_000, "en", "s", 1),
+            (6, "\n".join([text + " three"] * 5), "en", "s", 2)]
+    frame = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return frame.withColumns({"spans": F.lit("a"), "fp": F.lit(1), "failures": F.lit("b"),
+                              "n_lines": F.lit("c"), "_key": F.lit(2), "a.b": F.lit(0)})
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_every_stage_takes_odd_and_empty_tables(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = odd_documents(spark)
+    done = stage(spark, docs, SF_DIR)
+    rows = done.collect()
+    assert stage(spark, docs.limit(0), SF_DIR).collect() == []
+    if name == "bpe_encoding":
+        assert len(rows) == 7
+        return
+    assert done.columns == docs.columns
+    if name == "quality_rules":
+        assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "None"]
+    elif name == "line_dedup":
+        assert len(rows) == 7
+        six = next(r for r in rows if r["doc_id"] == 6)
+        assert six["text"].count("\n") == 0 and six["n_chars"] == len(six["text"])
+    elif name == "simhash_near_dedup":
+        # Documents 3 and 4 both have no words; the five equal lines of 6 are not like 1.
+        assert sorted(str(r["doc_id"]) for r in rows) == ["1", "3", "5", "6", "None"]
+    else:
+        assert len(rows) == 7
