@@ -1,118 +1,115 @@
 """BPE ids by the tokenizers library, with every distinct piece encoded once per worker.
 
-The vocabulary file given by its path splits texts at white space before any merge, so a text's ids
-are those of its words behind one another. Words are looked up in a table of bounded size and only
-new ones reach the library. Words that are Latin letters, with or without signs behind them, are
-looked up as letters and signs, since the file's pattern parts these and lowers the letters; all
-others go to the full tokenizer as they are.
+The vocabulary file given by its path parts texts at white space and between letters, digits and
+signs before any merge, so a text's ids are those of its pieces behind one another. Texts of Latin
+letters, ASCII digits and signs are cut into such pieces here (lowered, as the file does); of other
+texts whole words go to the library. Pieces are looked up in a table of bounded size, and only new
+ones reach the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
-import numpy as np
 
-# Entries a worker keeps of each table before it starts again; bounds memory, not results.
-WORDS_KEPT = 300_000
-LETTERS_KEPT = 400_000
+# Entries a worker keeps before it starts again; bounds memory, not results.
+KEPT = 500_000
 
-# Letters that Unicode normalization leaves as they are, then signs other than ' and <.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
+# Characters that may stand in a text that is cut here: no ' (contractions), no < (special tokens),
+# and of letters beyond ASCII those that Unicode normalization leaves as they are.
+_PLAIN = bytes(x for x in range(9, 127) if x not in b"'<" and (x < 14 or x > 31))
+_LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 
-# What the fast way relies on. Files with other steps are encoded word by word by the library.
-_STEPS = {"normalizers": ["NFC", "Replace", "Lowercase"],
-          "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+# What the cutting relies on; fixed values of the vocabulary file.
+_STEPS = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Pieces:
-    """Ids of words, by worker."""
+    """Ids, and if asked for decoded forms, of pieces and words."""
 
-    def __init__(self, path: str, words_kept: int = WORDS_KEPT, letters_kept: int = LETTERS_KEPT):
+    def __init__(self, path: str, spelled: bool = False, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
         self.full.no_truncation()
         self.full.no_padding()
         spec = json.loads(self.full.to_str())
-        found = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex")
                   for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        if found != _STEPS["normalizers"] or not splits or splits[0] != _STEPS["pattern"]:
-            raise ValueError("a vocabulary that splits at white space in the known way is needed")
-        # The same merges without the steps that lowered letters, or signs alone, don't need.
+        if steps != _STEPS or splits[:1] != [_PATTERN]:
+            raise ValueError("a vocabulary that splits texts in the known way is needed")
+        # The same merges without the steps that pieces don't need.
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = normalizers.Sequence([])
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False,
                                                              use_regex=False)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.spelled: dict[bytes, bytes] = {}
-        self.words_kept, self.letters_kept = words_kept, letters_kept
         size = self.full.get_vocab_size(with_added_tokens=True)
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.tokens = [(self.full.id_to_token(i) or "").encode() for i in range(size)]
-
-    @staticmethod
-    def _packed(encodings) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in encodings]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Put words that are not in the table into it."""
-        new = [w for w in words if w not in self.words]
-        if not new:
-            return
-        if len(self.words) + len(new) > self.words_kept:
-            self.words.clear()
-            self.spelled.clear()
-            new = list(words)
-        if len(self.parts) > self.letters_kept:
-            self.parts = {"": b""}
-        plain, other, wanted = [], [], set()
-        for word in new:
-            match = _PLAIN.fullmatch(word.decode())
-            if match:
-                letters, signs = match[1].lower(), match[2]
-                plain.append((word, letters, signs))
-                wanted.update(x for x in (letters, signs) if x not in self.parts)
+        self.spelled, self.kept = spelled, kept
+        # Pieces are strings, whole words are bytes, so one table holds both.
+        self.ids: dict[str | bytes, bytes] = {}
+        self.texts: dict[str | bytes, bytes] = {}
+
+    def cut(self, raw: bytes) -> list[str] | list[bytes]:
+        rest = raw.translate(None, _PLAIN)
+        if rest and not _LATIN.fullmatch(rest):
+            return raw.split()
+        return _PIECE.findall(raw.decode().lower())
+
+    def learn(self, keys: set[str | bytes]) -> None:
+        new = [k for k in keys if k not in self.ids]
+        if len(self.ids) + len(new) > self.kept:
+            self.ids.clear()
+            self.texts.clear()
+            new = list(keys)
+        simple, latin, words = [], [], []
+        for key in new:
+            if isinstance(key, bytes):
+                words.append(key)
             else:
-                other.append(word)
-        if wanted:
-            asked = list(wanted)
-            self.parts.update(zip(asked, self._packed(
-                self.merges.encode_batch_fast(asked, add_special_tokens=False))))
-        for word, letters, signs in plain:
-            self.words[word] = self.parts[letters] + self.parts[signs]
-        if other:
-            self.words.update(zip(other, self._packed(self.full.encode_batch_fast(
-                [w.decode() for w in other], add_special_tokens=False))))
-
-    def encode(self, words: list[bytes]) -> bytes:
-        """Ids of known words behind one another, as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.words.__getitem__, words))
-
-    def decode(self, ids: bytes) -> bytes:
-        """The tokens of ids with a space between, as the library decodes for these files."""
-        tokens = self.tokens
-        return b" ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
-
-    def spell(self, word: bytes) -> bytes:
-        """The decoded form of a known word."""
-        found = self.spelled.get(word)
-        if found is None:
-            found = self.spelled[word] = self.decode(self.words[word])
-        return found
+                (simple if key.isascii() else latin).append(key)
+        tokenize = self.merges.model.tokenize
+        self._keep(simple, ([t.id for t in tokenize(k)] for k in simple))
+        for keys_, library, texts in ((latin, self.merges, latin),
+                                      (words, self.full, [w.decode() for w in words])):
+            self._keep(keys_, (e.ids for e in library.encode_batch_fast(
+                texts, add_special_tokens=False)) if texts else ())
+
+    def _keep(self, keys, ids) -> None:
+        packed, tokens = self.packed, self.tokens
+        for key, found in zip(keys, ids):
+            self.ids[key] = b"".join([packed[i] for i in found])
+            if self.spelled:
+                self.texts[key] = b" ".join([tokens[i] for i in found])
+
+    def encode(self, raws: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of each text, as little-endian unsigned 32-bit integers behind one another, and the
+        decoded texts (tokens with spaces between, as the library decodes for such a file)."""
+        cuts = [self.cut(raw) for raw in raws]
+        wanted: set = set()
+        for keys in cuts:
+            wanted.update(keys)
+        self.learn(wanted)
+        ids = [b"".join(map(self.ids.__getitem__, keys)) for keys in cuts]
+        if not self.spelled:
+            return ids, []
+        texts = self.texts.__getitem__
+        return ids, [b" ".join(filter(None, map(texts, keys))) for keys in cuts]
 
 
 _made: dict[tuple, Pieces] = {}
 
 
-def pieces(path: str) -> Pieces:
+def pieces(path: str, spelled: bool = False) -> Pieces:
     """The table of this worker. Workers are reused, so later tasks find it filled."""
-    key = (path, os.getpid())
+    key = (path, spelled, os.getpid())
     if key not in _made:
-        _made[key] = Pieces(path)
+        _made[key] = Pieces(path, spelled)
     return _made[key]

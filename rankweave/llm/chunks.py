@@ -79,7 +79,7 @@ class ChunkStore:
     """Encoded chunks of one worker."""
 
     def __init__(self, path: str, kept: int = CHUNKS_KEPT):
-        self.pieces = bpe.pieces(path)
+        self.pieces = bpe.pieces(path, spelled=True)
         self.kept = kept
         # chunk -> (head, ids of its inner words, these decoded, tail), or None without white space
         self.chunks: dict[bytes, tuple[bytes, bytes, bytes, bytes] | None] = {}
@@ -91,17 +91,15 @@ class ChunkStore:
             new = list(chunks)
         opened = []
         for chunk in new:
-            words = chunk.split()
-            if words and len(words[0]) == len(chunk):
+            ends = chunk.split(None, 1)
+            if ends and len(ends[0]) == len(chunk):
                 self.chunks[chunk] = None
                 continue
-            head = b"" if chunk[:1].isspace() else words.pop(0)
-            tail = b"" if chunk[-1:].isspace() or not words else words.pop()
-            opened.append((chunk, head, words, tail))
-        self.pieces.learn({w for _, _, words, _ in opened for w in words})
-        for chunk, head, words, tail in opened:
-            ids = self.pieces.encode(words)
-            text = b" ".join(filter(None, map(self.pieces.spell, words)))
+            head = b"" if chunk[:1].isspace() or not ends else ends[0]
+            tail = b"" if chunk[-1:].isspace() or not ends else chunk.rsplit(None, 1)[-1]
+            opened.append((chunk, head, chunk[len(head):len(chunk) - len(tail)], tail))
+        found = zip(opened, *self.pieces.encode([inner for _, _, inner, _ in opened]))
+        for (chunk, head, _, tail), ids, text in found:
             self.chunks[chunk] = (head, ids, text, tail)
 
     def encode(self, cuts: list[list[bytes]]) -> tuple[list[bytes], list[bytes]]:
@@ -121,15 +119,15 @@ class ChunkStore:
             joins.update(join for join, _ in plan)
             plans.append(plan)
         joins.discard(b"")
-        self.pieces.learn(joins)
-        words, spell = self.pieces.words, self.pieces.spell
+        asked = list(joins)
+        repaired = {join: x for join, *x in zip(asked, *self.pieces.encode(asked))}
         ids, texts = [], []
         for plan in plans:
             found, spelled = [], []
             for join, known in plan:
                 if join:
-                    found.append(words[join])
-                    spelled.append(spell(join))
+                    found.append(repaired[join][0])
+                    spelled.append(repaired[join][1])
                 if known:
                     found.append(known[1])
                     spelled.append(known[2])
