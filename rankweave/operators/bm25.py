@@ -31,20 +31,13 @@ def query_terms(queries: DataFrame, analyzer: Analyzer, mode: str = "set",
     return tokens.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def weighted_terms(index: LexicalIndex, terms: DataFrame,
-                   max_df_ratio: float | None = None) -> DataFrame:
-    """Add token id and idf; words the corpus does not know drop out.
-
-    `max_df_ratio` leaves out words found in a larger share of the documents. It changes scores
-    and is off by default.
-    """
+def weighted_terms(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """Add token id and idf; words the corpus does not know drop out."""
     total = index.corpus_stats.select("total_docs").scalar()
     # The terms are the small side: the caller measured them. The semi-join goes below the sums of
     # a streamed index, which are then taken for the words of the queries only.
     known = (index.token.join(F.broadcast(terms.select("token")), "token", "left_semi")
              .join(F.broadcast(terms), "token"))
-    if max_df_ratio is not None:
-        known = known.filter(F.col("doc_freq") <= F.lit(float(max_df_ratio)) * total)
     return known.select("query_id", "token", "token_id", "weight",
                         scoring.idf(total, F.col("doc_freq")).alias("idf"))
 
@@ -68,15 +61,15 @@ def _narrowed(index: LexicalIndex, terms: DataFrame) -> LexicalIndex:
             F.col("token_id").isin([row["token_id"] for row in few])))
 
 
-def _term_chunks(index: LexicalIndex, queries: DataFrame, mode: str, limit: int,
-                 max_df_ratio: float | None) -> list[tuple[LexicalIndex, DataFrame]]:
+def _term_chunks(index: LexicalIndex, queries: DataFrame, mode: str,
+                 limit: int) -> list[tuple[LexicalIndex, DataFrame]]:
     """Weighted terms in parts of whole queries, each small enough to be broadcast."""
     terms = query_terms(queries, index.analyzer, mode, index.lexicon)
     rows, size = measured(terms)
     if rows <= pushdown_limit(queries.sparkSession):
         index = _narrowed(index, terms)
     # A joined term carries two numbers more than the measured one.
-    return [(index, weighted_terms(index, part, max_df_ratio))
+    return [(index, weighted_terms(index, part))
             for part in split(terms, ["query_id"], 2 * size, limit)]
 
 
@@ -94,7 +87,6 @@ def bm25_scores(index: LexicalIndex, terms: DataFrame, k1: float, b: float) -> D
 
 def bm25_topk(index: LexicalIndex, queries: DataFrame, k1: float | None = None,
               b: float | None = None, top_k: int | None = None, mode: str = "set",
-              max_df_ratio: float | None = None,
               limit: int = BROADCAST_BYTES) -> DataFrame:
     """The best documents per query as `(query_id, doc_id, score, rank)`.
 
@@ -107,7 +99,7 @@ def bm25_topk(index: LexicalIndex, queries: DataFrame, k1: float | None = None,
     return union_all([
         topk.top_k(bm25_scores(part, terms, k1, b), ["query_id"], topk.by_score(), k,
               pieces=index.buckets)
-        for part, terms in _term_chunks(index, queries, mode, limit, max_df_ratio)
+        for part, terms in _term_chunks(index, queries, mode, limit)
     ])
 
 
@@ -150,7 +142,7 @@ def bm25_explain(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, k1:
     occurrences = lemmatize(occurrences, index.lexicon).withColumn(
         "token_id", token_id(F.col("token")))
     parts = []
-    for _, terms in _term_chunks(index, queries, "set", limit, None):
+    for _, terms in _term_chunks(index, queries, "set", limit):
         wanted = terms.join(pairs, "query_id")
         _, size = measured(wanted)
         wanted = F.broadcast(wanted) if size <= limit else wanted
@@ -176,7 +168,7 @@ def bm25_sweep(index: LexicalIndex, queries: DataFrame, params: list[tuple[float
     part = scoring.bm25_weight(F.col("idf"), F.col("tf"), F.col("len"), avgdl,
                                F.col("k1"), F.col("b"))
     results = []
-    for narrow, terms in _term_chunks(index, queries, mode, limit, None):
+    for narrow, terms in _term_chunks(index, queries, mode, limit):
         scores = (match_postings(narrow, terms)
                   .select("*", F.inline(grid))
                   .groupBy("k1", "b", "query_id", "doc_id")

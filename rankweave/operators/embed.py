@@ -38,6 +38,11 @@ class EmbedPolicy:
         if self.batch_size <= 0 or self.max_tries <= 0 or self.delay < 0:
             raise ValueError("batch_size and max_tries must be positive, delay not negative")
 
+    def pauses(self) -> list[float]:
+        """Seconds to wait before each try."""
+        return [0.0] + [min(self.delay * 2 ** i, self.max_delay)
+                        for i in range(self.max_tries - 1)]
+
 
 def _checked(vectors, n: int, dims: int | None, normalize: bool) -> np.ndarray:
     """Hold the model to its contract: one numeric vector per text, all of the expected width."""
@@ -55,30 +60,50 @@ def _checked(vectors, n: int, dims: int | None, normalize: bool) -> np.ndarray:
     return matrix
 
 
-def embed_with_policy(embed: EmbedFunction, texts: list[str], dims: int | None, normalize: bool,
-                      policy: EmbedPolicy, sleep: Callable[[float], None] = time.sleep
-                      ) -> list[tuple[np.ndarray | None, str | None]]:
-    """`(vector, error)` per text, in order."""
-    delay = policy.delay
-    for attempt in range(policy.max_tries):
-        last = attempt == policy.max_tries - 1
+def _ask(embed: EmbedFunction, texts: list[str], dims: int | None, normalize: bool,
+         policy: EmbedPolicy, sleep: Callable[[float], None]) -> np.ndarray | str:
+    """Vectors of some texts, or the reason why the model does not take them.
+
+    Only what another try may change is tried again: a busy model, and a refused single text. A
+    refused group is left to the caller, who can cut it.
+    """
+    reason, busy = "", None
+    for pause in policy.pauses():
+        if pause:
+            sleep(pause)
         try:
-            return [(v, None) for v in _checked(embed(texts), len(texts), dims, normalize)]
-        except TransientModelError:
-            if last:
-                raise
+            return _checked(embed(texts), len(texts), dims, normalize)
+        except TransientModelError as error:
+            busy = error
         except ValueError as error:
+            reason, busy = str(error), None
             if len(texts) > 1:
-                if not policy.bisect:
-                    return [(None, str(error))] * len(texts)
-                half = len(texts) // 2
-                return (embed_with_policy(embed, texts[:half], dims, normalize, policy, sleep)
-                        + embed_with_policy(embed, texts[half:], dims, normalize, policy, sleep))
-            if last:
-                return [(None, str(error))]
-        sleep(delay)
-        delay = min(delay * 2, policy.max_delay)
-    raise AssertionError("unreachable")
+                break
+    if busy is not None:
+        raise busy
+    return reason
+
+
+def embed_with_policy(embed: EmbedFunction, texts: list[str], dims: int | None, normalize: bool,
+                      policy: EmbedPolicy, sleep: Callable[[float], None] = time.sleep
+                      ) -> list[tuple[np.ndarray | None, str | None]]:
+    """`(vector, error)` per text, in order.
+
+    Spans of texts that still need an answer wait on a list; each answer fills its places.
+    """
+    answers: list[tuple[np.ndarray | None, str | None]] = [(None, None)] * len(texts)
+    waiting = [(0, len(texts))] if texts else []
+    while waiting:
+        first, stop = waiting.pop()
+        found = _ask(embed, texts[first:stop], dims, normalize, policy, sleep)
+        if not isinstance(found, str):
+            answers[first:stop] = [(vector, None) for vector in found]
+        elif policy.bisect and stop - first > 1:
+            middle = (first + stop) // 2
+            waiting += [(middle, stop), (first, middle)]
+        else:
+            answers[first:stop] = [(None, found)] * (stop - first)
+    return answers
 
 
 def embed_documents(rows: DataFrame, embed: EmbedFunction, text: str = "full_text",
@@ -90,7 +115,7 @@ def embed_documents(rows: DataFrame, embed: EmbedFunction, text: str = "full_tex
     embedding and the reason, and does not fail the job.
     """
     if dims is not None and dims <= 0:
-        raise ValueError("dimensions must be greater than zero")
+        raise ValueError(f"vectors of {dims} values cannot be asked for")
     rows = rows.drop("embedding", "embed_error")
     schema = T.StructType([*rows.schema.fields,
                            T.StructField("embedding", T.ArrayType(T.FloatType())),

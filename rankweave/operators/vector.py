@@ -6,6 +6,7 @@ product, and a task sends on at most `k` rows per query. The final cut is a Spar
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,12 +17,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import scoring
 from ..functions.vectors import norm
-from ..session import BROADCAST_BYTES, chunks, materialize, scan_tasks, union_all
+from ..session import BROADCAST_BYTES, materialize, measured, scan_tasks, split, union_all
 from . import topk
 
 # Scores held at once by a task: this many doubles.
 BLOCK_SCORES = 4_000_000
 
+# Results held by a task: queries of a part times the documents wanted for each.
+PART_RESULTS = 4_000_000
+EMIT_ROWS = 100_000
+
 # Rounding moves a score by less than this.
 MARGIN = 10.0 ** -scoring.VECTOR_DIGITS
 
@@ -112,9 +117,8 @@ class _Best:
         return self.kept
 
 
-def _packed(queries: DataFrame) -> tuple[list, np.ndarray]:
+def _packed(table: pa.Table) -> tuple[list, np.ndarray]:
     """Query ids and unit vectors of a part that was measured to be small."""
-    table = queries.select("query_id", "embedding").toArrow()
     if table.num_rows == 0:
         return [], np.zeros((0, 0))
     column = table.column("embedding").combine_chunks()
@@ -135,17 +139,18 @@ def _emit(best: _Best, query_ids: list, id_type: pa.DataType,
     rows = best.rows()
     if not rows:
         return
-    query, score, ids = rows
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(query_ids, query_type).take(pa.array(query)),
-         pa.array(ids, id_type), pa.array(score)],
-        names=["query_id", "doc_id", "score"])
+    names = pa.array(query_ids, query_type)
+    for at in range(0, len(rows[0]), EMIT_ROWS):
+        query, score, ids = (column[at:at + EMIT_ROWS] for column in rows)
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(query)), pa.array(ids, id_type), pa.array(score)],
+            names=["query_id", "doc_id", "score"])
 
 
 def _scan(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Best `k` documents per query and task for one broadcast part of the queries."""
     schema = _schema(queries, documents)
-    query_ids, matrix = _packed(queries)
+    query_ids, matrix = _packed(queries.select("query_id", "embedding").toArrow())
     id_type = to_arrow_type(schema["doc_id"].dataType)
     query_type = to_arrow_type(schema["query_id"].dataType)
     shared = documents.sparkSession.sparkContext.broadcast(matrix)
@@ -178,17 +183,22 @@ def vector_topk(documents: DataFrame, queries: DataFrame, top_k: int = 10,
         raise ValueError("top_k must be positive")
     docs = present(documents)
     return _in_parts(queries, limit, lambda part: topk.top_k(
-        _scan(docs, part, top_k), ["query_id"], topk.by_score(), top_k, pieces=scan_tasks(docs)))
+        _scan(docs, part, top_k), ["query_id"], topk.by_score(), top_k, pieces=scan_tasks(docs)),
+        top_k)
 
 
-def _in_parts(queries: DataFrame, limit: int,
-              search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Search for parts of the queries that fit the limit.
+def _in_parts(queries: DataFrame, limit: int, search: Callable[[DataFrame], DataFrame],
+              top_k: int) -> DataFrame:
+    """Search for parts of the queries that fit the limit, as do the results a task holds.
 
     With several parts each result is written down before the next part is taken up, so the driver
     holds the vectors of one part only.
     """
-    parts = chunks(usable(queries).select("query_id", "embedding"), "query_id", limit)
+    asked = usable(queries).select("query_id", "embedding")
+    rows, size = measured(asked)
+    # Whichever bound asks for more parts.
+    size = max(size, limit * rows * top_k // PART_RESULTS)
+    parts = split(asked, ["query_id"], size, limit)
     if len(parts) == 1:
         return search(parts[0])
     return union_all([materialize(search(part)) for part in parts])
@@ -197,29 +207,45 @@ def _in_parts(queries: DataFrame, limit: int,
 # ---- approximate search over cells -------------------------------------------------------
 
 
-def train_cells(documents: DataFrame, n_cells: int, seed: int = 42, max_iter: int = 10,
-                rows_per_cell: int = 256) -> np.ndarray:
-    """Centers of `n_cells` groups of unit vectors, by k-means on the executors.
-
-    The centers only steer the search, so a sample is enough to find them; all documents are
-    assigned to cells and searched.
-    """
+def train_cells(documents: DataFrame, n_cells: int, seed: int = 42,
+                max_iter: int = 10) -> np.ndarray:
+    """Centers of `n_cells` groups of unit vectors, by k-means over all usable documents."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     from ..functions.vectors import l2_normalize
 
-    docs = usable(documents)
-    total = docs.count()
-    fraction = min(1.0, n_cells * rows_per_cell / max(total, 1))
-    sample = docs if fraction == 1.0 else docs.sample(fraction, seed)
-    unit = sample.select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
+    unit = usable(documents).select(
+        array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter).fit(unit)
     centers = np.array(model.clusterCenters())
     lengths = np.sqrt((centers * centers).sum(axis=1, keepdims=True))
     return centers / np.where(lengths == 0, 1, lengths)
 
 
+def sign_cells(dims: int, bits: int) -> np.ndarray:
+    """Centers of 2^bits cells that need no training and are the same for every corpus.
+
+    Bit j of a vector's cell is the sign of its product with a direction of +1 and -1: minus at
+    place i if the first hex digit of the MD5 of "j:i" is 8 or more. The center of a cell is the sum
+    of the directions with the signs of its bits, so the nearest center has exactly these bits, and
+    further cells follow by how far the vector lies from the planes that part them.
+    """
+    if not 0 < bits <= 16:
+        raise ValueError("bits must be from 1 to 16")
+    directions = np.array([[-1.0 if hashlib.md5(f"{j}:{i}".encode()).hexdigest()[0] >= "8" else 1.0
+                            for i in range(dims)] for j in range(bits)])
+    signs = np.where(np.arange(1 << bits)[:, None] >> np.arange(bits) & 1, 1.0, -1.0)
+    return signs @ directions
+
+
+def _blocks(vectors: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Rows in blocks whose products with `width` centers stay within the size of a block."""
+    step = max(1, BLOCK_SCORES // max(1, width))
+    for at in range(0, len(vectors), step):
+        yield vectors[at:at + step]
+
+
 def assign_cells(documents: DataFrame, centers: np.ndarray) -> DataFrame:
     """`(doc_id, embedding, cell)`: the cell whose center is nearest. A map step."""
     docs = present(documents).select("doc_id", "embedding")
@@ -229,14 +255,41 @@ def assign_cells(documents: DataFrame, centers: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch, unit = _directed(batch, shared.value.shape[1])
-            cell = (unit @ shared.value.T).argmax(axis=1).astype(np.int32)
+            cells = [(block @ shared.value.T).argmax(axis=1)
+                     for block in _blocks(unit, len(shared.value))]
+            cell = np.concatenate(cells) if cells else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cell)],
+                [batch.column(0), batch.column(1), pa.array(cell.astype(np.int32))],
                 names=["doc_id", "embedding", "cell"])
 
     return docs.mapInArrow(run, schema)
 
 
+def probes(queries: DataFrame, centers: np.ndarray, nprobe: int) -> DataFrame:
+    """`(query_id, embedding, cells)`: the `nprobe` cells nearest to each query. A map step."""
+    rows = queries.select("query_id", "embedding")
+    schema = T.StructType([*rows.schema.fields,
+                           T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    shared = queries.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch, unit = _directed(batch, shared.value.shape[1])
+            cells = []
+            for block in _blocks(unit, len(shared.value)):
+                score = block @ shared.value.T
+                if nprobe < score.shape[1]:
+                    score = np.argpartition(-score, nprobe - 1, axis=1)[:, :nprobe]
+                else:
+                    score = np.broadcast_to(np.arange(score.shape[1]), score.shape)
+                cells += list(score.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int32()))],
+                names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def write_cells(assigned: DataFrame, path: str) -> DataFrame:
     """Write the cells as partitions, so that a search reads only the cells it probes.
 
@@ -263,23 +316,24 @@ def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k:
     query_type = to_arrow_type(schema["query_id"].dataType)
 
     def search(part: DataFrame) -> DataFrame:
-        query_ids, matrix = _packed(part)
-        if not query_ids:
-            return spark.createDataFrame([], T.StructType(
-                [*schema.fields, T.StructField("rank", T.IntegerType())]))
-        nearest = np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :nprobe]
-        asking = {int(c): np.nonzero((nearest == c).any(axis=1))[0] for c in np.unique(nearest)}
-        shared = spark.sparkContext.broadcast((matrix, asking))
+        asked = materialize(probes(part, centers, nprobe), "probes")
+        # At most as many as there are cells.
+        wanted = [r["c"] for r in asked.select(F.explode("cells").alias("c")).distinct().collect()]
+        table = asked.toArrow()
+        query_ids, matrix = _packed(table)
+        nearest = (np.array(table.column("cells").to_pylist(), np.int32)
+                   if query_ids else np.zeros((0, nprobe), np.int32))
+        shared = spark.sparkContext.broadcast((matrix, nearest))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            unit, wanted = shared.value
+            unit, nearest = shared.value
             best = _Best(len(unit), top_k)
             for batch in batches:
                 batch, vectors = _directed(batch, unit.shape[1])
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 cell = batch.column(2).to_numpy()
                 for c in np.unique(cell):
-                    which = wanted[int(c)]
+                    which = np.flatnonzero((nearest == c).any(axis=1))
                     rows = np.nonzero(cell == c)[0]
                     step = max(1, BLOCK_SCORES // len(which))
                     for at in range(0, len(rows), step):
@@ -287,8 +341,8 @@ def vector_ann(cells: DataFrame, centers: np.ndarray, queries: DataFrame, top_k:
                         best.add(vectors[block] @ unit[which].T, ids[block], which)
             yield from _emit(best, query_ids, id_type, query_type)
 
-        probed = cells.filter(F.col("cell").isin(list(asking)))
+        probed = cells.filter(F.col("cell").isin(wanted) if wanted else F.lit(False))
         found = probed.select("doc_id", "embedding", "cell").mapInArrow(run, schema)
         return topk.top_k(found, ["query_id"], topk.by_score(), top_k, pieces=scan_tasks(probed))
 
-    return _in_parts(queries, limit, search)
+    return _in_parts(queries, limit, search, top_k)

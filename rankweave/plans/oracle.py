@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import QUERY_TASK
-from .registry import DIMS, POOL, QUERY, REFUSED, RERANK_DIMS, SWEEP
+from .registry import DIMS, POOL, PROBES, QUERY, REFUSED, RERANK_DIMS, SIGN_BITS, SWEEP
 
 WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
 ASCII = r"regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
@@ -254,6 +254,21 @@ def all_sql() -> dict[str, str]:
 SELECT * FROM (
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank
   FROM near) WHERE rank <= {POOL}""")
+    probed_neighbours = with_([LABEL_MEANS, FLAT, cosines("near", "flat", "means"), f"""dirs AS (
+  SELECT j, place, CASE WHEN substr(md5(j || ':' || (place - 1)), 1, 1) >= '8' THEN -1 ELSE 1 END AS s
+  FROM range({SIGN_BITS}) b(j), range(1, {DIMS + 1}) p(place))""", """dcell AS (
+  SELECT doc_id, sum(CASE WHEN p > 0 THEN 1 << j ELSE 0 END) AS cell FROM (
+    SELECT doc_id, j, sum(value * s) AS p FROM flat JOIN dirs USING (place) GROUP BY 1, 2)
+  GROUP BY 1)""", f"""probed AS (
+  SELECT query_id, cell FROM (
+    SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY sum(
+             CASE WHEN (cell >> j & 1 = 1) <> (p > 0) THEN abs(p) ELSE 0 END), cell) AS n
+    FROM (SELECT query_id, j, sum(value * s) AS p FROM means JOIN dirs USING (place) GROUP BY 1, 2),
+         range({1 << SIGN_BITS}) c(cell) GROUP BY 1, 2) WHERE n <= {PROBES})"""], f"""
+SELECT * FROM (
+  SELECT near.*, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER
+    AS rank
+  FROM near JOIN dcell USING (doc_id) JOIN probed USING (query_id, cell)) WHERE rank <= {POOL}""")
     rules = [("len >= 0", "document"), ("full_text not null", "document"),
              ("doc_id unique", "document"), ("token unique", "token"),
              ("token_id unique", "token"), ("doc_freq >= 0", "token"),
@@ -350,6 +365,7 @@ SELECT * FROM (
         GROUP BY 1, 2, 3, 4))
 WHERE rank = 1"""),
         "vector_topk": exact_neighbours,
+        "vector_ann": probed_neighbours,
         "vector_ann_all_cells": exact_neighbours,
         "query_instruction": f"""
 SELECT item_id AS query_id, 'Instruct: {QUERY_TASK}' || chr(10) || 'Query: ' || text AS text FROM benchmark WHERE text <> ''""",

@@ -12,12 +12,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import html, scoring, vectors
 from ..functions.text import ascii_words, query_instruction, words
 from ..operators import bm25, embed, evaluate, fusion, legacy, lexical, rerank, vector
-from ..session import lookup_join, materialize, scratch_dir, spread
+from ..session import chunks, lookup_join, materialize, scratch_dir, spread
 from ..sources import corpus, index
 from ..streaming import ingest
 from . import embedding_jobs, evaluation, hybrid
@@ -25,7 +25,10 @@ from . import embedding_jobs, evaluation, hybrid
 DIMS = 64
 RERANK_DIMS = 32
 POOL = 100
+SHORT_TEXT_BYTES = 64 * 1024
 CELLS = 16
+SIGN_BITS = 4
+PROBES = 8
 QUERY = "the worthless inesea with hested onstble of the"
 SWEEP = [(0.8, 0.3), (1.2, 0.75), (2.0, 0.9)]
 REFUSED = "ê"
@@ -64,11 +67,25 @@ def built_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _embedded[key]
 
 
+def containing(document: DataFrame, texts: DataFrame) -> DataFrame:
+    """`(query_id, doc_id)` of the documents that contain a text, by one scan for all texts."""
+    asked = texts.select("query_id", "text").collect()
+    if not asked:
+        return document.sparkSession.createDataFrame([], T.StructType(
+            [texts.schema["query_id"], document.schema["doc_id"]]))
+    wanted = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"),
+                                F.lit(r["text"]).alias("text")) for r in asked])
+    found = F.filter(wanted, lambda x: F.contains(F.col("full_text"), x["text"]))
+    return (document.select("doc_id", F.explode(found).alias("x"))
+            .select("x.query_id", "doc_id"))
+
+
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(query_id, doc_id, relevance)` with grades 0 to 2.
 
     A document that contains a text has all its inner words, so candidates are found by the rarest
-    of them, and only those are compared in full.
+    of them, and only those are compared in full. Texts without inner words are looked for in all
+    documents, in parts of bounded size.
     """
     idx, qs = built_index(spark, sf_dir), queries(spark, sf_dir)
     tokens = words(F.col("text"))
@@ -80,6 +97,9 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
                              .select("query_id", "doc_id"))
     pairs = (rerank.fetch_documents(candidates, idx.document).join(qs, "query_id")
              .filter(F.contains("full_text", "text")).select("query_id", "doc_id"))
+    short = qs.filter(F.size(tokens) <= 2)
+    for part in chunks(short, "query_id", SHORT_TEXT_BYTES):
+        pairs = pairs.unionByName(containing(idx.document, part))
     grade = (F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1))
     return (pairs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
             .select("query_id", "doc_id", grade.alias("relevance")))
@@ -337,7 +357,11 @@ def searched_cells(spark, d, k, nprobe):
 
 
 def q_vector_ann(spark, d):
-    return searched_cells(spark, d, 10, 4)
+    """Cells by sign bits, which SQL can state too."""
+    docs = numbered_vectors(spark, d)
+    centers = vector.sign_cells(DIMS, SIGN_BITS)
+    cells = vector.write_cells(vector.assign_cells(docs, centers), scratch_dir(spark, "cells"))
+    return vector.vector_ann(cells, centers, label_means(spark, d), POOL, PROBES)
 
 
 def q_vector_ann_all_cells(spark, d):

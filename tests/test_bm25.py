@@ -145,11 +145,6 @@ def test_top_k_zero_and_negative(tutorial, as_queries):
         bm25.bm25_topk(tutorial, as_queries(QUERIES), top_k=-1)
 
 
-def test_max_df_ratio_leaves_out_common_words(tutorial, as_queries):
-    found = bm25.bm25_topk(tutorial, as_queries({1: "and pasta"}), max_df_ratio=0.3)
-    assert rows(found, "doc_id") == [(2,)]
-
-
 def test_rank_all_includes_documents_without_a_match(tutorial, as_queries):
     found = bm25.bm25_rank_all(tutorial, as_queries(QUERIES), top_k=5)
     for q, text in QUERIES.items():

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +96,39 @@ def test_ann_recall_and_exactness(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
 
 
+def test_sign_cells_need_no_training(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    data = [(i, rng.normal(size=16).tolist()) for i in range(800)] + [(900, [0.0] * 16)]
+    docs = spark.createDataFrame(data, SCHEMA).repartition(3)
+    qs = spark.createDataFrame([(q, data[q * 30][1]) for q in range(20)], Q_SCHEMA)
+    centers = vector.sign_cells(16, 4)
+    assigned = dict(rows(vector.assign_cells(docs, centers), "doc_id", "cell"))
+    directions = np.array([[-1 if hashlib.md5(f"{j}:{i}".encode()).hexdigest()[0] >= "8" else 1
+                            for i in range(16)] for j in range(4)])
+    assert len(assigned) == 800
+    for i, cell in list(assigned.items())[:100]:
+        product = np.array(data[i][1]) @ directions.T
+        assert cell == sum(1 << j for j in range(4) if product[j] > 0)
+    cells = vector.write_cells(vector.assign_cells(docs, centers), str(tmp_path / "cells"))
+    exact = ids(vector.vector_topk(docs, qs, 5))
+    assert ids(vector.vector_ann(cells, centers, qs, 5, nprobe=16)) == exact
+    few = ids(vector.vector_ann(cells, centers, qs, 5, nprobe=12))
+    assert np.mean([len(set(few[q]) & set(exact[q])) / 5 for q in exact]) >= 0.9
+    assert vector.vector_ann(cells, centers, qs.limit(0), 5, nprobe=4).count() == 0
+
+
+def test_many_queries_run_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(vector, "PART_RESULTS", 30)
+    monkeypatch.setattr(vector, "EMIT_ROWS", 7)
+    rng = np.random.default_rng(4)
+    data = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    qs = spark.createDataFrame([(q, data[q][1]) for q in range(12)], Q_SCHEMA)
+    found = ids(vector.vector_topk(docs, qs, 10))
+    stored = [(i, np.float32(v).astype(float)) for i, v in data]
+    assert found == brute_force(stored, stored[:12], 10)
+
+
 def test_label_means_of_a_hot_label(spark, tmp_path):
     from rankweave.plans import registry
     rng = np.random.default_rng(2)
