@@ -32,11 +32,15 @@ def token_positions(analyzed: DataFrame) -> DataFrame:
 def lemmatize(rows: DataFrame, lexicon: DataFrame | None) -> DataFrame:
     """Replace `token` by its lemma from a `(form, lemma)` table; unknown forms stay.
 
-    Extra columns are kept. The lexicon has one lemma per form.
+    Extra columns are kept. The lexicon has one lemma per form: two of them are an error, a repeated
+    row is not.
     """
     if lexicon is None:
         return rows
-    forms = lexicon.select(F.col("form").alias("token"), F.col("lemma").alias("_lemma"))
+    lemma = F.when(F.min("lemma").eqNullSafe(F.max("lemma")), F.min("lemma")).otherwise(
+        F.raise_error(F.concat(F.lit("the lexicon has two lemmas for "), F.col("form")))
+        .cast("string"))
+    forms = lexicon.groupBy("form").agg(lemma.alias("_lemma")).withColumnRenamed("form", "token")
     joined = lookup_join(rows, forms, "token", how="left")
     return (joined.withColumn("token", F.coalesce("_lemma", "token")).drop("_lemma")
             .select(*rows.columns))

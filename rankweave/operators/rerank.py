@@ -97,15 +97,18 @@ def rerank_cosine(candidates: DataFrame, query_vectors: DataFrame, document_vect
                   top_n: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Order candidates by cosine similarity of stored vectors.
 
-    `query_vectors` holds `(query_id, embedding)`, `document_vectors` `(doc_id, embedding)`. A
-    vector without direction scores 0, as the product with a zero vector does.
+    `query_vectors` holds `(query_id, embedding)`, `document_vectors` `(doc_id, embedding)`. No
+    candidate is lost: one without a stored vector, of a query without one, or with a vector that is
+    null or without direction scores 0, as the product with a zero vector does.
     """
     _checked(top_n)
     stored = document_vectors.select("doc_id", F.col("embedding").alias("_d"))
-    _, size = measured(candidates)
-    pairs = (union_all([stored.join(F.broadcast(part), "doc_id")
-                        for part in split(candidates, ["query_id", "doc_id"], size, limit)])
-             .join(query_vectors.select("query_id", F.col("embedding").alias("_q")), "query_id"))
+    wanted = candidates.select("doc_id").distinct()
+    _, size = measured(wanted)
+    found = union_all([stored.join(F.broadcast(part), "doc_id", "left_semi")
+                       for part in split(wanted, ["doc_id"], size, limit)])
+    asked = query_vectors.select("query_id", F.col("embedding").alias("_q"))
+    pairs = candidates.join(found, "doc_id", "left").join(asked, "query_id", "left")
     score = F.coalesce(cosine(F.col("_q"), F.col("_d")), F.lit(0.0))
     scored = pairs.withColumn("score", scoring.rounded(score, scoring.VECTOR_DIGITS))
     return _ranked(scored.drop("_q", "_d"), top_n)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,10 +32,6 @@ def compare_modes(queries: DataFrame, lexical: Retriever, vector: Retriever, ran
         union_all([build_run(r, mode, document) for mode, r in rankings.items()]))
 
 
-def config_hash(config: dict) -> str:
-    return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
-
-
 def check_manifest(spark: SparkSession, path: str, config: dict) -> None:
     """Store the configuration of a job on its first start; refuse to go on with another one."""
     text = json.dumps(config, sort_keys=True)
@@ -48,25 +44,36 @@ def check_manifest(spark: SparkSession, path: str, config: dict) -> None:
         spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(manifest)
 
 
-def finished_slices(spark: SparkSession, path: str, n: int) -> list[int]:
-    return [i for i in range(n) if path_exists(spark, f"{path}/slice={i}/_SUCCESS")]
+def finished_queries(spark: SparkSession, path: str) -> DataFrame | None:
+    """`(query_id, part)` of the queries whose results are complete, or None before the first."""
+    if not path_exists(spark, f"{path}/finished"):
+        return None
+    return spark.read.parquet(f"{path}/finished")
 
 
 def resume_run(queries: DataFrame, retrieve: Retriever, path: str, config: dict,
                slices: int = 8) -> DataFrame:
-    """Run all queries in slices that are written one by one; a rerun skips the finished ones.
+    """The results of all queries; only those without stored results are run, slice by slice.
 
-    Each configuration needs its own `path`. A slice counts as finished once its folder is
-    complete, so an interrupted slice is run again and overwritten. Results come back whole.
+    A slice first writes its results and then the ids of its queries. Results count only with such
+    an id, so an interrupted slice is run again and its leftovers are not read. Queries may be added
+    from call to call; each configuration needs its own `path`. Several slices bound what an
+    interruption can cost.
     """
     if slices <= 0:
         raise ValueError("slices must be positive")
     spark = queries.sparkSession
-    check_manifest(spark, path, {**config, "slices": slices})
-    done = set(finished_slices(spark, f"{path}/runs", slices))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(slices))
-    for i in range(slices):
-        if i not in done:
-            (retrieve(queries.filter(part == i)).write.mode("overwrite")
-             .parquet(f"{path}/runs/slice={i}"))
-    return spark.read.parquet(f"{path}/runs").drop("slice")
+    check_manifest(spark, path, config)
+    done = finished_queries(spark, path)
+    pending = materialize(queries if done is None else queries.join(done, "query_id", "left_anti"),
+                          "pending")
+    which = F.pmod(F.xxhash64("query_id"), F.lit(slices))
+    for i in sorted(r["i"] for r in pending.select(which.alias("i")).distinct().collect()):
+        some, part = pending.filter(which == i), uuid.uuid4().hex
+        retrieve(some).write.parquet(f"{path}/runs/part={part}")
+        some.select("query_id").write.parquet(f"{path}/finished/part={part}")
+    if not path_exists(spark, f"{path}/runs"):
+        return retrieve(queries.limit(0))
+    asked = finished_queries(spark, path).join(queries.select("query_id"), "query_id", "left_semi")
+    runs = spark.read.parquet(f"{path}/runs")
+    return runs.join(asked, ["query_id", "part"], "left_semi").drop("part")

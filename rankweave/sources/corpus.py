@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.html import html_links, html_text, html_title
 from ..functions.text import document_body, query_text
 from ..operators.topk import top_k
+from ..session import lookup_join, materialize
 
 
 def read_table(spark: SparkSession, path: str, file_format: str = "parquet", schema=None,
@@ -43,10 +44,12 @@ def dedupe_url(rows: DataFrame, arrival: str, existing: DataFrame | None = None)
     """First write wins per url; rows without a url are all kept.
 
     A url that makes up a large part of the rows is cut to one row inside every map task before
-    the shuffle. Rows without a url take no part in the shuffle.
+    the shuffle. Rows without a url take no part in the shuffle. Among rows of one url that arrived
+    at the same time a hash of the row decides, so the choice is the same in every run.
     """
     named = rows.filter(F.col("url").isNotNull())
-    first = top_k(named, ["url"], [F.col(arrival).asc()], 1, rank_col="_n").drop("_n")
+    order = [F.col(arrival).asc(), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).asc()]
+    first = top_k(named, ["url"], order, 1, rank_col="_n").drop("_n")
     if existing is not None:
         known = existing.select("url").filter(F.col("url").isNotNull())
         first = first.join(known, "url", "left_anti").select(*rows.columns)
@@ -69,12 +72,39 @@ def ingest_pages(pages: DataFrame, key: str = "page_id", existing: DataFrame | N
                  compat: bool = False, wide_ids: bool = False) -> DataFrame:
     """Documents of a page table; unreadable pages are left to `rejected_pages`.
 
-    Text is extracted before duplicates are removed: extraction is a map step, and the shuffle
-    then carries text instead of HTML.
+    Of the pages of one url the first is taken, as `dedupe_url` does, before any text is extracted.
     """
-    readable = pages.filter(F.col("html").isNotNull())
-    documents = extract_pages(readable, key, compat, wide_ids)
-    return dedupe_url(documents, "arrival", existing).drop("arrival")
+    first = first_pages(pages.filter(F.col("html").isNotNull()), key)
+    documents = extract_pages(first, key, compat, wide_ids).drop("arrival")
+    if existing is None:
+        return documents
+    known = existing.select("url").filter(F.col("url").isNotNull())
+    return documents.join(known, "url", "left_anti").select(*documents.columns)
+
+
+def first_pages(pages: DataFrame, key: str) -> DataFrame:
+    """The first page of every url by `key` (by a hash of the page among equal keys), and all pages
+    without a url.
+
+    Only urls, keys and hashes are shuffled. Urls with several pages are written down and joined
+    back to the pages as a lookup table; repeated rows of a first page are cut to one.
+    """
+    rows = pages.select(key, "url", "html").withColumn("_h", F.xxhash64("html"))
+    kinds = (rows.filter(F.col("url").isNotNull()).groupBy("url", key, "_h")
+             .agg(F.count(F.lit(1)).alias("_n")))
+    several = materialize(
+        kinds.groupBy("url").agg(F.min(F.struct(key, "_h", "_n")).alias("_first"),
+                                 F.sum("_n").alias("_all"))
+        .filter("_all > 1").drop("_all"), "several")
+    marked = lookup_join(rows, several, "url", "left")
+    own = F.col("_first")
+    kept = marked.filter(own.isNull() | (own[key].eqNullSafe(F.col(key)) & (own["_h"] == F.col("_h"))))
+    columns = [key, "url", "html"]
+    if several.filter(own["_n"] > 1).isEmpty():
+        return kept.select(*columns)
+    again = F.coalesce(own["_n"] > 1, F.lit(False))
+    return kept.filter(~again).select(*columns).unionByName(
+        kept.filter(again).dropDuplicates(["url"]).select(*columns))
 
 
 def rejected_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:

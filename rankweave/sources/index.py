@@ -1,13 +1,17 @@
 """The index on disk: built once, opened by any session, searched many times.
 
-Layout, all Parquet:
+Layout; each build has a folder of its own, all Parquet:
 
-    forward/          doc_id, full_text, url, title, len, tokens     (map-only write)
-    token/            token_id, token, doc_freq                      (range-sorted by token)
-    term_doc_stats/   token_id, doc_id, tf, len                      (bucketed by doc_id)
-    token_position/   doc_id, token_id, position                     (bucketed by doc_id)
-    corpus_stats/     one row
-    manifest/         one row: bucket count
+    manifest/                 one JSON row per build: its folder, buckets, analyzer, lexicon
+    build-<id>/
+      forward/          doc_id, full_text, url, title, len, tokens     (map-only write)
+      token/            token_id, token, doc_freq                      (range-sorted by token)
+      term_doc_stats/   token_id, doc_id, tf, len                      (bucketed by doc_id)
+      token_position/   doc_id, token_id, position                     (bucketed by doc_id)
+      corpus_stats/     one row
+
+A build joins the manifest when all its tables are complete, and readers open the last one there.
+An interrupted build is never seen, and sessions that have an earlier one open keep it.
 
 Text is read and tokenized in one pass that writes `forward`; every other table is derived from
 its token column. Postings and positions are bucketed by document and sorted by token inside a
@@ -17,6 +21,8 @@ top k per query is shuffled. A frequent token is spread over all buckets.
 
 from __future__ import annotations
 
+import hashlib
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import Analyzer, words
 from ..operators import lexical
-from ..session import path_exists, spread
+from ..session import spread
 
 # Bucket size: the postings of this many token occurrences take a few GB. Smaller buckets would
 # make the one shuffle of the build too fine-grained for a very large corpus.
@@ -42,6 +48,8 @@ class LexicalIndex:
     lexicon: DataFrame | None = None
     # Number of buckets the postings lie in.
     buckets: int = 1
+    # Names under which the session's catalog knows the bucketed files.
+    tables: tuple[str, ...] = ()
 
 
 def build_index(documents: DataFrame, analyzer: Analyzer = words,
@@ -80,31 +88,36 @@ def _tables(analyzed: DataFrame, postings: DataFrame, analyzer: Analyzer,
     )
 
 
+def new_build(path: str) -> str:
+    """The folder of a new build of the index at `path`."""
+    return f"{path}/build-{uuid.uuid4().hex[:12]}"
+
+
 def write_index(documents: DataFrame, path: str, analyzer: Analyzer = words,
                 lexicon: DataFrame | None = None, buckets: int | None = None,
                 positions: bool = True) -> LexicalIndex:
-    """Build and write the index, replacing what is at `path`, and open it.
+    """Build and write the index, which takes the place of the one at `path`, and open it.
 
     `documents` holds `doc_id, full_text, url, title`. The text is read once, in a map step.
     """
-    spark = documents.sparkSession
+    build = new_build(path)
     # The bloom filters let a lookup of few documents skip most row groups without sorting
     # or moving the text.
-    (lexical.analyze(spread(documents, "doc_id"), analyzer).write.mode("overwrite")
+    (lexical.analyze(spread(documents, "doc_id"), analyzer).write
      .option("parquet.bloom.filter.enabled#doc_id", "true")
      .option("parquet.bloom.filter.enabled#url", "true")
-     .parquet(f"{path}/forward"))
-    return derive_index(spark, path, analyzer, lexicon, buckets, positions)
+     .parquet(f"{build}/forward"))
+    return derive_index(documents.sparkSession, path, build, analyzer, lexicon, buckets, positions)
 
 
-def derive_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
+def derive_index(spark: SparkSession, path: str, build: str, analyzer: Analyzer = words,
                  lexicon: DataFrame | None = None, buckets: int | None = None,
                  positions: bool = True) -> LexicalIndex:
-    """Write all other tables from the tokens in `forward`."""
-    forward = spark.read.parquet(f"{path}/forward")
-    lexical.corpus_stats(forward).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    """Write all other tables of a build from the tokens in its `forward`, and open the index."""
+    forward = spark.read.parquet(f"{build}/forward")
+    lexical.corpus_stats(forward).write.parquet(f"{build}/corpus_stats")
     if buckets is None:
-        total = spark.read.parquet(f"{path}/corpus_stats").first()["total_len"] or 0
+        total = spark.read.parquet(f"{build}/corpus_stats").first()["total_len"] or 0
         buckets = max(spark.sparkContext.defaultParallelism, -(-total // TOKENS_PER_BUCKET))
 
     # Without a lexicon this is a map step, followed by the one shuffle of the postings.
@@ -113,22 +126,42 @@ def derive_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
         by_doc = lexical.lemmatize(postings, lexicon).repartition(buckets, "doc_id")
         postings = by_doc.groupBy("doc_id", "token").agg(
             F.sum("tf").alias("tf"), F.first("len").alias("len"))
-    _write_buckets(_postings(postings), f"{path}/term_doc_stats", buckets)
+    _write_buckets(_postings(postings), f"{build}/term_doc_stats", buckets)
     if positions:
-        _write_buckets(_positions(forward, lexicon), f"{path}/token_position", buckets)
+        _write_buckets(_positions(forward, lexicon), f"{build}/token_position", buckets)
 
     distinct = forward.select(F.explode(F.array_distinct("tokens")).alias("token"), "doc_id")
     if lexicon is not None:
         # Two forms of one lemma in a document count once.
         distinct = lexical.lemmatize(distinct, lexicon).distinct()
     (_tokens(distinct).repartitionByRange("token").sortWithinPartitions("token")
-     .write.mode("overwrite").parquet(f"{path}/token"))
+     .write.parquet(f"{build}/token"))
 
-    (spark.range(1).select(F.lit(buckets).alias("buckets"))
-     .write.mode("overwrite").json(f"{path}/manifest"))
+    row = (build.rsplit("/", 1)[-1], time.time(), buckets, positions, analyzer_name(analyzer),
+           lexicon_mark(lexicon))
+    (spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append")
+     .json(f"{path}/manifest"))
     return open_index(spark, path, analyzer, lexicon)
 
 
+MANIFEST = ("build string, written double, buckets int, positions boolean, analyzer string, "
+            "lexicon string")
+
+
+def analyzer_name(analyzer: Analyzer) -> str:
+    return (f"{getattr(analyzer, '__module__', '')}."
+            f"{getattr(analyzer, '__qualname__', type(analyzer).__name__)}")
+
+
+def lexicon_mark(lexicon: DataFrame | None) -> str:
+    """Tells lexicons with different rows apart."""
+    if lexicon is None:
+        return "none"
+    row = lexicon.select("form", "lemma").distinct().agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("form", "lemma")).alias("x")).first()
+    return f"{row['n']}:{row['x']}"
+
+
 def _write_buckets(rows: DataFrame, path: str, buckets: int) -> None:
     table = _table_name()
     (rows.repartition(buckets, "doc_id").write.mode("overwrite")
@@ -138,13 +171,16 @@ def _write_buckets(rows: DataFrame, path: str, buckets: int) -> None:
     rows.sparkSession.sql(f"DROP TABLE {table}")
 
 
-def _open_buckets(spark: SparkSession, path: str, buckets: int) -> DataFrame:
-    """Name the files as a bucketed table, so that the planner knows how rows are placed."""
+def _open_buckets(spark: SparkSession, path: str, buckets: int) -> tuple[str, DataFrame]:
+    """Name the files as a bucketed table, so that the planner knows how rows are placed.
+
+    The name follows from the path, so opening again finds the same table.
+    """
+    table = f"rankweave_{hashlib.md5(path.encode()).hexdigest()[:16]}"
     columns = ", ".join(f"{name} {kind}" for name, kind in spark.read.parquet(path).dtypes)
-    table = _table_name()
-    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (doc_id) "
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (doc_id) "
               f"SORTED BY (token_id) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return spark.table(table)
+    return table, spark.table(table)
 
 
 def _table_name() -> str:
@@ -153,23 +189,41 @@ def _table_name() -> str:
 
 def open_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
                lexicon: DataFrame | None = None) -> LexicalIndex:
-    """Open an index written earlier, also by another session."""
-    buckets = spark.read.schema("buckets int").json(f"{path}/manifest").first()["buckets"]
-    forward = spark.read.parquet(f"{path}/forward")
+    """Open the last complete build at `path`, also of another session.
+
+    Another analyzer or lexicon than the build was made with would rank silently wrong and is
+    refused.
+    """
+    last = spark.read.schema(MANIFEST).json(f"{path}/manifest").orderBy(
+        F.col("written").desc()).first()
+    given = (analyzer_name(analyzer), lexicon_mark(lexicon))
+    if given != (last["analyzer"], last["lexicon"]):
+        raise ValueError(f"the index was built with {last['analyzer']}, lexicon {last['lexicon']}, "
+                         f"not with {given[0]}, lexicon {given[1]}")
+    build, buckets = f"{path}/{last['build']}", last["buckets"]
+    forward = spark.read.parquet(f"{build}/forward")
+    names, frames = zip(*[
+        _open_buckets(spark, f"{build}/{name}", buckets)
+        for name in ("term_doc_stats", "token_position")[:2 if last["positions"] else 1]])
     return LexicalIndex(
         document=forward.drop("tokens"),
-        token=spark.read.parquet(f"{path}/token"),
-        term_doc_stats=_open_buckets(spark, f"{path}/term_doc_stats", buckets),
-        token_position=(_open_buckets(spark, f"{path}/token_position", buckets)
-                        if path_exists(spark, f"{path}/token_position")
-                        else _positions(forward, lexicon)),
-        corpus_stats=spark.read.parquet(f"{path}/corpus_stats"),
+        token=spark.read.parquet(f"{build}/token"),
+        term_doc_stats=frames[0],
+        token_position=frames[1] if last["positions"] else _positions(forward, lexicon),
+        corpus_stats=spark.read.parquet(f"{build}/corpus_stats"),
         analyzer=analyzer,
         lexicon=lexicon,
         buckets=buckets,
+        tables=names,
     )
 
 
+def close_index(index: LexicalIndex) -> None:
+    """Take the index out of the session's catalog; its files stay."""
+    for table in index.tables:
+        index.document.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def validate_index(index: LexicalIndex, links: DataFrame | None = None) -> DataFrame:
     """Violations of the table rules as `(rule, table_name, violations)`; one row per rule.
 

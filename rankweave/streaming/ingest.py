@@ -8,8 +8,8 @@ from ..functions.text import Analyzer, words
 from ..operators import lexical
 from ..schemas import DOCUMENT, TERM_DOC_STATS, TOKEN_POSITION
 from ..session import BROADCAST_BYTES, measured, path_exists
-from ..sources.corpus import dedupe_url, extract_pages
-from ..sources.index import LexicalIndex, _positions, _postings, derive_index
+from ..sources.corpus import extract_pages, first_pages
+from ..sources.index import LexicalIndex, _positions, _postings, derive_index, new_build
 
 BATCH_ID = T.StructField("batch_id", T.LongType())
 SCHEMAS = {
@@ -47,7 +47,7 @@ def add_batch(pages: DataFrame, batch_id: int, path: str, key: str = "page_id",
     """
     spark = pages.sparkSession
     readable = pages.filter(F.col("html").isNotNull())
-    fresh = dedupe_url(extract_pages(readable, key), "arrival").drop("arrival")
+    fresh = extract_pages(first_pages(readable, key), key).drop("arrival")
     if path_exists(spark, f"{path}/forward"):
         others = (spark.read.schema(FORWARD).parquet(f"{path}/forward")
                   .filter(F.col("batch_id") != batch_id))
@@ -102,9 +102,9 @@ def read_stream_index(spark: SparkSession, path: str, analyzer: Analyzer = words
 
 def compact(spark: SparkSession, path: str, target: str, **options) -> LexicalIndex:
     """Rewrite a streamed index as a bucketed one at `target`; the text is not analyzed again."""
-    (spark.read.schema(SCHEMAS["forward"]).parquet(f"{path}/forward").drop("batch_id")
-     .write.mode("overwrite")
+    build = new_build(target)
+    (spark.read.schema(SCHEMAS["forward"]).parquet(f"{path}/forward").drop("batch_id").write
      .option("parquet.bloom.filter.enabled#doc_id", "true")
      .option("parquet.bloom.filter.enabled#url", "true")
-     .parquet(f"{target}/forward"))
-    return derive_index(spark, target, **options)
+     .parquet(f"{build}/forward"))
+    return derive_index(spark, target, build, **options)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from rankweave.functions.text import words
+from rankweave.functions.text import ascii_words, words
 from rankweave.operators import bm25, lexical
 from rankweave.session import lookup_join, scratch_dir
 from rankweave.sources import corpus, index
@@ -100,6 +100,51 @@ def test_validate_index_reports_each_rule(spark, make_index):
     assert found["link", "from_doc_id known"] == 0
 
 
+def test_a_rebuild_without_positions_leaves_nothing_of_the_old_one(spark, tmp_path):
+    def docs(text, key):
+        return spark.createDataFrame([(key, text, "u", "t")], "doc_id long, full_text string, "
+                                     "url string, title string")
+    path = str(tmp_path / "i")
+    old = index.write_index(docs("a b", 1), path)
+    new = index.write_index(docs("c", 7), path, positions=False)
+    assert rows(new.token_position, "doc_id", "position") == [(7, 0)]
+    assert sorted(rows(old.token_position, "doc_id", "position")) == [(1, 0), (1, 1)]
+    tables = len(spark.catalog.listTables())
+    again = index.open_index(spark, path)
+    index.open_index(spark, path)
+    assert len(spark.catalog.listTables()) == tables
+    index.close_index(again)
+    assert len(spark.catalog.listTables()) == tables - 1
+    assert rows(index.open_index(spark, path).token, "token") == [("c",)]
+
+
+def test_an_index_is_opened_as_it_was_built(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "cats", "u", "t")],
+                                 "doc_id long, full_text string, url string, title string")
+    lexicon = spark.createDataFrame([("cats", "cat"), ("cats", "cat")], "form string, lemma string")
+    path = str(tmp_path / "i")
+    assert rows(index.write_index(docs, path, lexicon=lexicon).token, "token") == [("cat",)]
+    with pytest.raises(ValueError, match="lexicon"):
+        index.open_index(spark, path)
+    with pytest.raises(ValueError, match="ascii"):
+        index.open_index(spark, path, ascii_words, lexicon)
+    two = lexicon.union(spark.createDataFrame([("cats", "dog")], "form string, lemma string"))
+    with pytest.raises(Exception, match="two lemmas"):
+        lexical.lemmatize(lexical.token_positions(lexical.analyze(docs)), two).collect()
+
+
+def test_first_pages_of_ties_and_repeats(spark):
+    data = [(1, "a", "x"), (1, "a", "y"), (2, "a", "z"), (3, "b", "w"), (3, "b", "w"), (4, None, "v"),
+            (4, None, "v"), (None, "c", "n"), (5, "c", "m"), (6, "d", "o")]
+    frame = spark.createDataFrame(data, "page_id long, url string, html string")
+    picked = [sorted(rows(corpus.first_pages(frame.repartition(n), "page_id"), "url", "html"), key=str)
+              for n in (1, 3)]
+    assert picked[0] == picked[1] and len(picked[0]) == 6
+    assert {("b", "w"), ("c", "n"), ("d", "o"), (None, "v")} < set(picked[0])
+    again = corpus.dedupe_url(frame.withColumnRenamed("html", "full_text"), "page_id")
+    assert again.filter("url = 'a'").count() == 1
+
+
 def test_dedupe_url(spark):
     data = [(1, "a", 2), (2, "a", 1), (3, None, 1), (4, None, 2), (5, "b", 9)]
     docs = spark.createDataFrame(data, "doc_id long, url string, arrival int")

@@ -153,6 +153,12 @@ def test_evaluation_resumes(make_index, as_queries, tmp_path):
     assert len(calls) == 5  # the two slices not finished before
     assert sorted(rows(found, "query_id", "doc_id", "rank")) == sorted(
         rows(bm25.bm25_topk(idx, queries, top_k=2), "query_id", "doc_id", "rank"))
+    more = as_queries({i: f"w{i % 3}" for i in range(20)})
+    found = evaluation.resume_run(more, retrieve, path, config, 4)
+    assert len(calls) <= 9 and found.select("query_id").distinct().count() == 20
+    done = len(calls)
+    assert evaluation.resume_run(queries, retrieve, path, config, 2).count() == 24
+    assert len(calls) == done
     with pytest.raises(ValueError, match="does not match"):
         evaluation.resume_run(queries, retrieve, path, {**config, "top_k": 20}, 4)
 
