@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scoring
 from ..functions.text import Analyzer
 from ..session import (
-    BROADCAST_BYTES, materialize, measured, pushdown_limit, split, union_all,
+    BROADCAST_BYTES, materialize, measured, picked, pushdown_limit, split, union_all,
 )
 from ..sources.index import LexicalIndex
 from .lexical import lemmatize, token_id
 from . import topk
 
-# Four columns and the overhead of a row; ids that are strings stay below this too.
-RANKING_ROW_BYTES = 128
+# Postings of one bucket that a part of the queries may ask for, counted once per query.
+BUCKET_POSTINGS = 20_000_000
 
 
 def query_terms(queries: DataFrame, analyzer: Analyzer, mode: str = "set",
@@ -63,14 +63,18 @@ def _narrowed(index: LexicalIndex, terms: DataFrame) -> LexicalIndex:
 
 def _term_chunks(index: LexicalIndex, queries: DataFrame, mode: str,
                  limit: int) -> list[tuple[LexicalIndex, DataFrame]]:
-    """Weighted terms in parts of whole queries, each small enough to be broadcast."""
+    """Weighted terms in parts of whole queries, each small enough to be broadcast and with no more
+    postings to a bucket than a task can add up."""
     terms = query_terms(queries, index.analyzer, mode, index.lexicon)
     rows, size = measured(terms)
+    size *= 2  # a joined term carries two numbers more than the measured one
     if rows <= pushdown_limit(queries.sparkSession):
         index = _narrowed(index, terms)
-    # A joined term carries two numbers more than the measured one.
-    return [(index, weighted_terms(index, part))
-            for part in split(terms, ["query_id"], 2 * size, limit)]
+    else:
+        work = (index.token.join(terms.select("token"), "token")
+                .agg(F.coalesce(F.sum("doc_freq"), F.lit(0)).alias("n")).first()["n"])
+        size = max(size, limit * (work // index.buckets) // BUCKET_POSTINGS)
+    return [(index, weighted_terms(index, part)) for part in split(terms, ["query_id"], size, limit)]
 
 
 def bm25_scores(index: LexicalIndex, terms: DataFrame, k1: float, b: float) -> DataFrame:
@@ -142,11 +146,13 @@ def bm25_explain(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, k1:
     occurrences = lemmatize(occurrences, index.lexicon).withColumn(
         "token_id", token_id(F.col("token")))
     parts = []
-    for _, terms in _term_chunks(index, queries, "set", limit):
+    for narrow, terms in _term_chunks(index, queries, "set", limit):
+        postings = picked(narrow.term_doc_stats, "doc_id", pairs)
+        postings = narrow.term_doc_stats if postings is None else postings
         wanted = terms.join(pairs, "query_id")
         _, size = measured(wanted)
         wanted = F.broadcast(wanted) if size <= limit else wanted
-        parts.append(index.term_doc_stats.join(wanted, ["token_id", "doc_id"]).select(
+        parts.append(postings.join(wanted, ["token_id", "doc_id"]).select(
             "query_id", "doc_id", "token_id",
             scoring.bm25_weight(F.col("idf"), F.col("tf"), F.col("len"), avgdl, k1, b)
             .alias("part")))
@@ -179,15 +185,15 @@ def bm25_sweep(index: LexicalIndex, queries: DataFrame, params: list[tuple[float
     return union_all(results)
 
 
-def attach_titles(ranking: DataFrame, document: DataFrame, rows: int | None = None,
+def attach_titles(ranking: DataFrame, document: DataFrame,
                   limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Add `doc_title`. Titles are read after the cut to the top k, for ranked documents only.
-
-    `rows` is the most rows the ranking can have, queries times `k`. Without it the ranking is
-    measured, and should be one that is written down.
-    """
+    """Add `doc_title`. The ranking is written down first, and titles are read for its documents
+    only: their ids go to the Parquet reader."""
+    done = materialize(ranking, "ranking")
     titles = document.select("doc_id", F.col("title").alias("doc_title"))
-    size = measured(ranking)[1] if rows is None else rows * RANKING_ROW_BYTES
-    small = F.broadcast(ranking) if size <= limit else ranking
-    return titles.join(small, "doc_id").select(
+    found = picked(titles, "doc_id", done)
+    if found is None:
+        found = titles
+    size = measured(done)[1]
+    return found.join(F.broadcast(done) if size <= limit else done, "doc_id").select(
         "query_id", "doc_id", "doc_title", "score", "rank")

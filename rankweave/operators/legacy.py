@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scoring
-from ..session import BROADCAST_BYTES, chunks, lookup_join, materialize, union_all
+from ..session import (
+    BROADCAST_BYTES, chunks, lookup_join, materialize, picked, union_all,
+)
 from ..sources.index import LexicalIndex
 from .bm25 import query_terms
 from .lexical import token_id
@@ -22,16 +24,19 @@ def matched_tokens(index: LexicalIndex, queries: DataFrame,
     """Per query, document and matched word: its occurrences and first position.
 
     Occurrences are reduced once per document and word, before queries that share the word see
-    them. Positions are bucketed by document, so neither this step nor the sums per document that
+    them. The words go to the Parquet reader, unless there are very many: positions are sorted by
+    word inside a bucket, so it skips what no query asks for. They are bucketed by document, so neither this step nor the sums per document that
     follow need a shuffle.
     """
     terms = query_terms(queries, index.analyzer, "set", index.lexicon).select(
         "query_id", token_id(F.col("token")).alias("token_id"))
     parts = []
     for part in chunks(terms, "query_id", limit):
-        wanted = F.broadcast(part.select("token_id").distinct())
-        found = (index.token_position.join(wanted, "token_id", "left_semi")
-                 .groupBy("doc_id", "token_id")
+        rows = picked(index.token_position, "token_id", part)
+        if rows is None:
+            rows = index.token_position.join(F.broadcast(part.select("token_id").distinct()),
+                                             "token_id", "left_semi")
+        found = (rows.groupBy("doc_id", "token_id")
                  .agg(F.count(F.lit(1)).alias("locations"),
                       F.min("position").cast("long").alias("first_position")))
         parts.append(found.join(F.broadcast(part), "token_id").select(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scoring
 from ..functions.text import QUERY_TASK
 from ..functions.vectors import cosine
-from ..session import BROADCAST_BYTES, measured, pushdown_limit, split, union_all
+from ..session import BROADCAST_BYTES, chunks, measured, picked, split, union_all
 from . import topk
 
 # A scorer as an expression of (query text, document text) ...
@@ -24,19 +24,17 @@ def fetch_documents(candidates: DataFrame, document: DataFrame,
                     limit: int = BROADCAST_BYTES) -> DataFrame:
     """Candidates with `full_text`; a candidate without a document gets an empty text.
 
-    Few ids, as of a single query, go to the Parquet reader, which skips the row groups without
-    them. More are broadcast, so the text of the corpus is never shuffled: only the texts of
-    candidates leave the scan. Ids beyond the limit are looked up in parts, one scan each. The
-    candidates are read more than once: give a ranking that is written down.
+    Ids go to the Parquet reader, which skips the row groups without them. Only very many are
+    broadcast against a scan of all texts, in parts below the limit; so the text of the corpus is
+    never shuffled, only the texts of candidates leave the scan. The candidates are read more than
+    once: give a ranking that is written down.
     """
     wanted = candidates.select("doc_id").distinct()
-    rows, size = measured(wanted)
     texts = document.select("doc_id", "full_text")
-    if rows <= pushdown_limit(document.sparkSession):
-        found = texts.filter(F.col("doc_id").isin([row["doc_id"] for row in wanted.collect()]))
-    else:
+    found = picked(texts, "doc_id", wanted)
+    if found is None:
         found = union_all([texts.join(F.broadcast(part), "doc_id", "left_semi")
-                           for part in split(wanted, ["doc_id"], size, limit)])
+                           for part in chunks(wanted, "doc_id", limit)])
     return (candidates.join(found, "doc_id", "left")
             .withColumn("full_text", F.coalesce("full_text", F.lit(""))))
 
@@ -114,6 +112,7 @@ def rerank_cosine(candidates: DataFrame, query_vectors: DataFrame, document_vect
     return _ranked(scored.drop("_q", "_d"), top_n)
 
 
+# The form of the prompt that judging models are given.
 def judge_prompt(query: Column, document: Column,
                  instruction: str = QUERY_TASK) -> Column:
     return F.concat(F.lit(f"<Instruct>: {instruction}\n<Query>: "), query,

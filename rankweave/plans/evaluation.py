@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,6 +34,34 @@ def compare_modes(queries: DataFrame, lexical: Retriever, vector: Retriever, ran
         union_all([build_run(r, mode, document) for mode, r in rankings.items()]))
 
 
+def measure_modes(queries: DataFrame, lexical: Retriever, vector: Retriever, ranker: Ranker,
+                  pool: int = 100, rrf_k: int = 60, slices: int = 4) -> DataFrame:
+    """`(mode, slice, queries, seconds)`: seconds per query of each mode, for slices of the queries.
+
+    Every stage is run to its end and timed on its own; a mode takes as long as the stages it is
+    made of, so `reranked` includes retrieval, fusion and the ranker. For `latency_summary`.
+    """
+    spark = queries.sparkSession
+    which = F.pmod(F.xxhash64("query_id"), F.lit(slices))
+    counts = {r["i"]: r["n"] for r in
+              queries.groupBy(which.alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = []
+    for i, n in sorted(counts.items()):
+        some = queries.filter(which == i)
+
+        def timed(stage: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
+            start = time.perf_counter()
+            done = materialize(stage(), "timed")
+            return done, (time.perf_counter() - start) / n
+        bm25, a = timed(lambda: lexical(some))
+        nearest, b = timed(lambda: vector(some))
+        fused, c = timed(lambda: reciprocal_rank_fusion([bm25, nearest], rrf_k))
+        _, d = timed(lambda: ranker(some, fused.filter(F.col("rank") <= pool)))
+        seconds = (a, b, a + b + c, a + b + c + d)
+        rows += [(mode, i, n, value) for mode, value in zip(MODES, seconds)]
+    return spark.createDataFrame(rows, "mode string, slice int, queries bigint, seconds double")
+
+
 def check_manifest(spark: SparkSession, path: str, config: dict) -> None:
     """Store the configuration of a job on its first start; refuse to go on with another one."""
     text = json.dumps(config, sort_keys=True)

@@ -32,9 +32,7 @@ def embed_queries(queries: DataFrame, embed: EmbedFunction, dims: int | None = N
 def bm25_retriever(index: LexicalIndex, k1: float | None = None, b: float | None = None,
                    top_k: int | None = None) -> Retriever:
     def retrieve(queries: DataFrame) -> DataFrame:
-        ranking = bm25_topk(index, queries, k1, b, top_k)
-        rows = queries.count() * (10 if top_k is None else top_k)
-        return attach_titles(ranking, index.document, rows)
+        return attach_titles(bm25_topk(index, queries, k1, b, top_k), index.document)
     return retrieve
 
 
@@ -45,8 +43,7 @@ def vector_retriever(documents: DataFrame, embed: EmbedFunction, titles: DataFra
     def retrieve(queries: DataFrame) -> DataFrame:
         vectors = materialize(embed_queries(queries, embed, dims, instruct))
         ranking = vector_topk(documents, vectors, top_k)
-        return ranking if titles is None else attach_titles(
-            ranking, titles, vectors.count() * top_k)
+        return ranking if titles is None else attach_titles(ranking, titles)
     return retrieve
 
 

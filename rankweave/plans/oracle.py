@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.html import BLOCKS
 from ..functions.text import QUERY_TASK
 from .registry import DIMS, POOL, PROBES, QUERY, REFUSED, RERANK_DIMS, SIGN_BITS, SWEEP
 
@@ -204,12 +205,18 @@ MATCHED = [DOCS, POSITIONS, QUERIES, QUERY_TOKENS, SET_TERMS, """matched AS (
   FROM sums)"""]
 
 
+ATTRS = r"""(?:[\s/](?:[^>=]|=\s*"[^"]*"|=\s*''[^'']*''|=)*)?"""
+
+
 def page_text(column: str) -> str:
     """The chain of replacements that leaves the visible text."""
     text = column
-    for pattern in (r"<(script|style)\b.*?</(script|style)\s*>", r"<!--.*?-->", r"<!doctype[^>]*>",
-                    r"</?[A-Za-z][^>]*>"):
-        text = f"regexp_replace({text}, '{pattern}', ' ', 'gis')"
+    for pattern, gap in (
+            (r"<script\b[^>]*>.*?</script\s*>", ""), (r"<style\b[^>]*>.*?</style\s*>", ""),
+            (r"<template\b[^>]*>.*?</template\s*>", ""), ("<!--.*?-->", ""), ("<[!?][^>]*>", ""),
+            (f"</?(?:{'|'.join(BLOCKS)}){ATTRS}>", " "), (rf"</?[A-Za-z][^\s/>]*{ATTRS}>", ""),
+            (r"</?[A-Za-z][^>]*>", "")):
+        text = f"regexp_replace({text}, '{pattern}', '{gap}', 'gis')"
     text = entities(text)
     text = rf"regexp_replace({text}, '[\s\x{{00a0}}]+', ' ', 'g')"
     return f"trim({text}, ' ')"
@@ -217,7 +224,7 @@ def page_text(column: str) -> str:
 
 def entities(text: str) -> str:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
-                         ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+                         ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         text = f"replace({text}, '{entity}', '{char}')"
     return text
 

@@ -49,6 +49,31 @@ def pushdown_limit(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
 
 
+# So many lists are handed over at most; beyond that ids are broadcast.
+PUSHED_LISTS = 32
+
+
+def picked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame | None:
+    """The rows of a scan with one of the ids in `wanted`, or None if these are too many.
+
+    Ids go to the Parquet reader as lists it accepts, sorted, in a single scan, so it decodes only
+    the row groups whose ranges and bloom filters admit one of them.
+    """
+    limit = pushdown_limit(df.sparkSession)
+    most = limit * PUSHED_LISTS
+    ids = sorted(r[0] for r in wanted.select(key).filter(F.col(key).isNotNull()).distinct()
+                 .limit(most + 1).collect())
+    if len(ids) > most:
+        return None
+    if not ids:
+        return df.filter(F.lit(False))
+    found = None
+    for at in range(0, len(ids), limit):
+        part = F.col(key).isin(ids[at:at + limit])
+        found = part if found is None else found | part
+    return df.filter(found)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether Spark's file system layer sees `path` (local, HDFS or object store)."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

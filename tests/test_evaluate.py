@@ -111,6 +111,32 @@ def test_latency(spark, n):
     assert (found["flat"]["n"], found["flat"]["p95_ms"]) == (3, 1000.0)
 
 
+def test_latency_with_an_outlier_orders_a_narrow_band(spark):
+    n = 200_000
+    df = spark.range(n, numPartitions=4).select(F.lit("m").alias("mode"), F.when(
+        F.col("id") == 7, F.lit(1e6)).otherwise((F.col("id") * 7919 % n) / n).alias("seconds"))
+    found = evaluate.latency_summary(df).first()
+    values = sorted(1e6 if i == 7 else i * 7919 % n / n for i in range(n))
+    assert found["p95_ms"] == pytest.approx(values[math.ceil(.95 * n) - 1] * 1000, abs=1e-6)
+    low, high = df.select(F.percentile_approx("seconds", [.95 - 2e-4, .95 + 2e-4], 10_000)).first()[0]
+    assert sum(low <= v <= high for v in values) < n / 500
+    assert evaluate.latency_summary(df.limit(0)).collect() == []
+
+
+def test_modes_are_timed_stage_by_stage(spark, make_index, as_queries):
+    from rankweave.plans import evaluation, hybrid
+    idx = make_index({i: f"w{i % 3} x" for i in range(9)})
+    retrieve = hybrid.bm25_retriever(idx, top_k=3)
+    found = evaluation.measure_modes(as_queries({1: "w1", 2: "w2", 3: "x"}), retrieve, retrieve,
+                                     lambda qs, ranking: ranking, slices=2).collect()
+    seconds = {(r["slice"], r["mode"]): r["seconds"] for r in found}
+    for i in {r["slice"] for r in found}:
+        parts = [seconds[i, mode] for mode in evaluation.MODES]
+        assert min(parts) > 0 and parts[2] > parts[0] + parts[1] and parts[3] > parts[2]
+    summary = evaluate.latency_summary(spark.createDataFrame(found)).collect()
+    assert {r["mode"] for r in summary} == set(evaluation.MODES)
+
+
 def test_build_run_names_documents_by_url(spark):
     ranking = spark.createDataFrame([(1, 5, .9, 1), (1, 6, .8, 2), (1, 7, .7, 3)],
                                     "query_id long, doc_id long, score double, rank int")

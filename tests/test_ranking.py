@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from rankweave.operators import fusion, rerank
+from rankweave.operators import bm25, fusion, rerank
 from rankweave.operators.embed import hashing_embedder
 from rankweave.plans import hybrid
 
@@ -91,7 +91,7 @@ def test_fetch_documents_beyond_the_broadcast_limit(spark):
     data = [(q, 7, "t", 1.0, 1) for q in range(100)] + [(q, q % 60, "t", .5, 2) for q in range(100)]
     candidates = spark.createDataFrame(data, RANKING)
     few = rerank.fetch_documents(candidates, docs)
-    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "2")
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "1")
     try:
         small = rerank.fetch_documents(candidates, docs)
         large = rerank.fetch_documents(candidates, docs, limit=500)
@@ -103,6 +103,38 @@ def test_fetch_documents_beyond_the_broadcast_limit(spark):
     assert small.filter("full_text = ''").count() == sum(q % 60 >= 50 for q in range(100))
 
 
+@pytest.mark.parametrize("n", [1, 5000])
+def test_candidates_are_asked_of_the_reader(spark, make_index, tmp_path, n):
+    texts = spark.range(20_000).select(F.col("id").alias("doc_id"),
+                                       F.concat(F.lit("text "), "id").alias("full_text"),
+                                       F.concat(F.lit("title "), "id").alias("title"))
+    texts.write.option("parquet.bloom.filter.enabled#doc_id", "true").parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    data = spark.range(n).select(F.lit(1).cast("long").alias("query_id"),
+                                 (F.col("id") * 3).alias("doc_id"), F.lit(.5).alias("score"),
+                                 F.lit(1).alias("rank"))
+    for found in (rerank.fetch_documents(data, docs), bm25.attach_titles(data, docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [Or(" in plan or "PushedFilters: [In(doc_id" in plan \
+            or "EqualTo(doc_id,0)" in plan
+        assert found.count() == n
+
+
+def test_explain_and_legacy_read_asked_words_and_documents_only(spark, tmp_path, as_queries):
+    from rankweave.operators import legacy
+    from rankweave.sources import index
+    docs = spark.createDataFrame([(i, f"w{i % 5} x{i}", f"u{i}", "t") for i in range(50)],
+                                 "doc_id long, full_text string, url string, title string")
+    idx = index.write_index(docs, str(tmp_path / "i"))
+    queries = as_queries({1: "w1 x6"})
+    pairs = spark.createDataFrame([(1, 6)], "query_id long, doc_id long")
+    plan = bm25.bm25_explain(idx, queries, pairs)._jdf.queryExecution().toString()
+    assert "In(token_id" in plan and "EqualTo(doc_id,6)" in plan
+    found = legacy.matched_tokens(idx, queries)
+    assert "In(token_id" in found._jdf.queryExecution().toString()
+    assert found.filter("doc_id = 6").count() == 2 and found.count() == 11
+
+
 def test_rerank_cosine(spark):
     vectors = spark.createDataFrame([(0, [-1.0, 0.0]), (1, [1.0, 1.0]), (2, [2.0, 0.0]),
                                      (3, [0.0, 0.0])], "doc_id long, embedding array<double>")
@@ -112,6 +144,12 @@ def test_rerank_cosine(spark):
     assert order(rerank.rerank_cosine(candidates, query, vectors))[2:] == [(3, 0.0), (0, -1.0)]
     parts = rerank.rerank_cosine(candidates, query, vectors, limit=100)
     assert order(parts) == order(rerank.rerank_cosine(candidates, query, vectors))
+    # Candidates and queries without a vector stay, with score 0.
+    some = vectors.filter("doc_id <> 0").union(spark.createDataFrame([(4, None)], vectors.schema))
+    more = ranking(spark, [0, 1, 4])
+    assert order(rerank.rerank_cosine(more, query, some)) == [(1, 0.5 ** 0.5), (0, 0.0), (4, 0.0)]
+    none = rerank.rerank_cosine(more, query.limit(0), some)
+    assert order(none) == [(0, 0.0), (1, 0.0), (4, 0.0)]
 
 
 def test_rerank_yes_probability(spark):

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -56,6 +58,44 @@ def test_term_frequency_sorts_once(spark):
     assert "Exchange" not in physical
 
 
+class Visible(HTMLParser):
+    """Visible text by Python's parser: blocks part words, other tags don't."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "template")
+        self.handle_data(" " if tag in html.BLOCKS else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "template")
+        self.handle_data(" " if tag in html.BLOCKS else "")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+@pytest.mark.parametrize("page", [
+    "<p>ba<b>na</b>na &#8217; &eacute; &mdash; &#x27; &#X1F600; it&apos;s</p>",
+    '<?xml version="1.0"?><!DOCTYPE html><!ELEMENT a><p>one</p><!-- <b>no</b> -->two',
+    """<img alt="1>2">a<a title='x > y' href="?a=1&b=2">link</a> <i class=it's>c</i>""",
+    "<div>a<template><p>hidden</p></template>b<script>if (a < b) '<p>'</script>c</div>d",
+    "&amp;lt; &lt;b&gt; &copy; &copy2024 &notit; &unknown; &; & x &AMP &nbsp;| &#0; &#128; &#xD800;",
+    "&#1114112; &#99999999999999; &#x; &NotEqualTilde; &frac12;&frac12 a&b &#65b",
+    "<custom-tag a=1>x</custom-tag>y<p-x>z</p-x><br/>w<BR>v<td >u</td\n>t",
+    "<ul><li>1<li>2</ul><h1 id = 'q'>h</h1>&lt;not a tag&gt;", "a < b and c > d", "",
+])
+def test_html_is_read_as_a_parser_reads_it(spark, page):
+    parser = Visible()
+    parser.feed(page)
+    parser.close()
+    want = re.sub(r"[\s\xa0]+", " ", "".join(parser.parts)).strip()
+    assert one(spark, html.html_text(F.lit(page))) == want
+
+
 def test_html(spark):
     page = ('<!DOCTYPE html><html><head><title> A &amp; B </title><style>p{}</style>'
             '<script>var t="</p>";</script></head><body><!-- no --><p>One<b>two</b></p>\n\n'
@@ -63,7 +103,7 @@ def test_html(spark):
     assert one(spark, html.html_title(F.lit(page))) == "A & B"
     assert one(spark, html.html_title(F.lit("<title>  </title>"))) is None
     assert one(spark, html.html_title(F.lit("<p>x</p>"))) is None
-    assert one(spark, html.html_text(F.lit(page))) == "A & B One two link <1> q"
+    assert one(spark, html.html_text(F.lit(page))) == "A & B Onetwo link <1>q"
     assert one(spark, html.html_text(F.lit(page), compat=True)) == " A & B Onetwolink <1>q"
     assert one(spark, html.html_links(F.lit(page))) == ["/to?a=1&b=2"]
     assert one(spark, html.unescape(F.lit("&amp;lt;"))) == "&lt;"
