@@ -453,7 +453,18 @@ GROUP BY 1""",
         "eval_resume": with_([*SEARCH, *bm25("best", POOL)],
                              "SELECT query_id, doc_id, score, rank FROM best"),
         "stream_ingest": f"""
-SELECT token, count(*) AS doc_freq
-FROM (SELECT DISTINCT page_id, unnest({words(page_text('html'))}) AS token FROM pages)
-GROUP BY 1""",
+WITH arrivals AS (
+  SELECT page_id, url, html FROM pages UNION ALL
+  SELECT (turn % 2 + 1) * 1000000000000 + conv_id * 100000 + turn,
+         CASE WHEN role <> 'system' THEN 'conv://' || conv_id END, text FROM conversations),
+docs AS (
+  SELECT page_id, url, {PAGE_TITLE} AS title, {words(page_text('html'))} AS tokens
+  FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(url, page_id::VARCHAR) ORDER BY page_id)
+        AS n FROM arrivals WHERE html IS NOT NULL) WHERE n = 1),
+post AS (
+  SELECT page_id, token, count(*) AS tf
+  FROM (SELECT page_id, unnest(tokens) AS token FROM docs) GROUP BY 1, 2)
+SELECT url, title, len(tokens)::INTEGER AS len, token, tf,
+       count(*) OVER (PARTITION BY token) AS doc_freq
+FROM post JOIN docs USING (page_id)""",
     }

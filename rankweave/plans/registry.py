@@ -29,6 +29,7 @@ SHORT_TEXT_BYTES = 64 * 1024
 CELLS = 16
 SIGN_BITS = 4
 PROBES = 8
+STREAM_FILES = 4
 QUERY = "the worthless inesea with hested onstble of the"
 SWEEP = [(0.8, 0.3), (1.2, 0.75), (2.0, 0.9)]
 REFUSED = "ê"
@@ -546,12 +547,33 @@ def q_eval_resume(spark, d):
                                  path, config, slices=2)
 
 
+def page_arrivals(spark, d):
+    """Pages in the order they arrive: those of the table, then even turns of the conversations,
+    then odd ones. Turns of a conversation share a url, system turns have none."""
+    turns = table(spark, d, "conversations")
+    url = F.when(F.col("role") != "system", F.concat(F.lit("conv://"), F.col("conv_id")))
+    found = [table(spark, d, "pages").select("page_id", "url", "html")]
+    for odd in (0, 1):
+        found.append(turns.filter(F.col("turn") % 2 == odd).select(
+            ((odd + 1) * 10 ** 12 + F.col("conv_id") * 100000 + F.col("turn")).alias("page_id"),
+            url.alias("url"), F.col("text").alias("html")))
+    return found
+
+
 def q_stream_ingest(spark, d):
-    schema = table(spark, d, "pages").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    """Several batches; a url seen in an earlier one is not taken again."""
     path = scratch_dir(spark, "stream")
+    for pages_ in page_arrivals(spark, d):
+        # A url lies in one file, so how files fall into batches does not matter.
+        pages_.repartition(STREAM_FILES, F.coalesce("url", F.col("page_id").cast("string"))) \
+            .write.mode("append").parquet(f"{path}/in")
+    stream = (spark.readStream.schema("page_id bigint, url string, html string")
+              .option("maxFilesPerTrigger", STREAM_FILES).parquet(f"{path}/in"))
     ingest.stream_ingest(stream, f"{path}/index", f"{path}/checkpoint").awaitTermination()
-    return ingest.read_stream_index(spark, f"{path}/index").token.select("token", "doc_freq")
+    idx = ingest.read_stream_index(spark, f"{path}/index")
+    return (idx.term_doc_stats.join(idx.token, "token_id")
+            .join(idx.document.select("doc_id", "url", "title"), "doc_id")
+            .select("url", "title", "len", "token", "tf", "doc_freq"))
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,15 +33,28 @@ def build_session(master: str | None = None, app_name: str = "rankweave",
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables a job writes and reads again.
 
-    Uses the shared folder the cluster names in `spark.checkpoint.dir`. Only a local session
-    without that setting gets a folder on this machine.
+    Uses the shared folder the cluster names in `spark.checkpoint.dir`; only a local session without
+    that setting, as in tests, gets one of its own. The folder is removed when the session's JVM
+    ends, since nothing reads it afterwards.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/rankweave/{name}-{uuid.uuid4().hex[:12]}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
+    path = f"{base.rstrip('/')}/rankweave/{name}-{uuid.uuid4().hex[:12]}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+_own: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The folder of a local session that names none."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="run-")
+    return _own[app]
 
 
 def pushdown_limit(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.text import Analyzer, words
 from ..operators import lexical
 from ..schemas import DOCUMENT, TERM_DOC_STATS, TOKEN_POSITION
-from ..session import BROADCAST_BYTES, measured, path_exists
+from ..session import BROADCAST_BYTES, materialize, measured, path_exists, picked
 from ..sources.corpus import extract_pages, first_pages
 from ..sources.index import LexicalIndex, _positions, _postings, derive_index, new_build
 
@@ -23,18 +23,23 @@ SCHEMAS = {
                                   T.StructField("total_len", T.LongType()), BATCH_ID]),
 }
 FORWARD = SCHEMAS["forward"]
+BLOOM = {"parquet.bloom.filter.enabled#doc_id": "true",
+         "parquet.bloom.filter.enabled#url": "true"}
 
 
 def _unseen(fresh: DataFrame, forward: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Documents of the batch that no other batch has written.
 
-    The batch is the small side: its urls are broadcast against the url column of the index, which
-    is read alone and never shuffled, and only known urls come back.
+    The urls of the batch go to the Parquet reader, whose bloom filters skip the row groups of the
+    index without any of them. Those of a very large batch are compared with the url column alone.
     """
     urls = fresh.select("url").filter(F.col("url").isNotNull())
-    _, size = measured(urls)
-    known = (forward.select("url")
-             .join(F.broadcast(urls) if size <= limit else urls, "url", "left_semi").distinct())
+    known = picked(forward.select("url"), "url", urls)
+    if known is None:
+        _, size = measured(urls)
+        known = forward.select("url").join(F.broadcast(urls) if size <= limit else urls, "url",
+                                           "left_semi")
+    known = known.distinct()
     return fresh.join(known, "url", "left_anti").select(*fresh.columns)
 
 
@@ -47,7 +52,7 @@ def add_batch(pages: DataFrame, batch_id: int, path: str, key: str = "page_id",
     """
     spark = pages.sparkSession
     readable = pages.filter(F.col("html").isNotNull())
-    fresh = extract_pages(first_pages(readable, key), key).drop("arrival")
+    fresh = materialize(extract_pages(first_pages(readable, key), key).drop("arrival"), "batch")
     if path_exists(spark, f"{path}/forward"):
         others = (spark.read.schema(FORWARD).parquet(f"{path}/forward")
                   .filter(F.col("batch_id") != batch_id))
@@ -56,6 +61,7 @@ def add_batch(pages: DataFrame, batch_id: int, path: str, key: str = "page_id",
     def write(df: DataFrame, name: str) -> None:
         (df.withColumn("batch_id", F.lit(batch_id).cast("long")).write
          .mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .options(**(BLOOM if name == "forward" else {}))
          .partitionBy("batch_id").parquet(f"{path}/{name}"))
 
     write(lexical.analyze(fresh, analyzer), "forward")
@@ -104,7 +110,5 @@ def compact(spark: SparkSession, path: str, target: str, **options) -> LexicalIn
     """Rewrite a streamed index as a bucketed one at `target`; the text is not analyzed again."""
     build = new_build(target)
     (spark.read.schema(SCHEMAS["forward"]).parquet(f"{path}/forward").drop("batch_id").write
-     .option("parquet.bloom.filter.enabled#doc_id", "true")
-     .option("parquet.bloom.filter.enabled#url", "true")
-     .parquet(f"{build}/forward"))
+     .options(**BLOOM).parquet(f"{build}/forward"))
     return derive_index(spark, target, build, **options)
