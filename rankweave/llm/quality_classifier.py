@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import hashing, sampling
-from .common import per_text, text_bytes
+from .common import per_text, slices, text_bytes
 
 SAMPLE = 6000
 TABLE_BITS = 17
@@ -70,20 +70,20 @@ def learn(texts: pa.StringArray, labels: np.ndarray, passes: int = PASSES) -> Mo
     vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (1 << TABLE_BITS, DIMS)).astype(np.float32)
     layer = np.zeros((DIMS, 2), np.float32)
     bias = np.zeros(2, np.float32)
-    raw, places = text_bytes(texts)
-    groups = list(feature_groups(raw, places))
     documents = []
-    for i in range(len(texts)):
-        rows = np.concatenate([r[first[i]:last[i]] for r, first, last in groups])
-        documents.append([x.astype(np.int32) for x in np.unique(rows, return_counts=True)])
-    del groups
+    for start, stop in slices(texts):  # one slice at a time bounds the memory of the features
+        groups = list(feature_groups(*text_bytes(texts.slice(start, stop - start))))
+        for i in range(stop - start):
+            rows, counts = np.unique(np.concatenate(
+                [r[first[i]:last[i]] for r, first, last in groups]), return_counts=True)
+            documents.append((rows.astype(np.int32),
+                              (counts / max(1, counts.sum())).astype(np.float32)))
     steps, step = max(1, passes * len(documents)), 0
     for _ in range(passes):
         for i in rng.permutation(len(documents)):
-            rows, counts = documents[i]
+            rows, share = documents[i]
             rate = RATE * (1 - step / steps)
             step += 1
-            share = (counts / max(1, counts.sum())).astype(np.float32)
             mean = share @ vectors[rows]
             out = mean @ layer + bias
             out = np.exp(out - out.max())
