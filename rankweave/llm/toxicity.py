@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import hashing, sampling
-from .common import per_text, text_bytes
+from .common import per_text, slices, text_bytes
 
 SAMPLE = 12_000
 TABLE_BITS = 20
@@ -76,17 +76,19 @@ class Model:
 
 def learn(texts: pa.StringArray, labels: np.ndarray, passes: int = PASSES) -> Model:
     """FTRL-proximal over documents in random order; the offset has no L1 term."""
-    raw, ends = text_bytes(texts)
-    groups = list(feature_groups(raw, ends))
     bias = 1 << TABLE_BITS
-    documents = [np.unique(np.concatenate([rows[first[i]:last[i]] for rows, first, last in groups])
-                           ).astype(np.int32) for i in range(len(texts))]
-    del groups
+    documents = []
+    for start, stop in slices(texts):  # one slice at a time bounds the memory of the features
+        groups = list(feature_groups(*text_bytes(texts.slice(start, stop - start))))
+        documents += [np.unique(np.concatenate([rows[first[i]:last[i]]
+                                                for rows, first, last in groups])).astype(np.int32)
+                      for i in range(stop - start)]
     seen = np.zeros(bias, np.int32)
     for places in documents:
         seen[places] += 1
     # A feature of very few documents names these rather than a kind of text.
-    documents = [np.append(places[seen[places] >= LEAST_DOCUMENTS], bias) for places in documents]
+    for i, places in enumerate(documents):
+        documents[i] = np.append(places[seen[places] >= LEAST_DOCUMENTS], bias).astype(np.int32)
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
     def weights(z: np.ndarray, n: np.ndarray, free: bool) -> np.ndarray:
