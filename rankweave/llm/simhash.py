@@ -34,7 +34,8 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 3                  # counters of two bits count to three
 BUCKET_ENTRIES = 4096       # larger buckets are parted again
-STEP_PAIRS = 1 << 15        # comparisons of an entry with a block at a time
+TASK_ROWS = 50_000          # of the small tables between the steps
+STEP_PAIRS = 1 << 13        # comparisons of an entry with a block at a time
 
 
 def _bit_weights() -> np.ndarray:
@@ -186,7 +187,12 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.nd
         total = np.cumsum(last[start:start + STEP_PAIRS] - first[start:start + STEP_PAIRS] + 1)
         stop = start + max(1, int(np.searchsorted(total, STEP_PAIRS, side="right")))
         entry = np.arange(start, min(stop, n))
+        # Blocks that are one class as a whole need no comparison with entries of that class.
+        edges = np.arange(0, n, 64)
+        low, high = np.minimum.reduceat(parent, edges), np.maximum.reduceat(parent, edges)
         for who, block in _pairs(entry, first, last):
+            open_ = (low[block] != high[block]) | (low[block] != parent[who])
+            who, block = who[open_], block[open_]
             lo = np.maximum(who + 1 - block * 64, 0)
             hi = np.minimum(end[who] - block * 64, 64)
             for a, b in _compare(plane, fps, who, block, _range_bits(lo, hi)):
@@ -257,42 +263,42 @@ def links(fps: DataFrame, limit: int = BUCKET_ENTRIES) -> DataFrame:
     return sorted_rows.mapInArrow(_link_rows, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _tasks(rows: int) -> int:
+    """How many tasks, and so files, a narrow table of so many rows is written by."""
+    return 1 + rows // TASK_ROWS
+
+
+def components(edges: DataFrame, tasks: int = 1) -> DataFrame:
     """`(node, root)` of every node of the links; the root is the least node of the component.
 
     In a large star every larger neighbour of a node is linked to the least neighbour, in a small
     star every smaller one. Both leave the components as they are, and after some rounds only stars
-    are left. Minima are taken in the map tasks first; each round is written to the shared folder.
+    are left. Minima are taken in the map tasks first; each round is written to the shared folder,
+    by as many tasks as its links need.
     """
     def least(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
-    def sides(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    def round_of(now: DataFrame) -> DataFrame:
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+            now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        down = (both.filter("v > u").join(least(both), "u")
+                .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        low = least(down)
+        return (down.join(low, "u").filter("v > m").select(F.col("v").alias("a"),
+                                                           F.col("m").alias("b"))
+                .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
 
     def mark(pairs: DataFrame):
         return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     # a is the larger end.
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                      .filter("a > b").distinct(), "links")
-    before = mark(now)
-    while before[0]:
-        both = sides(now)
-        large = (both.filter("v > u").join(least(both), "u")
-                 .select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct())
-        large = materialize(large, "large_star")
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        low = least(down)
-        small = (down.join(low, "u").filter("v > m").select(F.col("v").alias("a"),
-                                                            F.col("m").alias("b"))
-                 .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
-        now = materialize(small, "small_star")
-        after = mark(now)
-        if after == before:
-            break
-        before = after
+                      .filter("a > b").distinct().coalesce(tasks), "links")
+    before, after = None, mark(now)
+    while after[0] and after != before:
+        now = materialize(round_of(now).coalesce(_tasks(after[0])), "stars")
+        before, after = after, mark(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -301,8 +307,10 @@ def classes(found: DataFrame, order: list[str]) -> DataFrame:
     """`fp`, `root`, `least`: for each distinct fingerprint of `found` its component, named by a
     fingerprint, and the least row of the component by the columns `order`."""
     key = F.struct(*order)
-    distinct = materialize(found.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    labels = components(links(distinct.select("fp")))
+    tasks = _tasks(found.count())
+    distinct = materialize(
+        found.groupBy("fp").agg(F.min(key).alias("least")).coalesce(tasks), "distinct")
+    labels = components(links(distinct.select("fp")), tasks)
     rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least")
     # Most components are one fingerprint; the rest are combined in the map tasks.
