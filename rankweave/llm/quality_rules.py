@@ -10,6 +10,8 @@ Repeated rows are judged each for itself. An empty table gives an empty ledger.
 
 from __future__ import annotations
 
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,18 +22,19 @@ WINDOW = 8
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, "
-            "n_dup_lines bigint, n_repeat_words bigint, n_upper bigint")
+            "n_dup_lines bigint, n_repeat_words bigint, n_upper bigint, n_same_words bigint")
 
 # Rules by bit. A rule is a condition on the measurements; true means failed.
 RULES = {
     "too_few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "many_symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "n_dup_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
     "capitals": "2 * n_upper > word_chars",
     "too_many_words": "n_words > 100000",
+    "stutter": "3 * n_same_words > n_words",
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 
@@ -39,7 +42,7 @@ BIT = {name: 1 << i for i, name in enumerate(RULES)}
 POLICIES = {
     "base": ("too_few_words", "repeated_windows"),
     "v1": ("too_few_words", "repeated_windows", "many_symbols", "duplicate_lines", "short_words",
-           "long_words", "capitals"),
+           "long_words", "capitals", "stutter"),
     "strict": tuple(RULES),
 }
 
@@ -49,7 +52,7 @@ def mask(policy: str) -> int:
 
 
 def _flags(chars: bytes) -> np.ndarray:
-    table = np.zeros(256, np.int64)
+    table = np.zeros(256, np.uint8)
     table[list(chars)] = 1
     return table
 
@@ -103,12 +106,16 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 def _measure(texts: pa.StringArray) -> list:
     raw, places = text_bytes(texts)
 
+    filled = np.flatnonzero(np.diff(places))
+
     def count(table: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(table[raw])])
-        return total[places[1:]] - total[places[:-1]]
+        found = np.zeros(len(texts), np.int64)
+        if len(filled):
+            found[filled] = np.add.reduceat(table[raw], places[:-1][filled], dtype=np.int64)
+        return found
 
     chars = np.diff(places) - count(_INNER) - count(_SPACE)
-    n_words, n_lines, n_dup, n_repeat = [], [], [], []
+    n_words, n_lines, n_dup, n_repeat, n_same = [], [], [], [], []
     for text in raw_texts(texts):
         words = text.split()
         lines = [line for line in text.split(b"\n") if line and not line.isspace()]
@@ -116,7 +123,8 @@ def _measure(texts: pa.StringArray) -> list:
         n_lines.append(len(lines))
         n_dup.append(len(lines) - len(set(lines)))
         n_repeat.append(repeated_words(words))
-    return [n_words, chars, count(_SYMBOL), n_lines, n_dup, n_repeat, count(_UPPER)]
+        n_same.append(sum(map(operator.eq, words, words[1:])))
+    return [n_words, chars, count(_SYMBOL), n_lines, n_dup, n_repeat, count(_UPPER), n_same]
 
 
 def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -226,20 +226,22 @@ measured AS (
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_same
   FROM words LEFT JOIN covered USING (doc_id)),
 judged AS (
   SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END)
     + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
     + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END)
-    + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN n_dup_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
     + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END)
     + (CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END)
     + (CASE WHEN 2 * n_upper > word_chars THEN 64 ELSE 0 END)
-    + (CASE WHEN n_words > 100000 THEN 128 ELSE 0 END) AS BIGINT) AS failures
+    + (CASE WHEN n_words > 100000 THEN 128 ELSE 0 END)
+    + (CASE WHEN 3 * n_same > n_words THEN 256 ELSE 0 END) AS BIGINT) AS failures
   FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures,
-       (failures & 3) <> 0 AS base_failed, (failures & 127) = 0 AS kept
+       (failures & 3) <> 0 AS base_failed, (failures & 383) = 0 AS kept
 FROM judged
 """
 

@@ -35,7 +35,9 @@ def plain_quality(text):
     chars = sum(map(len, words))
     return not (n < 20 or 100 * len(repeated) > 30 * n
                 or 10 * len(re.findall(r"[#*$%&|<>]", text)) > n
-                or 10 * (len(lines) - len(set(lines))) > 3 * len(lines)
+                or len(lines) - len(set(lines)) >= 4
+                and 10 * (len(lines) - len(set(lines))) > 3 * len(lines)
+                or 3 * sum(a == b for a, b in zip(words, words[1:])) > n
                 or chars < 2 * n or chars > 15 * n or 2 * len(re.findall("[A-Z]", text)) > chars)
 
 

@@ -30,7 +30,8 @@ def test_ledger_policies_and_ablations(spark):
     good = "these are words of a usual text that nobody would throw away for any reason at all ok"
     texts = [good, good, None, "", "short", good.upper(), (good + "\n") * 4, "# " * 30,
              " ".join("# word" for _ in range(3)) + " " + good, "\x1c\xa0 é" + good,
-             " ".join(str(i) for i in range(120_000))]
+             " ".join(str(i) for i in range(120_000)), "\n".join(["odd line"] * 5 + [good]),
+             " ".join(f"{w} {w}" for w in good.split())]
     entries = ledger_of(spark, texts)
     rows = {r["doc_id"]: r for r in entries.withColumn(
         "kept", quality_rules.kept()).collect()}
