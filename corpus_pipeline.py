@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankweave.llm import chunks, decontaminate, line_dedup, quality_rules, queries, simhash
+from rankweave.llm import decontaminate, line_dedup, quality_rules, queries, simhash
 from rankweave.llm.common import table
 from rankweave.session import materialize
 

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
 from .common import per_text, raw_texts, text_key
@@ -34,7 +34,8 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 3                  # counters of two bits count to three
 BUCKET_ENTRIES = 4096       # larger buckets are parted again
-TASK_ROWS = 50_000          # of the small tables between the steps
+TASK_ROWS = 50_000          # of the tables between the steps, by task: at least ...
+FILE_ROWS = 5_000_000       # ... and about
 STEP_PAIRS = 1 << 13        # comparisons of an entry with a block at a time
 
 
@@ -263,9 +264,11 @@ def links(fps: DataFrame, limit: int = BUCKET_ENTRIES) -> DataFrame:
     return sorted_rows.mapInArrow(_link_rows, "a bigint, b bigint").distinct()
 
 
-def _tasks(rows: int) -> int:
-    """How many tasks, and so files, a narrow table of so many rows is written by."""
-    return 1 + rows // TASK_ROWS
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """How many tasks, and so files, a narrow table of so many rows is written by: small tables by
+    few, large ones by enough for all cores, in files of some millions of rows."""
+    cores = spark.sparkContext.defaultParallelism
+    return 1 + min(rows // TASK_ROWS, max(2 * cores, rows // FILE_ROWS))
 
 
 def components(edges: DataFrame, tasks: int = 1) -> DataFrame:
@@ -297,7 +300,7 @@ def components(edges: DataFrame, tasks: int = 1) -> DataFrame:
                       .filter("a > b").distinct().coalesce(tasks), "links")
     before, after = None, mark(now)
     while after[0] and after != before:
-        now = materialize(round_of(now).coalesce(_tasks(after[0])), "stars")
+        now = materialize(round_of(now).coalesce(_tasks(now.sparkSession, after[0])), "stars")
         before, after = after, mark(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -307,7 +310,7 @@ def classes(found: DataFrame, order: list[str]) -> DataFrame:
     """`fp`, `root`, `least`: for each distinct fingerprint of `found` its component, named by a
     fingerprint, and the least row of the component by the columns `order`."""
     key = F.struct(*order)
-    tasks = _tasks(found.count())
+    tasks = _tasks(found.sparkSession, found.count())
     distinct = materialize(
         found.groupBy("fp").agg(F.min(key).alias("least")).coalesce(tasks), "distinct")
     labels = components(links(distinct.select("fp")), tasks)
