@@ -58,7 +58,7 @@ def rerank_chain(queries: DataFrame, ranking: DataFrame, rankers: list[Ranker])
 
 
 @dataclass
-class QueryEngine:
+class HybridSearch:
     """Ask all retrievers, fuse their rankings, then apply the rankers in order.
 
     Without rankers the fused ranking is the result, whole.

@@ -381,7 +381,7 @@ def q_rrf(spark, d):
 
 
 def q_hybrid_search(spark, d):
-    engine = hybrid.QueryEngine([lexical_retriever(spark, d, 10), nearest_retriever(spark, d, 10)],
+    engine = hybrid.HybridSearch([lexical_retriever(spark, d, 10), nearest_retriever(spark, d, 10)],
                                 [cosine_ranker(spark, d, 20)])
     return engine.search(queries(spark, d))
 

@@ -144,5 +144,3 @@ def test_build_run_names_documents_by_url(spark):
     assert rows(evaluate.build_run(ranking, "m", docs).orderBy("rank")) == [
         ("m", 1, "u6", .8, 1), ("m", 1, "u7", .7, 2)]
     assert rows(evaluate.build_run(ranking, "m", depth=1)) == [("m", 1, 5, .9, 1)]
-    scores = ranking.select(F.lit("m").alias("mode"), "query_id", "doc_id", "score")
-    assert rows(evaluate.rank_scores(scores, 2).orderBy("rank"), "doc_id") == [(5,), (6,)]

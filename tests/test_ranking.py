@@ -177,14 +177,14 @@ def test_engine_end_to_end(spark, make_index, as_queries):
                                     "doc_id long, embedding array<float>")
     embed = lambda texts: [[1.0, 0.0]] * len(texts)
     judge = rerank.model_column(lambda qs, ds: [1.0 if "asyncio" in d else 0.1 for d in ds])
-    engine = hybrid.QueryEngine(
+    engine = hybrid.HybridSearch(
         [hybrid.bm25_retriever(idx), hybrid.vector_retriever(vectors, embed, idx.document)],
         [lambda q, c: rerank.rerank(q, c, idx.document, judge, 20)])
     found = engine.search(as_queries({4: "python"}))
     assert rows(found.orderBy("rank"), "doc_id", "doc_title", "score")[0] == (2, "title 2", 1.0)
     assert found.count() == 3
     # Without rankers the fused ranking is the result.
-    fused = hybrid.QueryEngine(engine.retrievers).search(as_queries({4: "python"}))
+    fused = hybrid.HybridSearch(engine.retrievers).search(as_queries({4: "python"}))
     assert rows(fused.orderBy("rank"), "doc_id")[0] == (1,)
 
 
