@@ -237,6 +237,14 @@ def validate_index(index: LexicalIndex, links: DataFrame | None = None) -> DataF
         return bad.agg(F.count(F.lit(1)).alias("violations")).select(
             F.lit(name).alias("rule"), F.lit(table).alias("table_name"), "violations")
 
+    def row_rules(table: str, df: DataFrame, broken: dict[str, str]) -> DataFrame:
+        """Rules on single rows, all counted in one pass over the table."""
+        counts = df.agg(*[F.count_if(F.expr(condition)).alias(f"v{i}")
+                          for i, condition in enumerate(broken.values())])
+        return counts.select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("rule"), F.lit(table).alias("table_name"),
+                     F.col(f"v{i}").alias("violations")) for i, name in enumerate(broken)])))
+
     def repeated(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
@@ -245,19 +253,19 @@ def validate_index(index: LexicalIndex, links: DataFrame | None = None) -> DataF
         return keys.join(target.select(F.col(target_key).alias("_key")), "_key", "left_anti")
 
     checks = [
-        rule("len >= 0", "document", doc.filter("len < 0 OR len IS NULL")),
-        rule("full_text not null", "document", doc.filter("full_text IS NULL")),
-        rule("url or title not null", "document", doc.filter("url IS NULL AND title IS NULL")),
+        row_rules("document", doc, {"len >= 0": "len < 0 OR len IS NULL",
+                                    "full_text not null": "full_text IS NULL",
+                                    "url or title not null": "url IS NULL AND title IS NULL"}),
         rule("doc_id unique", "document", repeated(doc, "doc_id")),
         rule("url unique", "document", repeated(doc.filter("url IS NOT NULL"), "url")),
         rule("token unique", "token", repeated(tok, "token")),
         rule("token_id unique", "token", repeated(tok, "token_id")),
-        rule("doc_freq >= 0", "token", tok.filter("doc_freq < 0")),
-        rule("tf >= 0", "term_doc_stats", post.filter("tf < 0")),
+        row_rules("token", tok, {"doc_freq >= 0": "doc_freq < 0"}),
+        row_rules("term_doc_stats", post, {"tf >= 0": "tf < 0"}),
         rule("(token_id, doc_id) unique", "term_doc_stats", repeated(post, "token_id", "doc_id")),
         rule("doc_id known", "term_doc_stats", dangling(post, "doc_id", doc, "doc_id")),
         rule("token_id known", "term_doc_stats", dangling(post, "token_id", tok, "token_id")),
-        rule("position >= 0", "token_position", pos.filter("position < 0")),
+        row_rules("token_position", pos, {"position >= 0": "position < 0"}),
         rule("(doc_id, token_id, position) unique", "token_position",
              repeated(pos, "doc_id", "token_id", "position")),
         rule("doc_id known", "token_position", dangling(pos, "doc_id", doc, "doc_id")),
