@@ -1,10 +1,10 @@
 """Token ids in ORC files.
 
 Documents are dealt out by ranges of their id, sorted, encoded and written: one row per document
-with `doc_id`, `part` (the range), `n_tokens` and `ids`. ORC keeps integers run-length encoded and
-bit-packed, row indexes with least and largest value every so many rows, and a Bloom filter on
-`doc_id`, so that a reader of one document opens one stripe and a reader of many takes stripes in
-parallel.
+with `doc_id`, `part` (the range), `place` (the row in it), `n_tokens` and `ids`. ORC keeps integers
+run-length encoded and bit-packed, row indexes with least and largest value every so many rows, and
+a Bloom filter on `doc_id`, so that a reader of one document opens one stripe and a reader of many
+takes stripes in parallel.
 
 Only texts are moved, once. Offsets are not kept in the rows, so no task waits for another: the
 first id of a document is found from the `n_tokens` column of the files, summed within each part
@@ -40,14 +40,18 @@ def _encoder(path: str, end_id: int):
 
     def make():
         table = bpe.pieces(path)
+        rows = 0
 
         def encode(texts: pa.StringArray) -> list:
+            nonlocal rows
+            place = np.arange(rows, rows + len(texts))
+            rows += len(texts)
             ids = [one + end for one in table.encode(raw_texts(texts))[0]]
             sizes = np.array([len(x) // 4 for x in ids], np.int32)
             places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = pa.Array.from_buffers(pa.int32(), int(places[-1]),
                                            [None, pa.py_buffer(b"".join(ids))])
-            return [pa.array(sizes), pa.ListArray.from_arrays(pa.array(places), values)]
+            return [pa.array(place), pa.array(sizes), pa.ListArray.from_arrays(pa.array(places), values)]
         return encode
     return make
 
@@ -57,9 +61,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, doc_id: str =
                       part_bytes: int = PART_BYTES) -> None:
     """Encode every text and write ORC files in ascending id order to `path`."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
+    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"),
                        F.col(f"`{text}`").cast("string").alias("text"))
-    size = estimated_bytes(rows)
+    size = estimated_bytes(docs)
     if size >= UNKNOWN_BYTES:  # not a scan of files
         size = measured(rows)[1]
     parts = min(max(spark.sparkContext.defaultParallelism, size // part_bytes), MOST_PARTS)
@@ -67,7 +71,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, doc_id: str =
              .withColumn("part", F.spark_partition_id())
              .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), text_key("text")))
     (per_text(dealt, ["doc_id", "part"], "text", _encoder(vocabulary, end_id),
-              "n_tokens int, ids array<int>")
+              "place bigint, n_tokens int, ids array<int>")
      .write.option("orc.bloom.filter.columns", "doc_id")
      .option("orc.stripe.size", STRIPE_BYTES)
      .option("orc.row.index.stride", ROW_INDEX_STRIDE)
@@ -76,8 +80,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, doc_id: str =
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """`doc_id`, `part`, `n_tokens`, `ids`. Filters on `doc_id` skip stripes by their metadata."""
-    return spark.read.schema("doc_id bigint, part int, n_tokens int, ids array<int>").orc(path)
+    """`doc_id`, `part`, `place`, `n_tokens`, `ids`. Filters on `doc_id` skip stripes by their
+    metadata."""
+    return spark.read.schema(
+        "doc_id bigint, part int, place bigint, n_tokens int, ids array<int>").orc(path)
 
 
 def offsets(rows: DataFrame) -> DataFrame:
@@ -86,10 +92,9 @@ def offsets(rows: DataFrame) -> DataFrame:
     # One row per part, MOST_PARTS at most.
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n"))
                            .alias("before"))
-    within = Window.partitionBy("part").orderBy(
-        F.col("doc_id").asc_nulls_first(), "place").rowsBetween(Window.unboundedPreceding, -1)
-    return (rows.withColumn("place", F.col("place"))
-            .join(F.broadcast(before), "part")
+    within = Window.partitionBy("part").orderBy("place").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return (rows.join(F.broadcast(before), "part")
             .withColumn("start", F.col("before") + F.coalesce(
                 F.sum(F.col("n_tokens").cast("bigint")).over(within), F.lit(0)))
             .drop("before"))
@@ -112,8 +117,7 @@ def _checksum(batches):
 
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """`doc_id, start, n_tokens, ids_crc32` of every document, read from the files."""
-    rows = read_token_files(spark, path).withColumn("place", F.monotonically_increasing_id())
-    small = rows.mapInArrow(
-        _checksum, "doc_id bigint, part int, n_tokens int, place bigint, ids_crc32 bigint")
+    small = read_token_files(spark, path).mapInArrow(
+        _checksum, "doc_id bigint, part int, place bigint, n_tokens int, ids_crc32 bigint")
     return offsets(small).select("doc_id", "start", F.col("n_tokens").cast("bigint")
                                  .alias("n_tokens"), "ids_crc32")
