@@ -108,28 +108,35 @@ def embed_with_policy(embed: EmbedFunction, texts: list[str], dims: int | None,
 
 def embed_documents(rows: DataFrame, embed: EmbedFunction, text: str = "full_text",
                     dims: int | None = None, normalize: bool = True,
-                    policy: EmbedPolicy = EmbedPolicy()) -> DataFrame:
+                    policy: EmbedPolicy = EmbedPolicy(), missing_only: bool = False) -> DataFrame:
     """All columns of `rows` plus `embedding` and `embed_error`. A map step, without a shuffle.
 
     A null text is embedded as the empty text. A row whose text the model refuses keeps a null
-    embedding and the reason, and does not fail the job.
+    embedding and the reason, and does not fail the job. With `missing_only` rows that have an
+    embedding pass through as they are.
     """
     if dims is not None and dims <= 0:
         raise ValueError(f"vectors of {dims} values cannot be asked for")
-    rows = rows.drop("embedding", "embed_error")
-    schema = T.StructType([*rows.schema.fields,
+    stored = F.col("embedding").cast("array<float>") if missing_only else F.lit(None)
+    rows = rows.withColumn("_stored", stored.cast("array<float>")).drop("embedding", "embed_error")
+    schema = T.StructType([*rows.drop("_stored").schema.fields,
                            T.StructField("embedding", T.ArrayType(T.FloatType())),
                            T.StructField("embed_error", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), policy.batch_size):
-                part = frame.iloc[at:at + policy.batch_size]
-                texts = [t or "" for t in part[text]]
-                results = embed_with_policy(embed, texts, dims, normalize, policy)
-                yield part.assign(
-                    embedding=[None if v is None else v.astype(np.float32) for v, _ in results],
-                    embed_error=[e for _, e in results])
+            vectors, errors = list(frame["_stored"]), [None] * len(frame)
+            texts = [t or "" for t in frame[text]]
+            waiting = [i for i, v in enumerate(vectors) if v is None]
+            for at in range(0, len(waiting), policy.batch_size):
+                places = waiting[at:at + policy.batch_size]
+                results = embed_with_policy(embed, [texts[i] for i in places], dims, normalize,
+                                            policy)
+                for i, (vector, error) in zip(places, results):
+                    vectors[i] = None if vector is None else vector.astype(np.float32)
+                    errors[i] = error
+            yield frame.drop(columns="_stored").assign(
+                embedding=pd.Series(vectors, index=frame.index, dtype=object), embed_error=errors)
 
     return rows.mapInPandas(run, schema)
 

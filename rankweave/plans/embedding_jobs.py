@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.embed import EmbedFunction, EmbedPolicy, embed_documents
@@ -12,14 +14,38 @@ def backfill_embeddings(documents: DataFrame, embed: EmbedFunction, dims: int |
                         policy: EmbedPolicy = EmbedPolicy()) -> DataFrame:
     """All documents, those without an embedding embedded now.
 
-    Two filtered scans are put together. There is no join, so no text is shuffled, and only
-    pending rows reach the model.
+    One pass: every row goes through one map step, and only pending ones reach the model. The frame
+    is a plan; to keep what has been done, use `backfill_files`.
     """
-    pending = documents.filter(F.col("embedding").isNull())
-    kept = (documents.filter(F.col("embedding").isNotNull())
-            .withColumn("embedding", F.col("embedding").cast("array<float>"))
-            .withColumn("embed_error", F.lit(None).cast("string")))
-    return kept.unionByName(embed_documents(pending, embed, dims=dims, policy=policy))
+    return embed_documents(documents, embed, dims=dims, policy=policy, missing_only=True)
+
+
+def backfill_files(spark: SparkSession, source: str, target: str, embed: EmbedFunction, model: str,
+                   dims: int, policy: EmbedPolicy = EmbedPolicy(), files_per_step: int = 1000,
+                   text: str = "full_text", pattern: str = "*.parquet") -> DataFrame:
+    """Fill in the missing embeddings of the Parquet files in a folder, in a new table at `target`.
+
+    Every finished step is kept. After an interruption, or when files have been added to `source`,
+    the same call goes on where it stopped; no text is sent to the model a second time.
+    """
+    if dims <= 0 or files_per_step <= 0:
+        raise ValueError("dims and files_per_step must be positive")
+    check_manifest(spark, target, {"model": model, "dims": dims})
+    return _in_steps(spark, source, target, pattern, files_per_step, lambda files: embed_documents(
+        files, embed, text=text, dims=dims, policy=policy, missing_only=True))
+
+
+def _in_steps(spark: SparkSession, source: str, target: str, pattern: str, files_per_step: int,
+              step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a map step over the files of a folder, some files at a time, each noted when done."""
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(source).schema
+    files = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+             .option("maxFilesPerTrigger", files_per_step).parquet(source))
+    (step(files).writeStream.format("parquet")
+     .option("checkpointLocation", f"{target}/checkpoint")
+     .option("path", f"{target}/documents")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{target}/documents")
 
 
 def reembed_documents(spark: SparkSession, source: str, target: str, embed: EmbedFunction,
@@ -43,13 +69,5 @@ def reembed_documents(spark: SparkSession, source: str, target: str, embed: Embe
                        F.coalesce(F.max(key).cast("string"), F.lit("")).alias("top")).first()
     check_manifest(spark, target, {"model": model, "dims": dims, "corpus_count": state["n"],
                                    "corpus_max_id": state["top"]})
-    files = (spark.readStream.schema(corpus.schema)
-             .option("pathGlobFilter", pattern)
-             .option("maxFilesPerTrigger", files_per_step).parquet(source))
-    steps = (embed_documents(files, embed, text=text, dims=dims, policy=policy)
-             .writeStream.format("parquet")
-             .option("checkpointLocation", f"{target}/checkpoint")
-             .option("path", f"{target}/documents")
-             .trigger(availableNow=True).start())
-    steps.awaitTermination()
-    return spark.read.parquet(f"{target}/documents")
+    return _in_steps(spark, source, target, pattern, files_per_step, lambda files: embed_documents(
+        files, embed, text=text, dims=dims, policy=policy))

@@ -484,8 +484,11 @@ def q_embed_batch_policy(spark, d):
 
 
 def q_backfill_embeddings(spark, d):
-    filled = embedding_jobs.backfill_embeddings(partly_embedded(spark, d),
-                                                embed.hashing_embedder(DIMS), DIMS)
+    path = scratch_dir(spark, "backfill")
+    partly_embedded(spark, d).write.parquet(f"{path}/documents")
+    filled = embedding_jobs.backfill_files(spark, f"{path}/documents", f"{path}/filled",
+                                           embed.hashing_embedder(DIMS), "hashing", DIMS,
+                                           files_per_step=4)
     return places(filled, "doc_id")
 
 

@@ -96,6 +96,40 @@ def test_backfill_touches_pending_rows_only(spark):
     assert tuple(audit) == (3, 2, 2, 2)
 
 
+def test_backfill_resumes_without_a_second_call(spark, tmp_path):
+    source, target, log = str(tmp_path / "docs"), str(tmp_path / "out"), tmp_path / "log"
+    log.mkdir()
+    for part in range(3):
+        data = [(part * 10 + i, f"text {part} {i}", [1.0, 2.0] if i == 0 else None) for i in range(3)]
+        spark.createDataFrame(data, "doc_id long, full_text string, embedding array<double>") \
+            .coalesce(1).write.mode("append").parquet(source)
+
+    def model(texts, broken):
+        import os
+        import uuid
+        for text in texts:
+            if broken and text.startswith("text 1"):
+                raise embed.TransientModelError("down")
+            open(os.path.join(str(log), f"{text}-{uuid.uuid4().hex}"), "w").close()
+        return lengths(texts)
+
+    run = lambda broken, **kw: embedding_jobs.backfill_files(
+        spark, source, target, lambda t: model(t, broken),
+        **{"model": "m", "dims": 2, "files_per_step": 1, "policy": embed.EmbedPolicy(20, 1, 0.0), **kw})
+    with pytest.raises(Exception):
+        run(True)
+    done = run(False)
+    assert {i: v for i, v in rows(done, "doc_id", "embedding") if i % 10 == 0} == {
+        0: [1.0, 2.0], 10: [1.0, 2.0], 20: [1.0, 2.0]}
+    assert done.count() == 9 and done.filter("embedding IS NULL").count() == 0
+    # Each pending text was sent once, the stored ones never, and another call sends none.
+    assert sorted(p.name.split("-")[0] for p in log.iterdir()) == [
+        f"text {p} {i}" for p in range(3) for i in (1, 2)]
+    assert run(False).count() == 9 and len(list(log.iterdir())) == 6
+    with pytest.raises(ValueError, match="does not match"):
+        run(False, dims=3)
+
+
 def test_reembed_resumes_behind_the_last_finished_step(spark, tmp_path):
     source, target = str(tmp_path / "docs"), str(tmp_path / "out")
     for part in range(4):
