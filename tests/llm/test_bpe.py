@@ -38,6 +38,7 @@ def test_chunked_ids_and_texts_equal_the_library(spark):
     docs = docs.withColumn("ids", docs.doc_id)  # a column of the same name is not taken
     done = chunks.encode_decode(docs.union(docs), ["doc_id"], PATH).collect()
     assert len(done) == 2 * len(TEXTS)
+    assert chunks.encode_decode(docs.limit(0), ["doc_id"], PATH).collect() == []
     for row in done:
         ids, text = wanted(TEXTS[row["doc_id"]])
         assert np.frombuffer(row["ids"], "<u4").tolist() == ids

@@ -115,6 +115,24 @@ def test_samples_are_bounded_and_skip_copies(spark):
     assert sampling.labelled_sample(docs.limit(0), 200).collect() == []
 
 
+def test_language_of_odd_rows_and_empty_tables(spark):
+    rows = [(1, "the cat sat on the mat", "en"), (1, "the cat sat on the mat", "en"),
+            (2, "der Hund und die Katze", "de"), (3, None, "en"), (4, "", "de"), (None, "the mat", "en"),
+            (5, "the hat", None), (6, "1, 2!", "en"), (7, "die Hunde " * 20_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string").withColumn(
+        "score", sampling.fold("doc_id", 4))
+    models = language.train(docs.select("doc_id", "text", "label"))
+    assert [name for name, _ in models] == ["de", "en"]
+    found = language.identify(docs, ["doc_id"], models).collect()
+    assert [(r["doc_id"], r["lang_pred"]) for r in found] == [
+        (1, "en"), (1, "en"), (2, "de"), (3, "und"), (4, "und"), (None, "en"), (5, "en"), (6, "und"),
+        (7, "de")]
+    assert all(0 <= r["score"] <= 1 for r in found)
+    assert language.identify(docs.limit(0), ["doc_id"], models).collect() == []
+    none = language.train(docs.select("doc_id", "text", "label").limit(0))
+    assert {r["lang_pred"] for r in language.identify(docs, ["doc_id"], none).collect()} == {"und"}
+
+
 @needs_tables
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
