@@ -132,8 +132,11 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     F.col("run.stop").alias("stop"))
             .join(repeated, "mark", "left_semi").drop("mark"))
     near = materialize(near, "positions")
-    first = (near.groupBy("r1", "r2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-             .filter("first < last").drop("last"))
+    # Written down, so that the join below shuffles both sides for itself and Spark can split the
+    # occurrences of a very common run among tasks.
+    first = materialize(
+        near.groupBy("r1", "r2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+        .filter("first < last").drop("last"), "first")
     later = near.join(first, ["r1", "r2"]).filter("place > first")
     return (later.groupBy("place.doc_id", "place.text_key")
             .agg(F.array_sort(F.collect_set(F.struct(F.col("place.start").alias("start"), "stop")))
