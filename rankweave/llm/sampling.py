@@ -39,13 +39,15 @@ def labelled_sample(rows: DataFrame, bound: int, labels: DataFrame | None = None
     if not counts:
         return distinct.select(F.lit("").alias("text"), "label").limit(0)
     grain = 1 << 40  # the low 40 bits of the hash decide
-    kind = distinct.schema["label"].dataType.simpleString() if by_label else "int"
-    limits = spark.createDataFrame(
-        [(g, min(grain, int(grain * bound / n))) for g, n in counts.items()],
-        f"g {kind}, share bigint")
-    chosen = (distinct.withColumn("g", group).join(F.broadcast(limits), "g")
-              .filter(F.col("h").bitwiseAND(F.lit(grain - 1)) < F.col("share"))
-              .select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "label"))
+    shares = [(g, min(grain, int(grain * bound / n))) for g, n in counts.items()]
+    low = F.col("h").bitwiseAND(F.lit(grain - 1))
+    if by_label:
+        limits = spark.createDataFrame(
+            shares, f"label {distinct.schema['label'].dataType.simpleString()}, share bigint")
+        chosen = distinct.join(F.broadcast(limits), "label").filter(low < F.col("share"))
+    else:
+        chosen = distinct.filter(low < F.lit(shares[0][1]))
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "label")
     picked = rows.select("doc_id", "text", F.xxhash64("text").alias("h")).join(
         F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")))
     # A repeated row is taken once.
