@@ -63,7 +63,7 @@ def pushdown_limit(spark: SparkSession) -> int:
 
 
 # So many lists are handed over at most; beyond that ids are broadcast.
-PUSHED_LISTS = 32
+PUSHED_LISTS = 5
 
 
 def picked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame | None:
