@@ -20,7 +20,7 @@ only if all its rows have none. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -306,9 +306,11 @@ def components(edges: DataFrame, tasks: int = 1) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def classes(found: DataFrame, order: list[str]) -> DataFrame:
+def classes(found: DataFrame, order: list[str],
+            more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """`fp`, `root`, `least`: for each distinct fingerprint of `found` its component, named by a
-    fingerprint, and the least row of the component by the columns `order`."""
+    fingerprint, and the least row of the component by the columns `order`. `more` takes the
+    fingerprints with their `root` and returns further links `(a, b)` between roots."""
     key = F.struct(*order)
     tasks = _tasks(found.sparkSession, found.count())
     distinct = materialize(
@@ -316,6 +318,11 @@ def classes(found: DataFrame, order: list[str]) -> DataFrame:
     labels = components(links(distinct.select("fp")), tasks)
     rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least")
+    if more is not None:
+        rooted = materialize(rooted, "rooted")
+        joined = components(more(rooted), tasks).toDF("root", "top")
+        rooted = rooted.join(joined, "root", "left").select(
+            "fp", F.coalesce("top", "root").alias("root"), "least")
     # Most components are one fingerprint; the rest are combined in the map tasks.
     best = rooted.groupBy("root").agg(F.min("least").alias("least"))
     return rooted.drop("least").join(best, "root")
@@ -339,12 +346,17 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows of one id are told apart by a hash of their text. Texts are moved once, to be joined with
     the rows that stay.
     """
-    key = text_key(text)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), key.alias("text_key"),
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(text).alias("text_key"),
                        F.col(f"`{text}`").alias("text"))
     found = materialize(fingerprints(rows, ["doc_id", "text_key"], size=size), "fingerprints")
     best = classes(found.withColumn("missing", F.col("doc_id").isNull()),
                    ["missing", "doc_id", "text_key"])
+    return keep_least(docs, best, doc_id, text)
+
+
+def keep_least(docs: DataFrame, best: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The documents that are the `least` of a component in `best`, one of repeated rows."""
+    key = text_key(text)
     stay = best.select("least.doc_id", "least.text_key").distinct().select(
         F.col("doc_id").alias("_stay_id"), F.col("text_key").alias("_stay_key"))
     names = docs.columns

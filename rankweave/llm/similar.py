@@ -1,0 +1,227 @@
+"""Near-duplicates by SimHash or by the overlap of word shingles.
+
+Texts are linked as by `simhash`, and also if their sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. No pair is missed: if shingles are put in one order for all texts, two
+such sets share one of the first n - ceil(0.8 n) + 1 shingles of each (prefix filter). The order puts
+common shingles last. Which are common is counted on a sample of the texts; the sample decides only
+how many texts meet under a shingle, not the result.
+
+Equal sets are one entry, and those that SimHash has joined are not compared. Entries that meet are
+compared by their size and by a sketch of 1,024 parity bits: sets differ in at least as many shingles
+as their sketches do in bits, so what is turned away cannot be similar. A bucket emits a forest of
+the pairs that pass, never all of them. These pairs are counted out on the whole sets. If all are
+similar, the forest connects what belongs together; if not, what is still apart is compared pair by
+pair.
+
+Defined cases: words are those of `simhash`. A text of fewer than five words is one shingle; one
+without words is linked by its fingerprint alone. Nulls, repeated rows and rows with a null id are
+treated as in `simhash`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from ..session import lookup_join, materialize
+from . import simhash
+from .common import per_text, raw_texts, text_key
+
+SHINGLE = 5
+SKETCH_BITS = 1024
+SAMPLE = 20_000             # texts, or an eighth of them if that is more
+COMMON = 4                  # so many texts of the sample have a common shingle ...
+COMMON_KEPT = 500_000       # ... of which the most common are told to the workers
+
+FIELDS = "fp bigint, set_key bigint, n int, prefix array<bigint>, sketch binary"
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    n = max(1, len(words) - size + 1)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = np.concatenate([[0], gaps + 1])[:n].tolist()
+    ends = np.concatenate([gaps, [len(joined)]])[min(size, len(words)) - 1:].tolist()
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(
+        b"".join([digest(joined[a:b], simhash.SEED) for a, b in zip(starts, ends)]), np.int64))
+
+
+def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in the common order, one of which every similar set has among its own."""
+    seen = np.zeros(len(found), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        seen = np.where(common[at] == found, counts[at], 0)
+    return found[np.lexsort((found, seen))[:len(found) - -(-4 * len(found) // 5) + 1]]
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Bit k: whether an odd number of shingles falls to k."""
+    odd = np.bincount(found & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _summaries(shared):
+    def run(texts: pa.StringArray) -> list:
+        common, counts = shared.value
+        fps, keys, sizes, firsts, sketches = [], [], [], [], []
+        for text in raw_texts(texts):
+            found = shingles(text)
+            fps.append(simhash.fingerprint(text))
+            keys.append(xxhash.xxh64_intdigest(found.tobytes(), simhash.SEED))
+            sizes.append(len(found))
+            firsts.append(prefix(found, common, counts) if len(found) else found)
+            sketches.append(sketch(found))
+        ends = np.cumsum([0, *map(len, firsts)])
+        values = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+        return [pa.array(np.array(fps, np.uint64).view(np.int64)),
+                pa.array(np.array(keys, np.uint64).view(np.int64)),
+                pa.array(np.array(sizes, np.int32)),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
+                pa.array(sketches, pa.binary())]
+    return lambda: run
+
+
+def _whole_sets():
+    return lambda texts: [[shingles(t) for t in raw_texts(texts)]]
+
+
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, ascending, and how many have them."""
+    share = min(8, max(1, rows.count() // SAMPLE))
+    sample = rows.filter(F.pmod("text_key", F.lit(share)) == 0)
+    found = (per_text(sample, [], "text", _whole_sets, "shingles array<bigint>")
+             .select(F.explode("shingles").alias("s")).groupBy("s").agg(
+                 F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+             .orderBy(F.desc("n"), "s").limit(COMMON_KEPT).toArrow())
+    common, counts = found["s"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(common)
+    return common[order], counts[order]
+
+
+def bucket_pairs(key: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray,
+                 forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries of a bucket, ordered by `n`, that may be similar and have different roots;
+    with `forest` only as many as connect them."""
+    _, group = np.unique(root, return_inverse=True)
+    left, right = [], []
+    stop = np.searchsorted(n, 5 * n.astype(np.int64) // 4, side="right")
+    for i in range(len(key) - 1):
+        others = i + 1 + np.flatnonzero(group[i + 1:stop[i]] != group[i])
+        if not len(others):
+            continue
+        apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        others = others[9 * apart <= n[others].astype(np.int64) + n[i]]
+        if forest and len(others):
+            joined, first = np.unique(group[others], return_index=True)
+            others = others[first]
+            group[np.isin(group, joined)] = group[i]
+        left.append(np.full(len(others), key[i]))
+        right.append(key[others])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _pair_rows(forest: bool):
+    """Rows come sorted by shingle and size; those of a shingle may come in several batches."""
+    def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        s, key, root, n = (rows[c].to_numpy() for c in ("s", "set_key", "root", "n"))
+        bits = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(s), -1)
+        edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])).tolist()
+        for i, j in zip(edges, edges[1:]):
+            a, b = bucket_pairs(key[i:j], root[i:j], n[i:j], bits[i:j], forest)
+            if len(a):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s = batch.column(0).to_numpy()
+            last = int(np.searchsorted(s, s[-1]))  # the last shingle may go on in the next batch
+            if held and (last or held[-1].column(0)[-1].as_py() != s[0]):
+                yield from pairs([*held, batch.slice(0, last)])
+                held = []
+            elif last:
+                yield from pairs([batch.slice(0, last)])
+            held.append(batch.slice(last))
+        if held:
+            yield from pairs(held)
+    return run
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the pairs `(x, y)` of sets those with a similarity of 0.8 or more."""
+    asked = pairs.select(F.col("x").alias("set_key")).union(pairs.select("y")).distinct()
+    # One text of each set.
+    texts = found.join(asked, "set_key", "left_semi").groupBy("set_key").agg(
+        F.min("text_key").alias("text_key"))
+    wanted = materialize(texts.select("text_key").distinct(), "asked")
+    whole = per_text(lookup_join(rows.select("text_key", "text"), wanted, "text_key", "left_semi"),
+                     ["text_key"], "text", _whole_sets, "shingles array<bigint>")
+    sets = materialize(texts.join(whole.dropDuplicates(["text_key"]), "text_key")
+                       .select("set_key", "shingles"), "whole")
+    both = (pairs.join(sets.select(F.col("set_key").alias("x"), F.col("shingles").alias("sx")), "x")
+            .join(sets.select(F.col("set_key").alias("y"), F.col("shingles").alias("sy")), "y"))
+    shared = F.size(F.array_intersect("sx", "sy"))
+    return both.filter(9 * shared >= 4 * (F.size("sx") + F.size("sy"))).select("x", "y")
+
+
+def links(rows: DataFrame, found: DataFrame, rooted: DataFrame) -> DataFrame:
+    """`(a, b)` links between roots of `rooted` that have similar or equal sets."""
+    own = found.filter("n > 0").join(rooted.select("fp", "root"), "fp")
+    # The root of an equal set stands for all of them.
+    sets = materialize(own.groupBy("set_key").agg(
+        F.min("root").alias("root"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
+        F.first("sketch").alias("sketch")), "sets")
+    edges = materialize(own.select("set_key", F.col("root").alias("a")).distinct()
+                        .join(sets.select("set_key", F.col("root").alias("b")), "set_key")
+                        .filter("a <> b").select("a", "b").distinct(), "equal")
+    post = sets.select(F.explode("prefix").alias("s"), "set_key", "root")
+    shared = post.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(
+        "lo < hi").select("s")
+    met = materialize(post.select("s", "set_key").join(shared, "s", "left_semi").join(
+        sets.drop("prefix"), "set_key").select("s", "set_key", "root", "n", "sketch"), "met")
+    names = sets.select("set_key", "root")
+    for forest in (True, False):
+        pairs = materialize(
+            met.repartition("s").sortWithinPartitions("s", "n", "set_key")
+            .mapInArrow(_pair_rows(forest), "x bigint, y bigint").distinct(), "pairs")
+        n = pairs.count()
+        if not n:
+            break
+        same = materialize(_similar(pairs, rows, found), "similar")
+        new = (same.join(names.toDF("x", "a"), "x").join(names.toDF("y", "b"), "y")
+               .select("a", "b"))
+        edges = materialize(edges.unionByName(new).distinct(), "edges")
+        if same.count() == n:
+            break
+        top = simhash.components(edges).toDF("root", "top")
+        met = met.join(top, "root", "left").select(
+            "s", "set_key", F.coalesce("top", "root").alias("root"), "n", "sketch")
+    return edges
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As `simhash.one_of_each`, with similar sets of shingles linked too."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(text).alias("text_key"),
+                       F.col(f"`{text}`").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
+    found = materialize(per_text(rows, ["doc_id", "text_key"], "text", _summaries(shared), FIELDS),
+                        "summaries")
+    best = simhash.classes(
+        found.select("doc_id", "text_key", "fp", F.col("doc_id").isNull().alias("missing")),
+        ["missing", "doc_id", "text_key"], lambda rooted: links(rows, found, rooted))
+    return simhash.keep_least(docs, best, doc_id, text)

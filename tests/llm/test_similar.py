@@ -1,0 +1,82 @@
+"""Sets of five-word shingles against all pairs."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from rankweave.llm import similar, simhash
+from tests.llm.test_simhash import plain_fingerprint
+
+
+def plain_set(text):
+    words = text.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_kept(docs):
+    """docs: (doc_id, text). The least id of each component by search over all pairs."""
+    prints, sets = [plain_fingerprint(t) for _, t in docs], [plain_set(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(docs)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if bin(prints[i] ^ prints[j]).count("1") <= 3 or (
+                    shared and 5 * shared >= 4 * len(sets[i] | sets[j])):
+                a, b = sorted((top(i), top(j)), key=lambda k: docs[k][0])
+                root[b] = a
+    return sorted(docs[i][0] for i in range(len(docs)) if top(i) == i)
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for place in rng.choice(len(words), n, replace=False):
+        words[place] = f"new{rng.integers(1 << 30)}"
+    return words
+
+
+@pytest.mark.parametrize("common", [1, 4])
+def test_stage_links_similar_sets_that_simhash_leaves_apart(spark, monkeypatch, common):
+    monkeypatch.setattr(similar, "COMMON", common)
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for size in (6, 40, 120, 400, 2500):
+        base = [f"w{rng.integers(1 << 30)}" for _ in range(size)]
+        texts += [" ".join(edited(rng, base, round(size * share))) for share in
+                  (0, .01, .015, .02, .02, .025, .03, .05, .1)]
+        texts += [" ".join(base + [f"tail{i}" for i in range(n)]) for n in (size // 5, size // 3)]
+    texts += [" ".join(passage + [f"x{rng.integers(1 << 30)}" for _ in range(int(k))])
+              for k in rng.integers(2, 40, 30)] + ["", " ", "one two", "One  two", "three"]
+    docs = [(i + 1, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = plain_kept(docs)
+    found = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert sorted(r["doc_id"] for r in found.collect()) == want
+    # By fingerprints alone more stay.
+    assert simhash.one_of_each(frame).count() > len(want)
+
+
+def test_what_prefix_and_sketch_turn_away_is_not_similar():
+    rng = np.random.default_rng(3)
+    none = np.zeros(0, np.int64)
+    for size in (1, 4, 9, 50, 700, 3000):
+        for _ in range(20):
+            a = np.unique(rng.integers(-1 << 62, 1 << 62, size))
+            gone = rng.integers(0, size // 4 + 1)
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 62, rng.integers(0, size // 4 + 1))]))
+            shared = len(np.intersect1d(a, b))
+            if not shared or 9 * shared < 4 * (len(a) + len(b)):
+                continue
+            common = np.sort(a[::3])
+            for c, n in ((none, none), (common, np.arange(len(common)) + 4)):
+                assert len(np.intersect1d(similar.prefix(a, c, n), similar.prefix(b, c, n)))
+            x, y = sorted((a, b), key=len)
+            bits = np.frombuffer(similar.sketch(x) + similar.sketch(y), np.uint64).reshape(2, -1)
+            key = np.array([1, 2])
+            found = similar.bucket_pairs(key, key, np.array([len(x), len(y)]), bits, True)
+            assert [z.tolist() for z in found] == [[1], [2]]
