@@ -28,7 +28,7 @@ POOL = 100
 SHORT_TEXT_BYTES = 64 * 1024
 CELLS = 16
 SIGN_BITS = 4
-PROBES = 8
+PROBES = 14             # of the cells; fewer find less than 0.9 of the nearest
 STREAM_FILES = 4
 QUERY = "the worthless inesea with hested onstble of the"
 SWEEP = [(0.8, 0.3), (1.2, 0.75), (2.0, 0.9)]

@@ -167,3 +167,15 @@ def test_hot_cell_is_written_by_several_tasks(spark, tmp_path):
     files = cells.select("cell", F.input_file_name().alias("f")).distinct().groupBy("cell").count()
     counts = dict(rows(files))
     assert cells.count() == 6000 and counts[1] > 1 and counts[2] == 1
+
+
+def test_registered_search_finds_nine_tenths(spark):
+    from pathlib import Path
+
+    from rankweave.plans import registry
+    for sf_dir in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        if not Path(sf_dir).exists():
+            pytest.skip("the tables are not here")
+        exact = ids(registry.q_vector_topk(spark, sf_dir))
+        few = ids(registry.q_vector_ann(spark, sf_dir))
+        assert np.mean([len(set(few[q]) & set(exact[q])) / len(exact[q]) for q in exact]) >= 0.9
