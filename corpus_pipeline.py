@@ -26,8 +26,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later occurrences of repeated runs of lines; `n_chars` follows the
     text. A document all of whose lines go stays, with an empty text."""
-    done = line_dedup.remove_repeated_runs(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
-    if "n_chars" not in docs.columns:
+    names = docs.columns
+    # Under names of their own, so that the operator's counts do not take the place of a column.
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(names)])
+    done = line_dedup.remove_repeated_runs(
+        plain, f"d{names.index('doc_id')}", f"d{names.index('text')}").select(
+        *[F.col(f"d{i}").alias(c) for i, c in enumerate(names)])
+    if "n_chars" not in names:
         return done
     kind = docs.schema["n_chars"].dataType
     return done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))

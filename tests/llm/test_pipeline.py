@@ -151,3 +151,12 @@ def test_every_stage_takes_odd_and_empty_tables(spark, name):
         assert sorted(str(r["doc_id"]) for r in rows) == ["1", "3", "5", "6", "None"]
     else:
         assert len(rows) == 7
+
+
+def test_line_dedup_keeps_values_of_columns_named_like_its_counts(spark):
+    text = " ".join(f"word{i}" for i in range(25))
+    docs = spark.createDataFrame([(1, text, "x", 1.5), (2, text + "\nmore", "y", 2.5)],
+                                 "doc_id long, text string, n_lines string, n_removed double")
+    done = corpus_pipeline.lines(spark, docs, SF_DIR)
+    assert done.schema == docs.schema
+    assert sorted(tuple(r) for r in done.collect()) == [(1, text, "x", 1.5), (2, "more", "y", 2.5)]
