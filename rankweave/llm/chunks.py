@@ -7,7 +7,7 @@ what stands beside them. When a text is put together, each join is repaired by e
 the white space before it to the white space after it, over as many chunks as that takes; at white
 space the ids of both sides agree with those of the whole text, so the result is exact.
 
-The store of chunks belongs to a worker and has a bounded size; when it is full it starts anew. One
+The store of chunks belongs to a worker and has a bounded size; when it is full the older half goes. One
 store for all workers would have to move the ids of every shared chunk to every document that has
 it, which is more than encoding them where the text lies. So nothing is shuffled.
 
@@ -18,6 +18,8 @@ tokens, as in the library.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,8 +89,10 @@ class ChunkStore:
     def learn(self, chunks: set[bytes]) -> None:
         new = [c for c in chunks if c not in self.chunks]
         if len(self.chunks) + len(new) > self.kept:
-            self.chunks.clear()
-            new = list(chunks)
+            # The older half goes, or as much as the chunks asked for need.
+            stay = min(len(self.chunks) // 2, max(0, self.kept - len(chunks)))
+            self.chunks = dict(islice(self.chunks.items(), len(self.chunks) - stay, None))
+            new = [c for c in chunks if c not in self.chunks]
         opened = []
         for chunk in new:
             ends = chunk.split(None, 1)

@@ -87,3 +87,10 @@ def test_a_reader_of_one_document_hands_its_id_to_the_files(spark, tmp_path):
     found = token_files.read_token_files(spark, path).filter("doc_id = 42")
     assert "EqualTo(doc_id,42)" in found._jdf.queryExecution().executedPlan().toString()
     assert [len(r["ids"]) for r in found.collect()] == [2]
+
+
+def test_a_full_store_keeps_the_newer_half():
+    store = chunks.ChunkStore(PATH, kept=4)
+    for chunk in (b"a 1 x", b"b 2 x", b"c 3 x", b"d 4 x", b"e 5 x"):
+        store.learn({chunk})
+    assert list(store.chunks) == [b"c 3 x", b"d 4 x", b"e 5 x"]
