@@ -5,6 +5,10 @@ signs before any merge, so a text's ids are those of its pieces behind one anoth
 letters, ASCII digits and signs are cut into such pieces here (lowered, as the file does); of other
 texts whole words go to the library. Pieces are looked up in a table of bounded size, and only new
 ones reach the library.
+
+A very long text is worked on window by window, cut at white space. A word longer than a window is
+cut beside digits and before signs that follow a letter or digit, where the file parts it too; only
+a longer run of letters reaches the library in one piece.
 """
 
 from __future__ import annotations
@@ -14,20 +18,55 @@ import os
 import re
 
 
-# Entries a worker keeps before it starts again; bounds memory, not results.
-KEPT = 500_000
+# Entries a worker keeps before it starts again, and their bytes; bounds memory, not results.
+KEPT = 400_000
+KEPT_BYTES = 32 * 1024 * 1024
+# Bytes of text worked on at a time.
+WINDOW = 1024 * 1024
 
 # Characters that may stand in a text that is cut here: no ' (contractions), no < (special tokens),
 # and of letters beyond ASCII those that Unicode normalization leaves as they are.
 _PLAIN = bytes(x for x in range(9, 127) if x not in b"'<" and (x < 14 or x > 31))
 _LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+# Where a word may be cut: no merge reaches across, and no special token or contraction is split.
+_GAP = re.compile(r"(?=[0-9])|(?<=[0-9])(?=[^\W\d_])|(?<=[^\W_])(?=[.,;:!?()/。，、！？；：])")
+_WHITE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 # What the cutting relies on; fixed values of the vocabulary file.
 _STEPS = ["NFC", "Replace", "Lowercase"]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def windows(raw: bytes, size: int = WINDOW) -> list[bytes]:
+    """Parts of a text of about `size` bytes at most whose ids behind one another are the text's."""
+    parts, at = [], 0
+    while len(raw) - at > size:
+        end = max(raw.rfind(mark, at + 1, at + size) for mark in (b" ", b"\n", b"\t"))
+        if end > at:
+            parts.append(raw[at:end])
+        else:
+            white = _WHITE.search(raw, at + 1)
+            end = white.start() if white else len(raw)
+            parts += _word_parts(raw[at:end].decode(), size)
+        at = end
+    parts.append(raw[at:])
+    return parts
+
+
+def _word_parts(word: str, size: int) -> list[bytes]:
+    parts, at, last = [], 0, 0
+    for gap in _GAP.finditer(word):
+        if gap.start() - at > size // 4 and last > at:  # four bytes a character at most
+            parts.append(word[at:last].encode())
+            at = last
+        last = gap.start()
+    if last > at and len(word) - at > size // 4:
+        parts.append(word[at:last].encode())
+        at = last
+    return [*parts, word[at:].encode()]
+
+
 class Pieces:
     """Ids, and if asked for decoded forms, of pieces and words."""
 
@@ -44,18 +83,21 @@ class Pieces:
                   for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         if steps != _STEPS or splits[:1] != [_PATTERN]:
             raise ValueError("a vocabulary that splits texts in the known way is needed")
-        # The same merges without the steps that pieces don't need.
-        self.merges = Tokenizer.from_file(path)
+        del spec
+        # The same merges (shared, not loaded again) without the steps that pieces don't need.
+        self.merges = Tokenizer(self.full.model)
         self.merges.normalizer = normalizers.Sequence([])
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False,
                                                              use_regex=False)
         size = self.full.get_vocab_size(with_added_tokens=True)
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
-        self.tokens = [(self.full.id_to_token(i) or "").encode() for i in range(size)]
+        self.tokens = [(self.full.id_to_token(i) or "").encode() for i in range(size)] \
+            if spelled else []
         self.spelled, self.kept = spelled, kept
         # Pieces are strings, whole words are bytes, so one table holds both.
         self.ids: dict[str | bytes, bytes] = {}
         self.texts: dict[str | bytes, bytes] = {}
+        self.held = 0
 
     def cut(self, raw: bytes) -> list[str] | list[bytes]:
         rest = raw.translate(None, _PLAIN)
@@ -65,9 +107,10 @@ class Pieces:
 
     def learn(self, keys: set[str | bytes]) -> None:
         new = [k for k in keys if k not in self.ids]
-        if len(self.ids) + len(new) > self.kept:
+        if len(self.ids) + len(new) > self.kept or self.held > KEPT_BYTES:
             self.ids.clear()
             self.texts.clear()
+            self.held = 0
             new = list(keys)
         simple, latin, words = [], [], []
         for key in new:
@@ -86,22 +129,39 @@ class Pieces:
         packed, tokens = self.packed, self.tokens
         for key, found in zip(keys, ids):
             self.ids[key] = b"".join([packed[i] for i in found])
+            self.held += len(key) + 4 * len(found)
             if self.spelled:
                 self.texts[key] = b" ".join([tokens[i] for i in found])
 
     def encode(self, raws: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         """Ids of each text, as little-endian unsigned 32-bit integers behind one another, and the
         decoded texts (tokens with spaces between, as the library decodes for such a file)."""
-        cuts = [self.cut(raw) for raw in raws]
-        wanted: set = set()
-        for keys in cuts:
-            wanted.update(keys)
-        self.learn(wanted)
-        ids = [b"".join(map(self.ids.__getitem__, keys)) for keys in cuts]
-        if not self.spelled:
-            return ids, []
-        texts = self.texts.__getitem__
-        return ids, [b" ".join(filter(None, map(texts, keys))) for keys in cuts]
+        ids: list[list[bytes]] = [[] for _ in raws]
+        spelled: list[list[bytes]] = [[] for _ in raws]
+        held, size = [], 0
+
+        def flush() -> None:
+            cuts = [self.cut(part) for _, part in held]
+            wanted: set = set()
+            for keys in cuts:
+                wanted.update(keys)
+            self.learn(wanted)
+            for (owner, _), keys in zip(held, cuts):
+                ids[owner].append(b"".join(map(self.ids.__getitem__, keys)))
+                if self.spelled:
+                    spelled[owner].append(
+                        b" ".join(filter(None, map(self.texts.__getitem__, keys))))
+
+        for owner, raw in enumerate(raws):
+            for part in windows(raw) if len(raw) > WINDOW else (raw,):
+                held.append((owner, part))
+                size += len(part)
+                if size >= WINDOW:
+                    flush()
+                    held, size = [], 0
+        flush()
+        return ([b"".join(x) for x in ids],
+                [b" ".join(filter(None, x)) for x in spelled] if self.spelled else [])
 
 
 _made: dict[tuple, Pieces] = {}

@@ -13,7 +13,8 @@ it, which is more than encoding them where the text lies. So nothing is shuffled
 
 Defined cases: a null or empty text, or one of white space only, has no ids and decodes to an empty
 text. Repeated rows get the same result. Strings of special tokens inside a text become those
-tokens, as in the library.
+tokens, as in the library. A very long text has many chunks, which are learnt in turn; a task holds
+the text, its ids and its decoded form.
 """
 
 from __future__ import annotations

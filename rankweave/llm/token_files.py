@@ -11,8 +11,9 @@ first id of a document is found from the `n_tokens` column of the files, summed
 and added to the sums of the parts before it (one number per part).
 
 Defined cases: a null or empty text is one document with the end id alone. Null ids come first.
-Rows of one id are ordered by a hash of the text; repeated rows are written and counted each. An
-empty table gives files without rows.
+Rows of one id are ordered by a hash of the text and may lie in several parts; repeated rows are
+written and counted each. An empty table gives files without rows. A very long text is encoded
+window by window; what a task holds of it is the text and its ids.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from . import bpe
 from .common import per_text, raw_texts, text_key
 
 END_ID = 2
-PART_BYTES = 32 * 1024 * 1024
+PART_BYTES = 16 * 1024 * 1024
 MOST_PARTS = 20_000        # larger inputs get larger parts
 UNKNOWN_BYTES = 1 << 60    # the planner's answer where it has no file sizes
 STRIPE_BYTES = 16 * 1024 * 1024
@@ -67,9 +68,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, doc_id: str =
     if size >= UNKNOWN_BYTES:  # not a scan of files
         size = measured(rows)[1]
     parts = min(max(spark.sparkContext.defaultParallelism, size // part_bytes), MOST_PARTS)
-    dealt = (rows.repartitionByRange(int(parts), F.col("doc_id").asc_nulls_first())
+    # A hash of the text and the row's number split the rows of one id, or without one.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_key"), F.col("row")]
+    keyed = rows.withColumns({"text_key": text_key("text"),
+                              "row": F.monotonically_increasing_id()})
+    dealt = (keyed.repartitionByRange(int(parts), *order)
              .withColumn("part", F.spark_partition_id())
-             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), text_key("text")))
+             .sortWithinPartitions(*order))
     (per_text(dealt, ["doc_id", "part"], "text", _encoder(vocabulary, end_id),
               "place bigint, n_tokens int, ids array<int>")
      .write.option("orc.bloom.filter.columns", "doc_id")

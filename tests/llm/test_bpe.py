@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from rankweave.llm import chunks, token_files
+from rankweave.llm import bpe, chunks, token_files
 from rankweave.llm.common import text_bytes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -94,3 +94,33 @@ def test_a_full_store_keeps_the_newer_half():
     for chunk in (b"a 1 x", b"b 2 x", b"c 3 x", b"d 4 x", b"e 5 x"):
         store.learn({chunk})
     assert list(store.chunks) == [b"c 3 x", b"d 4 x", b"e 5 x"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["word", "Ünï", "12", "'s", "<|endoftext|>", ".", "，", "你好", "é",
+                                 "e\u0301", "<\u0338", " ", "\n", "-", "_", "½", "a1b", "?!"]),
+                max_size=120).map("".join), st.integers(4, 60))
+def test_windows_of_a_long_text_have_its_ids(text, size):
+    parts = bpe.windows(text.encode(), size)
+    assert b"".join(parts) == text.encode()
+    assert [i for p in parts for i in wanted(p.decode())[0]] == wanted(text)[0]
+
+
+@pytest.mark.parametrize("text", ["Some words, 12 of them. " * 870_000, "1ab-cd.ef" * 2_300_000],
+                         ids=["words", "no white space"])
+def test_a_text_of_20_mb_is_encoded_in_windows(text):
+    table = bpe.pieces(PATH)
+    ids = np.frombuffer(table.encode([text.encode()])[0][0], "<u4")
+    n = 24 if text[0] == "S" else 9
+    one = wanted(text[:100 * n])[0]
+    assert len(ids) == len(one) * (len(text) // (100 * n))
+    assert ids[:len(one)].tolist() == one
+
+
+def test_rows_of_one_id_lie_in_several_parts(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("7L AS doc_id", "'the same text' AS text")
+    path = str(tmp_path / "ids")
+    token_files.write_token_files(docs, path, PATH)
+    rows = token_files.read_token_files(spark, path).groupBy("part").count().collect()
+    assert len(rows) > 1 and max(r["count"] for r in rows) < 3000
+    assert token_files.document_digests(spark, path).select("start").distinct().count() == 4000
