@@ -105,6 +105,14 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a frame made by `materialize` that nothing reads any more."""
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The planner's estimate of a frame's size; for plain scans the size of the files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
