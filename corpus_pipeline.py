@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankweave.llm import decontaminate, line_dedup, quality_rules, queries, similar
+from rankweave.llm import decontaminate, line_dedup, quality_rules, queries, simhash
 from rankweave.llm.common import table
 from rankweave.session import materialize
 
@@ -40,10 +40,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates: fingerprints of the operator
-    linked at three bits or fewer, and sets of five-word shingles with a similarity of 0.8 or
-    more."""
-    return similar.one_of_each(docs)
+    """The document with the least id of each group of near-duplicates: fingerprints of three-word
+    shingles, linked at three bits or fewer."""
+    return simhash.one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

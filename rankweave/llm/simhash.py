@@ -20,14 +20,14 @@ only if all its rows have none. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .common import per_text, raw_texts, text_key
 
 SHINGLE = 3
@@ -300,17 +300,17 @@ def components(edges: DataFrame, tasks: int = 1) -> DataFrame:
                       .filter("a > b").distinct().coalesce(tasks), "links")
     before, after = None, mark(now)
     while after[0] and after != before:
-        now = materialize(round_of(now).coalesce(_tasks(now.sparkSession, after[0])), "stars")
+        last, now = now, materialize(
+            round_of(now).coalesce(_tasks(now.sparkSession, after[0])), "stars")
         before, after = after, mark(now)
+        discard(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def classes(found: DataFrame, order: list[str],
-            more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def classes(found: DataFrame, order: list[str]) -> DataFrame:
     """`fp`, `root`, `least`: for each distinct fingerprint of `found` its component, named by a
-    fingerprint, and the least row of the component by the columns `order`. `more` takes the
-    fingerprints with their `root` and returns further links `(a, b)` between roots."""
+    fingerprint, and the least row of the component by the columns `order`."""
     key = F.struct(*order)
     tasks = _tasks(found.sparkSession, found.count())
     distinct = materialize(
@@ -318,11 +318,6 @@ def classes(found: DataFrame, order: list[str],
     labels = components(links(distinct.select("fp")), tasks)
     rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least")
-    if more is not None:
-        rooted = materialize(rooted, "rooted")
-        joined = components(more(rooted), tasks).toDF("root", "top")
-        rooted = rooted.join(joined, "root", "left").select(
-            "fp", F.coalesce("top", "root").alias("root"), "least")
     # Most components are one fingerprint; the rest are combined in the map tasks.
     best = rooted.groupBy("root").agg(F.min("least").alias("least"))
     return rooted.drop("least").join(best, "root")
