@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_dir
-from . import (chat, chunks, decontaminate, language, line_dedup, quality_classifier,
-               quality_rules, sampling, simhash, token_files, toxicity)
+from . import (centroids, chat, chunks, decontaminate, language, line_dedup, packing,
+               quality_classifier, quality_rules, sampling, simhash, spelling, token_files,
+               toxicity)
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -127,6 +129,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"),
+                        public_tokenizers.path(BYTE_VOCABULARY))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summary(centroids.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_decontaminate": op2_decontaminate,
@@ -138,6 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chunk_bpe": op9_chunk_bpe,
     "op10_chat": op10_chat,
+    "op11_spelling": op11_spelling,
+    "op12_packing": op12_packing,
+    "op13_centroids": op13_centroids,
 }
 
 SQL: dict[str, str] = {}
@@ -268,3 +286,43 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns,
        CAST(CASE WHEN conflict THEN escaped_chars ELSE raw_chars END AS BIGINT) AS formatted_chars
 FROM told
 """
+
+
+def _rounds_sql(k: int = 8, rounds: int = 10, width: int = 64) -> str:
+    """All rounds over all distances, one pair of tables a round."""
+    far = (f"list_sum(list_transform(range(1, {width + 1}), "
+           "lambda i: (x[i] - c[i]) * (x[i] - c[i])))")
+
+    def assigned(turn: int) -> str:
+        return (f"a{turn} AS MATERIALIZED (SELECT r, j, d FROM (SELECT r, j, {far} AS d, "
+                f"row_number() OVER (PARTITION BY r ORDER BY {far}, j) AS nth "
+                f"FROM kept, c{turn}) WHERE nth = 1)")
+
+    def moved(turn: int) -> str:
+        return (f"c{turn + 1} AS MATERIALIZED (SELECT j, coalesce(m, c) AS c FROM c{turn} LEFT JOIN ("
+                "SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS m FROM ("
+                "SELECT j, p, CAST(sum(x[p]) AS BIGINT) AS s, count(*) AS n "
+                f"FROM a{turn} JOIN kept USING (r), (SELECT unnest(range(1, {width + 1})) AS p) "
+                "GROUP BY j, p) GROUP BY j) USING (j))")
+
+    steps = [x for turn in range(rounds) for x in (assigned(turn), moved(turn))]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {width}
+    AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = {width}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS j, x AS c
+  FROM (SELECT sha256('3:' || vec_id) AS h, x FROM kept ORDER BY h NULLS LAST, x LIMIT {k})),
+{("," + chr(10)).join([*steps, assigned(rounds)])},
+sums AS (SELECT j, sum(d) AS cluster_inertia FROM a{rounds} GROUP BY j)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(cluster_inertia AS BIGINT) AS cluster_inertia,
+       CAST((SELECT sum(cluster_inertia) FROM sums) AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} USING (j) JOIN sums USING (j)
+"""
+
+
+SQL["op13_centroids"] = _rounds_sql()

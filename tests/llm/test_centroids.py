@@ -1,0 +1,102 @@
+"""Clustering against plain rounds over all distances, and the bounds on their own."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from rankweave.llm import centroids
+
+
+def plain(rows, k, rounds, seed=3):
+    """rows: (id, whole numbers)."""
+    order = sorted((i is None, hashlib.sha256(f"{seed}:{i}".encode()).hexdigest() if i is not None
+                    else "", x) for i, x in rows)
+    places = [list(x) for _, _, x in order[:k]]
+
+    def nearest(x):
+        found = [sum((a - b) ** 2 for a, b in zip(x, c)) for c in places]
+        return found.index(min(found)), min(found)
+
+    for _ in range(rounds):
+        groups = [[] for _ in places]
+        for _, x in rows:
+            groups[nearest(x)[0]].append(x)
+        for j, group in enumerate(groups):
+            if group:
+                places[j] = [sum(c) // len(group) for c in zip(*group)]
+    return [(i, *nearest(x)) for i, x in rows], places
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, x string")
+
+
+@pytest.mark.parametrize("n, k, rounds", [(300, 8, 10), (40, 5, 3), (3, 8, 2), (200, 1, 2)])
+def test_equals_plain_rounds(spark, n, k, rounds):
+    rng = np.random.default_rng(n)
+    middle = rng.normal(size=(4, 6))
+    values = (middle[rng.integers(0, 4, n)] + 0.3 * rng.normal(size=(n, 6))).astype(np.float32)
+    values[: n // 4] = np.round(values[: n // 4])  # ties and equal vectors
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(values)]
+    rows += [(None, values[0].tolist(), None)] * 2 + [(0, rows[0][1], "x")]
+    want, places = plain([(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v, _ in rows],
+                         k, rounds)
+    odd = [(900, None, "x"), (901, [1.0], "x"), (902, [float("nan")] * 6, "x"),
+           (903, [float("inf")] * 6, "x"), (904, [None] * 6, "x")]
+    found = centroids.cluster_vectors(frame(spark, rows + odd).repartition(3), k, rounds, width=6)
+    assert found.centroids.tolist() == places
+    done = centroids.summary(found).collect()
+    key = lambda r: (str(r[0]), r[1], r[2])
+    assert sorted([(r["vec_id"], r["cluster"], r["distance"]) for r in done], key=key) == \
+        sorted(want, key=key)
+    assert {r["inertia"] for r in done} == {sum(d for _, _, d in want)}
+    for r in done:
+        assert r["cluster_inertia"] == sum(d for _, j, d in want if j == r["cluster"])
+        told = ",".join(map(str, places[r["cluster"]]))
+        assert r["centroid_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+    if n == 300:  # bounds spare most distances once centroids settle
+        assert found.computed[0] == len(rows) * k
+        assert sum(found.computed[5:]) < 0.5 * 6 * len(rows) * k
+
+
+def test_empty_table_and_large_components(spark):
+    found = centroids.cluster_vectors(frame(spark, []), width=6)
+    assert centroids.summary(found).collect() == []
+    with pytest.raises(Exception, match="too large"):
+        centroids.cluster_vectors(frame(spark, [(1, [1e9] * 6, "x")]), width=6)
+
+
+def test_a_column_named_like_the_state_is_ignored(spark):
+    rows = frame(spark, [(1, [0.5] * 6, "a"), (2, [0.25] * 6, "b")]).withColumns(
+        {"cluster": F.lit("c"), "known": F.lit(1), "part": F.lit(7)})
+    done = centroids.summary(centroids.cluster_vectors(rows, 2, 2, width=6)).collect()
+    assert sorted((r["vec_id"], r["distance"]) for r in done) == [(1, 0), (2, 0)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000))
+def test_bounds_never_change_an_assignment(seed):
+    rng = np.random.default_rng(seed)
+    n, k, width = 50, int(rng.integers(1, 6)), int(rng.integers(1, 4))
+    x = rng.integers(-30, 30, (n, width))
+    history = centroids.History()
+    cluster, known = np.full(n, -1, np.int32), np.zeros((n, k))
+    since = np.zeros((n, k), np.int64)
+    place = rng.integers(-30, 30, (k, width))
+    for _ in range(6):
+        history.add(place)
+        centroids.assign(x, cluster, known, since, history)
+        exact = ((x[:, None, :] - place[None]) ** 2).sum(axis=2)
+        assert (cluster == exact.argmin(axis=1)).all()
+        # Moves back and forth: the total displacement is small again where drifts add up.
+        place = place + rng.integers(-4, 5, place.shape)
+
+
+def test_total_displacement_not_summed_drifts():
+    history = centroids.History()
+    for at in ([0, 0], [30, 40], [0, 3]):
+        history.add(np.array([at]))
+    assert history.moved[:, 0].tolist() == [3.0, np.hypot(30, 37), 0.0]

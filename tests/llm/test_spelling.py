@@ -1,0 +1,100 @@
+"""Spelling variants against all pairs of words, and the counting against a plain loop."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rankweave.llm import spelling
+
+
+def plain_count(docs, least=6, least_count=5):
+    counts = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{doc_id}:{run}".encode())
+            if doc_id is not None and h % 199 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= least and n >= least_count}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def plain_variants(counts, ratio=5):
+    near = {w: [x for x in counts if one_edit(w, x)] for w in counts}
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * counts[w] else None
+    rows = []
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        rows.append((w, form[w], root, n, len(near[w]), counts[form[w]] if form[w] else None))
+    return sorted(rows)
+
+
+def found_rows(df):
+    return sorted(tuple(r) for r in df.select(
+        "word", "form", "root", "n", "n_near", "form_n").collect())
+
+
+def as_words(spark, counts):
+    return spark.createDataFrame(list(counts.items()), "word string, n long")
+
+
+def mutated(rng, word, letters):
+    at = rng.integers(0, len(word) + 1)
+    kind = rng.integers(0, 3)
+    c = rng.choice(list(letters))
+    return (word[:at] + c + word[at:] if kind == 0 else
+            word[:at] + c + word[at + 1:] if kind == 1 else word[:at] + word[at + 1:])
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdeé÷"])
+def test_variants_equal_all_pairs(spark, letters):
+    rng = np.random.default_rng(len(letters))
+    words = {"".join(rng.choice(list(letters), rng.integers(6, 11))) for _ in range(60)}
+    for _ in range(3):
+        words |= {mutated(rng, w, letters) for w in sorted(words)}
+    words |= {"a" * n for n in range(6, 30)} | {"a" * 40 + "b" * k for k in range(5)}
+    words |= {"x" * 3000, "x" * 3001, "x" * 1500 + "y" + "x" * 1499, "y" + "x" * 2999}
+    counts = {w: int(rng.choice([5, 5, 30, 200, 5000])) for w in sorted(words) if len(w) >= 6}
+    assert found_rows(spelling.variants(as_words(spark, counts))) == plain_variants(counts)
+
+
+def test_counting_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    stems = ["window", "Wíndow", "WINDOW", "colour", "color", "colours", "ÉTOILES", "étoiles", "x×y÷zabc"]
+    docs = [(int(i), " ".join(rng.choice(stems, 40))) for i in range(300)]
+    docs += [(None, "windows " * 6), (7, None), (8, ""), (9, "1window2window_windowſwindow"),
+             (10, "q" * 200_000 + " " + "longword" * 20_000)] + [(3, "repeated row")] * 6
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", F.lit("x"))
+    found = {r["word"]: r["n"] for r in spelling.count_words(frame.repartition(3)).collect()}
+    want = plain_count(docs)
+    assert found == want and any(len(w) == 6 and "windo" not in w for w in want)
+    assert found_rows(spelling.variants(spelling.count_words(frame))) == plain_variants(want)
+
+
+def test_no_words(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert spelling.variants(spelling.count_words(empty)).collect() == []
+    alone = as_words(spark, {"single": 9})
+    assert found_rows(spelling.variants(alone)) == [("single", None, "single", 9, 0, None)]
+
+
+def test_chains_lead_to_their_ends(spark):
+    counts = {"aaaaaa": 5, "aaaaab": 25, "aaaabb": 125, "aaabbb": 625, "aabbbb": 3125}
+    assert found_rows(spelling.variants(as_words(spark, counts))) == plain_variants(counts)
