@@ -218,7 +218,7 @@ def cluster_vectors(vectors: DataFrame, k: int = 8, rounds: int = 10, width: int
     before, computed = kept, []
     for turn in range(rounds + 1):
         path = scratch_dir(spark, "round")
-        (state.mapInArrow(_round(history), schema).write.partitionBy("part").parquet(path))
+        state.mapInArrow(_round(history), schema).write.parquet(path)
         done = spark.read.schema(schema).parquet(path)
         discard(before)
         before = done
