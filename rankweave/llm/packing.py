@@ -21,8 +21,7 @@ Sources with less than `LEAST_SHARE` of the bytes wait in a common queue, so the
 however many sources there are, and a sequence has few pieces.
 
 Defined cases: a null or empty text is the end id alone, a null source is a source. Repeated rows
-are packed each. An empty table gives no pieces. A very long text is encoded window by window and
-cut into as many pieces as it needs; a task holds its text and ids.
+are packed each. An empty table gives no pieces. A very long text is cut into as many pieces as it needs; a task holds its text and ids.
 """
 
 from __future__ import annotations
@@ -142,27 +141,29 @@ def _encode(path: str, end_id: int, queue_of: dict[str | None, int]):
     common = len(queue_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = byte_bpe.pieces(path), None
-        end = table.packed[end_id]
+        table = byte_bpe.encoder(path)
         seen = np.zeros(common + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
             texts = as_texts(batch.column(2))
             for start, stop in slices(texts):
-                ids = [x + end for x in table.encode(texts.slice(start, stop - start).to_pylist())]
-                size = np.array([len(x) for x in ids], np.int64) // len(end)
+                ids, ends = table.encode(texts.slice(start, stop - start), end_id)
+                size = np.diff(ends)
+                places = pa.array((ends * ids.itemsize).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(size), [
+                    None, places.buffers()[1], pa.py_buffer(ids.tobytes())])
                 queue = np.array([queue_of.get(s, common) for s in
                                   batch.column(1).slice(start, stop - start).to_pylist()])
                 first = np.empty(len(size), np.int64)
                 for q in np.unique(queue):
                     mine = queue == q
-                    ends = np.cumsum(size[mine])
-                    first[mine] = seen[q] + ends - size[mine]
-                    seen[q] += ends[-1]
+                    upto = np.cumsum(size[mine])
+                    first[mine] = seen[q] + upto - size[mine]
+                    seen[q] += upto[-1]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, stop - start),
                      pa.array(part * QUEUES + queue, pa.int64()), pa.array(first),
-                     pa.array(size), pa.array(ids, pa.binary())],
+                     pa.array(size), packed],
                     names=["doc_id", "slot", "first", "doc_tokens", "ids"])
 
     return run
@@ -243,7 +244,7 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
         "doc_id", "slot", "doc_tokens", "ids", (F.col("first") + F.col("before")).alias("first"))
     schema = (f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
               "sequence_id bigint, offset bigint, queue int")
-    dtype = byte_bpe.pieces(vocabulary).dtype
+    dtype = byte_bpe.encoder(vocabulary).dtype
     return placed.mapInArrow(_cut(schedule, dtype, with_ids),
                              schema + (", ids array<bigint>" if with_ids else ""))
 
