@@ -3,8 +3,10 @@
 The vocabulary file given by its path parts texts at white space and between letters, digits and
 signs before any merge, so a text's ids are those of its pieces behind one another. Texts of Latin
 letters, ASCII digits and signs are cut into such pieces here (lowered, as the file does); of other
-texts whole words go to the library. Pieces are looked up in a table of bounded size, and only new
-ones reach the library.
+texts whole words go to the library. The file's merges are run on the pieces by tiktoken, which gives
+the same ids: a byte that no piece has stands for the end of a word, which merges with the last
+letter before all else, and merges are listed by the id they make. Where decoded forms are asked for
+as well, both are looked up in a table of bounded size, as the library's words always are.
 
 A very long text is worked on window by window, cut at white space. A word longer than a window is
 cut beside digits and before signs that follow a letter or digit, where the file parts it too; only
@@ -16,6 +18,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+
+from .byte_bpe import letter_bytes
 
 
 # Entries a worker keeps before it starts again, and their bytes; bounds memory, not results.
@@ -36,6 +41,8 @@ _WHITE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 # What the cutting relies on; fixed values of the vocabulary file.
 _STEPS = ["NFC", "Replace", "Lowercase"]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END_MARK = "</w>"
+_END = b"\x01"   # stands for it
 
 
 def windows(raw: bytes, size: int = WINDOW) -> list[bytes]:
@@ -67,12 +74,19 @@ def _word_parts(word: str, size: int) -> list[bytes]:
     return [*parts, word[at:].encode()]
 
 
+def is_plain(raw: bytes) -> bool:
+    """Whether a text is cut here."""
+    rest = raw.translate(None, _PLAIN)
+    return not rest or _LATIN.fullmatch(rest) is not None
+
+
 class Pieces:
     """Ids, and if asked for decoded forms, of pieces and words."""
 
     def __init__(self, path: str, spelled: bool = False, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
         self.full.no_truncation()
@@ -81,16 +95,22 @@ class Pieces:
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex")
                   for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        if steps != _STEPS or splits[:1] != [_PATTERN]:
+        model = spec["model"]
+        made = [model["vocab"]["".join(m)] for m in model["merges"]]
+        if steps != _STEPS or splits[:1] != [_PATTERN] or made != sorted(made) \
+                or model["end_of_word_suffix"] != _END_MARK:
             raise ValueError("a vocabulary that splits texts in the known way is needed")
-        del spec
-        # The same merges (shared, not loaded again) without the steps that pieces don't need.
-        self.merges = Tokenizer(self.full.model)
-        self.merges.normalizer = normalizers.Sequence([])
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False,
-                                                             use_regex=False)
+        special = {t["content"] for t in spec["added_tokens"]}
+        byte_of, ranks = letter_bytes(), {}
+        for token, i in model["vocab"].items():
+            if token not in special:
+                letters = token.removesuffix(_END_MARK)
+                ranks[bytes(map(byte_of.__getitem__, letters))
+                      + (_END if letters != token else b"")] = i
+        self.merges = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks,
+                                        special_tokens={})
+        del spec, model, made
         size = self.full.get_vocab_size(with_added_tokens=True)
-        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.tokens = [(self.full.id_to_token(i) or "").encode() for i in range(size)] \
             if spelled else []
         self.spelled, self.kept = spelled, kept
@@ -100,11 +120,16 @@ class Pieces:
         self.held = 0
 
     def cut(self, raw: bytes) -> list[str] | list[bytes]:
-        rest = raw.translate(None, _PLAIN)
-        if rest and not _LATIN.fullmatch(rest):
+        if not is_plain(raw):
             return raw.split()
         return _PIECE.findall(raw.decode().lower())
 
+    def merged(self, raw: bytes) -> bytes:
+        """Ids of a plain text, without the table."""
+        pieces = _PIECE.findall(raw.decode().lower())
+        text = "\x01".join([*pieces, ""])
+        return self.merges.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+
     def learn(self, keys: set[str | bytes]) -> None:
         new = [k for k in keys if k not in self.ids]
         if len(self.ids) + len(new) > self.kept or self.held > KEPT_BYTES:
@@ -112,23 +137,19 @@ class Pieces:
             self.texts.clear()
             self.held = 0
             new = list(keys)
-        simple, latin, words = [], [], []
-        for key in new:
-            if isinstance(key, bytes):
-                words.append(key)
-            else:
-                (simple if key.isascii() else latin).append(key)
-        tokenize = self.merges.model.tokenize
-        self._keep(simple, ([t.id for t in tokenize(k)] for k in simple))
-        for keys_, library, texts in ((latin, self.merges, latin),
-                                      (words, self.full, [w.decode() for w in words])):
-            self._keep(keys_, (e.ids for e in library.encode_batch_fast(
-                texts, add_special_tokens=False)) if texts else ())
+        merge = self.merges._core_bpe.encode_single_piece
+        cut = [k for k in new if isinstance(k, str)]
+        self._keep(cut, (merge(k.encode() + _END) for k in cut))
+        words = [k for k in new if isinstance(k, bytes)]
+        if words:
+            found = self.full.encode_batch_fast([w.decode() for w in words],
+                                                add_special_tokens=False)
+            self._keep(words, (e.ids for e in found))
 
     def _keep(self, keys, ids) -> None:
-        packed, tokens = self.packed, self.tokens
+        tokens = self.tokens
         for key, found in zip(keys, ids):
-            self.ids[key] = b"".join([packed[i] for i in found])
+            self.ids[key] = array("I", found).tobytes()
             self.held += len(key) + 4 * len(found)
             if self.spelled:
                 self.texts[key] = b" ".join([tokens[i] for i in found])
@@ -154,6 +175,13 @@ class Pieces:
 
         for owner, raw in enumerate(raws):
             for part in windows(raw) if len(raw) > WINDOW else (raw,):
+                if not self.spelled and is_plain(part):
+                    # Parts for the table that stand before it come first.
+                    if held and held[-1][0] == owner:
+                        flush()
+                        held, size = [], 0
+                    ids[owner].append(self.merged(part))
+                    continue
                 held.append((owner, part))
                 size += len(part)
                 if size >= WINDOW:

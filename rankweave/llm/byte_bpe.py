@@ -45,7 +45,7 @@ def windows(text: str, size: int = WINDOW) -> list[str]:
     return parts
 
 
-def _letter_bytes() -> dict[str, int]:
+def letter_bytes() -> dict[str, int]:
     """The byte that each letter of such files stands for: printable ones for themselves, those from
     256 on for the others, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -67,7 +67,7 @@ class Encoder:
                 or model.get("ignore_merges"):
             raise ValueError("a byte-level vocabulary that cuts texts in the known way is needed")
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        byte_of = _letter_bytes()
+        byte_of = letter_bytes()
         ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in model["vocab"].items()
                  if token not in special}
         made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)]

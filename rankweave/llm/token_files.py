@@ -91,9 +91,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         "doc_id bigint, part int, place bigint, n_tokens int, ids array<int>").orc(path)
 
 
-def offsets(rows: DataFrame) -> DataFrame:
-    """The rows with `start`, the number of ids of all documents before each."""
-    totals = rows.groupBy("part").agg(F.sum(F.col("n_tokens").cast("bigint")).alias("n"))
+def offsets(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The rows with `start`, the number of ids of all documents before each. If they are made from
+    the files by some work, give the `files` too: sums are taken from them."""
+    totals = (rows if files is None else files).groupBy("part").agg(
+        F.sum(F.col("n_tokens").cast("bigint")).alias("n"))
     # One row per part, MOST_PARTS at most.
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n"))
                            .alias("before"))
@@ -122,7 +124,8 @@ def _checksum(batches):
 
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """`doc_id, start, n_tokens, ids_crc32` of every document, read from the files."""
-    small = read_token_files(spark, path).mapInArrow(
+    files = read_token_files(spark, path)
+    small = files.mapInArrow(
         _checksum, "doc_id bigint, part int, place bigint, n_tokens int, ids_crc32 bigint")
-    return offsets(small).select("doc_id", "start", F.col("n_tokens").cast("bigint")
+    return offsets(small, files).select("doc_id", "start", F.col("n_tokens").cast("bigint")
                                  .alias("n_tokens"), "ids_crc32")
