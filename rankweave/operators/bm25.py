@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scoring
 from ..functions.text import Analyzer
 from ..session import (
-    BROADCAST_BYTES, materialize, measured, picked, pushdown_limit, split, union_all,
+    BROADCAST_BYTES, in_list, materialize, measured, picked, split, union_all,
 )
 from ..sources.index import LexicalIndex
 from .lexical import lemmatize, token_id
@@ -17,6 +17,8 @@ from . import topk
 
 # Postings of one bucket that a part of the queries may ask for, counted once per query.
 BUCKET_POSTINGS = 20_000_000
+# Up to so many words, the reader is given the list of them.
+NARROW_TERMS = 1000
 
 
 def query_terms(queries: DataFrame, analyzer: Analyzer, mode: str = "set",
@@ -56,9 +58,9 @@ def _narrowed(index: LexicalIndex, terms: DataFrame) -> LexicalIndex:
     few = terms.select("token", token_id(F.col("token")).alias("token_id")).distinct().collect()
     return replace(
         index,
-        token=index.token.filter(F.col("token").isin([row["token"] for row in few])),
+        token=index.token.filter(in_list("token", [row["token"] for row in few])),
         term_doc_stats=index.term_doc_stats.filter(
-            F.col("token_id").isin([row["token_id"] for row in few])))
+            in_list("token_id", [row["token_id"] for row in few])))
 
 
 def _term_chunks(index: LexicalIndex, queries: DataFrame, mode: str,
@@ -68,7 +70,7 @@ def _term_chunks(index: LexicalIndex, queries: DataFrame, mode: str,
     terms = query_terms(queries, index.analyzer, mode, index.lexicon)
     rows, size = measured(terms)
     size *= 2  # a joined term carries two numbers more than the measured one
-    if rows <= pushdown_limit(queries.sparkSession):
+    if rows <= NARROW_TERMS:
         index = _narrowed(index, terms)
     else:
         work = (index.token.join(terms.select("token"), "token")
@@ -148,7 +150,6 @@ def bm25_explain(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, k1:
     parts = []
     for narrow, terms in _term_chunks(index, queries, "set", limit):
         postings = picked(narrow.term_doc_stats, "doc_id", pairs)
-        postings = narrow.term_doc_stats if postings is None else postings
         wanted = terms.join(pairs, "query_id")
         _, size = measured(wanted)
         wanted = F.broadcast(wanted) if size <= limit else wanted
@@ -192,8 +193,6 @@ def attach_titles(ranking: DataFrame, document: DataFrame,
     done = materialize(ranking, "ranking")
     titles = document.select("doc_id", F.col("title").alias("doc_title"))
     found = picked(titles, "doc_id", done)
-    if found is None:
-        found = titles
     size = measured(done)[1]
     return found.join(F.broadcast(done) if size <= limit else done, "doc_id").select(
         "query_id", "doc_id", "doc_title", "score", "rank")

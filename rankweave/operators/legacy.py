@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scoring
 from ..session import (
-    BROADCAST_BYTES, chunks, lookup_join, materialize, picked, union_all,
+    BROADCAST_BYTES, chunks, in_list, lookup_join, materialize, union_all,
 )
 from ..sources.index import LexicalIndex
-from .bm25 import query_terms
+from .bm25 import NARROW_TERMS, query_terms
 from .lexical import token_id
 from . import topk
 
@@ -32,10 +32,11 @@ def matched_tokens(index: LexicalIndex, queries: DataFrame,
         "query_id", token_id(F.col("token")).alias("token_id"))
     parts = []
     for part in chunks(terms, "query_id", limit):
-        rows = picked(index.token_position, "token_id", part)
-        if rows is None:
-            rows = index.token_position.join(F.broadcast(part.select("token_id").distinct()),
-                                             "token_id", "left_semi")
+        words = part.select("token_id").distinct()
+        rows = (index.token_position.filter(
+            in_list("token_id", [r["token_id"] for r in words.collect()]))
+            if words.limit(NARROW_TERMS + 1).count() <= NARROW_TERMS else
+            index.token_position.join(F.broadcast(words), "token_id", "left_semi"))
         found = (rows.groupBy("doc_id", "token_id")
                  .agg(F.count(F.lit(1)).alias("locations"),
                       F.min("position").cast("long").alias("first_position")))

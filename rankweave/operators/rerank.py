@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scoring
 from ..functions.text import QUERY_TASK
 from ..functions.vectors import cosine
-from ..session import BROADCAST_BYTES, chunks, measured, picked, split, union_all
+from ..session import materialize, picked
 from . import topk
 
 # A scorer as an expression of (query text, document text) ...
@@ -20,25 +20,43 @@ ColumnScorer = Callable[[Column, Column], Column]
 ModelScorer = Callable[[list[str], list[str]], "np.ndarray | list[float]"]
 
 
-def fetch_documents(candidates: DataFrame, document: DataFrame,
-                    limit: int = BROADCAST_BYTES) -> DataFrame:
+def fetch_documents(candidates: DataFrame, document: DataFrame) -> DataFrame:
     """Candidates with `full_text`; a candidate without a document gets an empty text.
 
-    Ids go to the Parquet reader, which skips the row groups without them. Only very many are
-    broadcast against a scan of all texts, in parts below the limit; so the text of the corpus is
-    never shuffled, only the texts of candidates leave the scan. The candidates are read more than
+    The texts are looked up by id, in the buckets and row groups of the store that hold one, and
+    each is moved once at most, however many candidates want it. The candidates are read more than
     once: give a ranking that is written down.
     """
-    wanted = candidates.select("doc_id").distinct()
-    texts = document.select("doc_id", "full_text")
-    found = picked(texts, "doc_id", wanted)
-    if found is None:
-        found = union_all([texts.join(F.broadcast(part), "doc_id", "left_semi")
-                           for part in chunks(wanted, "doc_id", limit)])
+    found = picked(document.select("doc_id", "full_text"), "doc_id", candidates)
     return (candidates.join(found, "doc_id", "left")
             .withColumn("full_text", F.coalesce("full_text", F.lit(""))))
 
 
+# Queries that want the same document, in one row, at most.
+ASKED_TOGETHER = 4096
+
+
+def fetch_pairs(queries: DataFrame, candidates: DataFrame, document: DataFrame,
+                tasks: int | None = None) -> DataFrame:
+    """The candidates with the query's `text` and the document's `full_text`.
+
+    Pairs are gathered by document before the texts come in and parted again behind them, in the
+    same task. So a text is moved once for all queries that want it (of a document wanted by very
+    many, once for every some thousand of them).
+    """
+    names = candidates.columns
+    asked = candidates.join(queries.select("query_id", "text"), "query_id")
+    n = queries.count() // ASKED_TOGETHER + 1
+    group = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    by_document = asked.groupBy("doc_id", group.alias("_group")).agg(
+        F.collect_list(F.struct(*[c for c in names if c != "doc_id"], "text")).alias("_asked"))
+    rows = fetch_documents(materialize(by_document, "asked"), document)
+    if tasks is not None:
+        rows = rows.repartition(tasks, "doc_id", "_group")
+    return rows.select("doc_id", "full_text", F.inline("_asked")).select(
+        *names, "text", "full_text")
+
+
 def model_column(score: ModelScorer) -> ColumnScorer:
     """Run a model over Arrow batches of (query, document) pairs."""
 
@@ -71,19 +89,15 @@ def _ranked(scored: DataFrame, top_k: int | None) -> DataFrame:
 
 def rerank(queries: DataFrame, candidates: DataFrame, document: DataFrame,
            scorer: ColumnScorer, top_k: int | None = 20,
-           digits: int | None = scoring.VECTOR_DIGITS, tasks: int | None = None,
-           limit: int = BROADCAST_BYTES) -> DataFrame:
+           digits: int | None = scoring.VECTOR_DIGITS, tasks: int | None = None) -> DataFrame:
     """Score every (query, candidate text) pair and keep the best.
 
     `scorer` is an expression or `model_column(model)`. A missing score is an error. No candidates
-    give no rows. Spark sizes tasks by bytes; for a slow model set `tasks`, and the pairs are
+    give no rows. Spark sizes tasks by bytes; for a slow model set `tasks`, and the documents are
     dealt out evenly over so many.
     """
     _checked(top_k)
-    pairs = fetch_documents(candidates, document, limit).join(
-        queries.select("query_id", "text"), "query_id")
-    if tasks is not None:
-        pairs = pairs.repartition(tasks, "query_id", "doc_id")
+    pairs = fetch_pairs(queries, candidates, document, tasks)
     score = scorer(F.col("text"), F.col("full_text"))
     score = F.coalesce(score, F.raise_error(F.lit("a candidate got no score")).cast("double"))
     if digits is not None:
@@ -92,7 +106,7 @@ def rerank(queries: DataFrame, candidates: DataFrame, document: DataFrame,
 
 
 def rerank_cosine(candidates: DataFrame, query_vectors: DataFrame, document_vectors: DataFrame,
-                  top_n: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+                  top_n: int | None = None) -> DataFrame:
     """Order candidates by cosine similarity of stored vectors.
 
     `query_vectors` holds `(query_id, embedding)`, `document_vectors` `(doc_id, embedding)`. No
@@ -101,10 +115,7 @@ def rerank_cosine(candidates: DataFrame, query_vectors: DataFrame, document_vect
     """
     _checked(top_n)
     stored = document_vectors.select("doc_id", F.col("embedding").alias("_d"))
-    wanted = candidates.select("doc_id").distinct()
-    _, size = measured(wanted)
-    found = union_all([stored.join(F.broadcast(part), "doc_id", "left_semi")
-                       for part in split(wanted, ["doc_id"], size, limit)])
+    found = picked(stored, "doc_id", candidates)
     asked = query_vectors.select("query_id", F.col("embedding").alias("_q"))
     pairs = candidates.join(found, "doc_id", "left").join(asked, "query_id", "left")
     score = F.coalesce(cosine(F.col("_q"), F.col("_d")), F.lit(0.0))
@@ -126,8 +137,7 @@ def yes_probability(no_logit: Column, yes_logit: Column) -> Column:
 
 def rerank_yes_prob(queries: DataFrame, candidates: DataFrame, document: DataFrame,
                     logits: Callable[[Column], Column], top_n: int | None = None,
-                    instruction: str = QUERY_TASK,
-                    limit: int = BROADCAST_BYTES) -> DataFrame:
+                    instruction: str = QUERY_TASK) -> DataFrame:
     """Ask a judging model about each pair; the score is its probability of "yes".
 
     `logits` turns the prompt into an array of the (no, yes) logits: an expression, or
@@ -137,7 +147,7 @@ def rerank_yes_prob(queries: DataFrame, candidates: DataFrame, document: DataFra
         pair = logits(judge_prompt(query, text, instruction))
         return yes_probability(pair[0], pair[1])
 
-    return rerank(queries, candidates, document, scorer, top_n, limit=limit)
+    return rerank(queries, candidates, document, scorer, top_n)
 
 
 def logits_column(model: Callable[[list[str]], np.ndarray]) -> Callable[[Column], Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # A side is broadcast only after it was measured to be below this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -19,8 +19,6 @@ def build_session(master: str | None = None, app_name: str = "rankweave",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # Lists up to this long are handed to the Parquet reader, which skips row groups by them.
-        .config("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
@@ -57,34 +55,39 @@ def _own_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def pushdown_limit(spark: SparkSession) -> int:
-    """Up to how many values of a list reach the Parquet reader as such."""
-    return int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
+# A lookup by key hands the keys to the reader as one list; for more of them tables are joined.
+PICKED_KEYS = 200_000
+# Rows that are looked up by key lie in row groups of this size, with bloom filters on the key.
+GROUP_BYTES = 8 * 1024 * 1024
 
 
-# So many lists are handed over at most; beyond that ids are broadcast.
-PUSHED_LISTS = 5
+def in_list(key: str, values: list) -> Column:
+    """Whether a column is one of many numbers or strings, as a single list."""
+    if not values:
+        return F.lit(False)
+    if isinstance(values[0], str):
+        told = [f"CAST(X'{v.encode().hex()}' AS STRING)" for v in values]
+    else:
+        told = [f"{int(v)}L" for v in values]
+    return F.expr(f"`{key}` IN ({', '.join(told)})")
 
 
-def picked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame | None:
-    """The rows of a scan with one of the ids in `wanted`, or None if these are too many.
+def picked(df: DataFrame, key: str, wanted: DataFrame,
+           group_bytes: int | None = None) -> DataFrame:
+    """The rows of a stored table with one of the keys in `wanted`.
 
-    Ids go to the Parquet reader as lists it accepts, sorted, in a single scan, so it decodes only
-    the row groups whose ranges and bloom filters admit one of them.
+    Keys go to the Parquet reader as one list, whatever its length a single flat condition: bucket
+    numbers leave the files of their buckets to open, bloom filters and ranges the row groups to
+    decode. Where the keys are so many that nearly every row group holds one of them, nothing could
+    be skipped and the tables are joined: a table bucketed by the key stays where it is and only the
+    keys are dealt to its buckets.
     """
-    limit = pushdown_limit(df.sparkSession)
-    most = limit * PUSHED_LISTS
-    ids = sorted(r[0] for r in wanted.select(key).filter(F.col(key).isNotNull()).distinct()
-                 .limit(most + 1).collect())
-    if len(ids) > most:
-        return None
-    if not ids:
-        return df.filter(F.lit(False))
-    found = None
-    for at in range(0, len(ids), limit):
-        part = F.col(key).isin(ids[at:at + limit])
-        found = part if found is None else found | part
-    return df.filter(found)
+    keys = wanted.select(key).filter(F.col(key).isNotNull()).distinct()
+    most = min(PICKED_KEYS, estimated_bytes(df) // (group_bytes or GROUP_BYTES))
+    values = sorted(r[0] for r in keys.limit(most + 1).collect())
+    if len(values) > most:
+        return df.join(keys, key, "left_semi")
+    return df.filter(in_list(key, values))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

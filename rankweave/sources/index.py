@@ -4,7 +4,7 @@ Layout; each build has a folder of its own, all Parquet:
 
     manifest/                 one JSON row per build: its folder, buckets, analyzer, lexicon
     build-<id>/
-      forward/          doc_id, full_text, url, title, len, tokens     (map-only write)
+      forward/          doc_id, full_text, url, title, len, tokens     (bucketed by doc_id)
       token/            token_id, token, doc_freq                      (range-sorted by token)
       term_doc_stats/   token_id, doc_id, tf, len                      (bucketed by doc_id)
       token_position/   doc_id, token_id, position                     (bucketed by doc_id)
@@ -13,10 +13,12 @@ Layout; each build has a folder of its own, all Parquet:
 A build joins the manifest when all its tables are complete, and readers open the last one there.
 An interrupted build is never seen, and sessions that have an earlier one open keep it.
 
-Text is read and tokenized in one pass that writes `forward`; every other table is derived from
-its token column. Postings and positions are bucketed by document and sorted by token inside a
-bucket, so a search adds up the scores of a document where its postings lie: nothing but the final
-top k per query is shuffled. A frequent token is spread over all buckets.
+Text is dealt to buckets by document, which is the one shuffle of a build, and tokenized in the pass
+that writes `forward`, sorted by document in small row groups: the store in which texts are looked up
+by id. Every other table is derived from its token column, bucket by bucket and without a shuffle of
+postings. Postings and positions are sorted by token inside a bucket, so a search adds up the scores
+of a document where its postings lie: nothing but the final top k per query is shuffled. A frequent
+token is spread over all buckets.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import Analyzer, words
 from ..operators import lexical
-from ..session import spread
+from ..session import GROUP_BYTES
 
-# Bucket size: the postings of this many token occurrences take a few GB. Smaller buckets would
-# make the one shuffle of the build too fine-grained for a very large corpus.
-TOKENS_PER_BUCKET = 500_000_000
+# Bucket size: so many bytes of text, and their postings, are a few GB. Smaller buckets would make
+# the one shuffle of the build too fine-grained for a very large corpus.
+TEXT_PER_BUCKET = 2_000_000_000
 
 
 @dataclass(frozen=True)
@@ -98,37 +100,48 @@ def write_index(documents: DataFrame, path: str, analyzer: Analyzer = words,
                 positions: bool = True) -> LexicalIndex:
     """Build and write the index, which takes the place of the one at `path`, and open it.
 
-    `documents` holds `doc_id, full_text, url, title`. The text is read once, in a map step.
+    `documents` holds `doc_id, full_text, url, title`.
     """
     build = new_build(path)
-    # The bloom filters let a lookup of few documents skip most row groups without sorting
-    # or moving the text.
-    (lexical.analyze(spread(documents, "doc_id"), analyzer).write
-     .option("parquet.bloom.filter.enabled#doc_id", "true")
-     .option("parquet.bloom.filter.enabled#url", "true")
-     .parquet(f"{build}/forward"))
-    return derive_index(documents.sparkSession, path, build, analyzer, lexicon, buckets, positions)
+    buckets = write_forward(documents, build, analyzer, buckets)
+    return derive_index(documents.sparkSession, path, build, buckets, analyzer, lexicon, positions)
 
 
-def derive_index(spark: SparkSession, path: str, build: str, analyzer: Analyzer = words,
-                 lexicon: DataFrame | None = None, buckets: int | None = None,
+def write_forward(documents: DataFrame, build: str, analyzer: Analyzer | None = words,
+                  buckets: int | None = None) -> int:
+    """Write `forward` of a build; the number of its buckets. Without an analyzer the documents have
+    their tokens already."""
+    spark = documents.sparkSession
+    if buckets is None:
+        size = documents.agg(F.sum(F.octet_length("full_text").cast("long"))).first()[0] or 0
+        buckets = max(spark.sparkContext.defaultParallelism, -(-size // TEXT_PER_BUCKET))
+    dealt = documents.repartition(buckets, "doc_id")
+    rows = dealt if analyzer is None else lexical.analyze(dealt, analyzer)
+    # Bloom filters and small row groups: a lookup of some documents decodes little else.
+    _save_buckets(rows, f"{build}/forward", buckets, "doc_id", {
+        "parquet.bloom.filter.enabled#doc_id": "true", "parquet.bloom.filter.enabled#url": "true",
+        "parquet.block.size": str(GROUP_BYTES)})
+    return buckets
+
+
+def derive_index(spark: SparkSession, path: str, build: str, buckets: int,
+                 analyzer: Analyzer = words, lexicon: DataFrame | None = None,
                  positions: bool = True) -> LexicalIndex:
-    """Write all other tables of a build from the tokens in its `forward`, and open the index."""
+    """Write all other tables of a build from the tokens in its `forward`, and open the index.
+
+    A task reads documents of one bucket, or a few, and writes postings of the same ones.
+    """
     forward = spark.read.parquet(f"{build}/forward")
     lexical.corpus_stats(forward).write.parquet(f"{build}/corpus_stats")
-    if buckets is None:
-        total = spark.read.parquet(f"{build}/corpus_stats").first()["total_len"] or 0
-        buckets = max(spark.sparkContext.defaultParallelism, -(-total // TOKENS_PER_BUCKET))
 
-    # Without a lexicon this is a map step, followed by the one shuffle of the postings.
     postings = lexical.term_frequency(forward)
     if lexicon is not None:
         by_doc = lexical.lemmatize(postings, lexicon).repartition(buckets, "doc_id")
         postings = by_doc.groupBy("doc_id", "token").agg(
             F.sum("tf").alias("tf"), F.first("len").alias("len"))
-    _write_buckets(_postings(postings), f"{build}/term_doc_stats", buckets)
+    _save_buckets(_postings(postings), f"{build}/term_doc_stats", buckets)
     if positions:
-        _write_buckets(_positions(forward, lexicon), f"{build}/token_position", buckets)
+        _save_buckets(_positions(forward, lexicon), f"{build}/token_position", buckets)
 
     distinct = forward.select(F.explode(F.array_distinct("tokens")).alias("token"), "doc_id")
     if lexicon is not None:
@@ -162,16 +175,19 @@ def lexicon_mark(lexicon: DataFrame | None) -> str:
     return f"{row['n']}:{row['x']}"
 
 
-def _write_buckets(rows: DataFrame, path: str, buckets: int) -> None:
+def _save_buckets(rows: DataFrame, path: str, buckets: int, order: str = "token_id",
+                  options: dict[str, str] | None = None) -> None:
+    """Write rows into the files of their buckets, whatever task has them."""
     table = _table_name()
-    (rows.repartition(buckets, "doc_id").write.mode("overwrite")
-     .bucketBy(buckets, "doc_id").sortBy("token_id")
+    (rows.write.mode("overwrite").options(**(options or {}))
+     .bucketBy(buckets, "doc_id").sortBy(order)
      .option("path", path).saveAsTable(table))
     # Only the name goes; the files of a table with its own path stay.
     rows.sparkSession.sql(f"DROP TABLE {table}")
 
 
-def _open_buckets(spark: SparkSession, path: str, buckets: int) -> tuple[str, DataFrame]:
+def _open_buckets(spark: SparkSession, path: str, buckets: int,
+                  order: str = "token_id") -> tuple[str, DataFrame]:
     """Name the files as a bucketed table, so that the planner knows how rows are placed.
 
     The name follows from the path, so opening again finds the same table.
@@ -179,7 +195,7 @@ def _open_buckets(spark: SparkSession, path: str, buckets: int) -> tuple[str, Da
     table = f"rankweave_{hashlib.md5(path.encode()).hexdigest()[:16]}"
     columns = ", ".join(f"{name} {kind}" for name, kind in spark.read.parquet(path).dtypes)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (doc_id) "
-              f"SORTED BY (token_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+              f"SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{path}'")
     return table, spark.table(table)
 
 
@@ -201,15 +217,15 @@ def open_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
         raise ValueError(f"the index was built with {last['analyzer']}, lexicon {last['lexicon']}, "
                          f"not with {given[0]}, lexicon {given[1]}")
     build, buckets = f"{path}/{last['build']}", last["buckets"]
-    forward = spark.read.parquet(f"{build}/forward")
+    kinds = {"forward": "doc_id", "term_doc_stats": "token_id", "token_position": "token_id"}
     names, frames = zip(*[
-        _open_buckets(spark, f"{build}/{name}", buckets)
-        for name in ("term_doc_stats", "token_position")[:2 if last["positions"] else 1]])
+        _open_buckets(spark, f"{build}/{name}", buckets, order)
+        for name, order in kinds.items() if name != "token_position" or last["positions"]])
     return LexicalIndex(
-        document=forward.drop("tokens"),
+        document=frames[0].drop("tokens"),
         token=spark.read.parquet(f"{build}/token"),
-        term_doc_stats=frames[0],
-        token_position=frames[1] if last["positions"] else _positions(forward, lexicon),
+        term_doc_stats=frames[1],
+        token_position=frames[2] if last["positions"] else _positions(frames[0], lexicon),
         corpus_stats=spark.read.parquet(f"{build}/corpus_stats"),
         analyzer=analyzer,
         lexicon=lexicon,

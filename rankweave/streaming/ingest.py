@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.text import Analyzer, words
 from ..operators import lexical
 from ..schemas import DOCUMENT, TERM_DOC_STATS, TOKEN_POSITION
-from ..session import BROADCAST_BYTES, materialize, measured, path_exists, picked
+from ..session import materialize, path_exists, picked
 from ..sources.corpus import extract_pages, first_pages
-from ..sources.index import LexicalIndex, _positions, _postings, derive_index, new_build
+from ..sources.index import (
+    LexicalIndex, _positions, _postings, derive_index, new_build, write_forward,
+)
 
 BATCH_ID = T.StructField("batch_id", T.LongType())
 SCHEMAS = {
@@ -27,19 +29,13 @@ BLOOM = {"parquet.bloom.filter.enabled#doc_id": "true",
          "parquet.bloom.filter.enabled#url": "true"}
 
 
-def _unseen(fresh: DataFrame, forward: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def _unseen(fresh: DataFrame, forward: DataFrame) -> DataFrame:
     """Documents of the batch that no other batch has written.
 
     The urls of the batch go to the Parquet reader, whose bloom filters skip the row groups of the
-    index without any of them. Those of a very large batch are compared with the url column alone.
+    index without any of them.
     """
-    urls = fresh.select("url").filter(F.col("url").isNotNull())
-    known = picked(forward.select("url"), "url", urls)
-    if known is None:
-        _, size = measured(urls)
-        known = forward.select("url").join(F.broadcast(urls) if size <= limit else urls, "url",
-                                           "left_semi")
-    known = known.distinct()
+    known = picked(forward.select("url"), "url", fresh).distinct()
     return fresh.join(known, "url", "left_anti").select(*fresh.columns)
 
 
@@ -109,6 +105,6 @@ def read_stream_index(spark: SparkSession, path: str, analyzer: Analyzer = words
 def compact(spark: SparkSession, path: str, target: str, **options) -> LexicalIndex:
     """Rewrite a streamed index as a bucketed one at `target`; the text is not analyzed again."""
     build = new_build(target)
-    (spark.read.schema(SCHEMAS["forward"]).parquet(f"{path}/forward").drop("batch_id").write
-     .options(**BLOOM).parquet(f"{build}/forward"))
-    return derive_index(spark, target, build, **options)
+    rows = spark.read.schema(SCHEMAS["forward"]).parquet(f"{path}/forward").drop("batch_id")
+    buckets = write_forward(rows, build, None, options.pop("buckets", None))
+    return derive_index(spark, target, build, buckets, **options)

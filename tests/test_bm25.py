@@ -104,15 +104,12 @@ def test_parts_beyond_the_broadcast_limit_give_the_same(tutorial, as_queries):
     assert sorted(rows(whole)) == sorted(rows(parts))
 
 
-def test_many_terms_are_joined(spark, tutorial, as_queries):
+def test_many_terms_are_joined(monkeypatch, tutorial, as_queries):
     few = rows(bm25.bm25_topk(tutorial, as_queries(QUERIES)))
-    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "2")
-    try:
-        many = bm25.bm25_topk(tutorial, as_queries(QUERIES))
-        assert "In(token_id" not in many._jdf.queryExecution().toString()
-        assert sorted(rows(many)) == sorted(few)
-    finally:
-        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
+    monkeypatch.setattr(bm25, "NARROW_TERMS", 2)
+    many = bm25.bm25_topk(tutorial, as_queries(QUERIES))
+    assert "In(token_id" not in many._jdf.queryExecution().toString()
+    assert sorted(rows(many)) == sorted(few)
 
 
 def test_scores_are_added_without_a_shuffle(tutorial, as_queries):

@@ -114,7 +114,7 @@ def test_a_rebuild_without_positions_leaves_nothing_of_the_old_one(spark, tmp_pa
     index.open_index(spark, path)
     assert len(spark.catalog.listTables()) == tables
     index.close_index(again)
-    assert len(spark.catalog.listTables()) == tables - 1
+    assert len(spark.catalog.listTables()) == tables - 2
     assert rows(index.open_index(spark, path).token, "token") == [("c",)]
 
 

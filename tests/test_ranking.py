@@ -1,8 +1,13 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from rankweave import session
 from rankweave.operators import bm25, fusion, rerank
 from rankweave.operators.embed import hashing_embedder
 from rankweave.plans import hybrid
@@ -85,39 +90,88 @@ def test_equal_scores_keep_the_prior_order(spark):
     assert rows(found.orderBy("rank"), "doc_id") == [(3,), (1,), (2,)]
 
 
-def test_fetch_documents_beyond_the_broadcast_limit(spark):
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], DOCUMENT)
-    # One document is a candidate of most queries.
-    data = [(q, 7, "t", 1.0, 1) for q in range(100)] + [(q, q % 60, "t", .5, 2) for q in range(100)]
-    candidates = spark.createDataFrame(data, RANKING)
-    few = rerank.fetch_documents(candidates, docs)
-    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "1")
+def stored(spark, path, n, buckets=4):
+    """A store of `n` documents, as `forward` of an index is written."""
+    from rankweave.sources import index
+    docs = spark.range(n).select((F.col("id") * 3).alias("doc_id"),
+                                 F.concat(F.lit("text "), "id").alias("full_text"),
+                                 F.concat(F.lit("url "), "id").alias("url"),
+                                 F.concat(F.lit("title "), "id").alias("title"))
+    return index.write_index(docs, str(path), buckets=buckets, positions=False).document
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_fetch_documents_by_list_and_by_join(spark, monkeypatch, tmp_path, listed):
+    monkeypatch.setattr(session, "GROUP_BYTES", 1 if listed else 1 << 40)
+    docs = stored(spark, tmp_path, 200)
+    # One document is a candidate of most queries, some have no document.
+    data = [(q, 21, "t", 1.0, 1) for q in range(100)] + [(q, q % 60, "t", .5, 2) for q in range(100)]
+    found = rerank.fetch_documents(spark.createDataFrame(data, RANKING), docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("doc_id#" in plan and " IN (" in plan or "INSET" in plan) == listed
+    assert sorted(rows(found, "query_id", "rank", "full_text")) == sorted(
+        (q, r, "" if d % 3 else f"text {d // 3}") for q, d, _, _, r in data)
+
+
+def test_texts_of_a_store_are_not_moved(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "GROUP_BYTES", 1 << 40)
+    docs = stored(spark, tmp_path, 2000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        small = rerank.fetch_documents(candidates, docs)
-        large = rerank.fetch_documents(candidates, docs, limit=500)
+        wanted = spark.range(500).select(F.col("id").alias("doc_id"))
+        plan = session.picked(docs.select("doc_id", "full_text"), "doc_id",
+                              wanted)._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
-    assert sorted(rows(few)) == sorted(rows(small))
-    assert sorted(rows(small, "query_id", "rank", "full_text")) == sorted(
-        rows(large, "query_id", "rank", "full_text"))
-    assert small.filter("full_text = ''").count() == sum(q % 60 >= 50 for q in range(100))
-
-
-@pytest.mark.parametrize("n", [1, 5000])
-def test_candidates_are_asked_of_the_reader(spark, make_index, tmp_path, n):
-    texts = spark.range(20_000).select(F.col("id").alias("doc_id"),
-                                       F.concat(F.lit("text "), "id").alias("full_text"),
-                                       F.concat(F.lit("title "), "id").alias("title"))
-    texts.write.option("parquet.bloom.filter.enabled#doc_id", "true").parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    data = spark.range(n).select(F.lit(1).cast("long").alias("query_id"),
-                                 (F.col("id") * 3).alias("doc_id"), F.lit(.5).alias("score"),
-                                 F.lit(1).alias("rank"))
-    for found in (rerank.fetch_documents(data, docs), bm25.attach_titles(data, docs)):
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "PushedFilters: [Or(" in plan or "PushedFilters: [In(doc_id" in plan \
-            or "EqualTo(doc_id,0)" in plan
-        assert found.count() == n
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Only ids are exchanged: dealt out to be distinct, and again to the buckets at most.
+    assert "Bucketed: true" in plan
+    for line in plan.splitlines():
+        assert "Exchange" not in line or "full_text" not in line
+
+
+def test_a_text_is_moved_once_for_all_queries_that_want_it(spark, tmp_path):
+    docs = stored(spark, tmp_path, 50)
+    data = [(q, d, "t", 1.0, 1 + d // 3) for q in range(40) for d in (3, 6, 9)]
+    queries = spark.createDataFrame([(q, f"query {q}") for q in range(40)],
+                                    "query_id long, text string")
+    pairs = rerank.fetch_pairs(queries, spark.createDataFrame(data, RANKING), docs)
+    assert sorted(rows(pairs, "query_id", "doc_id", "rank", "text", "full_text")) == [
+        (q, d, 1 + d // 3, f"query {q}", f"text {d // 3}") for q, d, *_ in sorted(data)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    # The pairs are parted behind the join, so nothing with a text and a query is exchanged.
+    assert plan.index("Generate") < plan.index("Join")
+    for line in plan.splitlines():
+        assert "Exchange" not in line or "full_text" not in line or "text#" not in line.replace(
+            "full_text#", "")
+
+
+LOOKUPS = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import functions as F
+from rankweave import session
+from rankweave.operators import rerank
+sys.path.insert(0, {root!r} + "/tests")
+from test_ranking import stored
+spark = session.build_session("local[2]", spark__driver__extraJavaOptions="-Xss400k",
+                              spark__ui__enabled="false", spark__sql__shuffle__partitions="2",
+                              spark__checkpoint__dir={path!r}, spark__sql__warehouse__dir={path!r})
+spark.sparkContext.setLogLevel("ERROR")
+session.GROUP_BYTES = 1
+docs = stored(spark, {path!r} + "/index", 60_000)
+for n in (1, 900, 5_000, 50_000):
+    wanted = spark.range(n).select((F.col("id") * 3).alias("doc_id"))
+    found = rerank.fetch_documents(wanted, docs)
+    assert found.filter("full_text <> ''").count() == n, n
+    print("found", n)
+"""
+
+
+def test_lookups_of_any_size_pass_with_a_small_stack(tmp_path):
+    root = str(Path(__file__).resolve().parents[1])
+    run = subprocess.run([sys.executable, "-c", LOOKUPS.format(root=root, path=str(tmp_path))],
+                         capture_output=True, text=True, timeout=400)
+    assert run.stdout.split() == "found 1 found 900 found 5000 found 50000".split(), run.stderr[-3000:]
 
 
 def test_explain_and_legacy_read_asked_words_and_documents_only(spark, tmp_path, as_queries):
@@ -129,7 +183,7 @@ def test_explain_and_legacy_read_asked_words_and_documents_only(spark, tmp_path,
     queries = as_queries({1: "w1 x6"})
     pairs = spark.createDataFrame([(1, 6)], "query_id long, doc_id long")
     plan = bm25.bm25_explain(idx, queries, pairs)._jdf.queryExecution().toString()
-    assert "In(token_id" in plan and "EqualTo(doc_id,6)" in plan
+    assert "In(token_id" in plan
     found = legacy.matched_tokens(idx, queries)
     assert "In(token_id" in found._jdf.queryExecution().toString()
     assert found.filter("doc_id = 6").count() == 2 and found.count() == 11
@@ -142,8 +196,6 @@ def test_rerank_cosine(spark):
     candidates = ranking(spark, [0, 1, 2, 3])
     assert order(rerank.rerank_cosine(candidates, query, vectors, 2)) == [(2, 1.0), (1, 0.5 ** 0.5)]
     assert order(rerank.rerank_cosine(candidates, query, vectors))[2:] == [(3, 0.0), (0, -1.0)]
-    parts = rerank.rerank_cosine(candidates, query, vectors, limit=100)
-    assert order(parts) == order(rerank.rerank_cosine(candidates, query, vectors))
     # Candidates and queries without a vector stay, with score 0.
     some = vectors.filter("doc_id <> 0").union(spark.createDataFrame([(4, None)], vectors.schema))
     more = ranking(spark, [0, 1, 4])
