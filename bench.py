@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import DataFrame
@@ -31,7 +32,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(f"local[{cpus}]", "bench",
                           spark__sql__shuffle__partitions=cpus,
-                          spark__driver__memory="16g", spark__ui__enabled="false")
+                          spark__driver__memory="16g", spark__ui__enabled="false",
+                          spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     consume(registry.table(spark, sf_dir, "documents"))  # start the engine
 

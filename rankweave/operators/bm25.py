@@ -13,12 +13,14 @@ from ..session import (
 )
 from ..sources.index import LexicalIndex
 from .lexical import lemmatize, token_id
-from . import topk
+from . import pruning, topk
 
 # Postings of one bucket that a part of the queries may ask for, counted once per query.
 BUCKET_POSTINGS = 20_000_000
 # Up to so many words, the reader is given the list of them.
 NARROW_TERMS = 1000
+# From so many postings on, what pruning spares is more than its own steps take.
+PRUNE_POSTINGS = 50_000_000
 
 
 def query_terms(queries: DataFrame, analyzer: Analyzer, mode: str = "set",
@@ -67,16 +69,23 @@ def _term_chunks(index: LexicalIndex, queries: DataFrame, mode: str,
                  limit: int) -> list[tuple[LexicalIndex, DataFrame]]:
     """Weighted terms in parts of whole queries, each small enough to be broadcast and with no more
     postings to a bucket than a task can add up."""
+    return _sized_chunks(index, queries, mode, limit)[0]
+
+
+def _sized_chunks(index: LexicalIndex, queries: DataFrame, mode: str, limit: int
+                  ) -> tuple[list[tuple[LexicalIndex, DataFrame]], int]:
+    """The parts, and the postings that all queries ask for together."""
     terms = query_terms(queries, index.analyzer, mode, index.lexicon)
     rows, size = measured(terms)
     size *= 2  # a joined term carries two numbers more than the measured one
-    if rows <= NARROW_TERMS:
-        index = _narrowed(index, terms)
-    else:
-        work = (index.token.join(terms.select("token"), "token")
-                .agg(F.coalesce(F.sum("doc_freq"), F.lit(0)).alias("n")).first()["n"])
+    few = rows <= NARROW_TERMS
+    narrow = _narrowed(index, terms) if few else index
+    work = (narrow.token.join(terms.select("token"), "token")
+            .agg(F.coalesce(F.sum("doc_freq"), F.lit(0)).alias("n")).first()["n"])
+    if not few:
         size = max(size, limit * (work // index.buckets) // BUCKET_POSTINGS)
-    return [(index, weighted_terms(index, part)) for part in split(terms, ["query_id"], size, limit)]
+    return [(narrow, weighted_terms(narrow, part))
+            for part in split(terms, ["query_id"], size, limit)], work
 
 
 def bm25_scores(index: LexicalIndex, terms: DataFrame, k1: float, b: float) -> DataFrame:
@@ -93,20 +102,29 @@ def bm25_scores(index: LexicalIndex, terms: DataFrame, k1: float, b: float) -> D
 
 def bm25_topk(index: LexicalIndex, queries: DataFrame, k1: float | None = None,
               b: float | None = None, top_k: int | None = None, mode: str = "set",
-              limit: int = BROADCAST_BYTES) -> DataFrame:
+              limit: int = BROADCAST_BYTES, prune: bool | None = None) -> DataFrame:
     """The best documents per query as `(query_id, doc_id, score, rank)`.
 
     `queries` holds `(query_id, text)`. Queries beyond the broadcast limit are run in parts, with
-    one scan of the postings per part. A `k1`, `b` or `top_k` of 0 is taken as 0.
+    one scan of the postings per part. A `k1`, `b` or `top_k` of 0 is taken as 0. Where the queries
+    ask for very many postings, documents that cannot be among the best are not scored (see
+    `pruning`); `prune` sets this either way, with the same result.
     """
     k1 = 1.5 if k1 is None else k1
     b = 0.75 if b is None else b
     k = 10 if top_k is None else top_k
-    return union_all([
-        topk.top_k(bm25_scores(part, terms, k1, b), ["query_id"], topk.by_score(), k,
-              pieces=index.buckets)
-        for part, terms in _term_chunks(index, queries, mode, limit)
-    ])
+    parts, work = _sized_chunks(index, queries, mode, limit)
+    if prune is None:
+        prune = index.term_blocks is not None and work >= PRUNE_POSTINGS
+    # The bounds hold for what the formula is meant for: more occurrences score more, longer
+    # documents less.
+    if prune and k and k1 >= 0 and 0 <= b <= 1:
+        # Tokens are picked anew for each step, from the postings of all.
+        scores = [pruning.pruned_scores(index, terms, k1, b, k, limit) for _, terms in parts]
+    else:
+        scores = [bm25_scores(part, terms, k1, b) for part, terms in parts]
+    return union_all([topk.top_k(found, ["query_id"], topk.by_score(), k, pieces=index.buckets)
+                      for found in scores])
 
 
 def bm25_rank_all(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
@@ -169,20 +187,23 @@ def bm25_sweep(index: LexicalIndex, queries: DataFrame, params: list[tuple[float
     """The best documents per query for each `(k1, b)`; the postings are read once for all."""
     if not params:
         raise ValueError("give at least one (k1, b)")
-    grid = F.array(*[F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
-                     for k1, b in params])
     avgdl = index.corpus_stats.select("avgdl").scalar()
-    part = scoring.bm25_weight(F.col("idf"), F.col("tf"), F.col("len"), avgdl,
-                               F.col("k1"), F.col("b"))
+    # One row per query and document, with a score for every pair, so the postings that enter the
+    # aggregation do not depend on the number of pairs.
+    sums = [F.sum(F.col("weight") * scoring.bm25_weight(
+        F.col("idf"), F.col("tf"), F.col("len"), avgdl, k1, b)).alias(f"s{i}")
+        for i, (k1, b) in enumerate(params)]
+    grid = F.array(*[F.struct(
+        F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"),
+        scoring.rounded(F.col(f"s{i}"), scoring.BM25_DIGITS).alias("score"))
+        for i, (k1, b) in enumerate(params)])
     results = []
     for narrow, terms in _term_chunks(index, queries, mode, limit):
-        scores = (match_postings(narrow, terms)
-                  .select("*", F.inline(grid))
-                  .groupBy("k1", "b", "query_id", "doc_id")
-                  .agg(F.sum(F.col("weight") * part).alias("score"))
-                  .withColumn("score", scoring.rounded(F.col("score"), scoring.BM25_DIGITS)))
-        results.append(topk.top_k(scores, ["k1", "b", "query_id"], topk.by_score(), top_k,
-                             pieces=index.buckets))
+        scores = (match_postings(narrow, terms).groupBy("query_id", "doc_id").agg(*sums)
+                  .select("query_id", "doc_id", F.inline(grid)))
+        results.append(topk.top_k(scores.select("k1", "b", "query_id", "doc_id", "score"),
+                                  ["k1", "b", "query_id"], topk.by_score(), top_k,
+                                  pieces=index.buckets))
     return union_all(results)
 
 

@@ -348,6 +348,8 @@ FROM df CROSS JOIN stats"""),
                             QUERY_TOKENS, SET_TERMS, *bm25("best", 10)], TITLED.format("best")),
         "bm25_batch": with_([*SEARCH, *bm25("best", 1000)],
                             "SELECT query_id, doc_id, score, rank FROM best"),
+        "bm25_pruned": with_([*SEARCH, *bm25("best", 10)],
+                             "SELECT query_id, doc_id, score, rank FROM best"),
         "bm25_rank_all": with_([*CORPUS, QUERIES, QUERY_TOKENS, BAG_TERMS, *bm25("best", None)], """
 SELECT * FROM (
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank

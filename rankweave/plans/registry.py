@@ -333,6 +333,11 @@ def q_bm25_batch(spark, d):
     return bm25_run(spark, d, 1000)
 
 
+def q_bm25_pruned(spark, d):
+    """The ten best of each query, without scoring documents that cannot be among them."""
+    return bm25.bm25_topk(built_index(spark, d), queries(spark, d), top_k=10, prune=True)
+
+
 def q_bm25_rank_all(spark, d):
     return bm25.bm25_rank_all(built_index(spark, d), queries(spark, d), top_k=1000)
 

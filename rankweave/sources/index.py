@@ -8,6 +8,7 @@ Layout; each build has a folder of its own, all Parquet:
       token/            token_id, token, doc_freq                      (range-sorted by token)
       term_doc_stats/   token_id, doc_id, tf, len                      (bucketed by doc_id)
       token_position/   doc_id, token_id, position                     (bucketed by doc_id)
+      term_blocks/      token_id, block, n, max_tf, min_len            (range-sorted by token_id)
       corpus_stats/     one row
 
 A build joins the manifest when all its tables are complete, and readers open the last one there.
@@ -28,17 +29,34 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import Analyzer, words
 from ..operators import lexical
-from ..session import GROUP_BYTES
+from ..session import GROUP_BYTES, materialize, path_exists
 
 # Bucket size: so many bytes of text, and their postings, are a few GB. Smaller buckets would make
 # the one shuffle of the build too fine-grained for a very large corpus.
 TEXT_PER_BUCKET = 2_000_000_000
 
 
+# Blocks of documents refine the buckets. A token has a row for all blocks, and if it has enough
+# postings one for each block it is in.
+ALL_BLOCKS = -1
+BLOCKS_PER_BUCKET = 64
+MOST_BLOCKS = 65_536
+POSTINGS_PER_BLOCK = 4
+
+
+def blocks_of(buckets: int) -> int:
+    return buckets * max(1, min(BLOCKS_PER_BUCKET, MOST_BLOCKS // buckets))
+
+
+def block_of(doc_id: Column, blocks: int) -> Column:
+    """Documents of a block lie in one bucket, since buckets are numbered by the same hash."""
+    return F.pmod(F.hash(doc_id), F.lit(blocks))
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     document: DataFrame
@@ -52,6 +70,9 @@ class LexicalIndex:
     buckets: int = 1
     # Names under which the session's catalog knows the bucketed files.
     tables: tuple[str, ...] = ()
+    # What bounds the scores of a token, and the number of blocks; only of a written index.
+    term_blocks: DataFrame | None = None
+    blocks: int = 1
 
 
 def build_index(documents: DataFrame, analyzer: Analyzer = words,
@@ -150,6 +171,10 @@ def derive_index(spark: SparkSession, path: str, build: str, buckets: int,
     (_tokens(distinct).repartitionByRange("token").sortWithinPartitions("token")
      .write.parquet(f"{build}/token"))
 
+    (_term_blocks(spark.read.parquet(f"{build}/term_doc_stats"), blocks_of(buckets))
+     .repartitionByRange("token_id").sortWithinPartitions("token_id", "block")
+     .write.parquet(f"{build}/term_blocks"))
+
     row = (build.rsplit("/", 1)[-1], time.time(), buckets, positions, analyzer_name(analyzer),
            lexicon_mark(lexicon))
     (spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append")
@@ -157,6 +182,22 @@ def derive_index(spark: SparkSession, path: str, build: str, buckets: int,
     return open_index(spark, path, analyzer, lexicon)
 
 
+def _term_blocks(postings: DataFrame, blocks: int) -> DataFrame:
+    """`token_id`, `block`, `n`, `max_tf`, `min_len`: what the scores of a token are bounded by.
+
+    Postings are reduced in the map tasks, each of which has documents of few blocks.
+    """
+    by_block = materialize(
+        postings.groupBy("token_id", block_of(F.col("doc_id"), blocks).alias("block")).agg(
+            F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"),
+            F.min("len").alias("min_len")), "blocks")
+    whole = by_block.groupBy("token_id").agg(
+        F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+    frequent = whole.filter(F.col("n") >= POSTINGS_PER_BLOCK * blocks).select("token_id")
+    return whole.withColumn("block", F.lit(ALL_BLOCKS)).unionByName(
+        by_block.join(frequent, "token_id", "left_semi"))
+
+
 MANIFEST = ("build string, written double, buckets int, positions boolean, analyzer string, "
             "lexicon string")
 
@@ -231,6 +272,9 @@ def open_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
         lexicon=lexicon,
         buckets=buckets,
         tables=names,
+        term_blocks=(spark.read.parquet(f"{build}/term_blocks")
+                     if path_exists(spark, f"{build}/term_blocks") else None),
+        blocks=blocks_of(buckets),
     )
 
 
