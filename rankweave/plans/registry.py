@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import html, scoring, vectors
 from ..functions.text import ascii_words, query_instruction, words
-from ..operators import bm25, embed, evaluate, fusion, legacy, lexical, rerank, vector
+from ..operators import (
+    bm25, embed, evaluate, fusion, legacy, lexical, product, rerank, vector,
+)
 from ..session import chunks, lookup_join, materialize, scratch_dir, spread
 from ..sources import corpus, index
 from ..streaming import ingest
@@ -370,6 +372,14 @@ def q_vector_ann(spark, d):
     return vector.vector_ann(cells, centers, label_means(spark, d), POOL, PROBES)
 
 
+def q_vector_product(spark, d):
+    """Codes of a sixteenth of the bytes, and short lists of twice the wanted size scored exactly."""
+    docs = numbered_vectors(spark, d)
+    found = product.write_product_index(docs, scratch_dir(spark, "product"),
+                                        vector.train_cells(docs, CELLS))
+    return product.product_search(found, label_means(spark, d), POOL, short=2)
+
+
 def q_vector_ann_all_cells(spark, d):
     """With every cell probed the approximate search is exact."""
     return searched_cells(spark, d, POOL, CELLS)
