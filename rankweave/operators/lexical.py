@@ -46,6 +46,45 @@ def lemmatize(rows: DataFrame, lexicon: DataFrame | None) -> DataFrame:
             .select(*rows.columns))
 
 
+# Endings of plural nouns, what stands in their place in the singular, longest first.
+NOUN_ENDINGS = (("ches", "ch"), ("shes", "sh"), ("ses", "s"), ("xes", "x"), ("zes", "z"),
+                ("ves", "f"), ("ves", "fe"), ("ies", "y"), ("men", "man"), ("s", ""))
+# Plurals by no rule.
+NOUN_EXCEPTIONS = (("children", "child"), ("feet", "foot"), ("geese", "goose"), ("lice", "louse"),
+                   ("mice", "mouse"), ("oxen", "ox"), ("teeth", "tooth"))
+# Words in these are singular, or too short to tell.
+NO_PLURAL = "(ss|us|is)$"
+LEAST_STEM = 2
+
+
+def noun_lexicon(vocabulary: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """`(form, lemma)` of the plurals in a vocabulary (`token`, each word once), for `lemmatize`.
+
+    An ending is taken off, by the first rule whose result is a word of the vocabulary too; so a
+    word that only looks like a plural stays as it is. Exceptions (`form`, `lemma`; the fixed ones by
+    default) come before the rules and need not be in the vocabulary. Rules work on the distinct
+    words, and the candidates are joined with them, so no text is touched.
+    """
+    if exceptions is None:
+        exceptions = vocabulary.sparkSession.createDataFrame(
+            list(NOUN_EXCEPTIONS), "form string, lemma string")
+    words_ = vocabulary.select("token")
+    candidates = F.array(*[
+        F.when(F.endswith("token", F.lit(ending)) & (F.length("token") >= len(ending) + LEAST_STEM),
+               F.concat(F.expr(f"substring(token, 1, length(token) - {len(ending)})"),
+                        F.lit(single)))
+        for ending, single in NOUN_ENDINGS])
+    plural = words_.filter(~F.col("token").rlike(NO_PLURAL)).select(
+        F.col("token").alias("form"), F.posexplode(candidates).alias("rule", "lemma"))
+    by_rule = (plural.filter(F.col("lemma").isNotNull())
+               .join(words_.withColumnRenamed("token", "lemma"), "lemma", "left_semi")
+               .groupBy("form").agg(F.min_by("lemma", "rule").alias("lemma")))
+    known = exceptions.select("form", "lemma").distinct()
+    # A few words; those of the vocabulary that the table names.
+    listed = words_.select(F.col("token").alias("form")).join(known, "form")
+    return by_rule.join(known, "form", "left_anti").select("form", "lemma").unionByName(listed)
+
+
 def term_frequency(analyzed: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Postings `(doc_id, token, tf, len)`.
 

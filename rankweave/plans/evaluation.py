@@ -107,3 +107,78 @@ def resume_run(queries: DataFrame, retrieve: Retriever, path: str, config: dict,
     asked = finished_queries(spark, path).join(queries.select("query_id"), "query_id", "left_semi")
     runs = spark.read.parquet(f"{path}/runs")
     return runs.join(asked, ["query_id", "part"], "left_semi").drop("part")
+
+
+def _stages(queries: DataFrame, lexical: Retriever, vector: Retriever, ranker: Ranker, pool: int,
+            rrf_k: int) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
+    """Each mode as a step over the results of the modes before it."""
+    return dict(zip(MODES, (
+        lambda done: lexical(queries),
+        lambda done: vector(queries),
+        lambda done: reciprocal_rank_fusion([done["bm25"], done["vector"]], rrf_k),
+        lambda done: ranker(queries, done["rrf"].filter(F.col("rank") <= pool)))))
+
+
+def _stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
+    """A step's results and the seconds it took, from `path` if it was finished there before.
+
+    The seconds are written last, so a step without them is run again and its leftovers replaced.
+    """
+    if not path_exists(spark, f"{path}/seconds/_SUCCESS"):
+        start = time.perf_counter()
+        make().write.mode("overwrite").parquet(f"{path}/results")
+        spent = time.perf_counter() - start
+        spark.createDataFrame([(spent,)], "seconds double").write.mode("overwrite").parquet(
+            f"{path}/seconds")
+    return (spark.read.parquet(f"{path}/results"),
+            spark.read.parquet(f"{path}/seconds").first()["seconds"])
+
+
+def resume_modes(queries: DataFrame, lexical: Retriever, vector: Retriever, ranker: Ranker,
+                 path: str, config: dict, pool: int = 100, rrf_k: int = 60,
+                 slices: int = 8) -> tuple[DataFrame, DataFrame]:
+    """The four modes' run `(mode, query_id, doc_id, score, rank)` and what they took `(mode, part,
+    queries, seconds)`, seconds per query, for all queries.
+
+    Queries are run in slices. Within a slice each step is kept as soon as it is done, so after an
+    interruption no step, and no model behind it, is asked again for what it has answered. The modes
+    of a slice and their seconds count together, once the ids of its queries are written down; a
+    slice is named by its queries, so the rerun finds its steps. A mode takes as long as the steps it
+    is made of. Queries may be added from call to call; another configuration is refused.
+    """
+    if slices <= 0:
+        raise ValueError("slices must be positive")
+    spark = queries.sparkSession
+    check_manifest(spark, path, {**config, "pool": pool, "rrf_k": rrf_k})
+    done = finished_queries(spark, path)
+    pending = materialize(queries if done is None else queries.join(done, "query_id", "left_anti"),
+                          "pending")
+    which = F.pmod(F.xxhash64("query_id"), F.lit(slices))
+    found = pending.groupBy(which.alias("i")).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("query_id", "text")).alias("mark"))
+    for i, n, mark in sorted(tuple(r) for r in found.collect()):
+        some = pending.filter(which == i)
+        part = f"{i}-{n}-{mark & (1 << 64) - 1:016x}"
+        ready: dict[str, DataFrame] = {}
+        spent: dict[str, float] = {}
+        for mode, make in _stages(some, lexical, vector, ranker, pool, rrf_k).items():
+            ready[mode], spent[mode] = _stage(spark, f"{path}/steps/{part}/{mode}",
+                                              lambda: make(ready))
+        run = union_all([build_run(ready[mode], mode) for mode in MODES])
+        run.write.mode("overwrite").parquet(f"{path}/runs/part={part}")
+        fused = spent["bm25"] + spent["vector"] + spent["rrf"]
+        seconds = (spent["bm25"], spent["vector"], fused, fused + spent["reranked"])
+        spark.createDataFrame([(mode, n, s / n) for mode, s in zip(MODES, seconds)],
+                              "mode string, queries bigint, seconds double").write.mode(
+            "overwrite").parquet(f"{path}/times/part={part}")
+        some.select("query_id").write.mode("overwrite").parquet(f"{path}/finished/part={part}")
+    finished = finished_queries(spark, path)
+    if finished is None:
+        empty = {mode: lexical(queries.limit(0)) for mode in MODES}
+        return (union_all([build_run(r, mode) for mode, r in empty.items()]),
+                spark.createDataFrame([], "mode string, part string, queries bigint, seconds double"))
+    asked = finished.join(queries.select("query_id"), "query_id", "left_semi")
+    runs = spark.read.parquet(f"{path}/runs").join(asked, ["query_id", "part"], "left_semi")
+    times = spark.read.parquet(f"{path}/times").join(asked.select("part").distinct(), "part",
+                                                     "left_semi")
+    return runs.drop("part"), times.select("mode", "part", "queries", "seconds")

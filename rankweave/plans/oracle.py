@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.html import BLOCKS
 from ..functions.text import QUERY_TASK
+from ..operators.lexical import LEAST_STEM, NO_PLURAL, NOUN_ENDINGS, NOUN_EXCEPTIONS
 from .registry import DIMS, POOL, PROBES, QUERY, REFUSED, RERANK_DIMS, SIGN_BITS, SWEEP
 
 WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
@@ -324,8 +325,22 @@ SELECT doc_id, array_to_string({words('text')}, ' ') AS tokens FROM documents"""
         "tokenize_ascii": f"""
 SELECT doc_id, array_to_string({ASCII.format('text')}, ' ') AS tokens FROM documents""",
         "lemmatize_vocab": with_([DOCS, POSITIONS, "vocab AS (SELECT DISTINCT token FROM pos)",
-                                  """lexicon AS (
-  SELECT f.token AS form, l.token AS lemma FROM vocab f JOIN vocab l ON f.token = l.token || 's')"""],
+                                  "rules(rule, ending, single) AS (VALUES " + ", ".join(
+                                      f"({i}, '{a}', '{b}')"
+                                      for i, (a, b) in enumerate(NOUN_ENDINGS)) + ")",
+                                  "listed(form, lemma) AS (VALUES " + ", ".join(
+                                      f"('{a}', '{b}')" for a, b in NOUN_EXCEPTIONS) + ")",
+                                  f"""lexicon AS (
+  SELECT form, lemma FROM listed
+  UNION ALL
+  SELECT form, arg_min(lemma, rule) AS lemma
+  FROM (SELECT token AS form, rule,
+               substr(token, 1, length(token) - length(ending)) || single AS lemma
+        FROM vocab JOIN rules ON suffix(token, ending)
+          AND length(token) >= length(ending) + {LEAST_STEM}
+        WHERE NOT regexp_matches(token, '{NO_PLURAL}'))
+  WHERE lemma IN (SELECT token FROM vocab) AND form NOT IN (SELECT form FROM listed)
+  GROUP BY form)"""],
                                  """
 SELECT coalesce(lemma, token) AS token, count(*) AS n
 FROM pos LEFT JOIN lexicon ON form = token GROUP BY 1"""),
@@ -440,6 +455,7 @@ SELECT mode, metric, score, scored_queries FROM evaluated"""),
 SELECT metric, max(score) FILTER (mode = 'bm25') AS bm25,
        max(score) FILTER (mode = 'vector') AS vector, max(score) FILTER (mode = 'rrf') AS rrf,
        max(score) FILTER (mode = 'reranked') AS reranked FROM evaluated GROUP BY metric"""),
+        "eval_resume_modes": with_(ALL_MODES, "SELECT * FROM evaluated"),
         "best_mode": with_(ALL_MODES, """
 SELECT metric, mode AS best, score FROM (
   SELECT *, row_number() OVER (PARTITION BY metric ORDER BY score DESC,

@@ -276,12 +276,9 @@ def q_tokenize_ascii(spark, d):
 
 
 def q_lemmatize_vocab(spark, d):
-    """A word in -s is the plural of the word without it, if the corpus has both."""
+    """Plurals by the rules for English nouns, where the corpus has the singular too."""
     positions = lexical.token_positions(lexical.analyze(documents(spark, d)))
-    vocabulary = built_index(spark, d).token.select("token")
-    lexicon = (vocabulary.select(F.concat("token", F.lit("s")).alias("form"),
-                                 F.col("token").alias("lemma"))
-               .join(vocabulary.select(F.col("token").alias("form")), "form"))
+    lexicon = materialize(lexical.noun_lexicon(built_index(spark, d).token), "lexicon")
     return lexical.lemmatize(positions, lexicon).groupBy("token").agg(
         F.count(F.lit(1)).alias("n"))
 
@@ -565,6 +562,22 @@ def q_eval_resume(spark, d):
                                  path, config, slices=2)
 
 
+def resumed_modes(spark, d):
+    return evaluation.resume_modes(
+        queries(spark, d), lexical_retriever(spark, d), nearest_retriever(spark, d),
+        cosine_ranker(spark, d, POOL), scratch_dir(spark, "modes"), {"dims": DIMS}, POOL, slices=2)
+
+
+def q_eval_resume_modes(spark, d):
+    """All four modes in slices that can be resumed, and what they score."""
+    return evaluate.evaluate_run(materialize(resumed_modes(spark, d)[0]), qrels(spark, d))
+
+
+def q_eval_latency(spark, d):
+    """The seconds measured with the modes."""
+    return evaluate.latency_summary(resumed_modes(spark, d)[1])
+
+
 def page_arrivals(spark, d):
     """Pages in the order they arrive: those of the table, then even turns of the conversations,
     then odd ones. Turns of a conversation share a url, system turns have none."""

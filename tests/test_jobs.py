@@ -5,7 +5,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from conftest import rows
-from rankweave.operators import bm25, embed
+from rankweave.operators import bm25, embed, evaluate
 from rankweave.plans import embedding_jobs, evaluation
 from rankweave.sources import corpus, index
 from rankweave.streaming import ingest
@@ -197,6 +197,52 @@ def test_evaluation_resumes(make_index, as_queries, tmp_path):
         evaluation.resume_run(queries, retrieve, path, {**config, "top_k": 20}, 4)
 
 
+def test_four_modes_resume_behind_the_last_finished_step(make_index, as_queries, tmp_path):
+    idx = make_index({i: f"w{i % 3} x" for i in range(9)})
+    queries = as_queries({i: f"w{i % 3}" for i in range(12)})
+    path, calls = str(tmp_path / "modes"), []
+
+    def retriever(name, fail_at=None):
+        def retrieve(qs):
+            calls.append((name, tuple(sorted(r[0] for r in rows(qs, "query_id")))))
+            return bm25.attach_titles(bm25.bm25_topk(idx, qs, top_k=3), idx.document)
+        return retrieve
+
+    def ranker(stop):
+        def rank(qs, candidates):
+            calls.append(("rank", tuple(sorted(r[0] for r in rows(qs, "query_id")))))
+            if stop:
+                raise RuntimeError("stopped")
+            return candidates.filter("rank <= 2")
+        return rank
+
+    def run(stop, some=queries, **more):
+        return evaluation.resume_modes(some, retriever("bm25"), retriever("vector"), ranker(stop),
+                                       path, {"k": 3, **more}, pool=3, slices=3)
+    with pytest.raises(RuntimeError):
+        run(True)
+    assert [name for name, _ in calls] == ["bm25", "vector", "rank"]
+    found, times = run(False)
+    # Nothing is asked twice but the step that was stopped.
+    assert sorted(set(calls)) == sorted(calls[:2] + calls[3:])
+    assert {name: sum(len(q) for n, q in calls if n == name) for name in ("bm25", "vector")} == {
+        "bm25": 12, "vector": 12}
+    plain = evaluation.compare_modes(queries, retriever("x"), retriever("x"), ranker(False), pool=3)
+    columns = ("mode", "query_id", "doc_id", "rank")
+    assert sorted(rows(found, *columns)) == sorted(rows(plain, *columns))
+    told = rows(times, "mode", "queries", "seconds")
+    assert len(told) == 4 * 3 and all(s > 0 for _, _, s in told)
+    assert sum(n for mode, n, _ in told if mode == "rrf") == 12
+    summary = rows(evaluate.latency_summary(times), "mode", "n")
+    assert sorted(summary) == sorted((mode, 3) for mode in evaluation.MODES)
+    done = len(calls)
+    assert run(False)[0].count() == found.count() and len(calls) == done
+    more = as_queries({i: f"w{i % 3}" for i in range(15)})
+    assert run(False, more)[0].select("query_id").distinct().count() == 15
+    with pytest.raises(ValueError, match="does not match"):
+        run(False, k1=2.0)
+
+
 PAGES = "page_id long, url string, html string"
 BATCHES = [
     [(1, "u1", "<title>One</title><p>apple apple pear</p>"), (2, "u2", "<p>pear</p>"),

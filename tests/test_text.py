@@ -117,3 +117,23 @@ def test_vectors(spark):
     assert one(spark, vectors.cosine(arr(1, 0), arr(0, 2))) == 0.0
     assert one(spark, vectors.cosine(arr(1, 0), arr(0, 0))) is None
     assert re.match("double", spark.range(1).select(vectors.norm(arr(1))).dtypes[0][1])
+
+
+def test_plurals_by_rule_and_exception(spark):
+    from rankweave.operators import lexical
+    pairs = {"recipes": "recipe", "berries": "berry", "wolves": "wolf", "knives": "knife",
+             "buses": "bus", "boxes": "box", "waltzes": "waltz", "churches": "church",
+             "dishes": "dish", "women": "woman", "children": "child", "mice": "mouse"}
+    alone = ["glass", "status", "basis", "was", "cities", "omen", "as", "s", "series"]
+    # A singular of a rule must be a word too; one of the exceptions need not be.
+    words = [*pairs, *pairs.values(), *alone, "statu", "basi", "glas", "a"]
+    words.remove("mouse")
+    vocabulary = spark.createDataFrame([(w,) for w in sorted(set(words))], "token string")
+    assert dict(rows(lexical.noun_lexicon(vocabulary), "form", "lemma")) == pairs
+    own = spark.createDataFrame([("women", "wife")], "form string, lemma string")
+    assert dict(rows(lexical.noun_lexicon(vocabulary, own)))["women"] == "wife"
+    docs = spark.createDataFrame([(1, "Banana recipes, one recipe")], "doc_id long, full_text string")
+    positions = lexical.token_positions(lexical.analyze(docs))
+    lexicon = lexical.noun_lexicon(positions.select("token").distinct())
+    assert rows(lexical.lemmatize(positions, lexicon).groupBy("token").count().filter("count > 1")) \
+        == [("recipe", 2)]
