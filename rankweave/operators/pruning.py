@@ -35,7 +35,10 @@ def bounded_terms(index: LexicalIndex, terms: DataFrame, k1: float, b: float) ->
     avgdl = index.corpus_stats.select("avgdl").scalar()
     most = F.col("weight") * scoring.bm25_weight(
         F.col("idf"), F.col("max_tf"), F.col("min_len"), avgdl, k1, b)
-    whole = index.term_blocks.filter(F.col("block") == ALL_BLOCKS)
+    # The semi-join goes below the sums over segments.
+    asked = F.broadcast(terms.select("token_id").distinct())
+    whole = index.term_blocks.join(asked, "token_id", "left_semi").filter(
+        F.col("block") == ALL_BLOCKS)
     return whole.join(F.broadcast(terms), "token_id").select(
         "query_id", "token_id", "weight", "idf", F.col("n").alias("doc_freq"), most.alias("most"))
 
@@ -91,7 +94,9 @@ def _room(index: LexicalIndex, optional: DataFrame, k1: float, b: float, limit:
     everywhere = whole.select("query_id", F.lit(ALL_BLOCKS).alias("block"), "room")
     # Tokens with rows by block have one for every block they are in; others count with their
     # maximum in every block.
-    by_block = index.term_blocks.filter(F.col("block") != ALL_BLOCKS)
+    asked = F.broadcast(optional.select("token_id").distinct())
+    by_block = index.term_blocks.join(asked, "token_id", "left_semi").filter(
+        F.col("block") != ALL_BLOCKS)
     frequent = materialize(by_block.join(F.broadcast(optional), "token_id").select(
         "query_id", "token_id", "block", F.col("most").alias("whole"),
         (F.col("weight") * scoring.bm25_weight(F.col("idf"), F.col("max_tf"), F.col("min_len"),

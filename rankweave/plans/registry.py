@@ -20,7 +20,7 @@ from ..operators import (
     bm25, embed, evaluate, fusion, legacy, lexical, product, rerank, vector,
 )
 from ..session import chunks, lookup_join, materialize, scratch_dir, spread
-from ..sources import corpus, index
+from ..sources import corpus, index, segments
 from ..streaming import ingest
 from . import embedding_jobs, evaluation, hybrid
 
@@ -239,6 +239,19 @@ def q_write_index(spark, d):
             .select("doc_id", "token", "tf", "len", "doc_freq"))
 
 
+def q_add_documents(spark, d):
+    """The documents in four arrivals, each a segment, two and two of a size merged."""
+    path = scratch_dir(spark, "index")
+    docs = documents(spark, d).withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    arrivals = [docs.filter(F.col("_arrival") == i).drop("_arrival") for i in range(4)]
+    index.write_index(arrivals[0], path)
+    for arrived in arrivals[1:]:
+        segments.add_documents(arrived, path, fanout=2)
+    idx = index.open_index(spark, path)
+    return (idx.term_doc_stats.join(idx.token, "token_id")
+            .select("doc_id", "token", "tf", "len", "doc_freq"))
+
+
 def q_validate_index(spark, d):
     rows = conversation_rows(spark, d).drop("arrival")
     return index.validate_index(index.write_index(rows, scratch_dir(spark, "index")))
@@ -591,22 +604,38 @@ def page_arrivals(spark, d):
     return found
 
 
-def q_stream_ingest(spark, d):
-    """Several batches; a url seen in an earlier one is not taken again."""
-    path = scratch_dir(spark, "stream")
+def arriving(spark, d, path):
+    """A stream of the pages in several batches."""
     for pages_ in page_arrivals(spark, d):
         # A url lies in one file, so how files fall into batches does not matter.
         pages_.repartition(STREAM_FILES, F.coalesce("url", F.col("page_id").cast("string"))) \
             .write.mode("append").parquet(f"{path}/in")
-    stream = (spark.readStream.schema("page_id bigint, url string, html string")
-              .option("maxFilesPerTrigger", STREAM_FILES).parquet(f"{path}/in"))
-    ingest.stream_ingest(stream, f"{path}/index", f"{path}/checkpoint").awaitTermination()
-    idx = ingest.read_stream_index(spark, f"{path}/index")
+    return (spark.readStream.schema("page_id bigint, url string, html string")
+            .option("maxFilesPerTrigger", STREAM_FILES).parquet(f"{path}/in"))
+
+
+def streamed(idx):
     return (idx.term_doc_stats.join(idx.token, "token_id")
             .join(idx.document.select("doc_id", "url", "title"), "doc_id")
             .select("url", "title", "len", "token", "tf", "doc_freq"))
 
 
+def q_stream_ingest(spark, d):
+    """Several batches; a url seen in an earlier one is not taken again."""
+    path = scratch_dir(spark, "stream")
+    ingest.stream_ingest(arriving(spark, d, path), f"{path}/index",
+                         f"{path}/checkpoint").awaitTermination()
+    return streamed(ingest.read_stream_index(spark, f"{path}/index"))
+
+
+def q_stream_segments(spark, d):
+    """The same pages as segments of a bucketed index."""
+    path = scratch_dir(spark, "stream")
+    ingest.stream_segments(arriving(spark, d, path), f"{path}/index", f"{path}/checkpoint",
+                           buckets=spark.sparkContext.defaultParallelism).awaitTermination()
+    return streamed(index.open_index(spark, f"{path}/index"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name[2:]: fn for name, fn in globals().items()
              if re.match(r"q_[a-z]", name) and callable(fn)}

@@ -12,7 +12,9 @@ Layout; each build has a folder of its own, all Parquet:
       corpus_stats/     one row
 
 A build joins the manifest when all its tables are complete, and readers open the last one there.
-An interrupted build is never seen, and sessions that have an earlier one open keep it.
+An interrupted build is never seen, and sessions that have an earlier one open keep it. A build may
+be one of several segments that make up the index together (see `segments`): the manifest row names
+the live ones. All have the same buckets, and a bucket of the index is that bucket of every segment.
 
 Text is dealt to buckets by document, which is the one shuffle of a build, and tokenized in the pass
 that writes `forward`, sorted by document in small row groups: the store in which texts are looked up
@@ -111,6 +113,14 @@ def _tables(analyzed: DataFrame, postings: DataFrame, analyzer: Analyzer,
     )
 
 
+# Bloom filters and small row groups: a lookup of some documents decodes little else.
+# A filter is as large as its row group needs, not a megabyte each.
+FORWARD_OPTIONS = {"parquet.bloom.filter.enabled#doc_id": "true",
+                   "parquet.bloom.filter.adaptive.enabled": "true",
+                   "parquet.bloom.filter.enabled#url": "true",
+                   "parquet.block.size": str(GROUP_BYTES)}
+
+
 def new_build(path: str) -> str:
     """The folder of a new build of the index at `path`."""
     return f"{path}/build-{uuid.uuid4().hex[:12]}"
@@ -118,14 +128,16 @@ def new_build(path: str) -> str:
 
 def write_index(documents: DataFrame, path: str, analyzer: Analyzer = words,
                 lexicon: DataFrame | None = None, buckets: int | None = None,
-                positions: bool = True) -> LexicalIndex:
+                positions: bool = True, batch: int | None = None) -> LexicalIndex:
     """Build and write the index, which takes the place of the one at `path`, and open it.
 
-    `documents` holds `doc_id, full_text, url, title`.
+    `documents` holds `doc_id, full_text, url, title`. `batch` is the number of the batch of a
+    stream that they are.
     """
     build = new_build(path)
     buckets = write_forward(documents, build, analyzer, buckets)
-    return derive_index(documents.sparkSession, path, build, buckets, analyzer, lexicon, positions)
+    return derive_index(documents.sparkSession, path, build, buckets, analyzer, lexicon, positions,
+                        batch=batch)
 
 
 def write_forward(documents: DataFrame, build: str, analyzer: Analyzer | None = words,
@@ -138,19 +150,18 @@ def write_forward(documents: DataFrame, build: str, analyzer: Analyzer | None =
         buckets = max(spark.sparkContext.defaultParallelism, -(-size // TEXT_PER_BUCKET))
     dealt = documents.repartition(buckets, "doc_id")
     rows = dealt if analyzer is None else lexical.analyze(dealt, analyzer)
-    # Bloom filters and small row groups: a lookup of some documents decodes little else.
-    _save_buckets(rows, f"{build}/forward", buckets, "doc_id", {
-        "parquet.bloom.filter.enabled#doc_id": "true", "parquet.bloom.filter.enabled#url": "true",
-        "parquet.block.size": str(GROUP_BYTES)})
+    _save_buckets(rows, f"{build}/forward", buckets, "doc_id", FORWARD_OPTIONS)
     return buckets
 
 
 def derive_index(spark: SparkSession, path: str, build: str, buckets: int,
                  analyzer: Analyzer = words, lexicon: DataFrame | None = None,
-                 positions: bool = True) -> LexicalIndex:
+                 positions: bool = True, others: list[str] | None = None,
+                 batch: int | None = None) -> LexicalIndex:
     """Write all other tables of a build from the tokens in its `forward`, and open the index.
 
-    A task reads documents of one bucket, or a few, and writes postings of the same ones.
+    A task reads documents of one bucket, or a few, and writes postings of the same ones. `others`
+    are the segments that stay beside this one.
     """
     forward = spark.read.parquet(f"{build}/forward")
     lexical.corpus_stats(forward).write.parquet(f"{build}/corpus_stats")
@@ -171,21 +182,44 @@ def derive_index(spark: SparkSession, path: str, build: str, buckets: int,
     (_tokens(distinct).repartitionByRange("token").sortWithinPartitions("token")
      .write.parquet(f"{build}/token"))
 
-    (_term_blocks(spark.read.parquet(f"{build}/term_doc_stats"), blocks_of(buckets))
-     .repartitionByRange("token_id").sortWithinPartitions("token_id", "block")
-     .write.parquet(f"{build}/term_blocks"))
+    others = others or []
+    write_blocks(spark, path, build, buckets, others)
+    commit(spark, path, [*others, build.rsplit("/", 1)[-1]], buckets, positions,
+           analyzer_name(analyzer), lexicon_mark(lexicon), batch)
+    return open_index(spark, path, analyzer, lexicon)
+
 
-    row = (build.rsplit("/", 1)[-1], time.time(), buckets, positions, analyzer_name(analyzer),
-           lexicon_mark(lexicon))
+def commit(spark: SparkSession, path: str, live: list[str], buckets: int, positions: bool,
+           analyzer: str, lexicon: str, batch: int | None = None) -> None:
+    """Make the given segments the index; the last one is the newest. `batch` is the last batch of a
+    stream that they hold."""
+    row = (live[-1], time.time(), buckets, positions, analyzer, lexicon, live, batch)
     (spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append")
      .json(f"{path}/manifest"))
-    return open_index(spark, path, analyzer, lexicon)
 
 
-def _term_blocks(postings: DataFrame, blocks: int) -> DataFrame:
+def last_commit(spark: SparkSession, path: str) -> dict:
+    """The manifest row that holds now."""
+    row = spark.read.schema(MANIFEST).json(f"{path}/manifest").orderBy(
+        F.col("written").desc()).first().asDict()
+    return {**row, "segments": row["segments"] or [row["build"]]}
+
+
+def write_blocks(spark: SparkSession, path: str, build: str, buckets: int,
+                 others: list[str]) -> None:
+    beside = (spark.read.parquet(*[f"{path}/{name}/term_blocks" for name in others])
+              if others else None)
+    (_term_blocks(spark.read.parquet(f"{build}/term_doc_stats"), blocks_of(buckets), beside)
+     .repartitionByRange("token_id").sortWithinPartitions("token_id", "block")
+     .write.parquet(f"{build}/term_blocks"))
+
+
+def _term_blocks(postings: DataFrame, blocks: int, beside: DataFrame | None = None) -> DataFrame:
     """`token_id`, `block`, `n`, `max_tf`, `min_len`: what the scores of a token are bounded by.
 
-    Postings are reduced in the map tasks, each of which has documents of few blocks.
+    Postings are reduced in the map tasks, each of which has documents of few blocks. A token has
+    rows by block in all segments it is in or in none, so that the rows of segments add up: what it
+    has in the other segments, `beside`, decides, and its frequency only where it is in none.
     """
     by_block = materialize(
         postings.groupBy("token_id", block_of(F.col("doc_id"), blocks).alias("block")).agg(
@@ -193,13 +227,17 @@ def _term_blocks(postings: DataFrame, blocks: int) -> DataFrame:
             F.min("len").alias("min_len")), "blocks")
     whole = by_block.groupBy("token_id").agg(
         F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
-    frequent = whole.filter(F.col("n") >= POSTINGS_PER_BLOCK * blocks).select("token_id")
+    fine = whole.filter(F.col("n") >= POSTINGS_PER_BLOCK * blocks).select("token_id")
+    if beside is not None:
+        is_whole = F.col("block") == ALL_BLOCKS
+        fine = fine.join(beside.filter(is_whole), "token_id", "left_anti").unionByName(
+            whole.select("token_id").join(beside.filter(~is_whole), "token_id", "left_semi"))
     return whole.withColumn("block", F.lit(ALL_BLOCKS)).unionByName(
-        by_block.join(frequent, "token_id", "left_semi"))
+        by_block.join(fine, "token_id", "left_semi"))
 
 
 MANIFEST = ("build string, written double, buckets int, positions boolean, analyzer string, "
-            "lexicon string")
+            "lexicon string, segments array<string>, batch long")
 
 
 def analyzer_name(analyzer: Analyzer) -> str:
@@ -227,53 +265,91 @@ def _save_buckets(rows: DataFrame, path: str, buckets: int, order: str = "token_
     rows.sparkSession.sql(f"DROP TABLE {table}")
 
 
-def _open_buckets(spark: SparkSession, path: str, buckets: int,
-                  order: str = "token_id") -> tuple[str, DataFrame]:
+def table_of(paths: list[str]) -> str:
+    return f"rankweave_{hashlib.md5(' '.join(paths).encode()).hexdigest()[:16]}"
+
+
+def open_buckets(spark: SparkSession, paths: list[str], buckets: int,
+                 order: str = "token_id") -> tuple[str, DataFrame]:
     """Name the files as a bucketed table, so that the planner knows how rows are placed.
 
-    The name follows from the path, so opening again finds the same table.
+    The files of several segments are partitions of one table: a task has a bucket of all of them.
+    The name follows from the paths, so opening again finds the same table.
     """
-    table = f"rankweave_{hashlib.md5(path.encode()).hexdigest()[:16]}"
-    columns = ", ".join(f"{name} {kind}" for name, kind in spark.read.parquet(path).dtypes)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (doc_id) "
-              f"SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return table, spark.table(table)
+    table = table_of(paths)
+    columns = ", ".join(f"{name} {kind}" for name, kind in spark.read.parquet(paths[0]).dtypes)
+    placed = f"CLUSTERED BY (doc_id) SORTED BY ({order}) INTO {buckets} BUCKETS"
+    if len(paths) == 1:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet {placed} "
+                  f"LOCATION '{paths[0]}'")
+        return table, spark.table(table)
+    if not spark.catalog.tableExists(table):
+        # The table's own folder holds nothing; every partition has one elsewhere.
+        spark.sql(f"CREATE TABLE {table} ({columns}, segment int) USING parquet "
+                  f"PARTITIONED BY (segment) {placed} LOCATION '{paths[0]}-and-others'")
+        parts = " ".join(f"PARTITION (segment={i}) LOCATION '{p}'" for i, p in enumerate(paths))
+        spark.sql(f"ALTER TABLE {table} ADD {parts}")
+    # With a condition on partitions the planner looks up the sizes of their files.
+    return table, spark.table(table).filter(F.col("segment") >= 0).drop("segment")
 
 
 def _table_name() -> str:
     return f"rankweave_{uuid.uuid4().hex[:12]}"
 
 
+# The bucketed tables of a build and their order inside a bucket.
+BUCKETED = {"forward": "doc_id", "term_doc_stats": "token_id", "token_position": "token_id"}
+
+
+def summed_tokens(tokens: DataFrame) -> DataFrame:
+    """Tokens of several segments or batches. A search joins its words below the sums."""
+    return tokens.groupBy("token_id", "token").agg(F.sum("doc_freq").alias("doc_freq"))
+
+
+def summed_stats(stats: DataFrame) -> DataFrame:
+    sums = stats.agg(F.sum("total_docs").alias("total_docs"), F.sum("total_len").alias("total_len"))
+    return sums.withColumn("avgdl", F.try_divide(F.col("total_len").cast("double"),
+                                                 F.col("total_docs").cast("double")))
+
+
+def summed_blocks(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("token_id", "block").agg(
+        F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+
+
 def open_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
                lexicon: DataFrame | None = None) -> LexicalIndex:
-    """Open the last complete build at `path`, also of another session.
+    """Open the segments of the last commit at `path`, also of another session.
 
     Another analyzer or lexicon than the build was made with would rank silently wrong and is
     refused.
     """
-    last = spark.read.schema(MANIFEST).json(f"{path}/manifest").orderBy(
-        F.col("written").desc()).first()
+    last = last_commit(spark, path)
     given = (analyzer_name(analyzer), lexicon_mark(lexicon))
     if given != (last["analyzer"], last["lexicon"]):
         raise ValueError(f"the index was built with {last['analyzer']}, lexicon {last['lexicon']}, "
                          f"not with {given[0]}, lexicon {given[1]}")
-    build, buckets = f"{path}/{last['build']}", last["buckets"]
-    kinds = {"forward": "doc_id", "term_doc_stats": "token_id", "token_position": "token_id"}
+    builds, buckets = [f"{path}/{name}" for name in last["segments"]], last["buckets"]
     names, frames = zip(*[
-        _open_buckets(spark, f"{build}/{name}", buckets, order)
-        for name, order in kinds.items() if name != "token_position" or last["positions"]])
+        open_buckets(spark, [f"{build}/{name}" for build in builds], buckets, order)
+        for name, order in BUCKETED.items() if name != "token_position" or last["positions"]])
+    token, stats, blocks = [
+        spark.read.parquet(*[f"{build}/{name}" for build in builds])
+        if path_exists(spark, f"{builds[0]}/{name}") else None
+        for name in ("token", "corpus_stats", "term_blocks")]
+    if len(builds) > 1:
+        token, stats, blocks = summed_tokens(token), summed_stats(stats), summed_blocks(blocks)
     return LexicalIndex(
         document=frames[0].drop("tokens"),
-        token=spark.read.parquet(f"{build}/token"),
+        token=token,
         term_doc_stats=frames[1],
         token_position=frames[2] if last["positions"] else _positions(frames[0], lexicon),
-        corpus_stats=spark.read.parquet(f"{build}/corpus_stats"),
+        corpus_stats=stats,
         analyzer=analyzer,
         lexicon=lexicon,
         buckets=buckets,
         tables=names,
-        term_blocks=(spark.read.parquet(f"{build}/term_blocks")
-                     if path_exists(spark, f"{build}/term_blocks") else None),
+        term_blocks=blocks,
         blocks=blocks_of(buckets),
     )
 

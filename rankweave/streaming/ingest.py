@@ -1,4 +1,10 @@
-"""Adding pages to an index as they arrive."""
+"""Adding pages to an index as they arrive.
+
+`stream_ingest` writes every batch as a partition of flat tables, to be compacted later.
+`stream_segments` makes it a segment of a bucketed index, merged with others of its size on the way:
+searches need no compaction, and pages that the index has are found by their ids, in the buckets and
+row groups where these belong.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.text import Analyzer, words
 from ..operators import lexical
 from ..schemas import DOCUMENT, TERM_DOC_STATS, TOKEN_POSITION
-from ..session import materialize, path_exists, picked
+from ..session import discard, materialize, path_exists, picked
 from ..sources.corpus import extract_pages, first_pages
+from ..sources import segments
 from ..sources.index import (
-    LexicalIndex, _positions, _postings, derive_index, new_build, write_forward,
+    LexicalIndex, _positions, _postings, derive_index, last_commit, new_build, summed_stats,
+    summed_tokens, write_forward, write_index,
 )
 
 BATCH_ID = T.StructField("batch_id", T.LongType())
@@ -81,23 +89,55 @@ def stream_ingest(pages: DataFrame, path: str, checkpoint: str, key: str = "page
             .start())
 
 
+def add_segment(pages: DataFrame, batch_id: int, path: str, key: str = "page_id",
+                analyzer: Analyzer = words, buckets: int | None = None,
+                fanout: int = segments.FANOUT) -> None:
+    """Make a batch of pages a segment of the index at `path`, the first one the index itself.
+
+    The manifest row that makes a segment live tells its batch too, so a batch that runs again, the
+    last one only in a stream, is either live as a whole and left out, or not at all and written
+    anew. Ids of pages follow from their urls.
+    """
+    spark = pages.sparkSession
+    started = path_exists(spark, f"{path}/manifest")
+    done = last_commit(spark, path)["batch"] if started else None
+    if done is not None and batch_id <= done:
+        return
+    readable = pages.filter(F.col("html").isNotNull())
+    fresh = materialize(extract_pages(first_pages(readable, key), key).drop("arrival"), "batch")
+    if started:
+        segments.add_documents(fresh, path, analyzer, fanout=fanout, urls=False, batch=batch_id)
+    elif not fresh.isEmpty():
+        write_index(fresh, path, analyzer, buckets=buckets, batch=batch_id)
+    discard(fresh)
+
+
+def stream_segments(pages: DataFrame, path: str, checkpoint: str, key: str = "page_id",
+                    analyzer: Analyzer = words, buckets: int | None = None,
+                    fanout: int = segments.FANOUT, trigger: dict | None = None):
+    """Start a streaming query that adds the pages of a stream to a bucketed index; read it with
+    `open_index`. Give `buckets` for what the index is to become."""
+    return (pages.writeStream
+            .foreachBatch(lambda batch, batch_id: add_segment(batch, batch_id, path, key, analyzer,
+                                                              buckets, fanout))
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start())
+
+
 def read_stream_index(spark: SparkSession, path: str, analyzer: Analyzer = words) -> LexicalIndex:
     """The index over all batches; counts of the batches are added up."""
     def table(name: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}").drop("batch_id")
 
-    tokens = (table("token").groupBy("token").agg(F.sum("doc_freq").alias("doc_freq"))
-              .select(lexical.token_id(F.col("token")).alias("token_id"), "token", "doc_freq"))
-    sums = table("corpus_stats").agg(F.sum("total_docs").alias("total_docs"),
-                                     F.sum("total_len").alias("total_len"))
-    stats = sums.withColumn("avgdl", F.try_divide(F.col("total_len").cast("double"),
-                                                  F.col("total_docs").cast("double")))
+    tokens = table("token").select(lexical.token_id(F.col("token")).alias("token_id"), "token",
+                                   "doc_freq")
     return LexicalIndex(
         document=table("forward").drop("tokens"),
-        token=tokens,
+        token=summed_tokens(tokens),
         term_doc_stats=table("term_doc_stats"),
         token_position=table("token_position"),
-        corpus_stats=stats,
+        corpus_stats=summed_stats(table("corpus_stats")),
         analyzer=analyzer,
     )
 
