@@ -18,12 +18,14 @@ At least one copy of every line stays, because the first occurrence of a line ha
 Defined cases: a null text has no lines and stays null; an empty one has one line without words. A
 run may hold lines without words. Rows without an id come last. Repeated rows (same id and text)
 are one document and come out alike, rows of one id with other texts are documents of their own,
-ordered by a hash of the text. A text all of whose lines go becomes empty.
+ordered by a hash of the text. A text all of whose lines go becomes empty. A very long text is handled
+whole, by one task, in time and memory that grow with its lines: no run is read again, however many
+lines without words it holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,9 @@ from .common import per_text, raw_texts, text_key
 
 MIN_WORDS = 20
 _MASK = (1 << 63) - 1
+# Two primes below 2^61 and a base for each: names of runs that agree in both are the same run.
+_PRIMES = ((1 << 61) - 1, (1 << 61) - 31)
+_BASES = (1_173_906_287_345_210_897, 1_873_204_511_930_574_103)
 
 
 def windows(counts: list[int], least: int) -> list[tuple[int, int]]:
@@ -76,6 +81,18 @@ def least_in_windows(hashes: list[int], spans: list[tuple[int, int]]) -> dict[in
     return found
 
 
+def run_names(hashes: list[int], prime: int, base: int) -> Callable[[int, int], int]:
+    """A function that names the run of lines from `first` to `last`, in the same time for runs of
+    any length: a polynomial in the line hashes, as a difference of those of two beginnings."""
+    begun, powers, total, power = [0], [1], 0, 1
+    for value in hashes:
+        total = (total * base + value + 1) % prime
+        power = power * base % prime
+        begun.append(total)
+        powers.append(power)
+    return lambda first, last: (begun[last + 1] - begun[first] * powers[last + 1 - first]) % prime
+
+
 FIELDS = ("marks array<bigint>, "
           "runs array<struct<mark: bigint, r1: bigint, r2: bigint, start: int, stop: int>>")
 
@@ -85,26 +102,29 @@ def _winnow(least: int):
         marks: list[int] = []
         mark_ends, run_ends = [0], [0]
         columns: list[list[int]] = [[], [], [], []]
-        digests = []
+        r1: list[int] = []
+        r2: list[int] = []
         for text in raw_texts(texts):
             lines = text.split(b"\n")
             counts = [len(line.split()) for line in lines]
             if sum(counts) >= least:
-                names = [xxhash.xxh3_128_digest(line) for line in lines]
-                hashes = [int.from_bytes(x[:8], "big") & _MASK for x in names]
-                joined = b"".join(names)
+                digests = [xxhash.xxh3_128_intdigest(line) for line in lines]
+                hashes = [x & _MASK for x in digests]
+                names = [run_names(hashes, _PRIMES[0], _BASES[0]),
+                         run_names([x >> 64 for x in digests], _PRIMES[1], _BASES[1])]
                 place = least_in_windows(hashes, windows(counts, least))
                 marks += [hashes[p] for p in sorted(set(place.values()))]
                 for start, stop in runs(counts, least):
                     columns[0].append(hashes[place[start]])
                     columns[1].append(start)
                     columns[2].append(stop)
-                    digests.append(xxhash.xxh3_128_digest(joined[16 * start:16 * stop + 16]))
+                    r1.append(names[0](start, stop))
+                    r2.append(names[1](start, stop))
             mark_ends.append(len(marks))
-            run_ends.append(len(digests))
-        name = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            run_ends.append(len(r1))
         rows = pa.StructArray.from_arrays(
-            [pa.array(np.array(columns[0], np.int64)), pa.array(name[:, 0]), pa.array(name[:, 1]),
+            [pa.array(np.array(columns[0], np.int64)), pa.array(r1, pa.int64()),
+             pa.array(r2, pa.int64()),
              pa.array(np.array(columns[1], np.int32)), pa.array(np.array(columns[2], np.int32))],
             names=["mark", "r1", "r2", "start", "stop"])
         return [pa.ListArray.from_arrays(pa.array(mark_ends, pa.int32()),
@@ -152,9 +172,12 @@ def _remove(texts: pa.StringArray, spans: pa.ListArray) -> list:
             n_removed.append(0)
             continue
         lines = text.split("\n")
-        drop = np.zeros(len(lines), bool)
+        # Spans overlap, so their ends are counted instead of their lines.
+        depth = np.zeros(len(lines) + 1, np.int64)
         for span in gone or ():
-            drop[span["start"]:span["stop"] + 1] = True
+            depth[span["start"]] += 1
+            depth[span["stop"] + 1] -= 1
+        drop = np.cumsum(depth[:-1]) > 0
         n_lines.append(len(lines))
         n_removed.append(int(drop.sum()))
         kept.append("\n".join(line for line, d in zip(lines, drop.tolist()) if not d)

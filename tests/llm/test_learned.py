@@ -1,6 +1,8 @@
 """Language, quality and toxicity: exact code lengths, and accuracy on rows not learned from."""
 
 import math
+import re
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -14,6 +16,142 @@ SF_DIR = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="the tables are not here")
 
 
+def plain_mixed(x):
+    x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 % 2 ** 64
+    return x ^ (x >> 32)
+
+
+def plain_word(word):
+    """The hash of a word, byte by byte."""
+    return plain_mixed(sum((c + 1) * pow(0x100000001B3, i, 2 ** 64) for i, c in enumerate(word))
+                       % 2 ** 64)
+
+
+def plain_pair(a, b, salt):
+    return plain_mixed((a * 0x9E3779B97F4A7C15 + b + salt) % 2 ** 64)
+
+
+def plain_pairs(hashes, gap, salt):
+    return [plain_pair(a, b, salt) for a, b in zip(hashes, hashes[gap:])]
+
+
+def plain_toxic_features(text):
+    """The places of a text, each once."""
+    found = re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().translate(LOWER))
+    hashes = [plain_word(w) for w in found]
+    every = list(hashes)
+    for size in toxicity.STEMS:
+        every += [plain_mixed((plain_word(w[:size]) + size) % 2 ** 64) for w in found]
+    neighbours = plain_pairs(hashes, 1, 1)
+    every += neighbours + plain_pairs(neighbours, 1, 3) + plain_pairs(hashes, 2, 2)
+    return sorted({h >> (64 - toxicity.TABLE_BITS) for h in every})
+
+
+def plain_ftrl(texts, labels, passes):
+    """Weights by place, and the offset: dictionaries and one number after the other."""
+    alpha, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    features = [plain_toxic_features(t) for t in texts]
+    seen = Counter(p for places in features for p in places)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(place):
+        if place == "offset":
+            return -z[place] / ((beta + math.sqrt(n[place])) / alpha + l2)
+        if abs(z[place]) <= l1:
+            return 0.0
+        return -(z[place] - math.copysign(l1, z[place])) / ((beta + math.sqrt(n[place])) / alpha + l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(passes):
+        for i in order.permutation(len(texts)):
+            places = [p for p in features[i] if seen[p] >= toxicity.LEAST_DOCUMENTS] + ["offset"]
+            w = {p: weight(p) for p in places}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[i]
+            for p in places:
+                rate_change = (math.sqrt(n[p] + g * g) - math.sqrt(n[p])) / alpha
+                z[p] += g - rate_change * w[p]
+                n[p] += g * g
+    return {p: weight(p) for p in z if p != "offset" and weight(p)}, weight("offset")
+
+
+def plain_quality_features(text):
+    """The rows of a text with repeats."""
+    raw = text.encode().translate(LOWER)
+    found = re.findall(rb"[^ \t\n\r\x0b\x0c]+", raw)
+    hashes = [plain_word(w) for w in found]
+    every = hashes + [int(quality_classifier.TWICE) if a == b else plain_pair(a, b, 1)
+                      for a, b in zip(hashes, hashes[1:])]
+    for size in quality_classifier.GRAMS:
+        for i in range(len(raw) - size + 1):
+            code = size
+            for c in raw[i:i + size]:
+                code = (code << 8 | c) % 2 ** 64
+            every.append(plain_mixed(code))
+    return [h >> (64 - quality_classifier.TABLE_BITS) for h in every]
+
+
+def plain_descent(texts, labels, passes):
+    """(vectors, layer, bias) by loops over rows and dimensions."""
+    dims = quality_classifier.DIMS
+    order = np.random.default_rng(0)
+    vectors = order.uniform(-1 / dims, 1 / dims,
+                            (1 << quality_classifier.TABLE_BITS, dims)).astype(np.float32).tolist()
+    layer, bias = [[0.0, 0.0] for _ in range(dims)], [0.0, 0.0]
+    step, steps = 0, passes * len(texts)
+    features = [Counter(plain_quality_features(t)) for t in texts]
+    for _ in range(passes):
+        for i in order.permutation(len(texts)):
+            rate, step = quality_classifier.RATE * (1 - step / steps), step + 1
+            n = sum(features[i].values())
+            mean = [sum(c / n * vectors[r][d] for r, c in features[i].items()) for d in range(dims)]
+            raw = [sum(mean[d] * layer[d][k] for d in range(dims)) + bias[k] for k in (0, 1)]
+            share = [math.exp(x) / sum(math.exp(y) for y in raw) for x in raw]
+            error = [share[k] - (labels[i] == k) for k in (0, 1)]
+            back = [layer[d][0] * error[0] + layer[d][1] * error[1] for d in range(dims)]
+            for d in range(dims):
+                for k in (0, 1):
+                    layer[d][k] -= rate * mean[d] * error[k]
+            for k in (0, 1):
+                bias[k] -= rate * 0.1 * error[k]
+            for r, c in features[i].items():
+                for d in range(dims):
+                    vectors[r][d] -= rate * min(len(features[i]), 50) * c / n * back[d]
+    return vectors, layer, bias
+
+
+LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+LEARNED_FROM = ["You are a fool", "what a nice DAY, a day", "fool fool of a day", "nice words here",
+                "Ünd a foolish day", "day by day a nice word", "you fool you", "here are nice words"]
+LABELS = np.array([1, 0, 1, 0, 1, 0, 1, 0])
+
+
+def test_ftrl_equals_a_plain_version(monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 0.2)  # so that few texts leave some weights
+    weights, offset = plain_ftrl(LEARNED_FROM, LABELS, 3)
+    model = toxicity.learn(pa.array(LEARNED_FROM), LABELS, 3)
+    assert len(weights) > 3 and model.places.tolist() == sorted(weights)
+    assert np.allclose(model.weights, [weights[p] for p in sorted(weights)], atol=1e-9)
+    assert math.isclose(model.offset, offset, abs_tol=1e-9)
+    texts = [*LEARNED_FROM, "", None, "unknown", "A FOOL and a fool", "x " * 5000 + "fool"]
+    plain = [1 / (1 + math.exp(-offset - sum(weights.get(p, 0) for p in plain_toxic_features(t or ""))))
+             for t in texts]
+    assert np.allclose(model.scores(pa.array(texts, pa.string())), plain, atol=1e-9)
+
+
+def test_descent_equals_a_plain_version():
+    vectors, layer, bias = plain_descent(LEARNED_FROM, LABELS, 150)
+    model = quality_classifier.learn(pa.array(LEARNED_FROM), LABELS, 150)
+    difference = [layer[d][1] - layer[d][0] for d in range(quality_classifier.DIMS)]
+    texts = [*LEARNED_FROM, "", None, "unknown", "A FOOL and a fool", "x " * 5000 + "fool"]
+    plain = []
+    for text in texts:
+        rows = plain_quality_features(text or "")
+        total = sum(vectors[r][d] * difference[d] for r in rows for d in range(len(difference)))
+        plain.append(1 / (1 + math.exp(-total / max(1, len(rows)) - (bias[1] - bias[0]))))
+    assert max(plain) - min(plain) > 0.02
+    assert np.allclose(model.scores(pa.array(texts, pa.string())), plain, atol=1e-4)
+
+
 def plain_length(counts, text):
     """Code length of a text, byte by byte."""
     data, total = b"\n\n\n" + text, 0.0

@@ -1,6 +1,7 @@
 """Quality rules, line dedup and benchmark search against plain versions."""
 
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -139,3 +140,36 @@ def test_benchmark_search_in_one_and_in_many_passes(spark, limit):
     assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
     assert decontaminate.find(frame, ["doc_id"], bench.limit(0)).filter("size(items) > 0").count() == 0
     assert decontaminate.find(frame.limit(0), ["doc_id"], bench).collect() == []
+
+
+def test_names_of_runs_tell_runs_apart():
+    hashes = [hash((i * i) % 7) & line_dedup._MASK for i in range(60)]
+    for prime, base in zip(line_dedup._PRIMES, line_dedup._BASES):
+        assert all(prime % p for p in (2, 3, 5, 7, 11, 13, 17, 19, 23)) and 0 < base < prime
+        assert pow(3, prime - 1, prime) == 1 and pow(7, prime - 1, prime) == 1
+        name = line_dedup.run_names(hashes, prime, base)
+        seen = {}
+        for first in range(60):
+            for last in range(first, 60):
+                seen.setdefault(name(first, last), set()).add(tuple(hashes[first:last + 1]))
+        assert all(len(runs) == 1 for runs in seen.values())
+        assert len(seen) == len({r for runs in seen.values() for r in runs})
+
+
+def test_line_dedup_is_linear_in_lines_without_words():
+    words = " ".join(f"w{i}" for i in range(25))
+    winnow = line_dedup._winnow(20)()
+
+    def seconds(n):
+        start = time.perf_counter()
+        winnow(pa.array([words + "\n" * n + words]))
+        return time.perf_counter() - start
+
+    seconds(1000)
+    # A million lines take some seconds; with a cost by run length they would take half an hour.
+    assert seconds(1_000_000) < 60
+    spans = [[{"start": i, "stop": 99_999} for i in range(0, 100_000, 2)]]
+    start = time.perf_counter()
+    kept, lines, gone = line_dedup._remove(pa.array(["x\n" * 100_000]), pa.array(spans))
+    assert time.perf_counter() - start < 10
+    assert (kept.to_pylist(), lines.to_pylist(), gone.to_pylist()) == ([""], [100_001], [100_000])
