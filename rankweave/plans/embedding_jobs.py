@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.embed import EmbedFunction, EmbedPolicy, embed_documents
+from ..session import streamable
 from .evaluation import check_manifest
 
 
@@ -37,10 +38,11 @@ def backfill_files(spark: SparkSession, source: str, target: str, embed: EmbedFu
 
 def _in_steps(spark: SparkSession, source: str, target: str, pattern: str, files_per_step: int,
               step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a map step over the files of a folder, some files at a time, each noted when done."""
+    """Run a map step over the files of a folder, or over one file, some files at a time, each noted
+    when done."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(source).schema
     files = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-             .option("maxFilesPerTrigger", files_per_step).parquet(source))
+             .option("maxFilesPerTrigger", files_per_step).parquet(streamable(spark, source)))
     (step(files).writeStream.format("parquet")
      .option("checkpointLocation", f"{target}/checkpoint")
      .option("path", f"{target}/documents")
@@ -53,7 +55,8 @@ def reembed_documents(spark: SparkSession, source: str, target: str, embed: Embe
                       policy: EmbedPolicy = EmbedPolicy(batch_size=20),
                       files_per_step: int = 1000, key: str = "doc_id",
                       text: str = "full_text", pattern: str = "*.parquet") -> DataFrame:
-    """Embed every document of the Parquet files in a folder anew into a new table at `target`.
+    """Embed every document of the Parquet files in a folder, or of one file, anew into a new table
+    at `target`.
 
     The job reads the files of `source` in steps and notes each finished step in a checkpoint next
     to the result. After an interruption the same call goes on behind the last finished step; no

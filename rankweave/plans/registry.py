@@ -519,8 +519,8 @@ def q_backfill_embeddings(spark, d):
 
 def q_reembed_documents(spark, d):
     done = embedding_jobs.reembed_documents(
-        spark, d, scratch_dir(spark, "reembed"), embed.hashing_embedder(DIMS), "hashing", DIMS,
-        confirm=True, text="text", pattern="documents.parquet")
+        spark, f"{d}/documents.parquet", scratch_dir(spark, "reembed"),
+        embed.hashing_embedder(DIMS), "hashing", DIMS, confirm=True, text="text")
     return places(done, "doc_id")
 
 

@@ -97,6 +97,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def streamable(spark: SparkSession, path: str) -> str:
+    """The path of a Parquet table that a file stream can be opened on.
+
+    A stream takes a folder by its name, but a single file only by a pattern that matches it.
+    """
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    is_file = fs.exists(hadoop_path) and fs.getFileStatus(hadoop_path).isFile()
+    return f"{path[:-1]}[{path[-1]}]" if is_file else path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a small intermediate result to the shared folder and read it back.
 

@@ -130,6 +130,23 @@ def test_backfill_resumes_without_a_second_call(spark, tmp_path):
         run(False, dims=3)
 
 
+@pytest.mark.parametrize("folder", [False, True])
+def test_reembed_query_reads_a_table_of_one_or_many_files(spark, tmp_path, folder):
+    import shutil
+
+    from rankweave.plans import registry
+    given = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    given.repartition(3 if folder else 1).write.parquet(str(tmp_path / "written"))
+    table = tmp_path / "documents.parquet"
+    if folder:
+        shutil.copytree(tmp_path / "written", table)
+    else:
+        shutil.copy(next((tmp_path / "written").glob("part-*.parquet")), table)
+    done = registry.q_reembed_documents(spark, str(tmp_path))
+    assert sorted(r[0] for r in done.select("doc_id").distinct().collect()) == list(range(6))
+    assert done.count() == 6 * registry.DIMS
+
+
 def test_reembed_resumes_behind_the_last_finished_step(spark, tmp_path):
     source, target = str(tmp_path / "docs"), str(tmp_path / "out")
     for part in range(4):
