@@ -35,11 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import Analyzer, words
 from ..operators import lexical
-from ..session import GROUP_BYTES, materialize, path_exists
+from ..session import GROUP_BYTES, lookup_join, materialize, path_exists
 
-# Bucket size: so many bytes of text, and their postings, are a few GB. Smaller buckets would make
-# the one shuffle of the build too fine-grained for a very large corpus.
-TEXT_PER_BUCKET = 2_000_000_000
+# Bucket size: a task holds the scores of a bucket's documents for all queries, so buckets stay small
+# as the corpus grows. From so many buckets on they grow instead: still smaller ones would make the
+# one shuffle of the build too fine-grained.
+TEXT_PER_BUCKET = 48_000_000
+MOST_BUCKETS = 4096
 
 
 # Blocks of documents refine the buckets. A token has a row for all blocks, and if it has enough
@@ -100,6 +102,17 @@ def _postings(postings: DataFrame) -> DataFrame:
                            "doc_id", "tf", "len")
 
 
+def _counted(forward: DataFrame) -> DataFrame:
+    """Postings of a bucketed `forward`, counted by number where its rows lie, without a shuffle."""
+    # A row is told from others with the same doc_id by its place in the scan.
+    rows = forward.select("doc_id", "len", "tokens", F.monotonically_increasing_id().alias("_row"))
+    return (rows.select("doc_id", "len", "_row", F.explode_outer("tokens").alias("token"))
+            .filter(F.col("token").isNotNull())
+            .groupBy("doc_id", "_row", "len", lexical.token_id(F.col("token")).alias("token_id"))
+            .agg(F.count(F.lit(1)).alias("tf"))
+            .select("token_id", "doc_id", "tf", "len"))
+
+
 def _tables(analyzed: DataFrame, postings: DataFrame, analyzer: Analyzer,
             lexicon: DataFrame | None) -> LexicalIndex:
     return LexicalIndex(
@@ -147,7 +160,8 @@ def write_forward(documents: DataFrame, build: str, analyzer: Analyzer | None =
     spark = documents.sparkSession
     if buckets is None:
         size = documents.agg(F.sum(F.octet_length("full_text").cast("long"))).first()[0] or 0
-        buckets = max(spark.sparkContext.defaultParallelism, -(-size // TEXT_PER_BUCKET))
+        buckets = max(spark.sparkContext.defaultParallelism,
+                      min(-(-size // TEXT_PER_BUCKET), MOST_BUCKETS))
     dealt = documents.repartition(buckets, "doc_id")
     rows = dealt if analyzer is None else lexical.analyze(dealt, analyzer)
     _save_buckets(rows, f"{build}/forward", buckets, "doc_id", FORWARD_OPTIONS)
@@ -166,12 +180,16 @@ def derive_index(spark: SparkSession, path: str, build: str, buckets: int,
     forward = spark.read.parquet(f"{build}/forward")
     lexical.corpus_stats(forward).write.parquet(f"{build}/corpus_stats")
 
-    postings = lexical.term_frequency(forward)
-    if lexicon is not None:
-        by_doc = lexical.lemmatize(postings, lexicon).repartition(buckets, "doc_id")
+    if lexicon is None:
+        table, placed = open_buckets(spark, [f"{build}/forward"], buckets, BUCKETED["forward"])
+        _save_buckets(_counted(placed), f"{build}/term_doc_stats", buckets)
+        spark.sql(f"DROP TABLE {table}")
+    else:
+        by_doc = lexical.lemmatize(lexical.term_frequency(forward), lexicon).repartition(
+            buckets, "doc_id")
         postings = by_doc.groupBy("doc_id", "token").agg(
             F.sum("tf").alias("tf"), F.first("len").alias("len"))
-    _save_buckets(_postings(postings), f"{build}/term_doc_stats", buckets)
+        _save_buckets(_postings(postings), f"{build}/term_doc_stats", buckets)
     if positions:
         _save_buckets(_positions(forward, lexicon), f"{build}/token_position", buckets)
 
@@ -217,23 +235,23 @@ def write_blocks(spark: SparkSession, path: str, build: str, buckets: int,
 def _term_blocks(postings: DataFrame, blocks: int, beside: DataFrame | None = None) -> DataFrame:
     """`token_id`, `block`, `n`, `max_tf`, `min_len`: what the scores of a token are bounded by.
 
-    Postings are reduced in the map tasks, each of which has documents of few blocks. A token has
-    rows by block in all segments it is in or in none, so that the rows of segments add up: what it
-    has in the other segments, `beside`, decides, and its frequency only where it is in none.
+    Postings are reduced in the map tasks, each of which has documents of few blocks; only those of
+    frequent tokens are counted by block. A token has rows by block in all segments it is in or in
+    none, so that the rows of segments add up: what it has in the other segments, `beside`, decides,
+    and its frequency only where it is in none.
     """
-    by_block = materialize(
-        postings.groupBy("token_id", block_of(F.col("doc_id"), blocks).alias("block")).agg(
-            F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"),
-            F.min("len").alias("min_len")), "blocks")
-    whole = by_block.groupBy("token_id").agg(
-        F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+    bounds = (F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"),
+              F.min("len").alias("min_len"))
+    whole = materialize(postings.groupBy("token_id").agg(*bounds), "blocks")
     fine = whole.filter(F.col("n") >= POSTINGS_PER_BLOCK * blocks).select("token_id")
     if beside is not None:
         is_whole = F.col("block") == ALL_BLOCKS
         fine = fine.join(beside.filter(is_whole), "token_id", "left_anti").unionByName(
             whole.select("token_id").join(beside.filter(~is_whole), "token_id", "left_semi"))
-    return whole.withColumn("block", F.lit(ALL_BLOCKS)).unionByName(
-        by_block.join(fine, "token_id", "left_semi"))
+    fine = materialize(fine, "fine")
+    by_block = (lookup_join(postings, fine, "token_id", "left_semi")
+                .groupBy("token_id", block_of(F.col("doc_id"), blocks).alias("block")).agg(*bounds))
+    return whole.withColumn("block", F.lit(ALL_BLOCKS)).unionByName(by_block)
 
 
 MANIFEST = ("build string, written double, buckets int, positions boolean, analyzer string, "
@@ -254,15 +272,30 @@ def lexicon_mark(lexicon: DataFrame | None) -> str:
     return f"{row['n']}:{row['x']}"
 
 
+# A writer keeps the files of so many buckets open; for more it sorts by bucket.
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+MOST_OPEN_FILES = 16
+
+
 def _save_buckets(rows: DataFrame, path: str, buckets: int, order: str = "token_id",
                   options: dict[str, str] | None = None) -> None:
-    """Write rows into the files of their buckets, whatever task has them."""
-    table = _table_name()
-    (rows.write.mode("overwrite").options(**(options or {}))
-     .bucketBy(buckets, "doc_id").sortBy(order)
-     .option("path", path).saveAsTable(table))
+    """Write rows into the files of their buckets, whatever task has them.
+
+    Where a task has the rows of one bucket, or a few, it sorts them once by the one key and keeps
+    the files of its buckets open. A sort by bucket and key, as the writer would do, compares whole
+    rows.
+    """
+    spark, table = rows.sparkSession, _table_name()
+    ordered = rows.sortWithinPartitions(order)
+    before = spark.conf.get(OPEN_FILES)
+    spark.conf.set(OPEN_FILES, MOST_OPEN_FILES)
+    try:
+        (ordered.write.mode("overwrite").options(**(options or {}))
+         .bucketBy(buckets, "doc_id").option("path", path).saveAsTable(table))
+    finally:
+        spark.conf.set(OPEN_FILES, before)
     # Only the name goes; the files of a table with its own path stay.
-    rows.sparkSession.sql(f"DROP TABLE {table}")
+    spark.sql(f"DROP TABLE {table}")
 
 
 def table_of(paths: list[str]) -> str:

@@ -257,3 +257,21 @@ def test_written_tables_have_the_documented_types(spark, make_index):
     assert [f.dataType for f in lexical.link_edges(pages, docs).schema] == [
         f.dataType for f in schemas.LINK]
     assert corpus.ingest_pages(spark.createDataFrame([(1, "u", "x")], schemas.PAGE)).count() == 1
+
+
+def test_postings_are_counted_where_documents_lie(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(1, "b a b", "u1", "t"), (1, "a", "u2", "t"), (None, "a a", "u3", "t"), (2, None, "u4", "t")],
+        "doc_id long, full_text string, url string, title string")
+    idx = index.write_index(docs, str(tmp_path / "index"), buckets=3)
+    found = idx.term_doc_stats.join(idx.token, "token_id").select("doc_id", "token", "tf", "len")
+    # Rows of one id are counted one by one.
+    assert sorted(found.collect(), key=str) == sorted(
+        [(1, "a", 1, 3), (1, "b", 2, 3), (1, "a", 1, 1), (None, "a", 2, 2)], key=str)
+    counted = index._counted(idx.document.sparkSession.table(idx.tables[0]))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "lambda" not in plan
+
+
+def test_a_bucket_is_small_beside_what_a_task_can_hold():
+    assert index.TEXT_PER_BUCKET <= 64_000_000
