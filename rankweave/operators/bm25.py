@@ -19,8 +19,6 @@ from . import pruning, topk
 BUCKET_POSTINGS = 20_000_000
 # Up to so many words, the reader is given the list of them.
 NARROW_TERMS = 1000
-# From so many postings on, what pruning spares is more than its own steps take.
-PRUNE_POSTINGS = 50_000_000
 
 
 def query_terms(queries: DataFrame, analyzer: Analyzer, mode: str = "set",
@@ -69,23 +67,17 @@ def _term_chunks(index: LexicalIndex, queries: DataFrame, mode: str,
                  limit: int) -> list[tuple[LexicalIndex, DataFrame]]:
     """Weighted terms in parts of whole queries, each small enough to be broadcast and with no more
     postings to a bucket than a task can add up."""
-    return _sized_chunks(index, queries, mode, limit)[0]
-
-
-def _sized_chunks(index: LexicalIndex, queries: DataFrame, mode: str, limit: int
-                  ) -> tuple[list[tuple[LexicalIndex, DataFrame]], int]:
-    """The parts, and the postings that all queries ask for together."""
     terms = query_terms(queries, index.analyzer, mode, index.lexicon)
     rows, size = measured(terms)
     size *= 2  # a joined term carries two numbers more than the measured one
     few = rows <= NARROW_TERMS
     narrow = _narrowed(index, terms) if few else index
-    work = (narrow.token.join(terms.select("token"), "token")
-            .agg(F.coalesce(F.sum("doc_freq"), F.lit(0)).alias("n")).first()["n"])
     if not few:
+        work = (index.token.join(terms.select("token"), "token")
+                .agg(F.coalesce(F.sum("doc_freq"), F.lit(0)).alias("n")).first()["n"])
         size = max(size, limit * (work // index.buckets) // BUCKET_POSTINGS)
     return [(narrow, weighted_terms(narrow, part))
-            for part in split(terms, ["query_id"], size, limit)], work
+            for part in split(terms, ["query_id"], size, limit)]
 
 
 def bm25_scores(index: LexicalIndex, terms: DataFrame, k1: float, b: float) -> DataFrame:
@@ -102,20 +94,19 @@ def bm25_scores(index: LexicalIndex, terms: DataFrame, k1: float, b: float) -> D
 
 def bm25_topk(index: LexicalIndex, queries: DataFrame, k1: float | None = None,
               b: float | None = None, top_k: int | None = None, mode: str = "set",
-              limit: int = BROADCAST_BYTES, prune: bool | None = None) -> DataFrame:
+              limit: int = BROADCAST_BYTES, prune: bool = False) -> DataFrame:
     """The best documents per query as `(query_id, doc_id, score, rank)`.
 
     `queries` holds `(query_id, text)`. Queries beyond the broadcast limit are run in parts, with
-    one scan of the postings per part. A `k1`, `b` or `top_k` of 0 is taken as 0. Where the queries
-    ask for very many postings, documents that cannot be among the best are not scored (see
-    `pruning`); `prune` sets this either way, with the same result.
+    one scan of the postings per part. A `k1`, `b` or `top_k` of 0 is taken as 0. With `prune`
+    documents that cannot be among the best are not scored (see `pruning`), with the same result:
+    for a few documents of queries with rare words. For many of long queries the candidates that it
+    writes and shuffles cost more than the sums, which stay where the postings lie.
     """
     k1 = 1.5 if k1 is None else k1
     b = 0.75 if b is None else b
     k = 10 if top_k is None else top_k
-    parts, work = _sized_chunks(index, queries, mode, limit)
-    if prune is None:
-        prune = index.term_blocks is not None and work >= PRUNE_POSTINGS
+    parts = _term_chunks(index, queries, mode, limit)
     # The bounds hold for what the formula is meant for: more occurrences score more, longer
     # documents less.
     if prune and k and k1 >= 0 and 0 <= b <= 1:

@@ -208,3 +208,13 @@ def test_legacy(make_index, as_queries):
 def test_query_mode_is_checked(tutorial, as_queries):
     with pytest.raises(ValueError):
         bm25.bm25_topk(tutorial, as_queries(QUERIES), mode="both")
+
+
+def test_pruning_is_only_used_when_asked_for(monkeypatch, tutorial, as_queries):
+    def refuse(*_):
+        raise AssertionError("pruned")
+    monkeypatch.setattr(bm25, "PRUNE_POSTINGS", 0, raising=False)
+    monkeypatch.setattr(bm25.pruning, "pruned_scores", refuse)
+    assert rows(bm25.bm25_topk(tutorial, as_queries({1: "the cat"}))) is not None
+    with pytest.raises(AssertionError, match="pruned"):
+        bm25.bm25_topk(tutorial, as_queries({1: "the cat"}), prune=True)
