@@ -13,7 +13,7 @@ from ..session import (
 )
 from ..sources.index import LexicalIndex
 from .lexical import lemmatize, token_id
-from . import pruning, topk
+from . import matching, pruning, topk
 
 # Postings of one bucket that a part of the queries may ask for, counted once per query.
 BUCKET_POSTINGS = 20_000_000
@@ -92,6 +92,11 @@ def bm25_scores(index: LexicalIndex, terms: DataFrame, k1: float, b: float) -> D
             .withColumn("score", scoring.rounded(F.col("score"), scoring.BM25_DIGITS)))
 
 
+def _positive(k1: float, b: float) -> bool:
+    """Whether every match adds to a score: what the formula is meant for."""
+    return k1 >= 0 and 0 <= b <= 1
+
+
 def bm25_topk(index: LexicalIndex, queries: DataFrame, k1: float | None = None,
               b: float | None = None, top_k: int | None = None, mode: str = "set",
               limit: int = BROADCAST_BYTES, prune: bool = False) -> DataFrame:
@@ -109,9 +114,12 @@ def bm25_topk(index: LexicalIndex, queries: DataFrame, k1: float | None = None,
     parts = _term_chunks(index, queries, mode, limit)
     # The bounds hold for what the formula is meant for: more occurrences score more, longer
     # documents less.
-    if prune and k and k1 >= 0 and 0 <= b <= 1:
+    if prune and k and _positive(k1, b):
         # Tokens are picked anew for each step, from the postings of all.
         scores = [pruning.pruned_scores(index, terms, k1, b, k, limit) for _, terms in parts]
+    elif k > 0 and _positive(k1, b):
+        scores = [matching.best_scores(part, terms, [(k1, b)], k).drop("setting")
+                  for part, terms in parts]
     else:
         scores = [bm25_scores(part, terms, k1, b) for part, terms in parts]
     return union_all([topk.top_k(found, ["query_id"], topk.by_score(), k, pieces=index.buckets)
@@ -178,6 +186,15 @@ def bm25_sweep(index: LexicalIndex, queries: DataFrame, params: list[tuple[float
     """The best documents per query for each `(k1, b)`; the postings are read once for all."""
     if not params:
         raise ValueError("give at least one (k1, b)")
+    if top_k > 0 and all(_positive(k1, b) for k1, b in params):
+        settings = F.array(*[F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
+                             for k1, b in params])
+        found = [matching.best_scores(narrow, terms, params, top_k)
+                 .withColumn("_pair", settings[F.col("setting")])
+                 .select("_pair.k1", "_pair.b", "query_id", "doc_id", "score")
+                 for narrow, terms in _term_chunks(index, queries, mode, limit)]
+        return union_all([topk.top_k(scores, ["k1", "b", "query_id"], topk.by_score(), top_k,
+                                     pieces=index.buckets) for scores in found])
     avgdl = index.corpus_stats.select("avgdl").scalar()
     # One row per query and document, with a score for every pair, so the postings that enter the
     # aggregation do not depend on the number of pairs.

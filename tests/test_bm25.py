@@ -218,3 +218,30 @@ def test_pruning_is_only_used_when_asked_for(monkeypatch, tutorial, as_queries):
     assert rows(bm25.bm25_topk(tutorial, as_queries({1: "the cat"}))) is not None
     with pytest.raises(AssertionError, match="pruned"):
         bm25.bm25_topk(tutorial, as_queries({1: "the cat"}), prune=True)
+
+
+@pytest.mark.parametrize("pairs,scores,block", [(1, 40, 1), (7, 4_000_000, 5), (10 ** 6, 0, 10 ** 6)])
+def test_scores_of_blocks_equal_the_sums_of_all_pairs(spark, monkeypatch, pairs, scores, block):
+    """Also with repeated documents, queries without an id and more copies than are asked for; no
+    posting is repeated for the queries that ask for its word."""
+    for name, value in (("BLOCK_PAIRS", pairs), ("BLOCK_SCORES", scores), ("BLOCK_ROWS", block)):
+        monkeypatch.setattr(bm25.matching, name, value)
+    texts = [(i % 37 if i % 11 else None, "all " * (i % 4 + 1) + f"w{i % 5} " * (i % 3) + f"v{i % 13}",
+              None, None) for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, full_text string, url string, title string")
+    planned = index.build_index(docs)
+    asked = spark.createDataFrame(
+        [(1, "all w1 v3"), (None, "all w2 w2"), (1, "v7"), (4, "none"), (5, "v2 v3 v4 w0"), (6, None)],
+        "query_id long, text string")
+    terms = bm25.query_terms(asked, planned.analyzer, "bag").cache()
+    every = bm25.bm25_scores(planned, bm25.weighted_terms(planned, terms), 1.2, 0.5)
+    expected = rows(bm25.topk.top_k(every, ["query_id"], bm25.topk.by_score(), 6))
+    found = bm25.bm25_topk(planned, asked, 1.2, 0.5, 6, "bag")
+    close = lambda found: sorted((str(q), r, str(d), pytest.approx(s, abs=3e-9))
+                                 for q, d, s, r in found)
+    assert close(expected) == sorted((str(q), r, str(d), s) for q, d, s, r in rows(found))
+    swept = bm25.bm25_sweep(planned, asked, [(0.0, 1.0), (1.2, 0.5)], 6)
+    assert close(expected) == sorted(
+        (str(q), r, str(d), s) for k1, b, q, d, s, r in rows(swept) if (k1, b) == (1.2, 0.5))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "LeftSemi" in plan
