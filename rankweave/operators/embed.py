@@ -152,24 +152,44 @@ def embedding_audit(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     )
 
 
+# Words that a task keeps the places of.
+KNOWN_WORDS = 500_000
+
+
+class _Places(dict):
+    """The place of each word, `dims` further on if the word counts as -1."""
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.md5(word.encode()).hexdigest()
+        place = int(digest[:8], 16) % self.dims + (self.dims if digest[8] >= "8" else 0)
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = place
+        return place
+
+    def __reduce__(self):
+        return _Places, (self.dims,)
+
+
 def hashing_embedder(dims: int = 64, pattern: str = r"[^\W_]+") -> EmbedFunction:
     """A deterministic stand-in for a model: each word adds +1 or -1 to one of `dims` places.
 
     The place is the first eight hex digits of the word's MD5 modulo `dims`; the sign is minus
-    when the ninth digit is 8 or more.
+    when the ninth digit is 8 or more. Words are hashed once for all the texts of a task.
     """
     find = re.compile(pattern).findall
+    places = _Places(dims)
 
     def embed(texts: list[str]) -> np.ndarray:
-        places: dict[str, tuple[int, int]] = {}
         out = np.zeros((len(texts), dims))
         for row, text in zip(out, texts):
-            for word in find(text.lower()):
-                if word not in places:
-                    digest = hashlib.md5(word.encode()).hexdigest()
-                    places[word] = (int(digest[:8], 16) % dims, -1 if digest[8] >= "8" else 1)
-                place, sign = places[word]
-                row[place] += sign
+            found = np.array([places[word] for word in find(text.lower())], dtype=np.int64)
+            counts = np.bincount(found, minlength=2 * dims)
+            row += counts[:dims] - counts[dims:]
         return out
 
     return embed

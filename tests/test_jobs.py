@@ -313,3 +313,19 @@ def test_streaming_query_over_files(spark, tmp_path, as_queries):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     after_sum = plan[plan.index("sum(doc_freq"):]
     assert "LeftSemi" in after_sum
+
+
+def test_hashing_embedder_hashes_a_word_once_for_many_batches(monkeypatch):
+    hashed = []
+    md5 = embed.hashlib.md5
+    monkeypatch.setattr(embed.hashlib, "md5", lambda data: hashed.append(data) or md5(data))
+    run = embed.hashing_embedder(8)
+    texts = ["A b a", "", "_ b", "c-C é"]
+    found = [run([text])[0].tolist() for text in texts]
+    assert sorted(hashed) == [b"a", b"b", b"c", "é".encode()]
+    for text, vector in zip(texts, found):
+        expected = [0.0] * 8
+        for word in embed.re.findall(r"[^\W_]+", text.lower()):
+            digest = md5(word.encode()).hexdigest()
+            expected[int(digest[:8], 16) % 8] += -1 if digest[8] >= "8" else 1
+        assert vector == expected
