@@ -30,16 +30,22 @@ SPARSE = 4
 class Asked:
     """The weighted words of a part: for each token id the queries that ask for it."""
 
-    def __init__(self, table: pa.Table):
-        names = table.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
-        self.names = names.dictionary
-        token_id = table.column("token_id").to_numpy()
-        order = np.argsort(token_id, kind="stable")
-        self.token_ids, self.starts = np.unique(token_id[order], return_index=True)
-        self.starts = np.append(self.starts, len(order))
-        self.query = names.indices.to_numpy(zero_copy_only=False)[order].astype(np.int64)
-        weight = table.column("weight").to_numpy() * table.column("idf").to_numpy()
-        self.weight = weight[order]
+    def __init__(self, names: pa.Array, token_ids: np.ndarray, starts: np.ndarray,
+                 query: np.ndarray, weight: np.ndarray):
+        self.names, self.token_ids, self.starts = names, token_ids, starts
+        self.query, self.weight = query, weight
+
+
+def packed(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `Asked` is made of, without anything that only this library can read: a broadcast value
+    names its classes, and tasks may not find the library."""
+    names = table.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    token_id = table.column("token_id").to_numpy()
+    order = np.argsort(token_id, kind="stable")
+    token_ids, starts = np.unique(token_id[order], return_index=True)
+    query = names.indices.to_numpy(zero_copy_only=False)[order].astype(np.int64)
+    weight = table.column("weight").to_numpy() * table.column("idf").to_numpy()
+    return names.dictionary, token_ids, np.append(starts, len(order)), query, weight[order]
 
 
 class Floors:
@@ -158,12 +164,12 @@ def best_scores(index: LexicalIndex, terms: DataFrame, params: list[tuple[float,
         T.StructField("doc_id", index.term_doc_stats.schema["doc_id"].dataType),
         T.StructField("score", T.DoubleType())])
     shared = spark.sparkContext.broadcast(
-        Asked(terms.select("query_id", "token_id", "weight", "idf").toArrow()))
+        packed(terms.select("query_id", "token_id", "weight", "idf").toArrow()))
     settings = len(params)
     block_rows, block_pairs, block_scores = BLOCK_ROWS, BLOCK_PAIRS, BLOCK_SCORES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
+        asked = Asked(*shared.value)
         queries = len(asked.names)
         floors = [Floors(queries, k, block_scores) for _ in range(settings)]
         for table, starts in blocks_of_documents(batches, block_rows):

@@ -1,4 +1,5 @@
 import math
+import pickle
 import re
 from collections import Counter
 
@@ -245,3 +246,11 @@ def test_scores_of_blocks_equal_the_sums_of_all_pairs(spark, monkeypatch, pairs,
         (str(q), r, str(d), s) for k1, b, q, d, s, r in rows(swept) if (k1, b) == (1.2, 0.5))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "LeftSemi" in plan
+
+
+def test_broadcast_words_need_no_library_in_the_tasks():
+    table = bm25.matching.pa.table({"query_id": [1, None, 1], "token_id": [9, 9, 4],
+                                    "weight": [1, 2, 1], "idf": [.5, .5, 2.0]})
+    found = bm25.matching.packed(table)
+    assert b"rankweave" not in pickle.dumps(found)
+    assert [x.tolist() for x in found[1:]] == [[4, 9], [0, 1, 3], [0, 0, 1], [2.0, .5, 1.0]]
