@@ -44,8 +44,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as its files lie, for an index build, which deals it to buckets itself."""
+    return _as_documents(table(spark, sf_dir, "documents"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return _as_documents(spread(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def _as_documents(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "doc_id", F.col("text").alias("full_text"),
         F.concat(F.lit("doc://"), F.col("doc_id")).alias("url"), F.col("source").alias("title"))
 
@@ -58,7 +67,8 @@ def built_index(spark: SparkSession, sf_dir: str) -> index.LexicalIndex:
     """The index of the corpus, built and written once per session and read by all searches."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        _built[key] = index.write_index(documents(spark, sf_dir), scratch_dir(spark, "index"))
+        _built[key] = index.write_index(stored_documents(spark, sf_dir),
+                                        scratch_dir(spark, "index"))
     return _built[key]
 
 
@@ -233,7 +243,7 @@ def q_dedupe_url(spark, d):
 
 def q_write_index(spark, d):
     path = scratch_dir(spark, "index")
-    index.write_index(documents(spark, d), path)
+    index.write_index(stored_documents(spark, d), path)
     idx = index.open_index(spark, path)
     return (idx.term_doc_stats.join(idx.token, "token_id")
             .select("doc_id", "token", "tf", "len", "doc_freq"))

@@ -29,9 +29,14 @@ from __future__ import annotations
 import hashlib
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import Analyzer, words
 from ..operators import lexical
@@ -102,15 +107,74 @@ def _postings(postings: DataFrame) -> DataFrame:
                            "doc_id", "tf", "len")
 
 
+# Tokens that are counted together, or those of one document.
+BLOCK_TOKENS = 500_000
+
+
+def _parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch of documents in runs of about `size` tokens."""
+    length = pc.fill_null(pc.list_value_length(batch.column("tokens")), 0)
+    block = np.cumsum(length.to_numpy(zero_copy_only=False), dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts, cuts[1:]):
+        yield batch.slice(start, end - start)
+
+
+def _terms(tokens: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """`values, document, code, n` of lists of tokens, one list for a document: the distinct tokens
+    of all, and per document and token in it the number of the token and how often it occurs."""
+    length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    document = np.repeat(np.arange(len(tokens)), length)
+    encoded = tokens.flatten().dictionary_encode(null_encoding="encode")
+    size = max(len(encoded.dictionary), 1)
+    pairs, n = np.unique(document * size + encoded.indices.to_numpy(zero_copy_only=False),
+                         return_counts=True)
+    return encoded.dictionary, pairs // size, pairs % size, n
+
+
 def _counted(forward: DataFrame) -> DataFrame:
-    """Postings of a bucketed `forward`, counted by number where its rows lie, without a shuffle."""
-    # A row is told from others with the same doc_id by its place in the scan.
-    rows = forward.select("doc_id", "len", "tokens", F.monotonically_increasing_id().alias("_row"))
-    return (rows.select("doc_id", "len", "_row", F.explode_outer("tokens").alias("token"))
-            .filter(F.col("token").isNotNull())
-            .groupBy("doc_id", "_row", "len", lexical.token_id(F.col("token")).alias("token_id"))
-            .agg(F.count(F.lit(1)).alias("tf"))
-            .select("token_id", "doc_id", "tf", "len"))
+    """Postings of a `forward`, counted where its rows lie, without a shuffle.
+
+    Documents are counted some at a time and go out as rows with a list, so a task holds the tokens
+    of these and not a table of all postings of its bucket.
+    """
+    size = BLOCK_TOKENS
+    term = T.StructType([T.StructField("token", T.StringType()), T.StructField("tf", T.LongType())])
+    schema = T.StructType([forward.schema["doc_id"], forward.schema["len"],
+                           T.StructField("terms", T.ArrayType(term))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _parts(whole, size)):
+            values, document, code, n = _terms(batch.column("tokens"))
+            ends = np.searchsorted(document, np.arange(batch.num_rows + 1)).astype(np.int32)
+            terms = pa.StructArray.from_arrays(
+                [values.take(pa.array(code)), pa.array(n.astype(np.int64))], names=["token", "tf"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("len"),
+                 pa.ListArray.from_arrays(pa.array(ends), terms)], names=["doc_id", "len", "terms"])
+
+    counted = forward.select("doc_id", "len", "tokens").mapInArrow(run, schema)
+    return _postings(counted.select("doc_id", "len", F.inline("terms"))
+                     .filter(F.col("token").isNotNull()))
+
+
+def _counted_tokens(forward: DataFrame) -> DataFrame:
+    """The tokens of a `forward`: its documents are counted some at a time, and their counts, a row
+    for each token of these, are added up."""
+    schema = T.StructType([T.StructField("token", T.StringType()),
+                           T.StructField("n", T.LongType())])
+    size = BLOCK_TOKENS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _parts(whole, size)):
+            values, _, code, _ = _terms(batch.column("tokens"))
+            n = np.bincount(code, minlength=len(values)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([values, pa.array(n)], names=["token", "n"])
+
+    # A scan keeps to buckets only where their key is read.
+    counted = forward.select("doc_id", "tokens").mapInArrow(run, schema)
+    return counted.groupBy("token").agg(F.sum("n").alias("doc_freq")).select(
+        lexical.token_id(F.col("token")).alias("token_id"), "token", "doc_freq")
 
 
 def _tables(analyzed: DataFrame, postings: DataFrame, analyzer: Analyzer,
@@ -182,7 +246,11 @@ def derive_index(spark: SparkSession, path: str, build: str, buckets: int,
 
     if lexicon is None:
         table, placed = open_buckets(spark, [f"{build}/forward"], buckets, BUCKETED["forward"])
-        _save_buckets(_counted(placed), f"{build}/term_doc_stats", buckets)
+        with bucket_tasks(spark):
+            _save_buckets(_counted(placed), f"{build}/term_doc_stats", buckets)
+            if positions:
+                _save_buckets(_positions(placed, None), f"{build}/token_position", buckets)
+            _save_tokens(_counted_tokens(placed), f"{build}/token")
         spark.sql(f"DROP TABLE {table}")
     else:
         by_doc = lexical.lemmatize(lexical.term_frequency(forward), lexicon).repartition(
@@ -190,15 +258,12 @@ def derive_index(spark: SparkSession, path: str, build: str, buckets: int,
         postings = by_doc.groupBy("doc_id", "token").agg(
             F.sum("tf").alias("tf"), F.first("len").alias("len"))
         _save_buckets(_postings(postings), f"{build}/term_doc_stats", buckets)
-    if positions:
-        _save_buckets(_positions(forward, lexicon), f"{build}/token_position", buckets)
-
-    distinct = forward.select(F.explode(F.array_distinct("tokens")).alias("token"), "doc_id")
-    if lexicon is not None:
+        if positions:
+            _save_buckets(_positions(forward, lexicon), f"{build}/token_position", buckets)
+        distinct = forward.select(F.explode(F.array_distinct("tokens")).alias("token"), "doc_id")
         # Two forms of one lemma in a document count once.
         distinct = lexical.lemmatize(distinct, lexicon).distinct()
-    (_tokens(distinct).repartitionByRange("token").sortWithinPartitions("token")
-     .write.parquet(f"{build}/token"))
+        _save_tokens(_tokens(distinct), f"{build}/token")
 
     others = others or []
     write_blocks(spark, path, build, buckets, others)
@@ -298,6 +363,30 @@ def _save_buckets(rows: DataFrame, path: str, buckets: int, order: str = "token_
     spark.sql(f"DROP TABLE {table}")
 
 
+def _save_tokens(tokens: DataFrame, path: str) -> None:
+    tokens.repartitionByRange("token").sortWithinPartitions("token").write.parquet(path)
+
+
+# A batch handed to Python holds the tokens of so many documents at most.
+BATCH_DOCUMENTS = 1000
+
+
+@contextmanager
+def bucket_tasks(spark: SparkSession) -> Iterator[None]:
+    """Bucketed tables are read with a task for each bucket, though no step of a plan asks for it,
+    and handed to Python in small batches."""
+    settings = {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+                "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_DOCUMENTS)}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def table_of(paths: list[str]) -> str:
     return f"rankweave_{hashlib.md5(' '.join(paths).encode()).hexdigest()[:16]}"
 

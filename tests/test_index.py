@@ -273,5 +273,51 @@ def test_postings_are_counted_where_documents_lie(spark, tmp_path):
     assert "Exchange" not in plan and "lambda" not in plan
 
 
+def test_counting_holds_no_table_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK_TOKENS", 3)
+    schema = "doc_id string, len int, tokens array<string>"
+    data = [("a", 4, ["x", "y", "x", "x"]), ("a", 1, ["x"]), (None, 2, ["y", "y"]), ("b", 0, []),
+            ("c", 0, None), ("d", 2, [None, "é"])]
+    data += [(f"n{i}", 2, ["x", f"w{i}"]) for i in range(50)]
+    forward = spark.createDataFrame(data, schema).coalesce(1)
+    counted = index._counted(forward)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    name = dict(spark.createDataFrame([(t,) for t in ["x", "y", "é", *[f"w{i}" for i in range(50)]]],
+                                      "token string")
+                .select(lexical.token_id(F.col("token")), "token").collect())
+    found = [(r["doc_id"], name[r["token_id"]], r["tf"], r["len"]) for r in counted.collect()]
+    expected = [("a", "x", 3, 4), ("a", "y", 1, 4), ("a", "x", 1, 1), (None, "y", 2, 2),
+                ("d", "é", 1, 2)]
+    expected += [(f"n{i}", t, 1, 2) for i in range(50) for t in ("x", f"w{i}")]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    tokens = rows(index._counted_tokens(forward).filter("doc_freq > 1 OR token IS NULL"),
+                  "token", "doc_freq")
+    assert sorted(tokens, key=str) == [("x", 52), ("y", 2), (None, 1)]
+
+
+def test_a_build_reads_a_bucket_in_a_task(spark, make_index):
+    idx = make_index(TEXTS, buckets=7)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    with pytest.raises(ZeroDivisionError):
+        with index.bucket_tasks(spark):
+            # Small files would be packed together, large ones cut.
+            assert spark.table(idx.tables[0]).select("doc_id", "tokens").rdd.getNumPartitions() == 7
+            1 / 0
+    assert spark.conf.get(setting) == before
+
+
+def test_a_build_moves_texts_once(spark, monkeypatch, tmp_path):
+    from rankweave.plans import registry
+    spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    given = []
+    monkeypatch.setattr(index, "write_index", lambda documents, path: given.append(documents))
+    monkeypatch.setitem(registry.__dict__, "_built", {})
+    registry.built_index(spark, str(tmp_path))
+    assert "Exchange" not in given[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_bucket_is_small_beside_what_a_task_can_hold():
     assert index.TEXT_PER_BUCKET <= 64_000_000
