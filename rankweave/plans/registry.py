@@ -252,14 +252,15 @@ def q_write_index(spark, d):
 def q_add_documents(spark, d):
     """The documents in four arrivals, each a segment, two and two of a size merged."""
     path = scratch_dir(spark, "index")
-    docs = documents(spark, d).withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    docs = stored_documents(spark, d)
+    buckets = index.buckets_for(docs)
+    docs = docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
     arrivals = [docs.filter(F.col("_arrival") == i).drop("_arrival") for i in range(4)]
-    index.write_index(arrivals[0], path)
+    index.write_index(arrivals[0], path, buckets=buckets)
     for arrived in arrivals[1:]:
-        segments.add_documents(arrived, path, fanout=2)
-    idx = index.open_index(spark, path)
-    return (idx.term_doc_stats.join(idx.token, "token_id")
-            .select("doc_id", "token", "tf", "len", "doc_freq"))
+        segments.add_documents(arrived, path, fanout=2, keep_dead=False)
+    return index.named_postings(index.open_index(spark, path)).select(
+        "doc_id", "token", "tf", "len", "doc_freq")
 
 
 def q_validate_index(spark, d):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -108,6 +110,19 @@ def streamable(spark: SparkSession, path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]" if is_file else path
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go when it is written, not when the driver happens
+    to collect its plan. For frames that are not read again."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a small intermediate result to the shared folder and read it back.
 

@@ -2,7 +2,7 @@
 
 Layout; each build has a folder of its own, all Parquet:
 
-    manifest/                 one JSON row per build: its folder, buckets, analyzer, lexicon
+    manifest/                 one JSON row per commit: its build, buckets, analyzer, lexicon
     build-<id>/
       forward/          doc_id, full_text, url, title, len, tokens     (bucketed by doc_id)
       token/            token_id, token, doc_freq                      (range-sorted by token)
@@ -14,7 +14,8 @@ Layout; each build has a folder of its own, all Parquet:
 A build joins the manifest when all its tables are complete, and readers open the last one there.
 An interrupted build is never seen, and sessions that have an earlier one open keep it. A build may
 be one of several segments that make up the index together (see `segments`): the manifest row names
-the live ones. All have the same buckets, and a bucket of the index is that bucket of every segment.
+the live ones, and of a merge under way the tables that it has done. All have the same buckets, and a
+bucket of the index is that bucket of every segment.
 
 Text is dealt to buckets by document, which is the one shuffle of a build, and tokenized in the pass
 that writes `forward`, sorted by document in small row groups: the store in which texts are looked up
@@ -40,7 +41,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.text import Analyzer, words
 from ..operators import lexical
-from ..session import GROUP_BYTES, lookup_join, materialize, path_exists
+from ..session import (
+    BROADCAST_BYTES, GROUP_BYTES, discard, freed_shuffles, lookup_join, materialize, path_exists,
+)
 
 # Bucket size: a task holds the scores of a bucket's documents for all queries, so buckets stay small
 # as the corpus grows. From so many buckets on they grow instead: still smaller ones would make the
@@ -192,6 +195,8 @@ def _tables(analyzed: DataFrame, postings: DataFrame, analyzer: Analyzer,
 
 # Bloom filters and small row groups: a lookup of some documents decodes little else.
 # A filter is as large as its row group needs, not a megabyte each.
+# All tables are written once and for long.
+COMPRESSION = {"compression": "zstd"}
 FORWARD_OPTIONS = {"parquet.bloom.filter.enabled#doc_id": "true",
                    "parquet.bloom.filter.adaptive.enabled": "true",
                    "parquet.bloom.filter.enabled#url": "true",
@@ -217,15 +222,19 @@ def write_index(documents: DataFrame, path: str, analyzer: Analyzer = words,
                         batch=batch)
 
 
+def buckets_for(documents: DataFrame) -> int:
+    """The number of buckets of an index of these documents, or that they are going to make up."""
+    size = documents.agg(F.sum(F.octet_length("full_text").cast("long"))).first()[0] or 0
+    return max(documents.sparkSession.sparkContext.defaultParallelism,
+               min(-(-size // TEXT_PER_BUCKET), MOST_BUCKETS))
+
+
 def write_forward(documents: DataFrame, build: str, analyzer: Analyzer | None = words,
                   buckets: int | None = None) -> int:
     """Write `forward` of a build; the number of its buckets. Without an analyzer the documents have
     their tokens already."""
-    spark = documents.sparkSession
     if buckets is None:
-        size = documents.agg(F.sum(F.octet_length("full_text").cast("long"))).first()[0] or 0
-        buckets = max(spark.sparkContext.defaultParallelism,
-                      min(-(-size // TEXT_PER_BUCKET), MOST_BUCKETS))
+        buckets = buckets_for(documents)
     dealt = documents.repartition(buckets, "doc_id")
     rows = dealt if analyzer is None else lexical.analyze(dealt, analyzer)
     _save_buckets(rows, f"{build}/forward", buckets, "doc_id", FORWARD_OPTIONS)
@@ -273,10 +282,12 @@ def derive_index(spark: SparkSession, path: str, build: str, buckets: int,
 
 
 def commit(spark: SparkSession, path: str, live: list[str], buckets: int, positions: bool,
-           analyzer: str, lexicon: str, batch: int | None = None) -> None:
+           analyzer: str, lexicon: str, batch: int | None = None,
+           merging: tuple[str, list[str], list[str]] | None = None) -> None:
     """Make the given segments the index; the last one is the newest. `batch` is the last batch of a
-    stream that they hold."""
-    row = (live[-1], time.time(), buckets, positions, analyzer, lexicon, live, batch)
+    stream that they hold. `merging` is the build that takes the place of some of them, their names
+    and the tables that it has already."""
+    row = (live[-1], time.time(), buckets, positions, analyzer, lexicon, live, batch, merging)
     (spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append")
      .json(f"{path}/manifest"))
 
@@ -284,21 +295,36 @@ def commit(spark: SparkSession, path: str, live: list[str], buckets: int, positi
 def last_commit(spark: SparkSession, path: str) -> dict:
     """The manifest row that holds now."""
     row = spark.read.schema(MANIFEST).json(f"{path}/manifest").orderBy(
-        F.col("written").desc()).first().asDict()
+        F.col("written").desc()).first().asDict(recursive=True)
     return {**row, "segments": row["segments"] or [row["build"]]}
 
 
+def holders(last: dict, kind: str) -> list[str]:
+    """The builds that hold a table of the index. Of a merge under way they are those merged or the
+    new one."""
+    merging = last["merging"]
+    if not merging or kind not in merging["done"]:
+        return last["segments"]
+    return [name for name in last["segments"] if name not in merging["names"]] + [merging["build"]]
+
+
 def write_blocks(spark: SparkSession, path: str, build: str, buckets: int,
                  others: list[str]) -> None:
     beside = (spark.read.parquet(*[f"{path}/{name}/term_blocks" for name in others])
               if others else None)
-    (_term_blocks(spark.read.parquet(f"{build}/term_doc_stats"), blocks_of(buckets), beside)
-     .repartitionByRange("token_id").sortWithinPartitions("token_id", "block")
-     .write.parquet(f"{build}/term_blocks"))
+    rows, steps = _term_blocks(spark.read.parquet(f"{build}/term_doc_stats"), blocks_of(buckets),
+                               beside)
+    with freed_shuffles(spark):
+        (rows.repartitionByRange("token_id").sortWithinPartitions("token_id", "block")
+         .write.mode("overwrite").options(**COMPRESSION).parquet(f"{build}/term_blocks"))
+    for step in steps:
+        discard(step)
 
 
-def _term_blocks(postings: DataFrame, blocks: int, beside: DataFrame | None = None) -> DataFrame:
-    """`token_id`, `block`, `n`, `max_tf`, `min_len`: what the scores of a token are bounded by.
+def _term_blocks(postings: DataFrame, blocks: int, beside: DataFrame | None = None
+                 ) -> tuple[DataFrame, list[DataFrame]]:
+    """`token_id`, `block`, `n`, `max_tf`, `min_len`: what the scores of a token are bounded by;
+    and the frames written on the way.
 
     Postings are reduced in the map tasks, each of which has documents of few blocks; only those of
     frequent tokens are counted by block. A token has rows by block in all segments it is in or in
@@ -307,20 +333,23 @@ def _term_blocks(postings: DataFrame, blocks: int, beside: DataFrame | None = No
     """
     bounds = (F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"),
               F.min("len").alias("min_len"))
-    whole = materialize(postings.groupBy("token_id").agg(*bounds), "blocks")
+    with freed_shuffles(postings.sparkSession):
+        whole = materialize(postings.groupBy("token_id").agg(*bounds), "blocks")
     fine = whole.filter(F.col("n") >= POSTINGS_PER_BLOCK * blocks).select("token_id")
     if beside is not None:
         is_whole = F.col("block") == ALL_BLOCKS
         fine = fine.join(beside.filter(is_whole), "token_id", "left_anti").unionByName(
             whole.select("token_id").join(beside.filter(~is_whole), "token_id", "left_semi"))
-    fine = materialize(fine, "fine")
+    with freed_shuffles(postings.sparkSession):
+        fine = materialize(fine, "fine")
     by_block = (lookup_join(postings, fine, "token_id", "left_semi")
                 .groupBy("token_id", block_of(F.col("doc_id"), blocks).alias("block")).agg(*bounds))
-    return whole.withColumn("block", F.lit(ALL_BLOCKS)).unionByName(by_block)
+    return whole.withColumn("block", F.lit(ALL_BLOCKS)).unionByName(by_block), [whole, fine]
 
 
 MANIFEST = ("build string, written double, buckets int, positions boolean, analyzer string, "
-            "lexicon string, segments array<string>, batch long")
+            "lexicon string, segments array<string>, batch long, "
+            "merging struct<build: string, names: array<string>, done: array<string>>")
 
 
 def analyzer_name(analyzer: Analyzer) -> str:
@@ -355,8 +384,9 @@ def _save_buckets(rows: DataFrame, path: str, buckets: int, order: str = "token_
     before = spark.conf.get(OPEN_FILES)
     spark.conf.set(OPEN_FILES, MOST_OPEN_FILES)
     try:
-        (ordered.write.mode("overwrite").options(**(options or {}))
-         .bucketBy(buckets, "doc_id").option("path", path).saveAsTable(table))
+        with freed_shuffles(spark):
+            (ordered.write.mode("overwrite").options(**COMPRESSION, **(options or {}))
+             .bucketBy(buckets, "doc_id").option("path", path).saveAsTable(table))
     finally:
         spark.conf.set(OPEN_FILES, before)
     # Only the name goes; the files of a table with its own path stay.
@@ -364,7 +394,9 @@ def _save_buckets(rows: DataFrame, path: str, buckets: int, order: str = "token_
 
 
 def _save_tokens(tokens: DataFrame, path: str) -> None:
-    tokens.repartitionByRange("token").sortWithinPartitions("token").write.parquet(path)
+    with freed_shuffles(tokens.sparkSession):
+        (tokens.repartitionByRange("token").sortWithinPartitions("token")
+         .write.mode("overwrite").options(**COMPRESSION).parquet(path))
 
 
 # A batch handed to Python holds the tokens of so many documents at most.
@@ -453,7 +485,8 @@ def open_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
                          f"not with {given[0]}, lexicon {given[1]}")
     builds, buckets = [f"{path}/{name}" for name in last["segments"]], last["buckets"]
     names, frames = zip(*[
-        open_buckets(spark, [f"{build}/{name}" for build in builds], buckets, order)
+        open_buckets(spark, [f"{path}/{build}/{name}" for build in holders(last, name)], buckets,
+                     order)
         for name, order in BUCKETED.items() if name != "token_position" or last["positions"]])
     token, stats, blocks = [
         spark.read.parquet(*[f"{build}/{name}" for build in builds])
@@ -476,6 +509,35 @@ def open_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
     )
 
 
+def named_postings(index: LexicalIndex, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """All postings with `token` and `doc_freq`.
+
+    The tokens are broadcast, or as many of the most frequent ones as stay below the limit: their
+    postings are joined where they lie. Only postings of the other tokens, in few documents each,
+    are shuffled.
+    """
+    token, postings = index.token, index.term_doc_stats
+    row_bytes = F.octet_length("token").cast("long") + 32
+    power = F.floor(F.log2("doc_freq"))
+    sizes = dict(token.groupBy(power).agg(F.sum(row_bytes)).collect())
+    least, size = None, 0
+    for found in sorted(sizes, reverse=True):
+        size += sizes[found]
+        if size > limit:
+            break
+        least = 2 ** found
+    else:
+        return postings.join(F.broadcast(token), "token_id")
+    if least is None:
+        return postings.join(token, "token_id")
+    # Two tokens of one id stay together.
+    common = F.broadcast(token.filter(F.col("doc_freq") >= least).select("token_id").distinct())
+    here = postings.join(F.broadcast(token.join(common, "token_id", "left_semi")), "token_id")
+    rest = postings.join(common, "token_id", "left_anti").join(
+        token.filter(F.col("doc_freq") < least), "token_id")
+    return here.unionByName(rest)
+
+
 def close_index(index: LexicalIndex) -> None:
     """Take the index out of the session's catalog; its files stay."""
     for table in index.tables:

@@ -9,7 +9,9 @@ When `fanout` segments of a similar size have come together they are merged into
 size, table by table and bucket by bucket: texts are not analyzed again and rows stay in their
 buckets. So a document is rewritten once for each size, and there are at most `fanout - 1` segments
 of any size. Segments that are no longer live stay for sessions which have them open, until
-`remove_dead` is called.
+`remove_dead` is called. Where no other session has the index open, `keep_dead=False` removes them at
+once: a merge then commits table by table and removes what it has merged, so beside the index there is
+one table of it at most.
 
 One writer at a time: two additions at once would each commit without the other.
 """
@@ -23,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import Analyzer, words
 from ..session import materialize, picked
 from .index import (
-    BUCKETED, FORWARD_OPTIONS, LexicalIndex, _save_buckets, commit, derive_index, last_commit,
-    new_build, open_buckets, open_index, summed_stats, summed_tokens, table_of, write_blocks,
-    write_forward,
+    BUCKETED, FORWARD_OPTIONS, LexicalIndex, _save_buckets, _save_tokens, commit, derive_index,
+    last_commit, new_build, open_buckets, open_index, summed_stats, summed_tokens, table_of,
+    write_blocks, write_forward,
 )
 
 FANOUT = 8
@@ -47,16 +49,18 @@ def unknown_documents(documents: DataFrame, index: LexicalIndex,
 
 def add_documents(documents: DataFrame, path: str, analyzer: Analyzer = words,
                   lexicon: DataFrame | None = None, fanout: int = FANOUT, urls: bool = True,
-                  batch: int | None = None) -> LexicalIndex:
+                  batch: int | None = None, keep_dead: bool = True) -> LexicalIndex:
     """Add `doc_id, full_text, url, title` to the index at `path`, and open it.
 
     A document with an id or url that the index has already is left out, so adding again changes
     nothing. `doc_id` and `url` are unique in `documents`, as for `write_index`. With `batch`, a
-    batch of a stream up to the last one that was added is not added again.
+    batch of a stream up to the last one that was added is not added again. Without `keep_dead`
+    merged segments go at once, and with them what sessions that have the index open read.
     """
     if fanout < 2:
         raise ValueError("fanout must be at least 2")
     spark = documents.sparkSession
+    finish_merge(spark, path, keep_dead)
     index = open_index(spark, path, analyzer, lexicon)
     last = last_commit(spark, path)
     if batch is None:
@@ -70,7 +74,7 @@ def add_documents(documents: DataFrame, path: str, analyzer: Analyzer = words,
     write_forward(fresh, build, analyzer, last["buckets"])
     derive_index(spark, path, build, last["buckets"], analyzer, lexicon, last["positions"],
                  last["segments"], batch)
-    while merge_tier(spark, path, fanout):
+    while merge_tier(spark, path, fanout, keep_dead):
         pass
     return open_index(spark, path, analyzer, lexicon)
 
@@ -91,59 +95,88 @@ def full_tier(sizes: dict[str, int], fanout: int) -> list[str]:
     return sorted(tiers[full[0]]) if full else []
 
 
-def merge_tier(spark: SparkSession, path: str, fanout: int = FANOUT) -> bool:
+def merge_tier(spark: SparkSession, path: str, fanout: int = FANOUT,
+               keep_dead: bool = True) -> bool:
     """Merge the smallest full tier, if there is one."""
     last = last_commit(spark, path)
     names = full_tier(segment_sizes(spark, path, last["segments"]), fanout)
     if names:
-        merge_segments(spark, path, names)
+        merge_segments(spark, path, names, keep_dead)
     return bool(names)
 
 
-def merge_segments(spark: SparkSession, path: str, names: list[str]) -> str:
-    """Put one segment in the place of the named ones; its name."""
+def finish_merge(spark: SparkSession, path: str, keep_dead: bool = True) -> None:
+    """Go on with a merge that was interrupted after a table of it was committed."""
+    merging = last_commit(spark, path)["merging"]
+    if merging:
+        merge_segments(spark, path, merging["names"], keep_dead)
+
+
+def merge_segments(spark: SparkSession, path: str, names: list[str],
+                   keep_dead: bool = True) -> str:
+    """Put one segment in the place of the named ones; its name.
+
+    Without `keep_dead` every table that is done takes the place of those it was made of, which are
+    removed.
+    """
     last = last_commit(spark, path)
-    build, buckets = new_build(path), last["buckets"]
-    others = [name for name in last["segments"] if name not in names]
+    merging = last["merging"]
+    if merging and merging["names"] != names:
+        raise ValueError(f"a merge of {merging['names']} has to be finished first")
+    build = f"{path}/{merging['build']}" if merging else new_build(path)
+    name, buckets = build.rsplit("/", 1)[-1], last["buckets"]
+    others = [other for other in last["segments"] if other not in names]
+    done = merging["done"] if merging else []
+
+    def put(live: list[str], under_way: tuple | None = None) -> None:
+        commit(spark, path, live, buckets, last["positions"], last["analyzer"], last["lexicon"],
+               last["batch"], under_way)
+        if not keep_dead:
+            remove_dead(spark, path)
+
     setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
     before = spark.conf.get(setting)
     # A task reads one bucket of all segments and writes one file, though nothing else asks for it.
     spark.conf.set(setting, "false")
     try:
         for kind, order in BUCKETED.items():
-            if kind == "token_position" and not last["positions"]:
+            if kind in done or kind == "token_position" and not last["positions"]:
                 continue
-            paths = [f"{path}/{name}/{kind}" for name in names]
+            paths = [f"{path}/{merged}/{kind}" for merged in names]
             in_use = spark.catalog.tableExists(table_of(paths))
             table, rows = open_buckets(spark, paths, buckets, order)
             _save_buckets(rows, f"{build}/{kind}", buckets, order,
                           FORWARD_OPTIONS if kind == "forward" else None)
             if not in_use:
                 spark.sql(f"DROP TABLE {table}")
+            if not keep_dead:
+                done = [*done, kind]
+                put(last["segments"], (name, names, done))
     finally:
         spark.conf.set(setting, before)
 
     def all_rows(kind: str) -> DataFrame:
-        return spark.read.parquet(*[f"{path}/{name}/{kind}" for name in names])
+        return spark.read.parquet(*[f"{path}/{merged}/{kind}" for merged in names])
 
-    (summed_tokens(all_rows("token")).repartitionByRange("token").sortWithinPartitions("token")
-     .write.parquet(f"{build}/token"))
-    summed_stats(all_rows("corpus_stats")).write.parquet(f"{build}/corpus_stats")
+    _save_tokens(summed_tokens(all_rows("token")), f"{build}/token")
+    (summed_stats(all_rows("corpus_stats")).write.mode("overwrite")
+     .parquet(f"{build}/corpus_stats"))
     write_blocks(spark, path, build, buckets, others)
-    name = build.rsplit("/", 1)[-1]
-    commit(spark, path, [*others, name], buckets, last["positions"], last["analyzer"],
-           last["lexicon"], last["batch"])
+    put([*others, name])
     return name
 
 
 def remove_dead(spark: SparkSession, path: str) -> list[str]:
-    """Remove the segments that are not live; call it when no session reads them."""
-    live = set(last_commit(spark, path)["segments"])
+    """Remove the segments that are not live, and of a merge under way the tables that it has done;
+    call it when no session reads them. The names of the segments."""
+    last = last_commit(spark, path)
+    merging = last["merging"] or {"build": None, "names": [], "done": []}
+    live = {*last["segments"], merging["build"]}
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [status.getPath().getName() for status in fs.listStatus(root)]
     dead = [name for name in found if name.startswith("build-") and name not in live]
-    for name in dead:
+    for name in [*dead, *[f"{name}/{kind}" for name in merging["names"] for kind in merging["done"]]]:
         fs.delete(hadoop.Path(f"{path}/{name}"), True)
     return sorted(dead)

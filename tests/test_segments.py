@@ -1,3 +1,4 @@
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from rankweave.operators import bm25, legacy, rerank
+from rankweave.plans import registry
 from rankweave.sources import corpus, index, segments
 from rankweave.streaming import ingest
 
@@ -177,3 +179,68 @@ def test_an_empty_first_batch_and_one_lost_before_its_commit(spark, tmp_path):
     assert index.open_index(spark, path).document.count() == 4
     assert len(segments.remove_dead(spark, path)) == 1
     assert index.open_index(spark, path).document.count() == 4
+
+
+def test_what_was_merged_goes_table_by_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "i")
+    index.write_index(frame(spark, range(40)), path, buckets=2)
+    segments.add_documents(frame(spark, range(40, 80)), path, fanout=9)
+    whole = index.build_index(frame(spark, range(80)))
+    save, saved = segments._save_buckets, []
+
+    def tables():
+        return {kind: len(list(Path(path).glob(f"build-*/{kind}/*.parquet")))
+                for kind in index.BUCKETED}
+
+    def failing(rows_, target, *args):
+        saved.append((Path(target).name, tables()))
+        if len(saved) == 3:
+            raise KeyboardInterrupt
+        save(rows_, target, *args)
+
+    monkeypatch.setattr(segments, "_save_buckets", failing)
+    names = index.last_commit(spark, path)["segments"]
+    with pytest.raises(KeyboardInterrupt):
+        segments.merge_segments(spark, path, names, keep_dead=False)
+    # What was merged of a table is gone before the next one is begun.
+    assert [sum(n > 2 for n in counts.values()) for _, counts in saved] == [3, 2, 1]
+    monkeypatch.setattr(segments, "_save_buckets", save)
+    # A reader finds every table, and the next addition goes on where the merge ended.
+    for opened in (lambda: index.open_index(spark, path), lambda: segments.add_documents(
+            frame(spark, range(80)), path, fanout=9, keep_dead=False)):
+        idx = opened()
+        for name in ("document", "token", "term_doc_stats", "token_position", "corpus_stats"):
+            assert same(getattr(idx, name), getattr(whole, name)), name
+    last = index.last_commit(spark, path)
+    assert [p.name for p in Path(path).glob("build-*")] == last["segments"] and len(names) == 2
+    assert last["merging"] is None and max(tables().values()) <= 2
+
+
+def test_postings_are_named_with_and_without_a_shuffle(spark, grown):
+    idx = grown[1]
+    # Another token of the same id, rare beside a frequent one.
+    the = idx.token.filter("token = 'the'").first()["token_id"]
+    twin = spark.createDataFrame([(the, "twin", 1)], idx.token.schema)
+    idx = replace(idx, token=idx.token.unionByName(twin))
+    joined = idx.term_doc_stats.join(idx.token, "token_id")
+    for limit in (0, 300, 1 << 20):
+        assert same(index.named_postings(idx, limit), joined), limit
+    plan = index.named_postings(grown[2])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_an_addition_in_four_arrivals_leaves_one_index(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"the w{i} oak", f"s{i % 3}") for i in range(400)],
+                                 "doc_id long, text string, source string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir"), "rankweave")
+    before = set(shared.glob("index-*"))
+    steps = set(shared.glob("blocks-*")) | set(shared.glob("fine-*"))
+    found = registry.q_add_documents(spark, str(tmp_path))
+    assert found.count() == 1200
+    assert rows(found.filter("token = 'oak'").select("doc_freq").distinct()) == [(400,)]
+    # Nothing of the merged segments and of the steps to their bounds stays.
+    path, = set(shared.glob("index-*")) - before
+    assert {p.name for p in path.glob("build-*")} == set(
+        index.last_commit(spark, str(path))["segments"])
+    assert set(shared.glob("blocks-*")) | set(shared.glob("fine-*")) <= steps
