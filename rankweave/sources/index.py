@@ -31,7 +31,7 @@ import hashlib
 import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +43,7 @@ from ..functions.text import Analyzer, words
 from ..operators import lexical
 from ..session import (
     BROADCAST_BYTES, GROUP_BYTES, discard, freed_shuffles, lookup_join, materialize, path_exists,
+    settings,
 )
 
 # Bucket size: a task holds the scores of a bucket's documents for all queries, so buckets stay small
@@ -283,10 +284,10 @@ def derive_index(spark: SparkSession, path: str, build: str, buckets: int,
 
 def commit(spark: SparkSession, path: str, live: list[str], buckets: int, positions: bool,
            analyzer: str, lexicon: str, batch: int | None = None,
-           merging: tuple[str, list[str], list[str]] | None = None) -> None:
+           merging: tuple[str, list[str], dict[str, int]] | None = None) -> None:
     """Make the given segments the index; the last one is the newest. `batch` is the last batch of a
     stream that they hold. `merging` is the build that takes the place of some of them, their names
-    and the tables that it has already."""
+    and how many buckets of a table it has already."""
     row = (live[-1], time.time(), buckets, positions, analyzer, lexicon, live, batch, merging)
     (spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append")
      .json(f"{path}/manifest"))
@@ -299,13 +300,29 @@ def last_commit(spark: SparkSession, path: str) -> dict:
     return {**row, "segments": row["segments"] or [row["build"]]}
 
 
-def holders(last: dict, kind: str) -> list[str]:
-    """The builds that hold a table of the index. Of a merge under way they are those merged or the
-    new one."""
-    merging = last["merging"]
-    if not merging or kind not in merging["done"]:
-        return last["segments"]
-    return [name for name in last["segments"] if name not in merging["names"]] + [merging["build"]]
+def open_table(spark: SparkSession, path: str, last: dict, kind: str) -> tuple[str, DataFrame]:
+    """Open a bucketed table of all live segments.
+
+    Of a merge under way the first buckets lie in the new build, the others in the segments merged,
+    whatever is left in their files of buckets that do not count.
+    """
+    builds, buckets, order = last["segments"], last["buckets"], BUCKETED[kind]
+    merging = last["merging"] or {"build": None, "names": [], "done": {}}
+    done = merging["done"].get(kind, 0)
+    if done:
+        old = [name for name in builds if name in merging["names"]]
+        builds = [name for name in builds if done < buckets or name not in old] + [merging["build"]]
+    paths = [f"{path}/{build}/{kind}" for build in builds]
+    if done in (0, buckets):
+        return open_buckets(spark, paths, buckets, order)
+    # Files change with every step of the merge, so the table has a name for each.
+    table, rows = open_buckets(spark, paths, buckets, order, str(done), drop=False)
+    bucket = F.pmod(F.hash("doc_id"), F.lit(buckets))
+    segment = F.col("segment")
+    counts = (F.when(segment == len(builds) - 1, bucket < done)
+              .when(segment.isin([builds.index(name) for name in old]), bucket >= done)
+              .otherwise(True))
+    return table, rows.filter(counts).drop("segment")
 
 
 def write_blocks(spark: SparkSession, path: str, build: str, buckets: int,
@@ -349,7 +366,7 @@ def _term_blocks(postings: DataFrame, blocks: int, beside: DataFrame | None = No
 
 MANIFEST = ("build string, written double, buckets int, positions boolean, analyzer string, "
             "lexicon string, segments array<string>, batch long, "
-            "merging struct<build: string, names: array<string>, done: array<string>>")
+            "merging struct<build: string, names: array<string>, done: map<string, int>>")
 
 
 def analyzer_name(analyzer: Analyzer) -> str:
@@ -372,8 +389,9 @@ MOST_OPEN_FILES = 16
 
 
 def _save_buckets(rows: DataFrame, path: str, buckets: int, order: str = "token_id",
-                  options: dict[str, str] | None = None) -> None:
-    """Write rows into the files of their buckets, whatever task has them.
+                  options: dict[str, str] | None = None, append: bool = False) -> None:
+    """Write rows into the files of their buckets, whatever task has them. With `append` they come
+    beside other buckets that the table has.
 
     Where a task has the rows of one bucket, or a few, it sorts them once by the one key and keeps
     the files of its buckets open. A sort by bucket and key, as the writer would do, compares whole
@@ -381,14 +399,16 @@ def _save_buckets(rows: DataFrame, path: str, buckets: int, order: str = "token_
     """
     spark, table = rows.sparkSession, _table_name()
     ordered = rows.sortWithinPartitions(order)
-    before = spark.conf.get(OPEN_FILES)
-    spark.conf.set(OPEN_FILES, MOST_OPEN_FILES)
-    try:
-        with freed_shuffles(spark):
-            (ordered.write.mode("overwrite").options(**COMPRESSION, **(options or {}))
-             .bucketBy(buckets, "doc_id").option("path", path).saveAsTable(table))
-    finally:
-        spark.conf.set(OPEN_FILES, before)
+    options = {**COMPRESSION, **(options or {})}
+    if append:
+        # Rows that are appended are written with the options of the table.
+        columns = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+        given = ", ".join(f"'{name}' = '{value}'" for name, value in options.items())
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet OPTIONS ({given}) "
+                  f"CLUSTERED BY (doc_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    with settings(spark, {OPEN_FILES: str(MOST_OPEN_FILES)}), freed_shuffles(spark):
+        (ordered.write.mode("append" if append else "overwrite").options(**options)
+         .bucketBy(buckets, "doc_id").option("path", path).saveAsTable(table))
     # Only the name goes; the files of a table with its own path stay.
     spark.sql(f"DROP TABLE {table}")
 
@@ -403,35 +423,28 @@ def _save_tokens(tokens: DataFrame, path: str) -> None:
 BATCH_DOCUMENTS = 1000
 
 
-@contextmanager
-def bucket_tasks(spark: SparkSession) -> Iterator[None]:
+def bucket_tasks(spark: SparkSession) -> AbstractContextManager[None]:
     """Bucketed tables are read with a task for each bucket, though no step of a plan asks for it,
     and handed to Python in small batches."""
-    settings = {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
-                "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_DOCUMENTS)}
-    before = {name: spark.conf.get(name) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+    return settings(spark, {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+                            "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_DOCUMENTS)})
 
 
-def table_of(paths: list[str]) -> str:
-    return f"rankweave_{hashlib.md5(' '.join(paths).encode()).hexdigest()[:16]}"
+def table_of(paths: list[str], state: str = "") -> str:
+    return f"rankweave_{hashlib.md5(' '.join(paths).encode() + state.encode()).hexdigest()[:16]}"
 
 
 def open_buckets(spark: SparkSession, paths: list[str], buckets: int,
-                 order: str = "token_id") -> tuple[str, DataFrame]:
+                 order: str = "token_id", state: str = "",
+                 drop: bool = True) -> tuple[str, DataFrame]:
     """Name the files as a bucketed table, so that the planner knows how rows are placed.
 
     The files of several segments are partitions of one table: a task has a bucket of all of them.
-    The name follows from the paths, so opening again finds the same table.
+    The name follows from the paths, and the state of their files if that changes, so opening again
+    finds the same table. Without `drop` rows keep the number of their segment.
     """
-    table = table_of(paths)
-    columns = ", ".join(f"{name} {kind}" for name, kind in spark.read.parquet(paths[0]).dtypes)
+    table = table_of(paths, state)
+    columns = ", ".join(f"{name} {kind}" for name, kind in spark.read.parquet(*paths).dtypes)
     placed = f"CLUSTERED BY (doc_id) SORTED BY ({order}) INTO {buckets} BUCKETS"
     if len(paths) == 1:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet {placed} "
@@ -444,7 +457,8 @@ def open_buckets(spark: SparkSession, paths: list[str], buckets: int,
         parts = " ".join(f"PARTITION (segment={i}) LOCATION '{p}'" for i, p in enumerate(paths))
         spark.sql(f"ALTER TABLE {table} ADD {parts}")
     # With a condition on partitions the planner looks up the sizes of their files.
-    return table, spark.table(table).filter(F.col("segment") >= 0).drop("segment")
+    rows = spark.table(table).filter(F.col("segment") >= 0)
+    return table, rows.drop("segment") if drop else rows
 
 
 def _table_name() -> str:
@@ -484,10 +498,8 @@ def open_index(spark: SparkSession, path: str, analyzer: Analyzer = words,
         raise ValueError(f"the index was built with {last['analyzer']}, lexicon {last['lexicon']}, "
                          f"not with {given[0]}, lexicon {given[1]}")
     builds, buckets = [f"{path}/{name}" for name in last["segments"]], last["buckets"]
-    names, frames = zip(*[
-        open_buckets(spark, [f"{path}/{build}/{name}" for build in holders(last, name)], buckets,
-                     order)
-        for name, order in BUCKETED.items() if name != "token_position" or last["positions"]])
+    names, frames = zip(*[open_table(spark, path, last, name) for name in BUCKETED
+                          if name != "token_position" or last["positions"]])
     token, stats, blocks = [
         spark.read.parquet(*[f"{build}/{name}" for build in builds])
         if path_exists(spark, f"{builds[0]}/{name}") else None

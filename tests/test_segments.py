@@ -1,6 +1,7 @@
 from dataclasses import replace
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,39 +182,54 @@ def test_an_empty_first_batch_and_one_lost_before_its_commit(spark, tmp_path):
     assert index.open_index(spark, path).document.count() == 4
 
 
-def test_what_was_merged_goes_table_by_table(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("removing", [True, False])
+def test_what_was_merged_goes_step_by_step(spark, tmp_path, monkeypatch, removing):
     path = str(tmp_path / "i")
-    index.write_index(frame(spark, range(40)), path, buckets=2)
-    segments.add_documents(frame(spark, range(40, 80)), path, fanout=9)
-    whole = index.build_index(frame(spark, range(80)))
-    save, saved = segments._save_buckets, []
+    index.write_index(frame(spark, range(60)), path, buckets=6)
+    segments.add_documents(frame(spark, range(60, 120)), path, fanout=9)
+    whole = index.build_index(frame(spark, range(120)))
+    names = index.last_commit(spark, path)["segments"]
+    save, seen = segments._save_buckets, []
 
-    def tables():
+    def files():
         return {kind: len(list(Path(path).glob(f"build-*/{kind}/*.parquet")))
                 for kind in index.BUCKETED}
 
-    def failing(rows_, target, *args):
-        saved.append((Path(target).name, tables()))
-        if len(saved) == 3:
+    def failing(rows_, target, *args, **options):
+        seen.append((Path(target).name, *files().values()))
+        save(rows_, target, *args, **options)
+        # What was written last is not committed.
+        if len(seen) == 4:
             raise KeyboardInterrupt
-        save(rows_, target, *args)
 
-    monkeypatch.setattr(segments, "_save_buckets", failing)
-    names = index.last_commit(spark, path)["segments"]
-    with pytest.raises(KeyboardInterrupt):
-        segments.merge_segments(spark, path, names, keep_dead=False)
-    # What was merged of a table is gone before the next one is begun.
-    assert [sum(n > 2 for n in counts.values()) for _, counts in saved] == [3, 2, 1]
-    monkeypatch.setattr(segments, "_save_buckets", save)
-    # A reader finds every table, and the next addition goes on where the merge ended.
+    with monkeypatch.context() as m:
+        m.setattr(segments, "_save_buckets", failing)
+        if not removing:
+            m.setattr(segments, "remove_dead", lambda *_: [])
+        with pytest.raises(KeyboardInterrupt):
+            segments.merge_segments(spark, path, names, keep_dead=False)
+    # Four tasks at a time take four buckets, then two; what is merged goes before the next are.
+    assert [name for name, *_ in seen] == ["forward"] * 2 + ["term_doc_stats"] * 2
+    if removing:
+        assert [counts for _, *counts in seen] == [
+            [12, 12, 12], [8, 12, 12], [6, 12, 12], [6, 8, 12]]
+    with pytest.raises(ValueError, match="finished first"):
+        segments.merge_segments(spark, path, names)
+    # A reader finds every row, and the next addition goes on where the merge ended.
     for opened in (lambda: index.open_index(spark, path), lambda: segments.add_documents(
-            frame(spark, range(80)), path, fanout=9, keep_dead=False)):
+            frame(spark, range(120)), path, fanout=9, keep_dead=False)):
         idx = opened()
         for name in ("document", "token", "term_doc_stats", "token_position", "corpus_stats"):
             assert same(getattr(idx, name), getattr(whole, name)), name
     last = index.last_commit(spark, path)
     assert [p.name for p in Path(path).glob("build-*")] == last["segments"] and len(names) == 2
-    assert last["merging"] is None and max(tables().values()) <= 2
+    assert last["merging"] is None and set(files().values()) == {6}
+    # Rows of a bucket are in order, and lookups by id have their filters.
+    file = next(Path(path).glob("build-*/forward/*.zstd.parquet"))
+    ids = [r["doc_id"] for r in spark.read.parquet(str(file)).select("doc_id").collect()]
+    assert ids == sorted(ids)
+    column = pq.ParquetFile(file).metadata.row_group(0).column(0)
+    assert (column.path_in_schema, column.compression) == ("doc_id", "ZSTD")
 
 
 def test_postings_are_named_with_and_without_a_shuffle(spark, grown):
