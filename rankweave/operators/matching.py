@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import scoring
-from ..session import materialize
 from ..sources.index import LexicalIndex
 
 # Postings that are taken together; (posting, query) pairs and scores held at a time.
@@ -147,14 +146,14 @@ def best_scores(index: LexicalIndex, terms: DataFrame, params: list[tuple[float,
 
     `k1` and `b` are such that every match scores more than 0. The terms were measured to be small.
     """
-    spark, terms = terms.sparkSession, materialize(terms, "terms")
+    spark = terms.sparkSession
     avgdl = index.corpus_stats.select("avgdl").scalar()
-    part = [scoring.bm25_weight(F.lit(1.0), F.col("tf"), F.col("len"), avgdl, k1, b)
+    part = [scoring.bm25_weight(F.col("idf"), F.col("tf"), F.col("len"), avgdl, k1, b)
             .alias(f"part{i}") for i, (k1, b) in enumerate(params)]
     # Postings are bucketed by doc_id: counting those of a document needs no shuffle, and puts them
     # one after the other.
-    wanted = F.broadcast(terms.select("token_id").distinct())
-    rows = (index.term_doc_stats.join(wanted, "token_id", "left_semi")
+    wanted = F.broadcast(terms.select("token_id", "idf").distinct())
+    rows = (index.term_doc_stats.join(wanted, "token_id")
             .select("doc_id", "token_id", *part)
             .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
             .sortWithinPartitions("doc_id"))
@@ -163,8 +162,9 @@ def best_scores(index: LexicalIndex, terms: DataFrame, params: list[tuple[float,
         T.StructField("query_id", terms.schema["query_id"].dataType),
         T.StructField("doc_id", index.term_doc_stats.schema["doc_id"].dataType),
         T.StructField("score", T.DoubleType())])
-    shared = spark.sparkContext.broadcast(
-        packed(terms.select("query_id", "token_id", "weight", "idf").toArrow()))
+    # The idf of a word is in the parts already.
+    asked_for = terms.select("query_id", "token_id", "weight", F.lit(1.0).alias("idf"))
+    shared = spark.sparkContext.broadcast(packed(asked_for.toArrow()))
     settings = len(params)
     block_rows, block_pairs, block_scores = BLOCK_ROWS, BLOCK_PAIRS, BLOCK_SCORES
 
